@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import blast_severity
 from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_LEVELS
-from tributary.session import KEYS, ROWS_PER_CHUNK, KeyedChunks, first_k, salted_join, stage
+from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage
 
 
 def reverse_dependencies(
@@ -51,20 +51,21 @@ def reach(
     frontier = stage(start, f"{label}-0")
     parts = [frontier]
     depth = 0
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        moved = steps.probe(frontier.drop("depth"))
-        if paths:
-            new = moved.groupBy(*keys, "seed", F.col(to).alias("_to")).agg(
-                F.min(F.concat("path", F.array(to))).alias("path")
-            )
-        else:
-            new = moved.select(*keys, "seed", F.col(to).alias("_to")).distinct()
-        seen = _union([p.select(*keys, "seed", F.col("id").alias("_to")) for p in parts])
-        fresh = new.join(seen, [*keys, "seed", "_to"], "left_anti")
-        columns = [*keys, "seed", F.col("_to").alias("id"), F.lit(depth).alias("depth")]
-        frontier = stage(fresh.select(*columns, *(["path"] if paths else [])), f"{label}-{depth}")
-        parts.append(frontier)
+    known = [*keys, "seed", "id"]
+    with Collected(known) as seen:
+        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+            seen.add(frontier.select(*known))
+            depth += 1
+            moved = steps.probe(frontier.drop("depth"))
+            if paths:
+                moved = moved.select(*keys, "seed", F.col(to).alias("id"), F.concat("path", F.array(to)).alias("path"))
+                new = moved.groupBy(*known).agg(F.min("path").alias("path"))
+            else:
+                new = moved.select(*keys, "seed", F.col(to).alias("id")).distinct()
+            fresh = new.join(seen.rows(), known, "left_anti")
+            columns = [*known, F.lit(depth).alias("depth"), *(["path"] if paths else [])]
+            frontier = stage(fresh.select(*columns), f"{label}-{depth}")
+            parts.append(frontier)
     return _union(parts)
 
 
@@ -82,8 +83,9 @@ def blast_radius(
     ``seeds(seed, id)`` may hold many changes at once, each with any number of
     source nodes.  Sources have depth 0.
     """
-    steps = KeyedChunks(reverse_dependencies(edges, types, keys), [*keys, "id"], ["dependent"], rows_per_chunk, "blast")
-    found = reach(seeds, steps, "dependent", keys, max_depth, paths, "blast")
+    back = reverse_dependencies(edges, types, keys)
+    with KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "blast", resident=True) as steps:
+        found = reach(seeds, steps, "dependent", keys, max_depth, paths, "blast")
     return found.withColumn("severity", blast_severity(F.col("depth")))
 
 
@@ -157,7 +159,7 @@ def entry_points_at_risk(
     ``severities(id, issue_severity)`` tells which nodes carry high issues.
     """
     keys = list(keys)
-    steps = KeyedChunks(reverse_dependencies(edges, types, keys), [*keys, "id"], ["dependent"], rows_per_chunk, "risk")
+    back = reverse_dependencies(edges, types, keys)
     marked = affected.select(*keys, "seed", "id").distinct().join(
         severities.select(*keys, "id", "issue_severity").dropDuplicates([*keys, "id"]), [*keys, "id"], "left"
     )
@@ -166,30 +168,35 @@ def entry_points_at_risk(
     frontier = stage(
         marked.select(*keys, "seed", F.explode(levels).alias("high"), "id", F.col("id").alias("witness")), "risk-0"
     )
-    known = frontier
+    parts = [frontier]
     step = 0
-    while not frontier.isEmpty():
-        step += 1
-        arrived = (
-            steps.probe(frontier)
-            .select(*keys, "seed", "high", F.col("dependent").alias("id"), "witness")
-            .groupBy(*group)
-            # two smallest distinct arrivals beyond the known ones suffice
-            .agg(F.min("witness").alias("a"), F.max("witness").alias("b"))
-        )
-        held = known.groupBy(*group).agg(F.array_sort(F.collect_set("witness")).alias("held"))
-        fresh = (
-            arrived.join(held, group, "left")
-            .withColumn("held", F.coalesce("held", F.expr("CAST(array() AS array<string>)")))
-            .withColumn("new", F.array_except(F.array_distinct(F.array("a", "b")), F.col("held")))
-            .withColumn("new", F.slice("new", 1, F.greatest(F.lit(0), F.lit(2) - F.size("held"))))
-            .select(*group, F.explode("new").alias("witness"))
-        )
-        frontier = stage(fresh, f"risk-{step}")
-        known = known.unionByName(frontier)
+    with (
+        KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
+        Collected(group) as known,
+    ):
+        while not frontier.isEmpty():
+            known.add(frontier)
+            step += 1
+            arrived = (
+                steps.probe(frontier)
+                .select(*keys, "seed", "high", F.col("dependent").alias("id"), "witness")
+                .groupBy(*group)
+                # of the arrivals, two distinct ones always hold one that is not known yet, if any is
+                .agg(F.min("witness").alias("a"), F.max("witness").alias("b"))
+            )
+            held = known.rows().groupBy(*group).agg(F.array_sort(F.collect_set("witness")).alias("held"))
+            fresh = (
+                arrived.join(held, group, "left")
+                .withColumn("held", F.coalesce("held", F.expr("CAST(array() AS array<string>)")))
+                .withColumn("new", F.array_except(F.array_distinct(F.array("a", "b")), F.col("held")))
+                .withColumn("new", F.slice("new", 1, F.greatest(F.lit(0), F.lit(2) - F.size("held"))))
+                .select(*group, F.explode("new").alias("witness"))
+            )
+            frontier = stage(fresh, f"risk-{step}")
+            parts.append(frontier)
     hit = (
         entries.select(*keys, F.col("id"))
-        .join(known, [*keys, "id"])
+        .join(_union(parts), [*keys, "id"])
         .filter(F.col("witness") != F.col("id"))
         .groupBy(*keys, "seed", "id")
         .agg(F.bool_or("high").alias("high"))
@@ -214,18 +221,21 @@ def affected_by_entry(
     first, then all entries walk forwards together.
     """
     keys = list(keys)
-    back = KeyedChunks(reverse_dependencies(edges, types, keys), [*keys, "id"], ["dependent"], rows_per_chunk, "prune")
-    hits = affected.select(*keys, "id").distinct()
-    useful = stage(
-        reach(hits.select(*keys, F.lit(0).alias("seed"), "id"), back, "dependent", keys, None, label="prune").select(*keys, "id"),
-        "prune",
+    hits = affected.select(*keys, F.lit(0).alias("seed"), "id").distinct()
+    back = reverse_dependencies(edges, types, keys)
+    with KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "prune", resident=True) as steps:
+        useful = reach(hits, steps, "dependent", keys, None, label="prune").select(*keys, "id")
+    forward = (
+        edges.filter(F.col("type").isin(*types))
+        .select(*keys, F.col("source").alias("id"), F.col("target").alias("next"))
+        .distinct()
+        # a target that reaches an affected node makes its source one that does
+        .join(useful.withColumnRenamed("id", "next"), [*keys, "next"], "left_semi")
+        .select(*keys, "id", "next")
     )
-    forward = edges.filter(F.col("type").isin(*types)).select(*keys, F.col("source").alias("id"), F.col("target").alias("next")).distinct()
-    # an edge is useful when its target can reach an affected node; its source then can too
-    forward = forward.join(useful.withColumnRenamed("id", "next"), [*keys, "next"], "left_semi").select(*keys, "id", "next")
     start = entries.select(*keys, "id").distinct().join(useful, [*keys, "id"], "left_semi")
-    steps = KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward")
-    walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, "next", keys, None, label="forward")
+    with KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True) as steps:
+        walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, "next", keys, None, label="forward")
     pairs = walked.filter(F.col("id") != F.col("seed")).select(*keys, F.col("seed").alias("entry_point"), "id")
     return pairs.join(affected.select(*keys, "seed", "id").distinct(), [*keys, "id"]).select(
         *keys, "seed", "entry_point", "id"

@@ -35,47 +35,47 @@ def pagerank(
     """
     keys = list(keys)
     pairs = edges.select(*keys, F.col("source").alias("id"), F.col("target")).distinct()
-    out = KeyedChunks(pairs, [*keys, "id"], ["target"], rows_per_chunk, "rank-edges")
-    degree = out.table.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("degree"))
-    sizes = stage(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "rank-sizes")
-    base = nodes.select(*keys, "id").join(degree, [*keys, "id"], "left")
-    state = stage(
-        salted_join(base, sizes, keys, "inner", ["id"]).select(
-            *keys, "id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.lit(1.0) / F.col("n")).alias("rank")
-        ),
-        "rank-0",
-    )
-
-    finished: list[DataFrame] = []
-    fixed = iterations is not None
-    rounds = iterations if fixed else max_iter
-    for i in range(1, rounds + 1):
-        shares = state.filter("degree > 0").select(*keys, "id", (F.col("rank") / F.col("degree")).alias("share"))
-        flows = out.probe(shares).select(
-            *keys, F.col("target").alias("id"), "share", F.lit(None).cast("long").alias("degree"), F.lit(None).cast("double").alias("prev")
-        )
-        own = state.select(*keys, "id", F.lit(0.0).alias("share"), "degree", F.col("rank").alias("prev"))
-        sums = flows.unionByName(own).groupBy(*keys, "id").agg(
-            F.sum("share").alias("share"), F.max("degree").alias("degree"), F.max("prev").alias("prev")
-        )
-        loose = state.filter("degree = 0").groupBy(*keys).agg(F.sum("rank").alias("loose"))
-        per_repo = sizes.join(loose, keys, "left").na.fill(0.0, ["loose"])
-        rank = F.lit(alpha) * (F.col("share") + F.col("loose") / F.col("n")) + F.lit(1 - alpha) / F.col("n")
+    with KeyedChunks(pairs, [*keys, "id"], ["target"], rows_per_chunk, "rank-edges", resident=True) as out:
+        degree = out.table.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("degree"))
+        sizes = stage(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "rank-sizes")
+        base = nodes.select(*keys, "id").join(degree, [*keys, "id"], "left")
         state = stage(
-            salted_join(sums, per_repo, keys, "inner", ["id"]).select(*keys, "id", "degree", rank.alias("rank"), "prev"),
-            f"rank-{i}",
+            salted_join(base, sizes, keys, "inner", ["id"]).select(
+                *keys, "id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.lit(1.0) / F.col("n")).alias("rank")
+            ),
+            "rank-0",
         )
-        if fixed:
-            continue
-        change = state.groupBy(*keys).agg(
-            F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change"), F.count(F.lit(1)).alias("n")
-        )
-        settled = stage(change.filter(F.col("change") < F.col("n") * tol).select(*keys), f"rank-settled-{i}")
-        if not settled.isEmpty():
-            finished.append(salted_join(state, settled, keys, "left_semi", ["id"]).select(*keys, "id", "rank"))
-            state = stage(salted_join(state, settled, keys, "left_anti", ["id"]), f"rank-open-{i}")
-            if state.isEmpty():
-                break
+
+        finished: list[DataFrame] = []
+        fixed = iterations is not None
+        rounds = iterations if fixed else max_iter
+        for i in range(1, rounds + 1):
+            shares = state.filter("degree > 0").select(*keys, "id", (F.col("rank") / F.col("degree")).alias("share"))
+            flows = out.probe(shares).select(
+                *keys, F.col("target").alias("id"), "share", F.lit(None).cast("long").alias("degree"), F.lit(None).cast("double").alias("prev")
+            )
+            own = state.select(*keys, "id", F.lit(0.0).alias("share"), "degree", F.col("rank").alias("prev"))
+            sums = flows.unionByName(own).groupBy(*keys, "id").agg(
+                F.sum("share").alias("share"), F.max("degree").alias("degree"), F.max("prev").alias("prev")
+            )
+            loose = state.filter("degree = 0").groupBy(*keys).agg(F.sum("rank").alias("loose"))
+            per_repo = sizes.join(loose, keys, "left").na.fill(0.0, ["loose"])
+            rank = F.lit(alpha) * (F.col("share") + F.col("loose") / F.col("n")) + F.lit(1 - alpha) / F.col("n")
+            state = stage(
+                salted_join(sums, per_repo, keys, "inner", ["id"]).select(*keys, "id", "degree", rank.alias("rank"), "prev"),
+                f"rank-{i}",
+            )
+            if fixed:
+                continue
+            change = state.groupBy(*keys).agg(
+                F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change"), F.count(F.lit(1)).alias("n")
+            )
+            settled = stage(change.filter(F.col("change") < F.col("n") * tol).select(*keys), f"rank-settled-{i}")
+            if not settled.isEmpty():
+                finished.append(salted_join(state, settled, keys, "left_semi", ["id"]).select(*keys, "id", "rank"))
+                state = stage(salted_join(state, settled, keys, "left_anti", ["id"]), f"rank-open-{i}")
+                if state.isEmpty():
+                    break
     rest = state.select(*keys, "id", (F.col("rank") if fixed else F.lit(0.0)).alias("rank"))
     result = rest
     for part in finished:

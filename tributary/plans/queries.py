@@ -24,7 +24,6 @@ from tributary.operators import (
     rules,
     structure,
     summaries,
-    symbols,
 )
 from tributary.plans import analysis, views
 from tributary.plans import checks as sql
@@ -331,15 +330,10 @@ def call_sites(spark, sf):
 @query(sql.PARSED_FILES)
 def parsed_files(spark, sf):
     """Files of a run with isolation: null and blank files stay, empty."""
-    parsed = symbols.parse_files(corpus_files(spark, sf))
-    kinds = F.transform("statements", lambda s: s["kind"])
-
     def count(kind: str):
-        return F.coalesce(F.size(F.filter(kinds, lambda k: k == kind)), F.lit(0)).alias(f"{kind}s")
+        return F.coalesce(F.size(F.filter("statements", lambda s: s["kind"] == kind)), F.lit(0)).alias(f"{kind}s")
 
-    return parsed.filter("statements IS NOT NULL").select(*KEYS, "path", count("def"), count("decorator")).unionByName(
-        parsed.filter("statements IS NULL").select(*KEYS, "path", F.lit(0).alias("defs"), F.lit(0).alias("decorators"))
-    )
+    return code(spark, sf).parsed.select(*KEYS, "path", count("def"), count("decorator"))
 
 
 # --- Graph -------------------------------------------------------------------

@@ -78,6 +78,7 @@ _TEMPLATE: list[tuple[str | None, list[str]]] = [
         "        self.close()",
     ]),
     ("n % 12 = 0", ["    @classmethod", "    def get_instance(cls):", "        return cls()"]),
+    ("n % 16 = 0", ["    def create_item(self): pass"]),
     ("n % 25 = 0", [f"    def m{i}(self): pass" for i in range(1, 17)]),
     (None, ["def load_{decade}(key):", "    return key"]),
     (None, ["def helper_{n}(a, b):"]),

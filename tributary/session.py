@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,12 +87,17 @@ def salted_join(
 
 
 class KeyedChunks:
-    """A table prepared for repeated skew-safe joins on ``on``.
+    """A table prepared for skew-safe joins on ``on``.
 
     Keys with more than ``rows_per_chunk`` rows are cut into chunks by a hash
     of ``spread``.  The probe side is repeated once per chunk for those keys
     only, so no task ever gets more than about one chunk of a hot key and the
     join result stays whole.
+
+    With ``resident`` the table serves the rounds of a loop: it is staged once,
+    partitioned and sorted by its key and kept on the executors, so a round
+    moves only its frontier.  A lost executor's part is rebuilt from the staged
+    copy.  Use it as a context manager to let go of it after the loop.
     """
 
     def __init__(
@@ -100,8 +107,10 @@ class KeyedChunks:
         spread: Sequence[str],
         rows_per_chunk: int = ROWS_PER_CHUNK,
         label: str = "chunks",
+        resident: bool = False,
     ) -> None:
         self.on = list(on)
+        table = stage(table, label) if resident else table
         hot = (
             table.groupBy(*self.on)
             .agg(F.count(F.lit(1)).alias("_n"))
@@ -110,13 +119,23 @@ class KeyedChunks:
         )
         self.hot = stage(hot, f"{label}-hot")
         self.has_hot = not self.hot.isEmpty()
-        self.table = table
         if self.has_hot:
-            self.table = (
+            table = (
                 salted_join(table, self.hot, self.on, "left", spread)
                 .withColumn("_chunk", F.pmod(F.xxhash64(*spread), F.coalesce("_chunks", F.lit(1))).cast("int"))
                 .drop("_chunks")
             )
+        self.resident = resident
+        if resident:
+            table = _placed(table, [*self.on, "_chunk"] if self.has_hot else self.on)
+        self.table = table
+
+    def __enter__(self) -> KeyedChunks:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.resident:
+            self.table.unpersist()
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """Inner join of ``rows`` to the table on the key columns."""
@@ -130,6 +149,36 @@ class KeyedChunks:
         return spread_rows.join(self.table, [*self.on, "_chunk"]).drop("_chunk")
 
 
+def _placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *by).sortWithinPartitions(*by).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class Collected:
+    """What a loop has found so far, kept partitioned by ``by``.
+
+    Each round adds its staged rows once; later rounds join them where they
+    are, so the growing set never crosses the wire again.
+    """
+
+    def __init__(self, by: Sequence[str]) -> None:
+        self.by = list(by)
+        self.parts: list[DataFrame] = []
+
+    def __enter__(self) -> Collected:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for part in self.parts:
+            part.unpersist()
+
+    def add(self, staged: DataFrame) -> None:
+        self.parts.append(_placed(staged, self.by))
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def require(df: DataFrame, columns: Sequence[str], operator: str) -> None:
     """Fail early, with names, when an operator's input lacks columns."""
     missing = [c for c in columns if c not in df.columns]
