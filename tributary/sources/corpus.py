@@ -75,7 +75,8 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
 
     Listing predicates on path and size apply before contents are read, since
     the file source drops the content column until it is used.  Files that
-    vanish or cannot be read are skipped.
+    vanish or cannot be read are skipped, and so are files of zero bytes, which
+    Spark's file source leaves out.
     """
     raw = (
         spark.read.format("binaryFile")

@@ -30,13 +30,13 @@ def write_conversations(blocks: DataFrame, path: str, conversation: str = "conv_
     """Write the export as text, one directory per conversation.
 
     Blocks are ranged by (conversation, turn), so file order is turn order and
-    a long conversation spans several files.
+    a long conversation spans several files.  The line end the writer puts
+    after each block is the first one of the separator that follows.
     """
     (
         blocks.repartitionByRange(conversation, turn)
         .sortWithinPartitions(conversation, turn)
-        .select(conversation, F.col("block").alias("value"))
+        .select(conversation, F.regexp_replace("block", r"^\n(?=\n---\n\n)", "").alias("value"))
         .write.partitionBy(conversation)
-        .option("lineSep", "")
         .text(path)
     )

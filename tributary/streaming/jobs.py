@@ -47,12 +47,16 @@ def unexpired(events: DataFrame, now, job: Sequence[str] = ("job_id",), ts: str
 def active_by_client(events: DataFrame, limit: int = 5, tie: Sequence[str] = ()) -> DataFrame:
     """Queued and running jobs per client, and whether the limit is reached.
 
-    The client is the first address of ``forwarded``, else ``peer``.
+    The client of a job is the first address of ``forwarded``, else ``peer``,
+    of the event that created it.
     """
     rows = events.withColumn("client", client_of(F.col("forwarded"), F.col("peer")))
-    states = latest_state(rows, ("client", "job_id"), tie=tie)
+    order = F.struct("ts", *tie) if tie else F.col("ts")
+    per_job = rows.groupBy("job_id").agg(
+        F.min_by("client", order).alias("client"), F.max_by("status", order).alias("status")
+    )
     active = F.count_if(F.col("status").isin("queued", "running"))
-    return states.groupBy("client").agg(active.alias("active")).withColumn("limited", F.col("active") >= limit)
+    return per_job.groupBy("client").agg(active.alias("active")).withColumn("limited", F.col("active") >= limit)
 
 
 def active_total(states: DataFrame) -> DataFrame:
