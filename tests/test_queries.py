@@ -10,7 +10,7 @@ from tributary.plans.queries import ORACLES, QUERIES, forget_staged
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-NO_TWIN = {"expanded_hulls"}
+NO_TWIN: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import last_segment, strip
 from tributary.schemas import HISTORY_MESSAGES, OUTLINE_CALLS, OUTLINE_ENTRIES, OUTLINE_FILES
-from tributary.session import KEYS, first_k, salted_join
+from tributary.session import KEYS, first_k
 
 
 def outline_lines(nodes: DataFrame, limit: int = OUTLINE_FILES, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -24,9 +24,7 @@ def outline_lines(nodes: DataFrame, limit: int = OUTLINE_FILES, keys: Sequence[s
     head = files.select(*keys, F.col("id").alias("file"), F.lit(0).alias("start_line"), "id", F.concat(F.lit("  "), "id").alias("line"))
     suffix = F.when(F.length("summary") > 0, F.concat(F.lit(" — "), "summary")).otherwise("")
     word = F.when(F.col("type") == "function", "def ").otherwise("class ")
-    children = salted_join(
-        nodes.filter(F.col("type").isin("function", "class")), chosen, [*keys, "file"], "left_semi", ["id"], salts=8
-    ).select(*keys, "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), "id", F.concat(F.lit("    "), word, "label", suffix).alias("line"))
+    children = nodes.filter(F.col("type").isin("function", "class")).join(chosen, [*keys, "file"], "left_semi").select(*keys, "file", F.coalesce("start_line", F.lit(0)).alias("start_line"), "id", F.concat(F.lit("    "), word, "label", suffix).alias("line"))
     return head.unionByName(children)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +128,33 @@ def collapse_edges(edges: DataFrame, keys: Sequence[str] = KEYS, multi: bool = F
     )
 
 
+@dataclass
+class CallHubs:
+    """The call edges of a graph in factored form.
+
+    A name called by many and defined by many stands for callers x candidates
+    edges.  Kept as ``wanted(source, name)`` and ``index(name, id)`` it costs
+    their sum, and reach, rank and entry points come out the same.  ``direct``
+    holds the other edges; a definition its own file also calls is a call.
+    """
+
+    direct: DataFrame
+    wanted: DataFrame
+    index: DataFrame
+
+
+def call_hubs(
+    classes: DataFrame, functions: DataFrame, calls: DataFrame, imported: DataFrame, keys: Sequence[str] = KEYS
+) -> CallHubs:
+    """Factor the graph; ``imported`` are the edges of :func:`import_edges`."""
+    index = name_index(classes, functions, keys)
+    names = index.select(*keys, "name").distinct()
+    wanted = callers_and_names(calls, keys).join(names, [*keys, "name"], "left_semi").select(*keys, "source", "name")
+    own = defines_edges(classes, functions, keys).distinct().withColumn("name", last_segment(F.col("target"), "::"))
+    defined = own.join(wanted, [*keys, "source", "name"], "left_anti").select(*keys, "source", "target", "type")
+    return CallHubs(defined.unionByName(imported), wanted, index)
+
+
 def entry_points(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Functions no call edge leads to; a self call counts as incoming."""
     called = edges.filter(F.col("type") == "calls").select(*keys, F.col("target").alias("id"))
@@ -146,6 +174,14 @@ def with_entry_flag(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KE
     ).drop("_called")
 
 
+def flag_uncalled(nodes: DataFrame, hubs: CallHubs, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Like :func:`with_entry_flag`, from called names instead of call edges."""
+    called = hubs.wanted.select(*keys, F.col("name").alias("label")).distinct().withColumn("_called", F.lit(True))
+    return nodes.join(called, [*keys, "label"], "left").select(
+        *nodes.columns, ((F.col("type") == "function") & F.col("_called").isNull()).alias("is_entry_point")
+    )
+
+
 def export_edges(edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Edges as stored in a snapshot; a missing type becomes ``unknown``."""
     require(edges, [*keys, "source", "target", "type"], "export_edges")

@@ -25,7 +25,7 @@ def file_issues(issues: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def badge_nodes(nodes: DataFrame, per_file: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every node with the issue count and worst severity of its file."""
     badge = per_file.select(*keys, "file", "issue_count", F.col("severity").alias("issue_severity"))
-    return salted_join(nodes, badge, [*keys, "file"], "left", ["id"], salts=8).withColumn(
+    return nodes.join(badge, [*keys, "file"], "left").withColumn(
         "issue_count", F.coalesce("issue_count", F.lit(0).cast("long"))
     )
 
@@ -47,11 +47,12 @@ def issues_in_files(
     """Issues with their file's severity, optionally of one severity only.
 
     The filter drops issues, and with them files that keep none; the file's
-    own severity does not change.  Only the small per-file side is repeated.
+    own severity does not change.  A file with very many issues is split by the
+    skew handling of adaptive joins.
     """
     kept = issues if severity is None else issues.filter(F.col("severity") == severity)
     group = per_file.select(*keys, "file", F.col("severity").alias("file_severity"))
-    return salted_join(kept, group, [*keys, "file"], "inner", ["line", "message"], salts=8)
+    return kept.join(group, [*keys, "file"])
 
 
 def grade(score: Column) -> Column:
@@ -160,6 +161,6 @@ def issue_nodes(issues: DataFrame, nodes: DataFrame, keys: Sequence[str] = KEYS)
     )
     file_ids = nodes.filter(F.col("type") == "file").select(*keys, F.col("id").alias("file"), F.lit(True).alias("_known"))
     joined = issues.join(by_name, [*keys, "file", "function"], "left")
-    joined = salted_join(joined, file_ids, [*keys, "file"], "left", ["line", "message"], salts=8)
+    joined = joined.join(file_ids, [*keys, "file"], "left")
     node = F.coalesce("_named", F.when(F.col("_known"), F.col("file")))
     return joined.select(*keys, "file", "line", "message", "function", node.alias("node_id"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import blast_severity
+from tributary.operators.graph import CallHubs
 from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_LEVELS
 from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage
 
@@ -28,10 +30,32 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass
+class Steps:
+    """One step of a walk: plain edges, and callers behind called names.
+
+    ``names`` leads from a node to the names it may be called by, ``callers``
+    from a name to its callers.  Each name is passed once per seed, so a name
+    with many definitions and many callers costs their sum.
+    """
+
+    plain: KeyedChunks
+    to: str
+    names: KeyedChunks | None = None
+    callers: KeyedChunks | None = None
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table in (self.plain, self.names, self.callers):
+            if table is not None:
+                table.__exit__()
+
+
 def reach(
     seeds: DataFrame,
-    steps: KeyedChunks,
-    to: str,
+    steps: Steps,
     keys: Sequence[str] = KEYS,
     max_depth: int | None = None,
     paths: bool = False,
@@ -51,24 +75,47 @@ def reach(
     frontier = stage(start, f"{label}-0")
     parts = [frontier]
     depth = 0
-    known = [*keys, "seed", "id"]
-    with Collected(known) as seen:
+    node, name = [*keys, "seed", "id"], [*keys, "seed", "name"]
+    extra = ["path"] if paths else []
+
+    def smallest(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("path").alias("path")) if paths else rows.select(*by).distinct()
+
+    def moved(rows: DataFrame, to: str) -> DataFrame:
+        path = [F.concat("path", F.array(to)).alias("path")] if paths else []
+        return rows.select(*keys, "seed", F.col(to).alias("id"), *path)
+
+    with Collected(node) as seen, Collected(name) as passed:
         while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-            seen.add(frontier.select(*known))
+            seen.add(frontier.select(*node))
             depth += 1
-            moved = steps.probe(frontier.drop("depth"))
-            if paths:
-                moved = moved.select(*keys, "seed", F.col(to).alias("id"), F.concat("path", F.array(to)).alias("path"))
-                new = moved.groupBy(*known).agg(F.min("path").alias("path"))
-            else:
-                new = moved.select(*keys, "seed", F.col(to).alias("id")).distinct()
-            fresh = new.join(seen.rows(), known, "left_anti")
-            columns = [*known, F.lit(depth).alias("depth"), *(["path"] if paths else [])]
-            frontier = stage(fresh.select(*columns), f"{label}-{depth}")
+            here = frontier.drop("depth")
+            arrived = moved(steps.plain.probe(here), steps.to)
+            if steps.names is not None:
+                called = smallest(steps.names.probe(here).select(*name, *extra), name)
+                if passed.parts:
+                    called = called.join(passed.rows(), name, "left_anti")
+                called = stage(called, f"{label}-names-{depth}")
+                passed.add(called.select(*name))
+                arrived = arrived.unionByName(moved(steps.callers.probe(called), "source"))
+            fresh = smallest(arrived, node).join(seen.rows(), node, "left_anti")
+            frontier = stage(fresh.select(*node, F.lit(depth).alias("depth"), *extra), f"{label}-{depth}")
             parts.append(frontier)
     return _union(parts)
 
 
+def _backwards(
+    edges: DataFrame, types: Sequence[str], keys: Sequence[str], rows_per_chunk: int, label: str, hubs: CallHubs | None = None
+) -> Steps:
+    back = reverse_dependencies(edges, types, keys)
+    plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True)
+    if hubs is None:
+        return Steps(plain, "dependent")
+    names = KeyedChunks(hubs.index, [*keys, "id"], ["name"], rows_per_chunk, f"{label}-index", resident=True)
+    callers = KeyedChunks(hubs.wanted, [*keys, "name"], ["source"], rows_per_chunk, f"{label}-wanted", resident=True)
+    return Steps(plain, "dependent", names, callers)
+
+
 def blast_radius(
     edges: DataFrame,
     seeds: DataFrame,
@@ -77,15 +124,18 @@ def blast_radius(
     keys: Sequence[str] = KEYS,
     paths: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    hubs: CallHubs | None = None,
 ) -> DataFrame:
     """``(seed, id, depth, severity[, path])`` of all nodes a change reaches.
 
     ``seeds(seed, id)`` may hold many changes at once, each with any number of
-    source nodes.  Sources have depth 0.
+    source nodes.  Sources have depth 0.  With ``hubs`` the calls come in
+    factored form and ``edges`` are its direct ones.
     """
-    back = reverse_dependencies(edges, types, keys)
-    with KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "blast", resident=True) as steps:
-        found = reach(seeds, steps, "dependent", keys, max_depth, paths, "blast")
+    if hubs is not None and "calls" not in types:
+        hubs = None
+    with _backwards(edges, types, keys, rows_per_chunk, "blast", hubs) as steps:
+        found = reach(seeds, steps, keys, max_depth, paths, "blast")
     return found.withColumn("severity", blast_severity(F.col("depth")))
 
 
@@ -222,9 +272,8 @@ def affected_by_entry(
     """
     keys = list(keys)
     hits = affected.select(*keys, F.lit(0).alias("seed"), "id").distinct()
-    back = reverse_dependencies(edges, types, keys)
-    with KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "prune", resident=True) as steps:
-        useful = reach(hits, steps, "dependent", keys, None, label="prune").select(*keys, "id")
+    with _backwards(edges, types, keys, rows_per_chunk, "prune") as steps:
+        useful = reach(hits, steps, keys, None, label="prune").select(*keys, "id")
     forward = (
         edges.filter(F.col("type").isin(*types))
         .select(*keys, F.col("source").alias("id"), F.col("target").alias("next"))
@@ -234,8 +283,9 @@ def affected_by_entry(
         .select(*keys, "id", "next")
     )
     start = entries.select(*keys, "id").distinct().join(useful, [*keys, "id"], "left_semi")
-    with KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True) as steps:
-        walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, "next", keys, None, label="forward")
+    walks = KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True)
+    with Steps(walks, "next") as steps:
+        walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, keys, None, label="forward")
     pairs = walked.filter(F.col("id") != F.col("seed")).select(*keys, F.col("seed").alias("entry_point"), "id")
     return pairs.join(affected.select(*keys, "seed", "id").distinct(), [*keys, "id"]).select(
         *keys, "seed", "entry_point", "id"

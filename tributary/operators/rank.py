@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.graph import CallHubs
 from tributary.session import KEYS, ROWS_PER_CHUNK, KeyedChunks, salted_join, stage
 
 
@@ -20,6 +22,7 @@ def pagerank(
     digits: int | None = 4,
     iterations: int | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    hubs: CallHubs | None = None,
 ) -> DataFrame:
     """``(keys, id, centrality)`` over all edge types, direction kept.
 
@@ -27,57 +30,84 @@ def pagerank(
     spread their rank evenly.  A repository stops once its summed change falls
     below ``tol`` times its node count and leaves the loop; one that has not
     settled after ``max_iter`` rounds keeps 0.0.  ``iterations`` runs a fixed
-    number of rounds instead.
+    number of rounds instead.  With ``hubs`` the calls come in factored form
+    and ``edges`` are its direct ones; a name collects the shares of its
+    callers once and hands the sum to each candidate.
 
-    One round is one job: ranks join the edges on the source, and partial sums
-    per target cross the wire.  The new ranks go to shared storage, which cuts
-    the lineage; per-repository totals are joined with salted keys.
+    One round is one job.  Edges stay partitioned on the executors, ranks join
+    them there, and only partial sums per target cross the wire.  The new ranks
+    go to shared storage, which cuts the lineage.  Per-repository totals meet
+    the nodes on (repository, slice): a large repository has many slices, a
+    small one has one.
     """
     keys = list(keys)
-    pairs = edges.select(*keys, F.col("source").alias("id"), F.col("target")).distinct()
-    with KeyedChunks(pairs, [*keys, "id"], ["target"], rows_per_chunk, "rank-edges", resident=True) as out:
-        degree = out.table.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("degree"))
-        sizes = stage(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "rank-sizes")
+    with ExitStack() as loop:
+
+        def resident(table: DataFrame, by: str, spread: str, label: str) -> KeyedChunks:
+            return loop.enter_context(KeyedChunks(table, [*keys, by], [spread], rows_per_chunk, label, resident=True))
+
+        pairs = edges.select(*keys, F.col("source").alias("id"), "target").distinct()
+        out = resident(pairs, "id", "target", "rank-edges")
+        links = out.table.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("links"))
+        if hubs is not None:
+            wanted = resident(hubs.wanted.select(*keys, F.col("source").alias("id"), "name"), "id", "name", "rank-wanted")
+            index = resident(hubs.index.select(*keys, "name", F.col("id").alias("target")), "name", "target", "rank-index")
+            candidates = index.table.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("links"))
+            counted = KeyedChunks(wanted.table.select(*keys, "id", "name"), [*keys, "name"], ["id"], rows_per_chunk, "rank-names")
+            links = links.unionByName(counted.probe(candidates).select(*keys, "id", "links"))
+        degree = links.groupBy(*keys, "id").agg(F.sum("links").alias("degree"))
+
+        sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        sizes = stage(sizes.withColumn("slices", F.ceil(F.col("n") / rows_per_chunk).cast("int")), "rank-sizes")
         base = nodes.select(*keys, "id").join(degree, [*keys, "id"], "left")
         state = stage(
             salted_join(base, sizes, keys, "inner", ["id"]).select(
-                *keys, "id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.lit(1.0) / F.col("n")).alias("rank")
+                *keys,
+                "id",
+                F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"),
+                F.coalesce("degree", F.lit(0)).alias("degree"),
+                (F.lit(1.0) / F.col("n")).alias("rank"),
             ),
             "rank-0",
         )
 
+        def per_slice(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+
+        def flows(shares: DataFrame) -> DataFrame:
+            sent = out.probe(shares).select(*keys, F.col("target").alias("id"), "share")
+            if hubs is None:
+                return sent
+            held = wanted.probe(shares).groupBy(*keys, "name").agg(F.sum("share").alias("share"))
+            return sent.unionByName(index.probe(held).select(*keys, F.col("target").alias("id"), "share"))
+
         finished: list[DataFrame] = []
         fixed = iterations is not None
-        rounds = iterations if fixed else max_iter
-        for i in range(1, rounds + 1):
+        for i in range(1, (iterations if fixed else max_iter) + 1):
             shares = state.filter("degree > 0").select(*keys, "id", (F.col("rank") / F.col("degree")).alias("share"))
-            flows = out.probe(shares).select(
-                *keys, F.col("target").alias("id"), "share", F.lit(None).cast("long").alias("degree"), F.lit(None).cast("double").alias("prev")
-            )
-            own = state.select(*keys, "id", F.lit(0.0).alias("share"), "degree", F.col("rank").alias("prev"))
-            sums = flows.unionByName(own).groupBy(*keys, "id").agg(
-                F.sum("share").alias("share"), F.max("degree").alias("degree"), F.max("prev").alias("prev")
+            own = state.select(*keys, "id", F.lit(0.0).alias("share"), "slice", "degree", F.col("rank").alias("prev"))
+            sums = own.unionByName(flows(shares), allowMissingColumns=True).groupBy(*keys, "id").agg(
+                F.sum("share").alias("share"), F.max("slice").alias("slice"), F.max("degree").alias("degree"), F.max("prev").alias("prev")
             )
             loose = state.filter("degree = 0").groupBy(*keys).agg(F.sum("rank").alias("loose"))
-            per_repo = sizes.join(loose, keys, "left").na.fill(0.0, ["loose"])
+            totals = per_slice(sizes.join(loose, keys, "left").na.fill(0.0, ["loose"]))
             rank = F.lit(alpha) * (F.col("share") + F.col("loose") / F.col("n")) + F.lit(1 - alpha) / F.col("n")
             state = stage(
-                salted_join(sums, per_repo, keys, "inner", ["id"]).select(*keys, "id", "degree", rank.alias("rank"), "prev"),
-                f"rank-{i}",
+                sums.join(totals, [*keys, "slice"]).select(*keys, "id", "slice", "degree", rank.alias("rank"), "prev"), f"rank-{i}"
             )
             if fixed:
                 continue
-            change = state.groupBy(*keys).agg(
-                F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change"), F.count(F.lit(1)).alias("n")
+            change = state.groupBy(*keys).agg(F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change"))
+            settled = stage(
+                sizes.join(change, keys).filter(F.col("change") < F.col("n") * tol).select(*keys, "slices"), f"rank-settled-{i}"
             )
-            settled = stage(change.filter(F.col("change") < F.col("n") * tol).select(*keys), f"rank-settled-{i}")
             if not settled.isEmpty():
-                finished.append(salted_join(state, settled, keys, "left_semi", ["id"]).select(*keys, "id", "rank"))
-                state = stage(salted_join(state, settled, keys, "left_anti", ["id"]), f"rank-open-{i}")
+                done = per_slice(settled)
+                finished.append(state.join(done, [*keys, "slice"], "left_semi").select(*keys, "id", "rank"))
+                state = stage(state.join(done, [*keys, "slice"], "left_anti"), f"rank-open-{i}")
                 if state.isEmpty():
                     break
-    rest = state.select(*keys, "id", (F.col("rank") if fixed else F.lit(0.0)).alias("rank"))
-    result = rest
+    result = state.select(*keys, "id", (F.col("rank") if fixed else F.lit(0.0)).alias("rank"))
     for part in finished:
         result = result.unionByName(part)
     value = F.col("rank") if digits is None else F.round("rank", digits)

@@ -116,14 +116,23 @@ def dead_code(
     Private, test and conventional names are left out.  With all edge types
     every function is defined by its file and none is dead.
     """
-    name = F.col("label")
     used = edges.filter(F.col("type").isin(*edge_types)).select(*keys, F.col("target").alias("id"))
+    return _dead(nodes.filter(F.col("type") == "function").join(used, [*keys, "id"], "left_anti"), keys)
+
+
+def dead_flagged(nodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Like :func:`dead_code` over calls, for nodes that know whether they are
+    entry points: those are the functions nothing calls."""
+    return _dead(nodes.filter("is_entry_point"), keys)
+
+
+def _dead(unused: DataFrame, keys: Sequence[str]) -> DataFrame:
+    name = F.col("label")
     open_names = (
         ~F.startswith(name, F.lit("_")) & ~F.startswith(name, F.lit("test_")) & ~name.isin(*USED_BY_CONVENTION)
     )
-    dead = nodes.filter((F.col("type") == "function") & open_names).join(used, [*keys, "id"], "left_anti")
     return _issues(
-        dead, keys, 11, "file", F.coalesce("start_line", F.lit(1)), "low", "dead_code", _message("dead", name), name
+        unused.filter(open_names), keys, 11, "file", F.coalesce("start_line", F.lit(1)), "low", "dead_code", _message("dead", name), name
     )
 
 

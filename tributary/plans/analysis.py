@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tributary.operators import graph, health, rank, rules, structure, symbols
-from tributary.session import stage
+from tributary.session import KEYS, KeyedChunks, stage
 
 
 @dataclass
@@ -25,8 +26,20 @@ class Symbols:
 
 @dataclass
 class Graph:
+    """Flagged nodes, and calls in factored form.
+
+    ``edges`` writes the graph out edge by edge, one per caller and candidate;
+    findings, rank and reach do not need it.
+    """
+
     nodes: DataFrame
-    edges: DataFrame
+    hubs: graph.CallHubs
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        chunks = KeyedChunks(self.hubs.wanted, [*KEYS, "name"], ["source"], label="calls")
+        calls = chunks.probe(self.hubs.index).select(*KEYS, "source", F.col("id").alias("target"), F.lit("calls").alias("type"))
+        return stage(graph.collapse_edges(self.hubs.direct.unionByName(calls)), "edges")
 
 
 @dataclass
@@ -49,17 +62,11 @@ def read_symbols(files: DataFrame) -> Symbols:
 
 
 def build_graph(s: Symbols) -> Graph:
-    """Nodes and collapsed edges, staged for the many queries over them."""
-    nodes = graph.nodes(s.parsed, s.classes, s.functions)
-    index = graph.name_index(s.classes, s.functions)
-    nodes = stage(nodes, "nodes")
-    every = (
-        graph.defines_edges(s.classes, s.functions)
-        .unionByName(graph.call_edges(s.calls, index))
-        .unionByName(graph.import_edges(s.imports, nodes))
-    )
-    edges = stage(graph.collapse_edges(every), "edges")
-    return Graph(stage(graph.with_entry_flag(nodes, edges), "nodes-flagged"), edges)
+    """Nodes and factored edges, staged for the many queries over them."""
+    nodes = stage(graph.nodes(s.parsed, s.classes, s.functions), "nodes")
+    hubs = graph.call_hubs(s.classes, s.functions, s.calls, graph.import_edges(s.imports, nodes))
+    hubs = graph.CallHubs(stage(hubs.direct, "direct"), stage(hubs.wanted, "wanted"), stage(hubs.index, "index"))
+    return Graph(stage(graph.flag_uncalled(nodes, hubs), "nodes-flagged"), hubs)
 
 
 def all_issues(s: Symbols, g: Graph) -> DataFrame:
@@ -70,8 +77,8 @@ def all_issues(s: Symbols, g: Graph) -> DataFrame:
         structure.many_parameters(s.functions),
         structure.missing_docstrings(s.functions),
         structure.god_objects(s.classes),
-        structure.import_cycles(g.edges),
-        structure.dead_code(g.nodes, g.edges),
+        structure.import_cycles(g.hubs.direct),
+        structure.dead_flagged(g.nodes),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -102,9 +109,9 @@ def analyse(files: DataFrame, ranked: bool = True) -> tuple[Graph, Findings, Dat
     found = find(s, g)
     nodes = health.badge_nodes(g.nodes, health.file_issues(found.issues))
     if ranked:
-        centrality = rank.pagerank(g.nodes, g.edges)
+        centrality = rank.pagerank(g.nodes, g.hubs.direct, hubs=g.hubs)
         nodes = nodes.join(centrality, ["repo", "commit_sha", "id"])
-    return Graph(nodes, g.edges), found, health.health(g.nodes, found.issues, found.patterns)
+    return Graph(nodes, g.hubs), found, health.health(g.nodes, found.issues, found.patterns)
 
 
 def only_new(files: DataFrame, missing: DataFrame) -> DataFrame:

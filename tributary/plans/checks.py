@@ -878,6 +878,10 @@ SELECT g AS l_returnflag, x, lo AS y FROM e p WHERE NOT EXISTS (SELECT 1 FROM e
 UNION ALL SELECT g, x, hi FROM e p WHERE NOT EXISTS (SELECT 1 FROM e a JOIN e c ON a.g = c.g WHERE a.g = p.g AND a.x < p.x AND c.x > p.x
   AND (p.hi - a.hi) * (c.x - a.x) <= (c.hi - a.hi) * (p.x - a.x)))"""
 
+EXPANDED = f"""
+SELECT l_returnflag, round(x + dx / d * 28, 4) AS x, round(y + dy / d * 28, 4) AS y FROM (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM (
+ SELECT l_returnflag, x, y, x - avg(x) OVER (PARTITION BY l_returnflag) AS dx, y - avg(y) OVER (PARTITION BY l_returnflag) AS dy FROM ({HULLS})))"""
+
 # --- Events ------------------------------------------------------------------
 
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'queued' ELSE 'running' END"

@@ -142,7 +142,7 @@ def code_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_affected(spark: SparkSession, sf: str) -> DataFrame:
     return _once(
-        spark, sf, "code-affected", lambda: impact.blast_radius(code_graph(spark, sf).edges, code_changes(spark, sf))
+        spark, sf, "code-affected", lambda: impact.blast_radius(code_graph(spark, sf).edges, code_changes(spark, sf), paths=True)
     )
 
 
@@ -411,6 +411,13 @@ def pagerank_code(spark, sf):
     return rank.pagerank(g.nodes, g.edges, iterations=sql.ROUNDS, digits=9)
 
 
+@query(sql.PAGERANK_CODE)
+def pagerank_by_names(spark, sf):
+    """The same ranks without writing call edges out."""
+    g = code_graph(spark, sf)
+    return rank.pagerank(g.nodes, g.hubs.direct, iterations=sql.ROUNDS, digits=9, hubs=g.hubs)
+
+
 # --- Line rules --------------------------------------------------------------
 
 
@@ -597,6 +604,14 @@ def blast_radius_code(spark, sf):
     return code_affected(spark, sf).select(*KEYS, "seed", "id", "depth", "severity")
 
 
+@query(sql.BLAST_CODE)
+def blast_radius_by_names(spark, sf):
+    """The same reach without writing call edges out."""
+    hubs = code_graph(spark, sf).hubs
+    found = impact.blast_radius(hubs.direct, code_changes(spark, sf), hubs=hubs)
+    return found.select(*KEYS, "seed", "id", "depth", "severity")
+
+
 @query(sql.PATHS)
 def witness_paths(spark, sf):
     found = impact.witness_paths(trade_edges(spark, sf), trade_affected(spark, sf))
@@ -890,9 +905,10 @@ def grouped_hulls(spark, sf):
     return hull.hulls(_points(spark, sf), ["l_returnflag"]).select("l_returnflag", "x", "y")
 
 
-@query()
+@query(sql.EXPANDED)
 def expanded_hulls(spark, sf):
-    return hull.expand(hull.hulls(_points(spark, sf), ["l_returnflag"]), ["l_returnflag"])
+    rows = hull.expand(hull.hulls(_points(spark, sf), ["l_returnflag"]), ["l_returnflag"])
+    return rows.select("l_returnflag", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 # --- Events ------------------------------------------------------------------
