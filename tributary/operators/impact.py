@@ -85,7 +85,8 @@ def reach(
         path = [F.concat("path", F.array(to)).alias("path")] if paths else []
         return rows.select(*keys, "seed", F.col(to).alias("id"), *path)
 
-    with Collected(node) as seen, Collected(name) as passed:
+    limit = steps.plain.rows_per_chunk
+    with Collected(node, limit) as seen, Collected(name, limit) as passed:
         while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
             seen.add(frontier.select(*node))
             depth += 1
@@ -222,7 +223,7 @@ def entry_points_at_risk(
     step = 0
     with (
         KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
-        Collected(group) as known,
+        Collected(group, rows_per_chunk) as known,
     ):
         while not frontier.isEmpty():
             known.add(frontier)

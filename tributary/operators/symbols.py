@@ -24,17 +24,18 @@ from tributary.session import KEYS, require
 _DEF = r"^\s*(?:async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\]\s*)?\("
 _CLASS = r"^\s*class\s+(\w+)\s*(?:\[[^\]]*\]\s*)?[(:]"
 _HEADER = r"^\s*(?:(?:async\s+)?def|class)\s+\w+\s*(?:\[[^\]]*\]\s*)?(?=[(:])"
+# `match` before its subject, and a case pattern up to its guard or colon
+_PATTERN = r"^\s*(?:match(?=[\s(].*:$)|case\s(?:(?!\sif\s).)*?(?=\sif\s.*:$|:$))"
 _CALL = r"([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*|(?<=[)\]\"])\.\s*\w[\w.]*)\s*\("
 _DOC = r'^[A-Za-z]{0,2}(?:""|\["[\s"]*\])$'
 _DOC_TEXT = (
     r'(?s)^\s*([A-Za-z]{0,2}(?:""".*?"""|' r"'''.*?'''|" r'"[^\n]*?(?<!\\)(?:\\\\)*"|' r"'[^\n]*?(?<!\\)(?:\\\\)*'))"
 )
 
-_STATEMENT = "start:int,end:int,indent:int,text:string,calls:array<struct<line:int,callee:string>>"
-_FRAME = "indent:int,kind:string,name:string,start:int"
-_SCOPED = (
-    "start:int,end:int,kind:string,name:string,text:string,calls:array<struct<line:int,callee:string>>,"
-    "decorators:array<string>,caller:string,scope_kind:string,scope_start:int"
+_FRAME = "indent:int,kind:string,caller:string,start:int"
+_SCOPE = (
+    "decorators:array<string>,caller:string,scope_kind:string,scope_start:int,"
+    "ended:array<struct<start:int,end:int>>"
 )
 
 
@@ -42,8 +43,33 @@ def _empty(element: str) -> Column:
     return F.expr(f"CAST(array() AS array<struct<{element}>>)")
 
 
+#: Rows a fold collects before it sets them aside; appending to one long array
+#: would copy it at every step.
+_BLOCK = 32
+
+
+def _append(acc: Column, item: Column) -> list[Column]:
+    """The fields ``blocks`` and ``block`` of a fold with one more row."""
+    full = F.size(acc["block"]) >= _BLOCK
+    return [
+        F.when(full, F.concat(acc["blocks"], F.array(acc["block"]))).otherwise(acc["blocks"]).alias("blocks"),
+        F.when(full, F.array(item)).otherwise(F.concat(acc["block"], F.array(item))).alias("block"),
+    ]
+
+
+def _collected(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["blocks"], F.array(acc["block"])))
+
+
+def _no_rows(element: str) -> list[Column]:
+    return [
+        F.expr(f"CAST(array() AS array<array<{element}>>)").alias("blocks"),
+        F.expr(f"CAST(array() AS array<{element}>)").alias("block"),
+    ]
+
+
 def _calls(text: Column, line: Column) -> Column:
-    body = F.regexp_replace(text, _HEADER, "")
+    body = F.regexp_replace(F.regexp_replace(text, _HEADER, ""), _PATTERN, "")
     names = F.transform(
         F.regexp_extract_all(body, F.lit(_CALL), F.lit(1)), lambda c: F.regexp_replace(c, r"\s+", "")
     )
@@ -79,61 +105,39 @@ def _lines(masked: Column) -> Column:
     return F.transform(F.split(masked, "\n"), row)
 
 
-def _logical(lines: Column) -> Column:
-    """Join continuation lines; a header inside open brackets ends broken code."""
-    zero = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("joined"),
-        F.expr(f"CAST(null AS struct<{_STATEMENT}>)").alias("open"),
-        _empty(_STATEMENT).alias("done"),
-    )
+def _openings(code: Column) -> Column:
+    """Positions (from 1) of the lines that open a statement.
+
+    Lines inside brackets or after a backslash continue one; a header inside
+    open brackets ends broken code.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("joined"), *_no_rows("int"))
 
     def merge(acc: Column, line: Column) -> Column:
-        text = line["text"]
         more = ((acc["depth"] > 0) | acc["joined"]) & ~line["header"]
-        extended = F.struct(
-            acc["open"]["start"].alias("start"),
-            line["line"].alias("end"),
-            acc["open"]["indent"].alias("indent"),
-            F.concat(acc["open"]["text"], F.lit(" "), F.ltrim(text)).alias("text"),
-            F.concat(acc["open"]["calls"], line["calls"]).alias("calls"),
-        )
-        fresh = F.struct(
-            line["line"].alias("start"),
-            line["line"].alias("end"),
-            line["indent"].alias("indent"),
-            F.ltrim(text).alias("text"),
-            line["calls"].alias("calls"),
-        )
-        joined = F.endswith(text, F.lit("\\"))
-        return (
-            F.when(
-                more,
-                F.struct(
-                    F.greatest(acc["depth"] + line["delta"], F.lit(0)).alias("depth"),
-                    joined.alias("joined"),
-                    extended.alias("open"),
-                    acc["done"].alias("done"),
-                ),
-            )
-            .when(text == "", acc)
-            .otherwise(
-                F.struct(
-                    F.greatest(line["delta"], F.lit(0)).alias("depth"),
-                    joined.alias("joined"),
-                    fresh.alias("open"),
-                    F.when(acc["open"].isNull(), acc["done"])
-                    .otherwise(F.concat(acc["done"], F.array(acc["open"])))
-                    .alias("done"),
-                )
-            )
+        blocks, block = _append(acc, acc["at"] + 1)
+        return F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.greatest(F.when(more, acc["depth"]).otherwise(0) + line["delta"], F.lit(0)).alias("depth"),
+            F.endswith(line["text"], F.lit("\\")).alias("joined"),
+            F.when(more, acc["blocks"]).otherwise(blocks).alias("blocks"),
+            F.when(more, acc["block"]).otherwise(block).alias("block"),
         )
 
-    return F.aggregate(
-        lines,
-        zero,
-        merge,
-        lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))),
+    return F.aggregate(code, zero, merge, _collected)
+
+
+def _statement(code: Column, starts: Column, first: Column, index: Column) -> Column:
+    """The statement that opens at code line ``first``, joined to one text."""
+    following = F.coalesce(F.try_element_at(starts, index + 2), F.size(code) + 1)
+    part = F.slice(code, first, following - first)
+    pieces = F.transform(part, lambda line: F.regexp_replace(F.ltrim(line["text"]), r"\\$", ""))
+    return F.struct(
+        F.element_at(code, first)["line"].alias("start"),
+        F.element_at(code, following - 1)["line"].alias("end"),
+        F.element_at(code, first)["indent"].alias("indent"),
+        F.array_join(pieces, " ").alias("text"),
+        F.flatten(F.transform(part, lambda line: line["calls"])).alias("calls"),
     )
 
 
@@ -166,69 +170,64 @@ def _classified(statements: Column) -> Column:
     return F.transform(statements, row)
 
 
-def _scoped(statements: Column) -> Column:
-    """Attach to each statement its scope, caller and (for headers) block end."""
+def _scopes(statements: Column) -> Column:
+    """Scope, caller and closed blocks of each statement, in step with them.
+
+    The fold carries the stack of open blocks.  What it collects stays small:
+    texts and calls remain in the statements.
+    """
     zero = F.struct(
         _empty(_FRAME).alias("stack"),
         F.lit(0).alias("last"),
         F.expr("CAST(array() AS array<string>)").alias("decorators"),
-        _empty("start:int,end:int").alias("ends"),
-        _empty(_SCOPED).alias("out"),
+        *_no_rows(f"struct<{_SCOPE}>"),
     )
 
     def merge(acc: Column, s: Column) -> Column:
         is_header = s["kind"].isin("def", "class")
+        opens = is_header | (s["kind"] == "block")
+        stack = acc["stack"]
+        inside = F.coalesce(F.try_element_at(stack, F.lit(-1))["indent"] < s["indent"], F.lit(True))
+        keep = F.when(inside, stack).otherwise(F.filter(stack, lambda f: f["indent"] < s["indent"]))
 
-        def step(keep: Column) -> Column:
-            top = F.try_element_at(keep, F.lit(-1))
-            callers = F.filter(keep, lambda f: f["kind"] == "def")
-            frame = F.struct(
-                s["indent"].alias("indent"), s["kind"].alias("kind"), s["name"].alias("name"), s["start"].alias("start")
-            )
-            entry = F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["kind"].alias("kind"),
-                s["name"].alias("name"),
-                s["text"].alias("text"),
-                s["calls"].alias("calls"),
+        def caller(top: Column) -> Column:
+            return F.when(s["kind"] == "def", s["name"]).otherwise(F.coalesce(top["caller"], F.lit("__module__")))
+
+        def scope(top: Column) -> Column:
+            closed = F.filter(stack, lambda f: (f["indent"] >= s["indent"]) & (f["kind"] != "block"))
+            ended = F.transform(closed, lambda f: F.struct(f["start"].alias("start"), acc["last"].alias("end")))
+            return F.struct(
                 F.when(is_header, acc["decorators"]).alias("decorators"),
-                F.when(s["kind"] == "def", s["name"])
-                .otherwise(F.coalesce(F.try_element_at(callers, F.lit(-1))["name"], F.lit("__module__")))
-                .alias("caller"),
+                caller(top).alias("caller"),
                 top["kind"].alias("scope_kind"),
                 top["start"].alias("scope_start"),
-            )
-            closed = F.slice(acc["stack"], F.size(keep) + 1, F.size(acc["stack"]) - F.size(keep))
-            ended = F.transform(
-                F.filter(closed, lambda f: f["kind"] != "block"),
-                lambda f: F.struct(f["start"].alias("start"), acc["last"].alias("end")),
-            )
-            return F.struct(
-                F.when(is_header | (s["kind"] == "block"), F.concat(keep, F.array(frame))).otherwise(keep).alias("stack"),
-                s["end"].alias("last"),
-                F.when(s["kind"] == "decorator", F.concat(acc["decorators"], F.array(s["name"])))
-                .otherwise(F.expr("CAST(array() AS array<string>)"))
-                .alias("decorators"),
-                F.when(F.size(keep) == F.size(acc["stack"]), acc["ends"])
-                .otherwise(F.concat(acc["ends"], ended))
-                .alias("ends"),
-                F.concat(acc["out"], F.array(entry)).alias("out"),
+                F.when(inside, _empty("start:int,end:int")).otherwise(ended).alias("ended"),
             )
 
-        return let(F.filter(acc["stack"], lambda f: f["indent"] < s["indent"]), step)
+        top = F.try_element_at(keep, F.lit(-1))
+        frame = F.struct(
+            s["indent"].alias("indent"), s["kind"].alias("kind"), caller(top).alias("caller"), s["start"].alias("start")
+        )
+        return F.struct(
+            F.when(opens, F.concat(keep, F.array(frame))).otherwise(keep).alias("stack"),
+            s["end"].alias("last"),
+            F.when(s["kind"] == "decorator", F.concat(acc["decorators"], F.array(s["name"])))
+            .otherwise(F.expr("CAST(array() AS array<string>)"))
+            .alias("decorators"),
+            *_append(acc, let(top, scope)),
+        )
 
     def finish(acc: Column) -> Column:
         tail = F.transform(
             F.filter(acc["stack"], lambda f: f["kind"] != "block"),
             lambda f: F.struct(f["start"].alias("start"), acc["last"].alias("end")),
         )
-        return F.struct(acc["out"].alias("out"), F.map_from_entries(F.concat(acc["ends"], tail)).alias("ends"))
+        return F.struct(_collected(acc).alias("out"), tail.alias("tail"))
 
     return F.aggregate(statements, zero, merge, finish)
 
 
-def _docstring(raw_lines: Column, header: Column, following: Column) -> Column:
+def _docstring(raw_lines: Column, following: Column) -> Column:
     text = F.regexp_extract(
         F.array_join(F.slice(raw_lines, following["start"], following["end"] - following["start"] + 1), "\n"),
         _DOC_TEXT,
@@ -244,9 +243,7 @@ def _docstring(raw_lines: Column, header: Column, following: Column) -> Column:
             out = F.when(quoted, inner).otherwise(out)
         return F.nullif(strip(out), F.lit(""))
 
-    return F.when(
-        (following["kind"] == "doc") & (following["scope_start"] == header["start"]), let(text, unquote)
-    )
+    return let(text, unquote)
 
 
 def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -256,25 +253,34 @@ def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     never fails a run.  Stage the result when several tables are derived.
     """
     require(files, [*keys, "path", "content"], "parse_files")
-    base = files.select(
-        *keys,
-        "path",
-        F.split("content", "\n").alias("_raw"),
-        F.when(F.col("content").rlike(r"\S"), _lines(mask_literals(F.col("content")))).alias("_lines"),
+    kept = [*keys, "path", "_raw"]
+    code = F.filter(_lines(mask_literals(F.col("content"))), lambda line: line["text"] != "")
+    c = F.col
+    rows = (
+        files.select(
+            *keys, "path", F.split("content", "\n").alias("_raw"), F.when(c("content").rlike(r"\S"), code).alias("_code")
+        )
+        .select(*kept, "_code", _openings(c("_code")).alias("_starts"))
+        .select(*kept, F.transform("_starts", lambda at, i: _statement(c("_code"), c("_starts"), at, i)).alias("_st"))
+        .select(*kept, _classified(c("_st")).alias("_st"))
+        .select(*kept, "_st", _scopes(c("_st")).alias("_sc"))
     )
-    scoped = base.select(*keys, "path", "_raw", _scoped(_classified(_logical(F.col("_lines")))).alias("_s"))
+    ends = F.concat(F.flatten(F.transform("_sc.out", lambda e: e["ended"])), c("_sc.tail"))
+    rows = rows.select(*kept, "_st", c("_sc.out").alias("_out"), F.map_from_entries(ends).alias("_ends"))
 
     def row(s: Column, index: Column) -> Column:
-        following = F.try_element_at(F.col("_s.out"), index + 2)
+        following = F.get("_st", index + 1)
+        scope = F.get("_out", index)
+        documented = (following["kind"] == "doc") & (F.get("_out", index + 1)["scope_start"] == s["start"])
         header = s["kind"].isin("def", "class")
-        fields = ("start", "end", "kind", "name", "text", "calls", "decorators", "caller", "scope_kind", "scope_start")
         return F.struct(
-            *[s[f].alias(f) for f in fields],
-            F.when(header, F.element_at(F.col("_s.ends"), s["start"])).alias("block_end"),
-            F.when(header & following.isNotNull(), _docstring(F.col("_raw"), s, following)).alias("docstring"),
+            *[s[f].alias(f) for f in ("start", "end", "kind", "name", "text", "calls")],
+            *[scope[f].alias(f) for f in ("decorators", "caller", "scope_kind", "scope_start")],
+            F.when(header, F.element_at("_ends", s["start"])).alias("block_end"),
+            F.when(header & documented, _docstring(c("_raw"), following)).alias("docstring"),
         )
 
-    return scoped.select(*keys, "path", F.transform(F.col("_s.out"), row).alias("statements"))
+    return rows.select(*keys, "path", F.transform("_st", row).alias("statements"))
 
 
 def _exploded(parsed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -288,9 +294,8 @@ def functions(parsed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     methods count too.
     """
     s = F.col("s")
-    inner = F.split_part(
-        drop_brackets(F.regexp_replace(s["text"], _DEF, ""), "~"), F.lit(")"), F.lit(1)
-    )
+    inner = F.split_part(drop_brackets(F.regexp_replace(s["text"], _DEF, ""), "~"), F.lit(")"), F.lit(1))
+    inner = F.regexp_replace(inner, r"\blambda\b[^:]*:", "~")
     names = F.transform(F.split(inner, ","), lambda p: F.regexp_extract(p, r"^\s*([A-Za-z_]\w*)", 1))
     return _exploded(parsed, keys).filter(s["kind"] == "def").select(
         *keys,

@@ -27,6 +27,7 @@ def local_session(app: str = "tributary", cores: str = "*", partitions: int = 8)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.driver.memory", os.environ.get("TRIBUTARY_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -94,10 +95,11 @@ class KeyedChunks:
     only, so no task ever gets more than about one chunk of a hot key and the
     join result stays whole.
 
-    With ``resident`` the table serves the rounds of a loop: it is staged once,
-    partitioned and sorted by its key and kept on the executors, so a round
-    moves only its frontier.  A lost executor's part is rebuilt from the staged
-    copy.  Use it as a context manager to let go of it after the loop.
+    The table is staged unless the caller says it is.  With ``resident`` it
+    serves the rounds of a loop: if it is large it is partitioned and sorted by
+    its key and kept on the executors, so a round moves only its frontier.  A
+    lost executor's part is rebuilt from the staged copy.  Use it as a context
+    manager to let go of it after the loop.
     """
 
     def __init__(
@@ -108,25 +110,30 @@ class KeyedChunks:
         rows_per_chunk: int = ROWS_PER_CHUNK,
         label: str = "chunks",
         resident: bool = False,
+        staged: bool = False,
     ) -> None:
         self.on = list(on)
-        table = stage(table, label) if resident else table
-        hot = (
-            table.groupBy(*self.on)
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > rows_per_chunk)
-            .select(*self.on, F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_chunks"))
-        )
-        self.hot = stage(hot, f"{label}-hot")
-        self.has_hot = not self.hot.isEmpty()
+        self.rows_per_chunk = rows_per_chunk
+        table = table if staged else stage(table, label)
+        large = table.count() > rows_per_chunk  # read from the footers of the staged files
+        self.has_hot = False
+        if large:
+            hot = (
+                table.groupBy(*self.on)
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > rows_per_chunk)
+                .select(*self.on, F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_chunks"))
+            )
+            self.hot = stage(hot, f"{label}-hot")
+            self.has_hot = not self.hot.isEmpty()
         if self.has_hot:
             table = (
                 salted_join(table, self.hot, self.on, "left", spread)
                 .withColumn("_chunk", F.pmod(F.xxhash64(*spread), F.coalesce("_chunks", F.lit(1))).cast("int"))
                 .drop("_chunks")
             )
-        self.resident = resident
-        if resident:
+        self.resident = resident and large
+        if self.resident:
             table = _placed(table, [*self.on, "_chunk"] if self.has_hot else self.on)
         self.table = table
 
@@ -155,25 +162,34 @@ def _placed(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 class Collected:
-    """What a loop has found so far, kept partitioned by ``by``.
+    """What a loop has found so far, for joins on ``by``.
 
-    Each round adds its staged rows once; later rounds join them where they
-    are, so the growing set never crosses the wire again.
+    While it is small its staged parts are read again.  Once it is large the
+    parts are kept on the executors, partitioned by ``by``: each row then
+    crosses the wire once, however many rounds follow.
     """
 
-    def __init__(self, by: Sequence[str]) -> None:
+    def __init__(self, by: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> None:
         self.by = list(by)
+        self.limit = rows_per_chunk
+        self.total = 0
         self.parts: list[DataFrame] = []
+        self.placed = 0
 
     def __enter__(self) -> Collected:
         return self
 
     def __exit__(self, *_) -> None:
-        for part in self.parts:
+        for part in self.parts[: self.placed]:
             part.unpersist()
 
     def add(self, staged: DataFrame) -> None:
-        self.parts.append(_placed(staged, self.by))
+        self.parts.append(staged)
+        self.total += staged.count()  # read from the footers of the staged files
+        if self.total > self.limit:
+            for i in range(self.placed, len(self.parts)):
+                self.parts[i] = _placed(self.parts[i], self.by)
+            self.placed = len(self.parts)
 
     def rows(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.parts)
