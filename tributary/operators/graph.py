@@ -136,11 +136,13 @@ class CallHubs:
     edges.  Kept as ``wanted(source, name)`` and ``index(name, id)`` it costs
     their sum, and reach, rank and entry points come out the same.  ``direct``
     holds the other edges; a definition its own file also calls is a call.
+    ``staged`` says that the tables are read from storage.
     """
 
     direct: DataFrame
     wanted: DataFrame
     index: DataFrame
+    staged: bool = False
 
 
 def call_hubs(

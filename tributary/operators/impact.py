@@ -112,8 +112,8 @@ def _backwards(
     plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True)
     if hubs is None:
         return Steps(plain, "dependent")
-    names = KeyedChunks(hubs.index, [*keys, "id"], ["name"], rows_per_chunk, f"{label}-index", resident=True)
-    callers = KeyedChunks(hubs.wanted, [*keys, "name"], ["source"], rows_per_chunk, f"{label}-wanted", resident=True)
+    names = KeyedChunks(hubs.index, [*keys, "id"], ["name"], rows_per_chunk, f"{label}-index", True, hubs.staged)
+    callers = KeyedChunks(hubs.wanted, [*keys, "name"], ["source"], rows_per_chunk, f"{label}-wanted", True, hubs.staged)
     return Steps(plain, "dependent", names, callers)
 
 

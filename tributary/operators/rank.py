@@ -43,17 +43,17 @@ def pagerank(
     keys = list(keys)
     with ExitStack() as loop:
 
-        def resident(table: DataFrame, by: str, spread: str, label: str) -> KeyedChunks:
-            return loop.enter_context(KeyedChunks(table, [*keys, by], [spread], rows_per_chunk, label, resident=True))
+        def resident(table: DataFrame, by: str, spread: str, label: str, staged: bool = False) -> KeyedChunks:
+            return loop.enter_context(KeyedChunks(table, [*keys, by], [spread], rows_per_chunk, label, True, staged))
 
         pairs = edges.select(*keys, F.col("source").alias("id"), "target").distinct()
         out = resident(pairs, "id", "target", "rank-edges")
         links = out.table.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("links"))
         if hubs is not None:
-            wanted = resident(hubs.wanted.select(*keys, F.col("source").alias("id"), "name"), "id", "name", "rank-wanted")
-            index = resident(hubs.index.select(*keys, "name", F.col("id").alias("target")), "name", "target", "rank-index")
+            wanted = resident(hubs.wanted.select(*keys, F.col("source").alias("id"), "name"), "id", "name", "rank-wanted", hubs.staged)
+            index = resident(hubs.index.select(*keys, "name", F.col("id").alias("target")), "name", "target", "rank-index", hubs.staged)
             candidates = index.table.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("links"))
-            counted = KeyedChunks(wanted.table.select(*keys, "id", "name"), [*keys, "name"], ["id"], rows_per_chunk, "rank-names")
+            counted = KeyedChunks(hubs.wanted.select(*keys, F.col("source").alias("id"), "name"), [*keys, "name"], ["id"], rows_per_chunk, "rank-names", staged=hubs.staged)
             links = links.unionByName(counted.probe(candidates).select(*keys, "id", "links"))
         degree = links.groupBy(*keys, "id").agg(F.sum("links").alias("degree"))
 

@@ -37,7 +37,7 @@ class Graph:
 
     @cached_property
     def edges(self) -> DataFrame:
-        chunks = KeyedChunks(self.hubs.wanted, [*KEYS, "name"], ["source"], label="calls")
+        chunks = KeyedChunks(self.hubs.wanted, [*KEYS, "name"], ["source"], label="calls", staged=self.hubs.staged)
         calls = chunks.probe(self.hubs.index).select(*KEYS, "source", F.col("id").alias("target"), F.lit("calls").alias("type"))
         return stage(graph.collapse_edges(self.hubs.direct.unionByName(calls)), "edges")
 
@@ -65,7 +65,7 @@ def build_graph(s: Symbols) -> Graph:
     """Nodes and factored edges, staged for the many queries over them."""
     nodes = stage(graph.nodes(s.parsed, s.classes, s.functions), "nodes")
     hubs = graph.call_hubs(s.classes, s.functions, s.calls, graph.import_edges(s.imports, nodes))
-    hubs = graph.CallHubs(stage(hubs.direct, "direct"), stage(hubs.wanted, "wanted"), stage(hubs.index, "index"))
+    hubs = graph.CallHubs(stage(hubs.direct, "direct"), stage(hubs.wanted, "wanted"), stage(hubs.index, "index"), staged=True)
     return Graph(stage(graph.flag_uncalled(nodes, hubs), "nodes-flagged"), hubs)
 
 

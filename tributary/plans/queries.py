@@ -8,6 +8,7 @@ and folder.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -260,7 +261,7 @@ def snapshot_latest(spark, sf):
 @query(sql.SNAPSHOT_ROUND_TRIP)
 def snapshot_round_trip(spark, sf):
     def build():
-        store = snapshots.SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{len(_STAGED)}")
+        store = snapshots.SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
         for _ in range(2):  # the second write replaces the first
             store.write(
                 trade_nodes(spark, sf).withColumns(
