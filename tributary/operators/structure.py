@@ -136,17 +136,6 @@ def _dead(unused: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _pattern(df: DataFrame, keys: Sequence[str], rule: int, name: str, text: str | None = None) -> DataFrame:
-    return df.select(
-        *keys,
-        F.lit(name).alias("name"),
-        F.col("path").alias("file"),
-        F.col("name").alias("class"),
-        F.lit(PATTERN_TEXT[text or name]).alias("description"),
-        F.lit(rule).alias("rule"),
-    )
-
-
 def _any_of(names: Sequence[str]) -> Column:
     return F.array(*[F.lit(n) for n in names])
 
@@ -155,37 +144,92 @@ def _makes(name: Column) -> Column:
     return F.contains(F.lower(name), F.lit("factory")) | F.startswith(name, F.lit("create_"))
 
 
-def singletons(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    hit = F.arrays_overlap("method_names", _any_of(SINGLETON_METHODS)) | F.array_contains(
+def _is_singleton() -> Column:
+    return F.arrays_overlap("method_names", _any_of(SINGLETON_METHODS)) | F.array_contains(
         "class_variables", SINGLETON_VARIABLE
     )
-    return _pattern(classes.filter(hit), keys, 1, "Singleton")
+
+
+def _is_factory_class() -> Column:
+    return F.contains(F.lower("name"), F.lit("factory")) | F.exists("method_names", _makes)
+
+
+def _is_repository() -> Column:
+    return F.size(F.array_intersect("method_names", _any_of(REPOSITORY_METHODS))) >= REPOSITORY_OVERLAP
+
+
+def _is_context_manager() -> Column:
+    first, second = (F.array_contains("method_names", m) for m in CONTEXT_METHODS)
+    return first & second
+
+
+def _is_factory_function() -> Column:
+    return _makes(F.col("name"))
+
+
+def _is_decorator() -> Column:
+    return F.arrays_overlap("parameters", _any_of(DECORATOR_PARAMETERS))
+
+
+# (order, pattern, description, condition)
+_CLASS_PATTERNS = (
+    (1, "Singleton", "Singleton", _is_singleton),
+    (2, "Factory", "Factory", _is_factory_class),
+    (3, "Repository", "Repository", _is_repository),
+    (4, "Context Manager", "Context Manager", _is_context_manager),
+)
+_FUNCTION_PATTERNS = (
+    (5, "Factory", "Factory function", _is_factory_function),
+    (6, "Decorator", "Decorator", _is_decorator),
+)
+
+
+def _patterns(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple]) -> DataFrame:
+    """All wanted patterns of each symbol, found in one pass."""
+    found = [
+        F.when(
+            test(),
+            F.struct(F.lit(name).alias("name"), F.lit(PATTERN_TEXT[text]).alias("description"), F.lit(rule).alias("rule")),
+        )
+        for rule, name, text, test in wanted
+    ]
+    rows = df.select(
+        *keys, F.col("path").alias("file"), F.col("name").alias("class"), F.explode_outer(F.array_compact(F.array(*found))).alias("p")
+    )
+    return rows.filter(F.col("p").isNotNull()).select(*keys, "p.name", "file", "class", "p.description", "p.rule")
+
+
+def class_patterns(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _patterns(classes, keys, _CLASS_PATTERNS)
+
+
+def function_patterns(functions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every function counts, methods included."""
+    return _patterns(functions, keys, _FUNCTION_PATTERNS)
+
+
+def singletons(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    return _patterns(classes, keys, _CLASS_PATTERNS[:1])
 
 
 def factory_classes(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    hit = F.contains(F.lower("name"), F.lit("factory")) | F.exists("method_names", _makes)
-    return _pattern(classes.filter(hit), keys, 2, "Factory")
+    return _patterns(classes, keys, _CLASS_PATTERNS[1:2])
 
 
 def repositories(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    shared = F.array_intersect("method_names", _any_of(REPOSITORY_METHODS))
-    return _pattern(classes.filter(F.size(shared) >= REPOSITORY_OVERLAP), keys, 3, "Repository")
+    return _patterns(classes, keys, _CLASS_PATTERNS[2:3])
 
 
 def context_managers(classes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    hit = F.lit(True)
-    for method in CONTEXT_METHODS:
-        hit = hit & F.array_contains("method_names", method)
-    return _pattern(classes.filter(hit), keys, 4, "Context Manager")
+    return _patterns(classes, keys, _CLASS_PATTERNS[3:])
 
 
 def factory_functions(functions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    return _pattern(functions.filter(_makes(F.col("name"))), keys, 5, "Factory", "Factory function")
+    return _patterns(functions, keys, _FUNCTION_PATTERNS[:1])
 
 
 def decorator_functions(functions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    hit = F.arrays_overlap("parameters", _any_of(DECORATOR_PARAMETERS))
-    return _pattern(functions.filter(hit), keys, 6, "Decorator")
+    return _patterns(functions, keys, _FUNCTION_PATTERNS[1:])
 
 
 def unique_patterns(patterns: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -84,15 +84,7 @@ def all_issues(s: Symbols, g: Graph) -> DataFrame:
 
 
 def all_patterns(s: Symbols) -> DataFrame:
-    parts = [
-        structure.singletons(s.classes),
-        structure.factory_classes(s.classes),
-        structure.repositories(s.classes),
-        structure.context_managers(s.classes),
-        structure.factory_functions(s.functions),
-        structure.decorator_functions(s.functions),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return structure.class_patterns(s.classes).unionByName(structure.function_patterns(s.functions))
 
 
 def find(s: Symbols, g: Graph) -> Findings:

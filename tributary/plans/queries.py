@@ -715,7 +715,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
     """Raw answers made from whole documents, some of them unreadable."""
     text = sql.ANSWERS.replace("$BODY", "trim(regexp_replace(text, '[^a-zA-Z]+', ' '))")
     text = text.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}")
-    return spark.sql(text, documents=table(spark, sf, "documents"))
+    return spark.sql(text, documents=corpus.spread(table(spark, sf, "documents")))
 
 
 @query(sql.RESPONSES)
@@ -777,7 +777,7 @@ def suggested_questions(spark, sf):
 
 def _chat(spark: SparkSession, sf: str, text: str) -> DataFrame:
     return spark.sql(
-        text.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf, "documents").select("doc_id", "text")
+        text.replace("FROM documents", "FROM {documents}"), documents=corpus.spread(table(spark, sf, "documents").select("doc_id", "text"))
     )
 
 
@@ -896,7 +896,7 @@ def incident_edges(spark, sf):
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return corpus.spread(table(spark, sf, "lineitem")).select(
         "l_returnflag", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")
     )
 
