@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import table
 from tributary.llm.packing import pack
+from tributary.llm.substrings import drop_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = drop_repeats(docs, window=35, rejoin=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), window=2048, end_id=1)
     return pieces.select(
@@ -27,7 +34,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+OP9_SQL = r"""
+with words as (
+    select doc_id, row_number() over () as row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents
+), starts as (
+    select row, unnest(range(1, len(w) - 33)) as q from words where len(w) >= 35
+), windows as (
+    select starts.row, q, md5(array_to_string(w[q:q + 34], ' ')) as h from starts join words using (row)
+), repeats as (
+    select row, q from windows where h in (select h from windows group by h having count(*) > 1)
+), gone as (
+    select row, list(distinct p) as gone from (select row, unnest(range(q, q + 35)) as p from repeats) group by row
+), kept as (
+    select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+        array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ') as text
+    from words left join gone using (row)
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(text) as kept_sha256 from kept
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_substring_dedup": OP9_SQL,
+}
