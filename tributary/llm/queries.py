@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import table
+from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.packing import pack
 from tributary.llm.substrings import drop_repeats
 
@@ -20,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = drop_repeats(docs, window=35, rejoin=True)
@@ -34,10 +39,35 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
+OP3_SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+    from documents
+), shingles as (
+    select distinct doc_id, case when len(w) = 1 then w[1] else unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+    from words where len(w) > 1
+    union select doc_id, w[1] from words where len(w) = 1
+), sizes as (
+    select doc_id, count(s) as n from words left join shingles using (doc_id) group by doc_id
+), links as (
+    select x.doc_id as a, y.doc_id as b
+    from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id
+    join sizes p on p.doc_id = x.doc_id join sizes q on q.doc_id = y.doc_id
+    group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))
+), reach as (
+    select doc_id as node, doc_id as far from documents
+    union
+    select reach.node, links.b from reach join links on links.a = reach.far
+), least as (select node, min(far) as component_id from reach group by node)
+select s.doc_id, cast(s.n as bigint) as n_shingles, l.component_id, s.doc_id = l.component_id as kept
+from sizes s join least l on l.node = s.doc_id
+"""
+
 OP9_SQL = r"""
 with words as (
     select doc_id, row_number() over () as row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
@@ -59,5 +89,6 @@ select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as
 """
 
 ORACLES: dict[str, str] = {
+    "op3_near_duplicates": OP3_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
