@@ -11,25 +11,44 @@ the same if an executor is lost.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import ragged, slices, staged, words
 
-#: Words of which a worker remembers the ids.
-REMEMBERED = 300_000
+#: Text bytes tokenized at a time: the more there are, the fewer words come again in the next step.
+TEXT_BYTES = 12 << 20
+
+#: Words, and parts of words, of which a worker remembers the ids.
+REMEMBERED = 400_000
+
+#: Words that Unicode normalization leaves alone and whose letters are lower-cased one by one.
+PLAIN = re.compile("[!-~\u00a1-\u017f]+")
+
+#: Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to int"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins characters across ASCII white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins characters across ASCII white space: each distinct word is encoded once.
+
+    If the tokenizer's file says that it lower-cases and then splits words by one
+    pattern, words of plain Latin letters and signs are split here first and
+    remembered by their parts, of which there are far fewer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,16 +57,39 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.split = _splitter(json.loads(self.tokenizer.to_str()))
+
+    def _learn(self, names: list[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        pack, known, parts, other = self.packed, self.known, self.parts, []
+        for w in names:
+            if w in known:
+                continue
+            if self.split is None or not PLAIN.fullmatch(w) or "<|" in w:
+                other.append(w)
+                continue
+            low = w.lower()
+            mine = (low,) if low.isalpha() else (low[:-1], low[-1]) if low[-1] in ".,!" and low[:-1].isalpha() else self.split(low)
+            for p in mine:
+                if p not in parts:
+                    parts[p] = pack(*(t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))))
+            known[w] = parts[mine[0]] if len(mine) == 1 else b"".join([parts[p] for p in mine])
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = pack(*e.ids)
+
+    def packed(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where those of each text start."""
         found = words(texts)
         names = found.distinct.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in names if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        self._learn(names)
         parts = [self.known[w] for w in names]
         each = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(parts), self.dtype)
@@ -56,11 +98,23 @@ class WordIds:
         return ids, np.concatenate([[0], np.cumsum(counts)])[found.starts]
 
 
+def _splitter(settings: dict) -> Callable[[str], list[str]] | None:
+    """The split into parts that the model encodes one by one, if the settings are of the known kind."""
+    steps = [x["type"] for x in (settings.get("normalizer") or {}).get("normalizers", [])]
+    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+    if not known or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["use_regex"] or splits[1]["add_prefix_space"]:
+        return None
+    if any(not x["content"].startswith("<|") for x in settings["added_tokens"]):
+        return None
+    return regex.compile(splits[0]["pattern"]["Regex"]).findall
+
+
 def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, placed = WordIds(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", TEXT_BYTES):
                 ids, starts = encode(rows.column("text"))
                 counts = np.diff(starts) + 1
                 all_ids = np.full(len(ids) + rows.num_rows, end_id, encode.dtype)
