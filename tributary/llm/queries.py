@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm.common import table
 from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.packing import pack
 from tributary.llm.substrings import drop_repeats
+from tributary.llm.toxicity import fitted, with_score
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,19 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def fold(doc_id: str = "doc_id") -> Column:
+    """The fold of a row by its id: fold 0 of five is held out of all learning."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
+    return with_score(docs, model).select(
+        "doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = drop_repeats(docs, window=35, rejoin=True)
@@ -40,6 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_toxicity": op4_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
