@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import table
 from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.packing import pack
+from tributary.llm.secret_scan import listed, of_kind, ratios, samples_of, transitions, with_spans
 from tributary.llm.substrings import drop_repeats
 from tributary.llm.toxicity import fitted, with_score
 
@@ -39,6 +40,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_spans(docs, ratios(transitions(samples_of(docs)))).select("doc_id", "spans")
+    kinds = ("assign", "access", "hex")
+    counts = [F.size(of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(of_kind(F.col("spans"), *kinds)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = drop_repeats(docs, window=35, rejoin=True)
@@ -55,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
