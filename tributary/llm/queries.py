@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm import quality
 from tributary.llm.common import table
 from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.packing import pack
@@ -23,15 +24,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
-
-
 def fold(doc_id: str = "doc_id") -> Column:
     """The fold of a row by its id: fold 0 of five is held out of all learning."""
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judged(docs, quality.fitted(docs, table(spark, sf_dir, "labels").filter(fold() != 0)))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fitted(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
@@ -64,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op8_secret_scan": op8_secret_scan,
