@@ -16,6 +16,7 @@ from tributary.llm.packing import pack
 from tributary.llm.secret_scan import listed, of_kind, ratios, samples_of, transitions, with_spans
 from tributary.llm.substrings import drop_repeats
 from tributary.llm.toxicity import fitted, with_score
+from tributary.llm.vectors import nearest
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -50,6 +51,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest_vectors": op5_nearest_vectors,
     "op6_html_text": op6_html_text,
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
