@@ -38,6 +38,21 @@ with article as (
 select page_id, url, text, cast(length(text) as bigint) as n_chars from text
 """
 
+OP7_SQL = r"""
+with sized as (
+    select doc_id, strlen(coalesce(text, '')) as n_bytes, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents
+), levels as (
+    select doc_id, n_bytes, d.depth, h >> (60 - d.depth) as prefix from sized, (select unnest(range(0, 61)) as depth) d
+), fits as (
+    select depth, prefix from levels group by depth, prefix having sum(n_bytes) <= 1048576
+), least as (
+    select doc_id, n_bytes, min_by(prefix, depth) as prefix, min(depth) as depth from levels join fits using (depth, prefix) group by doc_id, n_bytes
+)
+select doc_id, case when depth = 0 then '' else lpad(bin(prefix), cast(depth as int), '0') end as shard, cast(depth as int) as depth,
+    cast(n_bytes as bigint) as n_bytes, false as oversized
+from least
+"""
+
 OP9_SQL = r"""
 with words as (
     select doc_id, row_number() over () as row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
@@ -61,5 +76,6 @@ select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op6_html_text": OP6_SQL,
+    "op7_sharding": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
 }

@@ -14,12 +14,17 @@ from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.oracles import ORACLES
 from tributary.llm.packing import pack
 from tributary.llm.secret_scan import listed, of_kind, ratios, samples_of, transitions, with_spans
+from tributary.llm.sentence_pieces import with_ids, with_text
+from tributary.llm.sharding import shards
 from tributary.llm.substrings import drop_repeats
 from tributary.llm.toxicity import fitted, with_score
 from tributary.llm.vectors import nearest
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: Bytes of text in a shard at most.
+SHARD_BYTES = 1 << 20
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +34,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, and decode its ids again."""
+    path = vocabulary("piece_bpe_32k.model")
+    both = with_text(with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path, into="decoded")
+    return both.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """The fold of a row by its id: fold 0 of five is held out of all learning."""
     return F.crc32(F.col(doc_id).cast("string")) % 5
@@ -59,6 +74,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=SHARD_BYTES)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, ratios(transitions(samples_of(docs)))).select("doc_id", "spans")
@@ -83,11 +102,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_nearest_vectors": op5_nearest_vectors,
     "op6_html_text": op6_html_text,
+    "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
