@@ -1,20 +1,71 @@
-"""The corpus pipeline: documents to packed sequences."""
+"""The corpus pipeline: from documents to packed training sequences.
+
+Each stage works on what the one before has kept.  All but the last return the columns
+of ``documents``; their decisions are in the rows and texts that they return.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tributary.llm import secret_scan, toxicity
 from tributary.llm.common import staged, table
+from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.packing import pack
-from tributary.llm.queries import vocabulary
+from tributary.llm.queries import fold, vocabulary
+from tributary.llm.substrings import drop_repeats
+
+#: What stands for a secret in a kept text.
+SECRET = "[SECRET]"
+
+
+def _same_columns(changed: DataFrame, docs: DataFrame, new: Column) -> DataFrame:
+    """The columns of ``docs``, with the length counted anew where the text is another one."""
+    counts = {"n_chars": F.when(new, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return changed.withColumns(counts).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the classifier learns from the labelled folds only."""
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
+    return toxicity.with_score(docs, model, into="_toxic").filter("_toxic < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked over five-word shingles at 0.8 or more, the one with the smallest id stays.
+
+    Rows that share an id are one document; rows without an id stay.
+    """
+    gone = near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 words that start at two places or more are cut out; other texts stay as they are."""
+    return _same_columns(drop_repeats(docs, window=35), docs, F.col("n_removed") > 0)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    found = secret_scan.with_spans(docs, secret_scan.ratios(secret_scan.transitions(secret_scan.samples_of(docs))), into="_spans")
+    return _same_columns(secret_scan.redacted(found, F.lit(SECRET), spans="_spans"), docs, F.size("_spans") > 0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("word_bpe_49k.json"))
+    """The ids of what is left, cut into sequences of 2048."""
+    return pack(docs, vocabulary("word_bpe_49k.json"), window=2048, end_id=1)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_copies),
+    ("substring_dedup", repeated_passages),
+    ("secret_scan", secrets),
+    ("packing", packing),
+]
 
+#: Classifier, sketches and tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
