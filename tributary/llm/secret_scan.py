@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import staged
+
 #: Characters of keys; transitions outside them don't occur in a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
@@ -96,10 +98,12 @@ def ratios(counts: DataFrame, smoothing: float = 0.5) -> list[float]:
 def samples_of(docs: DataFrame, text: str = "text", most: int = 4000) -> DataFrame:
     """Labelled samples ``value, secret``: what the rules find in ``most`` documents, and the other runs of at least four key characters there.
 
-    The documents are picked by a hash of their text, so equal tables give equal samples.
+    The documents are picked by a hash of their text, each text once, so equal tables
+    give equal samples.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    picked = docs.select(body.alias("text")).orderBy(F.xxhash64("text"), F.char_length("text")).limit(most)
+    hashed = docs.select(F.col(text).cast("string").alias("text")).filter("text <> ''").withColumn("hash", F.xxhash64("text"))
+    last = hashed.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    picked = staged(hashed.filter(F.col("hash") <= last).groupBy("hash").agg(F.any_value("text").alias("text")).select("text"), "sample").frame
     found = picked.select("text", base_spans(F.col("text")).alias("spans"))
     secrets = found.select(F.explode("spans").alias("s"), "text").select(
         F.explode(F.regexp_extract_all(F.expr("substring(text, s.start + 1, s.end - s.start)"), F.lit(f"({RUN}{{8,}})"), F.lit(1))).alias("value"), F.lit(1).alias("secret")
