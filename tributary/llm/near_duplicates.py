@@ -27,14 +27,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Staged, slices, staged, words
+from tributary.llm.common import Staged, ragged, slices, staged, words
 from tributary.llm.substrings import _joined, _mixed, rolling
 
 #: At a similarity of 0.8, no band of 40 agrees for one pair in ten million.
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
-#: Pairs whose estimate is so far below the threshold are ruled out: five standard deviations of samples and sketch.
-MARGIN = 0.2
+#: Pairs whose estimate is so far below the threshold are ruled out: four standard deviations of samples and sketch.
+MARGIN = 0.14
+
+#: Shingles of classes that are held against others in one task.
+BLOCK_SHINGLES = 1_000_000
+
+#: Rounds in which each class outside its buckets' largest components is held against one of their leaders.
+STARS = 2
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
@@ -162,16 +168,8 @@ def components(edges: DataFrame) -> Staged:
     return found
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(classes.select("node", "doc_id", "text_key"), "node")
-    # A class is read from the one document that stands for it; the rest of the texts goes no further than this join.
-    sets = (
-        source.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(k), "node binary, shingles array<long>")
-        .groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-    )
-    sets = staged(sets, "sets").frame
     common = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -181,6 +179,50 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, source: DataFrame, k: int,
     )
 
 
+def _linked(percent: int, samples: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One confirmed link of each class on the left to each other component on the right, where there is any."""
+    most = far_bits(percent / 100 - MARGIN, samples)
+
+    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lists = table.column("shingles").combine_chunks()
+        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+        sketch = np.stack([table.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)
+        return lists.flatten().to_numpy(zero_copy_only=False), starts, sketch, np.array(table.column("component").to_pylist(), object)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a: list[bytes] = []
+        b: list[bytes] = []
+        if left.num_rows and right.num_rows:
+            (x, x_at, x_sketch, x_part), (y, y_at, y_sketch, y_part) = columns(left), columns(right)
+            x_name, y_name = left.column("node").to_pylist(), right.column("node").to_pylist()
+            order = np.argsort(y, kind="stable")
+            values, owner = y[order], np.repeat(np.arange(len(y_name)), np.diff(y_at))[order]
+            sizes = np.diff(y_at)
+            for i in range(len(x_name)):
+                near = (np.bitwise_count(x_sketch[i] ^ y_sketch).sum(1) <= most) & (y_part != x_part[i])
+                if not near.any():
+                    continue
+                mine = x[x_at[i] : x_at[i + 1]]
+                low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+                common = np.bincount(owner[ragged(low, high - low)], minlength=len(sizes))
+                hits = np.flatnonzero(near & (common * 100 >= (len(mine) + sizes - common) * percent))
+                for j in {y_part[j]: j for j in hits.tolist()}.values():
+                    a.append(x_name[i])
+                    b.append(y_name[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _ordered(doc_id: str, node: str) -> Column:
+    """A class by its smallest document id and its set: bytes that sort by that id."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.col(node))
+
+
+def _id_of(node: str) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles are linked by a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -203,13 +245,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         with_id.groupBy("node").agg(
             F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"),
             *(F.any_value(s).alias(s) for s in _SKETCH),
-        ).select("node", "first.doc_id", "first.text_key", "n", "bands", *_SKETCH),
+        ).select(F.col("node").alias("set_key"), "first.doc_id", "first.text_key", "n", "bands", *_SKETCH)
+        .withColumn("node", _ordered("doc_id", "set_key")),
         "classes",
     ).frame
     thin = classes.select("node", "n", *_SKETCH)
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last").select("key", "leader")
-    shared = staged(buckets.join(leaders, "key"), "buckets").frame
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = staged(buckets.join(sizes, "key"), "shared").frame
+    # The class that meets most others is likeliest the text that the others were made from.
+    meets = shared.groupBy("node").agg(F.sum("size").alias("meets"))
+    shared = staged(shared.drop("size").join(meets, "node"), "buckets").frame
+
+    # A class is read from the one document that stands for it; other texts go no further than this join.
+    wanted = classes.join(meets, "node", "left_semi").select("node", "doc_id", "text_key")
+    sets = staged(
+        source.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(k), "node binary, shingles array<long>")
+        .groupBy("node").agg(F.any_value("shingles").alias("shingles")),
+        "sets",
+    ).frame
 
     def near(pairs: DataFrame) -> DataFrame:
         return (
@@ -217,35 +271,65 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
             .filter(_near("x", "y", percent, bands * rows))
         )
 
-    stars = near(shared.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("agree")))
+    def members(groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Bucket rows with their components, and of each bucket with several the largest and its leader."""
+        if groups is None:
+            member = shared.withColumn("component", F.col("node"))
+        else:
+            member = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        parts = member.groupBy("key", "component").agg(F.count("*").alias("rows"), F.max(F.struct("meets", "node")).alias("lead"))
+        tops = parts.groupBy("key").agg(F.max(F.struct("rows", "lead", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+        return member, tops.select("key", F.col("top.component").alias("largest"), F.col("top.lead.node").alias("leader"))
+
+    links: DataFrame | None = None
+    seen: DataFrame | None = None
+    groups: DataFrame | None = None
     best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")  # a class has at most one leader per band
-    first = staged(stars.withColumn("at", F.row_number().over(best)).filter("at = 1").select("a", "b"), "stars").frame
-    links = staged(_confirmed(first, classes, source, k, percent), "links").frame
-    groups = components(links).frame
-
-    member = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    in_bucket = member.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(
-        F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts")
-    ).filter("parts > 1").select("key", F.col("top.component").alias("largest"))
-    open_rows = staged(member.join(in_bucket, "key").join(thin, "node"), "open").frame
-    x = open_rows.filter("component <> largest").alias("x")
-    y = open_rows.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node")))
-        & _near("x", "y", percent, bands * rows),
-    )
-    rest = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = staged(rest.join(seen, ["a", "b"], "left_anti"), "rest").frame
-    more = staged(_confirmed(rest, classes, source, k, percent), "links").frame
+    for _ in range(STARS):
+        member, tops = members(groups)
+        pairs = (
+            member.join(tops, "key").filter("component <> largest and node <> leader")
+            .groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("agree"))
+        )
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        star = staged(near(pairs.withColumn("at", F.row_number().over(best)).filter("at = 1")).select("a", "b"), "stars").frame
+        found = staged(_confirmed(star, sets, percent), "links").frame
+        seen = star if seen is None else seen.unionByName(star)
+        links = found if links is None else links.unionByName(found)
+        groups = components(links).frame
+
+    member, tops = members(groups)
+    open_rows = member.join(tops, "key")
+    outside = staged(open_rows.filter("component <> largest").select("largest", "node", "component").distinct(), "outside").frame
+    inside = staged(open_rows.select("largest", "node", "component").distinct(), "inside").frame
+    full = thin.join(sets, "node")
+    volume = inside.join(thin.select("node", "n"), "node").groupBy("largest").agg(F.sum("n").alias("held"), F.sum(F.when(F.col("component") != F.col("largest"), F.col("n"))).alias("asked"))
+    blocks = volume.select("largest", F.ceil(F.col("held") / BLOCK_SHINGLES).alias("held"), F.ceil(F.col("asked") / (BLOCK_SHINGLES // 4)).alias("asked"))
+    spread = F.xxhash64("node")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        last = F.col(other) - 1
+        out = (
+            rows.join(blocks, "largest").withColumn(f"{own}_block", F.pmod(spread, own))
+            .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("asked", "held").join(full, "node")
+        )
+        return out.select(*(F.col(c).alias(c) for c in out.columns))  # both sides hold the same tables
+
+    key = ["largest", "asked_block", "held_block"]
+    more = staged(
+        dealt(outside, "asked", "held").groupBy(*key).cogroup(dealt(inside, "held", "asked").groupBy(*key)).applyInArrow(
+            _linked(percent, bands * rows), "a binary, b binary"
+        ),
+        "links",
+    ).frame
+    # Only links between components are left to add; inside a component they change nothing.
     groups = components(links.unionByName(more)).frame
 
-    lowest = classes.select("node", "doc_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = lowest.join(least, "component").select("node", "component_id")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    answer = classes.select(F.col("set_key").alias("node"), F.col("node").alias("own")).join(
+        groups.withColumnRenamed("node", "own"), "own", "left"
+    ).select("node", _id_of("component").alias("component_id"), _id_of("own").alias("first_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
     return (
         signed.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"))
