@@ -53,8 +53,9 @@ CLOSES = {
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav form td th".split())
 
 TOKEN = re.compile(
-    r"<!--(?:.*?)(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S
+    r"<!--(?:.*?)(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/<>]*+)(?P<rest2>[^<>]*+)>", re.S
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -69,8 +70,13 @@ class Node:
 
 def parse(page: str) -> list[Node]:
     """The elements of a page in order of their start; a parent comes before its children."""
-    nodes, open_nodes = [Node("", "", -1)], [0]
+    nodes, open_nodes, names = [Node("", "", -1)], [0], Counter()
     at, size = 0, len(page)
+
+    def close(k: int) -> None:
+        names.subtract(nodes[i].tag for i in open_nodes[k:])
+        del open_nodes[k:]
+
     while at < size:
         found = TOKEN.search(page, at)
         if not found:
@@ -84,27 +90,28 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if found["end"] or found["end2"]:
-            for k in range(len(open_nodes) - 1, 0, -1):
+            for k in range(len(open_nodes) - 1, 0, -1) if names[tag] else ():
                 if nodes[open_nodes[k]].tag == tag:
-                    del open_nodes[k:]
+                    close(k)
                     break
             continue
         rest = found["rest"] or found["rest2"] or ""
         ends = CLOSES.get(tag, ("p",) if tag in BLOCKS and tag != "br" else ())
-        for k in range(len(open_nodes) - 1, 0, -1):
+        for k in range(len(open_nodes) - 1, 0, -1) if any(names[e] for e in ends) else ():
             name = nodes[open_nodes[k]].tag
             if name in ends:
-                del open_nodes[k:]
+                close(k)
                 break
             if name in SCOPES:
                 break
         nodes[open_nodes[-1]].children.append(len(nodes))
         nodes.append(Node(tag, rest.strip(), open_nodes[-1]))
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else size
+            ended = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = ended.end() if ended else size
         elif tag not in VOID and not rest.endswith("/"):
             open_nodes.append(len(nodes) - 1)
+            names[tag] += 1
     return nodes
 
 
@@ -137,12 +144,13 @@ class Page:
     def of(cls, source: str) -> Page:
         nodes = parse(source)
         n = len(nodes)
-        gone, inside = [False] * n, [False] * n
+        gone, inside, prose = [False] * n, [False] * n, [False] * n
         articles, mains = [], []
         for i in range(1, n):
             node = nodes[i]
             up = node.parent
             inside[i] = inside[up] or node.tag == "article"
+            prose[i] = node.tag != "article" and (prose[up] or nodes[up].tag in PROSE)
             gone[i] = gone[up] or _is_furniture(node, inside[up])
             if not gone[i]:
                 if node.tag == "article" and not inside[up]:
@@ -166,7 +174,7 @@ class Page:
             digest[i] = xxhash.xxh3_64_intdigest("\x00".join([node.tag, node.attributes, *parts])) - (1 << 63)
         candidate = [
             has_text[i] and nodes[i].tag not in INLINE and nodes[i].tag not in ("", "html", "body", "article", "main")
-            and not (inside[i] and (has_prose[i] or nodes[i].tag in PROSE or _within(nodes, i, PROSE)))
+            and not (inside[i] and (has_prose[i] or nodes[i].tag in PROSE or prose[i]))
             for i in range(n)
         ]
         return cls(nodes, gone, digest, candidate, roots)
@@ -176,9 +184,9 @@ class Page:
 
     def open(self) -> list[int]:
         """The subtrees whose removal would change the text."""
-        main = [False] * len(self.nodes)
+        main, roots = [False] * len(self.nodes), set(self.roots)
         for i, node in enumerate(self.nodes):
-            main[i] = i in self.roots or (node.parent >= 0 and main[node.parent])
+            main[i] = i in roots or (node.parent >= 0 and main[node.parent])
         return sorted({d for d, c, m, g in zip(self.digest, self.candidate, main, self.gone, strict=True) if c and m and not g})
 
     def text(self, template: frozenset[int] = frozenset()) -> str:
@@ -202,15 +210,6 @@ class Page:
         return " ".join("".join(out).split())
 
 
-def _within(nodes: list[Node], i: int, tags: frozenset[str]) -> bool:
-    i = nodes[i].parent
-    while i > 0 and nodes[i].tag != "article":
-        if nodes[i].tag in tags:
-            return True
-        i = nodes[i].parent
-    return False
-
-
 def host_of(url: str | None) -> str:
     found = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
     return found[1].lower() if found else ""
