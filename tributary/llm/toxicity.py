@@ -30,34 +30,36 @@ WINDOW = 1
 DIMENSIONS = 8
 
 #: Labelled toxic rows that the classifier is fitted on, at most; of the other class, three times as many.
-TOXIC_ROWS = 1500
+TOXIC_ROWS = 1200
 
 
-def subwords(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def subwords(distinct: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words and their n-grams, one word after another, and where each word's start.
 
     Words are lower-cased and only their letters and digits count.
     """
-    plain = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "")
-    names = plain.to_pylist()
-    marked = "".join([f"<{w}>" for w in names])
-    code = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.cumsum(code == ord("<")) - 1
-    whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
-    value, whose = [whole % np.uint64(BUCKETS)], [np.arange(len(names))]
-    for n in GRAMS:
-        if len(code) < n:
-            continue
-        size = len(code) - n + 1
-        h = np.full(size, n, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x100000001B3) + code[i : i + size]
-        inside = np.flatnonzero(owner[:size] == owner[n - 1 :])
-        value.append((_mixed(h[inside]) >> np.uint64(20)) % np.uint64(BUCKETS))
-        whose.append(owner[inside])
-    flat, whose = np.concatenate(value).astype(np.int64), np.concatenate(whose)
-    order = np.argsort(whose, kind="stable")
-    return flat[order], np.searchsorted(whose[order], np.arange(len(distinct) + 1))
+    names = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "").to_pylist()
+    flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for a in range(0, len(names), at_once):
+        some = names[a : a + at_once]
+        whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in some), np.uint64, len(some))
+        value, whose = [whole % np.uint64(BUCKETS)], [np.arange(len(some))]
+        code = np.frombuffer("".join([f"<{w}>" for w in some]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        owner = np.cumsum(code == ord("<")) - 1
+        for n in GRAMS:
+            size = len(code) - n + 1
+            if size < 1:
+                continue
+            h = np.full(size, n, np.uint64)
+            for i in range(n):
+                h = h * np.uint64(0x100000001B3) + code[i : i + size]
+            inside = np.flatnonzero(owner[:size] == owner[n - 1 :])
+            value.append((_mixed(h[inside]) >> np.uint64(20)) % np.uint64(BUCKETS))
+            whose.append(owner[inside])
+        order = np.argsort(np.concatenate(whose), kind="stable")
+        flat.append(np.concatenate(value).astype(np.int32)[order])
+        count.append(np.bincount(np.concatenate(whose), minlength=len(some)))
+    return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int64)
 
 
 def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -99,7 +101,7 @@ def _common(grams: np.ndarray, size: np.ndarray, found: Words, fewest: int) -> t
     pair = np.unique(found.owner() * len(size) + found.codes)
     in_docs = np.bincount(pair % len(size), minlength=len(size))
     # Documents are counted once per word, so a bucket's count is an upper bound; single words in single documents fall out.
-    keep = np.bincount(grams, np.repeat(in_docs, size), BUCKETS)[grams] >= fewest
+    keep = np.bincount(grams, np.repeat(in_docs.astype(np.float32), size), BUCKETS)[grams] >= fewest
     upto = np.concatenate([[0], np.cumsum(keep)])
     ends = np.cumsum(size)
     return upto[ends] - upto[ends - size], grams[keep]
@@ -126,6 +128,8 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
     length = np.maximum(end - start, 1)
     doc = np.repeat(np.arange(len(labels)), np.diff(first))
     size, grams = _common(grams, size, found, max(3, len(labels) // 300))
+    some = np.flatnonzero(size)  # words that have any n-gram left
+    first_gram = (np.cumsum(size) - size)[some]
     back = rng.random(len(labels)) < 0.2
     if any(labels[~back].sum() in (0, (~back).sum()) or not (labels[back] == c).any() for c in (0, 1)):
         back[:] = False
@@ -137,7 +141,9 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
     for step in range(1, epochs + 1):
         # A mean of vectors into a linear softmax is the mean of what each vector adds to it.
         of_gram = vectors @ (softmax[1] - softmax[0])
-        of_word = np.bincount(np.repeat(np.arange(len(size)), size), of_gram[grams], len(size)) / count
+        of_word = np.zeros(len(size))
+        if len(some):
+            of_word[some] = np.add.reduceat(of_gram.astype(np.float32)[grams], first_gram) / count[some]
         upto = np.concatenate([[0], np.cumsum(of_word[found.codes])])
         margin = (upto[end] - upto[start]) / length
         top = np.maximum.reduceat(margin, first[:-1])
@@ -149,7 +155,11 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
         pull = share * (error / np.add.reduceat(share, first[:-1]))[doc] / length
         edge = np.bincount(start, pull, len(upto)) - np.bincount(end, pull, len(upto))
         by_word = np.bincount(found.codes, np.cumsum(edge)[:-1], len(size))
-        by_gram = np.bincount(grams, np.repeat(by_word / count, size), BUCKETS)
+        by_gram = np.zeros(BUCKETS)
+        for a in range(0, len(some), 100_000):
+            mine = some[a : a + 100_000]
+            run = grams[first_gram[a] : first_gram[a] + int(size[mine].sum())]
+            by_gram += np.bincount(run, np.repeat(by_word[mine] / count[mine], size[mine]), BUCKETS)
         d_margin = by_gram @ vectors
         d_vectors = by_gram[:, None] * (softmax[1] - softmax[0])
         for x, d, (m, v) in zip((vectors, softmax, bias), (d_vectors, np.stack([-d_margin, d_margin]), np.array([-error.sum(), error.sum()])), state, strict=True):
