@@ -39,7 +39,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     rank, done = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
     while done < depth:
         after = np.zeros(len(rank), np.int64)
-        after[: len(rank) - done] = rank[done:] + 1
+        after[: max(len(rank) - done, 0)] = rank[done:] + 1
         rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
         done *= 2
     return np.argsort(rank, kind="stable")
