@@ -33,7 +33,7 @@ def test_unseen_misspellings_share_ngrams():
 
 
 def test_one_class_or_none():
-    assert fit(pa.array([], pa.string()), np.zeros(0))(pa.array(["a", None])).tolist() == [0.5, 0.5]
+    assert (fit(pa.array([], pa.string()), np.zeros(0))(pa.array(["a", None])) < 0.5).all()
     assert (fit(pa.array(["a b", "c"]), np.zeros(2))(pa.array(["a", ""])) < 0.5).all()
     assert (fit(pa.array(["a b", "c"]), np.ones(2))(pa.array(["a", None])) > 0.5).all()
 
@@ -47,7 +47,7 @@ def test_scores_of_odd_rows(spark):
     assert len(got) == len(texts) + len(ODD) + 1 and all(0 <= r["score"] <= 1 and r["label"] == "other" for r in got.values())
     assert with_score(docs.limit(0), model).count() == 0
     none = fitted(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r["score"] for r in with_score(docs, none).collect()} == {0.5}
+    assert all(r["score"] < 0.5 for r in with_score(docs, none).collect())
 
 
 def test_held_out_accuracy(spark):

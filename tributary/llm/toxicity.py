@@ -113,12 +113,12 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
     A fifth of the rows is held back to set the bias, so that the fewest errors are
     made at a probability of one half where ``prior`` of the documents are toxic.
     N-grams of fewer than one in 300 documents (three at least) are left out, since
-    they only tell single rows apart.  Without rows of both classes, every text scores by the one class there is (0.5
-    without any).
+    they only tell single rows apart.  Without rows of both classes, every text scores
+    by the one class there is; without any, nothing is known to be toxic.
     """
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
-        return Toxicity(np.zeros(BUCKETS, np.float32), 0.0 if not len(labels) else 20.0 * (labels[0] - 0.5))
+        return Toxicity(np.zeros(BUCKETS, np.float32), 20.0 if len(labels) and labels[0] else -20.0)
     rng = np.random.default_rng(seed)
     found = words(texts)
     grams, starts = subwords(found.distinct)
