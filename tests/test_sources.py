@@ -31,17 +31,31 @@ def test_listing(spark):
         ("blob", "node_modules/x.py", 1), ("blob", "setup.py", 1), ("blob", "nosize.py", None),
     ]
     tree = spark.createDataFrame(rows, "type string, path string, size int")
-    assert {r.path for r in corpus.list_sources(tree).collect()} == {"src/a.py", "edge.py", "nosize.py"}
-    assert {r.path for r in corpus.list_sources(tree, match="segment").collect()} == {"src/a.py", "edge.py", "nosize.py", "latest.py"}
+    assert {r.path for r in corpus.list_sources(tree).collect()} == {"src/a.py", "edge.py", "nosize.py", "big.py"}
+    limited = corpus.list_sources(tree, max_bytes=100_000)
+    assert {r.path for r in limited.collect()} == {"src/a.py", "edge.py", "nosize.py"}
+    limited = corpus.list_sources(tree, match="segment", max_bytes=100_000)
+    assert {r.path for r in limited.collect()} == {"src/a.py", "edge.py", "nosize.py", "latest.py"}
 
 
 def test_limit(spark):
     rows = [("big", "c", f"f{i}.py") for i in range(61)] + [("ok", "c", f"f{i}.py") for i in range(60)]
     tree = spark.createDataFrame(rows, "repo string, commit_sha string, path string")
-    kept = corpus.within_limit(tree)
+    kept = corpus.within_limit(tree, 60)
     assert {r.repo for r in kept.collect()} == {"ok"} and kept.count() == 60
-    assert [(r.repo, r.files) for r in corpus.over_limit(tree).collect()] == [("big", 61)]
-    assert corpus.within_limit(tree, None).count() == 121
+    assert [(r.repo, r.files) for r in corpus.over_limit(tree, 60).collect()] == [("big", 61)]
+    assert corpus.within_limit(tree).count() == 121
+
+
+def test_read_tree_whose_root_name_comes_again(spark, tmp_path):
+    root = tmp_path / "src"
+    for path in ("own/rep/c1/src/b.py", "own/rep/c1/a.py", "own/high.py"):
+        f = root / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"x = 1")
+    for given in (str(root), f"file://{root}/", f"file:{root}"):
+        assert {(r.repo, r.commit_sha, r.path) for r in corpus.read_tree(spark, given).collect()} == {("own/rep", "c1", "src/b.py"), ("own/rep", "c1", "a.py")}
+        assert [r.path.rsplit("/", 1)[-1] for r in corpus.misplaced(spark, given).collect()] == ["high.py"]
 
 
 def test_read_tree(spark, tmp_path):

@@ -138,3 +138,30 @@ def test_isolation(parsed):
     assert names == {"foo", "bar"}
     calls = symbols.call_sites(parsed).filter("path = 'broken.py'").collect()
     assert [(c.caller_function, c.callee) for c in calls] == [("bar", "call")]
+
+
+ODD = '''
+"""a module \\""" that
+def not_inside(): pass
+"""
+
+def deep(a=((((((((1)))))))), b=[[[[[[[{}]]]]]]], c=3):
+    """says \\"""hello\\""" """
+    return a
+
+def typed[T: list[int], U: dict[str, list[int]]](x, y):
+    return x
+
+class Box[T: dict[str, int]](Base):
+    pass
+'''
+
+
+def test_escaped_quotes_deep_brackets_and_type_parameters(spark):
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "odd.py", ODD)], "repo string, commit_sha string, path string, content string"))
+    found = {r.name: r for r in symbols.functions(rows).collect()}
+    assert set(found) == {"deep", "typed"}
+    assert found["deep"].parameters == ["a", "b", "c"] and found["typed"].parameters == ["x", "y"]
+    assert found["deep"].docstring.startswith("says") and "hello" in found["deep"].docstring
+    (box,) = symbols.classes(rows).collect()
+    assert box.name == "Box" and box.base_classes == ["Base"]

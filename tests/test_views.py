@@ -49,6 +49,9 @@ def test_tree(nodes):
 
 def test_lookups(nodes, edges):
     assert [r.id for r in explore.search_nodes(nodes, "LIB/X").collect()] == ["lib/x/b.py", "lib/x/b.py::f"]
+    two = nodes.unionByName(nodes.withColumn("repo", F.lit("other")))
+    assert [(r.repo, r.id) for r in explore.search_nodes(two, "LIB/X", limit=1).orderBy("repo").collect()][0] == ("other", "lib/x/b.py")
+    assert explore.search_nodes(two, "LIB/X", limit=1).count() == 2
     near = {(r.id, r.direction, r.other, r.hidden) for r in explore.call_neighbours(nodes, edges, limit=1).collect()}
     assert near == {("a.py::f", "callee", "a.py::g", 1), ("a.py::g", "caller", "a.py::f", 0), ("lib/x/b.py::f", "caller", "a.py::f", 0)}
     deg = {r.id: (r.in_degree, r.out_degree) for r in explore.degrees(nodes, edges).collect()}

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 # look-behind keep the matcher iterative, so a long literal cannot exhaust the
 # stack.
 _TOKEN = (
-    r'(?s)""".*?(?:"""|\z)'
-    r"|'''.*?(?:'''|\z)"
+    r'(?s)""".*?(?:(?<!\\)(?:\\\\)*"""|\z)'
+    r"|'''.*?(?:(?<!\\)(?:\\\\)*'''|\z)"
     r'|"[^\n]*?(?<!\\)(?:\\\\)*"'
     r"|'[^\n]*?(?<!\\)(?:\\\\)*'"
     r"|#[^\n]*"
@@ -58,10 +58,23 @@ def mask_literals(content: Column) -> Column:
 
 
 def drop_brackets(col: Column, mark: str = "", depth: int = 6) -> Column:
-    """Replace balanced bracket groups by ``mark``, innermost first."""
+    """Replace balanced bracket groups by ``mark``.
+
+    A few passes from the innermost on settle nearly every text; where groups
+    nest deeper than ``depth``, a running count of open brackets does.
+    """
+    group = r"[(\[{][^()\[\]{}]*[)\]}]"
     for _ in range(depth):
-        col = F.regexp_replace(col, r"[(\[{][^()\[\]{}]*[)\]}]", mark)
-    return col
+        col = F.regexp_replace(col, group, mark)
+
+    def step(held: Column, char: Column) -> Column:
+        opens, closes = char.isin("(", "[", "{"), char.isin(")", "]", "}") & (held["open"] > 0)
+        after = F.when(opens, held["open"] + 1).when(closes, held["open"] - 1).otherwise(held["open"])
+        text = F.when(closes & (after == 0), mark).when((held["open"] > 0) | opens, "").otherwise(char)
+        return F.struct(after.alias("open"), F.concat(held["out"], text).alias("out"))
+
+    counted = F.aggregate(F.split(col, ""), F.struct(F.lit(0).alias("open"), F.lit("").alias("out")), step, lambda held: held["out"])
+    return F.when(col.rlike(group), counted).otherwise(col)
 
 
 def last_segment(col: Column, separator: str) -> Column:

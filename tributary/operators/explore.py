@@ -12,10 +12,10 @@ from tributary.session import KEYS, first_k
 
 
 def search_nodes(nodes: DataFrame, term: str, limit: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
-    """First matches, by id, of a term in label or file, ignoring case."""
+    """First matches of each repository, by id, of a term in label or file, ignoring case."""
     needle = F.lit(term.lower())
     hit = F.contains(F.lower("label"), needle) | F.coalesce(F.contains(F.lower("file"), needle), F.lit(False))
-    return nodes.filter(hit).select(*keys, "id", "label", "type", "file").orderBy(*keys, "id").limit(limit)
+    return first_k(nodes.filter(hit).select(*keys, "id", "label", "type", "file"), keys, ["id"], limit).drop("rank")
 
 
 def call_neighbours(nodes: DataFrame, edges: DataFrame, limit: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -215,14 +215,14 @@ def annotate_lines(
 
 
 def file_edges(
-    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, suffix: str | None = ".py"
+    nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, suffix: str | None = None
 ) -> DataFrame:
     """``(file, source, target, type)``: edges whose source id starts with the
     path of a file.
 
-    The prefix test becomes an equality: each source id yields its prefixes
-    that end like a path, and only those meet the file nodes.  Without a
-    ``suffix`` every prefix is tried.
+    The prefix test becomes an equality: each source id yields its prefixes,
+    and those meet the file nodes.  If all files are known to end in
+    ``suffix``, only prefixes that do are tried.
     """
     keys = list(keys)
     files = nodes.filter(F.col("type") == "file").select(*keys, F.col("id").alias("file"))

@@ -21,15 +21,17 @@ from tributary.functions.text import drop_brackets, let, mask_literals, strip
 from tributary.schemas import PYTHON_KEYWORDS
 from tributary.session import KEYS, require
 
-_DEF = r"^\s*(?:async\s+)?def\s+(\w+)\s*(?:\[[^\]]*\]\s*)?\("
-_CLASS = r"^\s*class\s+(\w+)\s*(?:\[[^\]]*\]\s*)?[(:]"
-_HEADER = r"^\s*(?:(?:async\s+)?def|class)\s+\w+\s*(?:\[[^\]]*\]\s*)?(?=[(:])"
+# Type parameters, whose bounds may hold subscripts of subscripts.
+_TYPES = r"(?:\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]\s*)?"
+_DEF = rf"^\s*(?:async\s+)?def\s+(\w+)\s*{_TYPES}\("
+_CLASS = rf"^\s*class\s+(\w+)\s*{_TYPES}[(:]"
+_HEADER = rf"^\s*(?:(?:async\s+)?def|class)\s+\w+\s*{_TYPES}(?=[(:])"
 # `match` before its subject, and a case pattern up to its guard or colon
 _PATTERN = r"^\s*(?:match(?=[\s(].*:$)|case\s(?:(?!\sif\s).)*?(?=\sif\s.*:$|:$))"
 _CALL = r"([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*|(?<=[)\]\"])\.\s*\w[\w.]*)\s*\("
 _DOC = r'^[A-Za-z]{0,2}(?:""|\["[\s"]*\])$'
 _DOC_TEXT = (
-    r'(?s)^\s*([A-Za-z]{0,2}(?:""".*?"""|' r"'''.*?'''|" r'"[^\n]*?(?<!\\)(?:\\\\)*"|' r"'[^\n]*?(?<!\\)(?:\\\\)*'))"
+    r'(?s)^\s*([A-Za-z]{0,2}(?:""".*?(?<!\\)(?:\\\\)*"""|' r"'''.*?(?<!\\)(?:\\\\)*'''|" r'"[^\n]*?(?<!\\)(?:\\\\)*"|' r"'[^\n]*?(?<!\\)(?:\\\\)*'))"
 )
 
 _FRAME = "indent:int,kind:string,caller:string,start:int"
@@ -321,7 +323,7 @@ def classes(parsed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """
     s = F.col("s")
     inner = F.split_part(
-        drop_brackets(F.regexp_extract(s["text"], r"^class\s+\w+\s*(?:\[[^\]]*\]\s*)?\((.*)$", 1), "~"),
+        drop_brackets(F.regexp_extract(s["text"], rf"^class\s+\w+\s*{_TYPES}\((.*)$", 1), "~"),
         F.lit(")"),
         F.lit(1),
     )

@@ -28,6 +28,7 @@ from tributary.operators import (
 )
 from tributary.plans import analysis, views
 from tributary.plans import checks as sql
+from tributary.schemas import MAX_FILE_BYTES, MAX_FILES_PER_REPO
 from tributary.session import KEYS, shared_dir, stage
 from tributary.sources import corpus, export, snapshots
 from tributary.streaming import jobs, limits
@@ -190,23 +191,23 @@ def repo_paths(spark, sf):
 
 @query(sql.LISTING)
 def source_listing(spark, sf):
-    return corpus.list_sources(corpus_files(spark, sf)).select(*KEYS, "path", "size")
+    return corpus.list_sources(corpus_files(spark, sf), max_bytes=MAX_FILE_BYTES).select(*KEYS, "path", "size")
 
 
 @query(sql.LISTING_SEGMENT)
 def source_listing_by_segment(spark, sf):
-    return corpus.list_sources(corpus_files(spark, sf), match="segment").select(*KEYS, "path", "size")
+    return corpus.list_sources(corpus_files(spark, sf), match="segment", max_bytes=MAX_FILE_BYTES).select(*KEYS, "path", "size")
 
 
 @query(sql.WITHIN_LIMIT)
 def repos_within_limit(spark, sf):
-    files = corpus.list_sources(corpus_files(spark, sf)).select(*KEYS, "path", "size")
-    return corpus.within_limit(files)
+    files = corpus.list_sources(corpus_files(spark, sf), max_bytes=MAX_FILE_BYTES).select(*KEYS, "path", "size")
+    return corpus.within_limit(files, MAX_FILES_PER_REPO)
 
 
 @query(sql.OVER_LIMIT)
 def repos_over_limit(spark, sf):
-    return corpus.over_limit(corpus.list_sources(corpus_files(spark, sf)))
+    return corpus.over_limit(corpus.list_sources(corpus_files(spark, sf), max_bytes=MAX_FILE_BYTES), MAX_FILES_PER_REPO)
 
 
 @query(sql.FILE_SOURCES)
@@ -871,7 +872,7 @@ def annotated_lines(spark, sf):
 @query(sql.FILE_EDGES)
 def file_edges(spark, sf):
     g = code_graph(spark, sf)
-    return explore.file_edges(g.nodes, g.edges)
+    return explore.file_edges(g.nodes, g.edges, suffix=".py")
 
 
 @query(sql.WEIGHTS)

@@ -63,8 +63,6 @@ MISSING_DOCS_RATIO = 0.3
 GOD_OBJECT_METHODS = 15
 REPOSITORY_OVERLAP = 3
 
-SEVERITIES = ("high", "medium", "low", "info")
-SEVERITY_RANK = {"high": 3, "medium": 2, "low": 1, "info": 0}
 BLAST_SEVERITIES = ("critical", "high", "medium", "low")
 GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
 LAST_GRADE = "F"

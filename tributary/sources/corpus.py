@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.schemas import EXCLUDED_PATH_TERMS, FILES, MAX_FILE_BYTES, MAX_FILES_PER_REPO
+from tributary.schemas import EXCLUDED_PATH_TERMS, FILES
 from tributary.session import KEYS, salted_join
 
 
@@ -38,16 +38,18 @@ def repo_path(urls: DataFrame, column: str = "url", host: str = r"github\.com")
 
 
 def list_sources(
-    tree: DataFrame, match: str = "substring", max_bytes: int = MAX_FILE_BYTES, terms: Sequence[str] = EXCLUDED_PATH_TERMS
+    tree: DataFrame, match: str = "substring", max_bytes: int | None = None, terms: Sequence[str] = EXCLUDED_PATH_TERMS
 ) -> DataFrame:
     """Source files worth reading, judged by path and size alone.
 
+    Files larger than ``max_bytes`` are left out only if a caller asks for it.
     Excluded terms match anywhere in the path, or whole path parts with
     ``match="segment"``.  A ``type`` column restricts rows to blobs.
     """
     path = F.col("path")
     keep = F.endswith(path, F.lit(".py")) & (F.substring_index(path, "/", -1) != "__init__.py")
-    keep = keep & (F.coalesce("size", F.lit(0)) <= max_bytes)
+    if max_bytes is not None:
+        keep = keep & (F.coalesce("size", F.lit(0)) <= max_bytes)
     if match == "segment":
         keep = keep & ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(t) for t in terms]))
     else:
@@ -58,26 +60,20 @@ def list_sources(
     return tree.filter(keep)
 
 
-def over_limit(tree: DataFrame, cap: int = MAX_FILES_PER_REPO, keys: Sequence[str] = KEYS) -> DataFrame:
+def over_limit(tree: DataFrame, cap: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Repositories with more listed files than ``cap``, and their counts."""
     return tree.groupBy(*keys).agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") > cap)
 
 
-def within_limit(tree: DataFrame, cap: int | None = MAX_FILES_PER_REPO, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Files of repositories within the cap; others are rejected whole."""
+def within_limit(tree: DataFrame, cap: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Files of repositories within the cap, if there is one; others are rejected whole."""
     if cap is None:
         return tree
     return salted_join(tree, over_limit(tree, cap, keys).select(*keys), keys, "left_anti", ["path"])
 
 
-def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """Files below ``root/owner/name/commit/...`` with their contents.
-
-    Listing predicates on path and size apply before contents are read, since
-    the file source drops the content column until it is used.  Files that
-    vanish or cannot be read are skipped, and so are files of zero bytes, which
-    Spark's file source leaves out.
-    """
+def _below(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Files below the root with ``_parts``: owner, name, commit and the rest of the path."""
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -86,10 +82,22 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
         .option("ignoreCorruptFiles", True)
         .load(root)
     )
-    base = root.rstrip("/").split("://")[-1].split(":")[-1]
-    below = F.substring_index("path", base + "/", -1)
-    parts = F.split(below, "/", 4)
-    return raw.filter(F.size(parts) == 4).select(
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return raw.withColumn("_parts", F.split(F.substr("path", F.lit(len(qualified) + 2)), "/", 4))
+
+
+def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
+    """Files below ``root/owner/name/commit/...`` with their contents.
+
+    Listing predicates on path and size apply before contents are read, since
+    the file source drops the content column until it is used.  Files that
+    vanish or cannot be read are skipped, and so are files of zero bytes, which
+    Spark's file source leaves out.  ``misplaced`` lists files that lie too high.
+    """
+    rows = _below(spark, root, glob)
+    parts = F.col("_parts")
+    return rows.filter(F.size(parts) == 4).select(
         F.concat_ws("/", parts[0], parts[1]).alias("repo"),
         parts[2].alias("commit_sha"),
         parts[3].alias("path"),
@@ -98,6 +106,11 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
     )
 
 
+def misplaced(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
+    """Files below the root that are in no owner, name and commit folder."""
+    return _below(spark, root, glob).filter(F.size("_parts") < 4).select("path", F.col("length").alias("size"))
+
+
 def load_contents(tree: DataFrame) -> DataFrame:
     """Decode file bytes; files without bytes are dropped."""
     return tree.filter(F.col("bytes").isNotNull()).select(

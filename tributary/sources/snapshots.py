@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,21 +139,23 @@ class SnapshotStore:
             .filter(~F.col("deleted"))
         )
 
-    def _read(self, name: str, schema: T.StructType, wanted: DataFrame) -> DataFrame:
+    def _read(self, name: str, schema: T.StructType, wanted: DataFrame, only: Column | None = None) -> DataFrame:
         stored = T.StructType([
             *schema.fields, T.StructField("repo_key", T.StringType()), T.StructField("write_id", T.StringType())
         ])
         ids = wanted.select(repo_key(F.col("repo")).alias("repo_key"), "commit_sha", "write_id")
-        return self._table(name, stored).join(ids, ["write_id", "repo_key", "commit_sha"], "left_semi").select(*schema.names)
+        rows = self._table(name, stored)
+        rows = rows if only is None else rows.filter(only)
+        return rows.join(ids, ["write_id", "repo_key", "commit_sha"], "left_semi").select(*schema.names)
 
     def read(self, repo: str, commit_sha: str, node_schema: T.StructType = NODES) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of one snapshot; empty tables on a miss."""
         key = snapshot_key(F.lit(repo), F.lit(commit_sha))
         wanted = self.catalog().filter(F.col("snapshot_key") == key)
-        plain = repo_key(F.lit(repo))
+        only = (F.col("repo_key") == repo_key(F.lit(repo))) & (F.col("commit_sha") == commit_sha)  # stored columns: pushed to the scan
         tables = []
         for name, schema in (("nodes", node_schema), ("edges", EDGES)):
-            tables.append(self._read(name, schema, wanted).filter((repo_key(F.col("repo")) == plain) & (F.col("commit_sha") == commit_sha)))
+            tables.append(self._read(name, schema, wanted, only))
         return tables[0], tables[1]
 
     def exists(self, repo: str, commit_sha: str) -> bool:
