@@ -165,3 +165,9 @@ def test_escaped_quotes_deep_brackets_and_type_parameters(spark):
     assert found["deep"].docstring.startswith("says") and "hello" in found["deep"].docstring
     (box,) = symbols.classes(rows).collect()
     assert box.name == "Box" and box.base_classes == ["Base"]
+
+
+def test_calls_in_formatted_strings(spark):
+    text = 'def h(x):\n    a = f"v={g(x)} {{no(1)}} {k(\'q(2)\')!r:>9}" + "w={plain(x)}"\n    return rf\'{m.n(a)}\' + F"{x}"\n'
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "f.py", text)], "repo string, commit_sha string, path string, content string"))
+    assert {(r.caller_function, r.callee, r.line) for r in symbols.call_sites(rows).collect()} == {("h", "g", 2), ("h", "k", 2), ("h", "m.n", 3)}

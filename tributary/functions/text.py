@@ -34,14 +34,21 @@ def strip(col: Column) -> Column:
 def mask_literals(content: Column) -> Column:
     """Blank strings and comments, keeping the line structure.
 
-    One-line strings become ``""``.  A string over several lines becomes a
-    bracketed pair over the same lines, so its lines count as continuation
-    lines whatever they hold.
+    One-line strings become ``""``, formatted ones with the expressions that
+    they hold behind it, each in parentheses.  A string over several lines
+    becomes a bracketed pair over the same lines, so its lines count as
+    continuation lines whatever they hold.
     """
     tokens = F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0))
 
-    def blank(token: Column) -> Column:
+    def fields(token: Column) -> Column:
+        plain = F.regexp_replace(token, r"\{\{|\}\}", "")
+        found = F.regexp_extract_all(plain, F.lit(r"\{([^{}]+)\}"), F.lit(1))
+        return F.array_join(F.transform(found, lambda f: F.concat(F.lit(" % ("), F.regexp_replace(f, r"'[^']*'|\"[^\"]*\"", '""'), F.lit(")"))), "")
+
+    def blank(token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)
+        formatted = (at > 0) & F.get(tokens, at - 1).rlike(r"(?i)(?<!\w)(?:f|rf|fr)$")
         return (
             F.when(first == "#", F.lit(""))
             .when(
@@ -49,7 +56,7 @@ def mask_literals(content: Column) -> Column:
                 F.when(
                     F.contains(token, F.lit("\n")),
                     F.concat(F.lit('["'), F.regexp_replace(token, r"[^\n]+", ""), F.lit('"]')),
-                ).otherwise(F.lit('""')),
+                ).when(formatted & F.contains(token, F.lit("{")), F.concat(F.lit('""'), fields(token))).otherwise(F.lit('""')),
             )
             .otherwise(token)
         )
