@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.operators.graph import CallHubs
-from tributary.session import KEYS, ROWS_PER_CHUNK, KeyedChunks, salted_join, stage
+from tributary.session import KEYS, ROWS_PER_CHUNK, KeyedChunks, salted_join, stage, unstage
 
 
 def pagerank(
@@ -92,16 +92,19 @@ def pagerank(
             loose = state.filter("degree = 0").groupBy(*keys).agg(F.sum("rank").alias("loose"))
             totals = per_slice(sizes.join(loose, keys, "left").na.fill(0.0, ["loose"]))
             rank = F.lit(alpha) * (F.col("share") + F.col("loose") / F.col("n")) + F.lit(1 - alpha) / F.col("n")
-            state = stage(
+            before, state = state, stage(
                 sums.join(totals, [*keys, "slice"]).select(*keys, "id", "slice", "degree", rank.alias("rank"), "prev"), f"rank-{i}"
             )
+            unstage(before)
             if fixed:
                 continue
             change = state.groupBy(*keys).agg(F.sum(F.abs(F.col("rank") - F.col("prev"))).alias("change"))
             settled = stage(
                 sizes.join(change, keys).filter(F.col("change") < F.col("n") * tol).select(*keys, "slices"), f"rank-settled-{i}"
             )
-            if not settled.isEmpty():
+            if settled.isEmpty():
+                unstage(settled)
+            else:
                 done = per_slice(settled)
                 finished.append(state.join(done, [*keys, "slice"], "left_semi").select(*keys, "id", "rank"))
                 state = stage(state.join(done, [*keys, "slice"], "left_anti"), f"rank-open-{i}")
