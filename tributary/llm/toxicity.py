@@ -11,6 +11,7 @@ windows by their softmax, so the words behind a label are found without marks on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,10 +198,20 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     by_hash = known.orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = by_hash.filter("label = 1").limit(most).unionByName(by_hash.filter("label = 0").limit(3 * most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
-    # At most 4 * most ids are broadcast, and as many texts come to the driver.
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * most).select("text", "label").toArrow()
+    # At most 4 * most ids are broadcast, and as many texts go to the one task that fits.
+    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * most).select("text", "label")
     toxic = shares.get(1, 0)
-    return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), prior=min(max(toxic / max(toxic + shares.get(0, 0), 1), 0.001), 0.999))
+    prior = min(max(toxic / max(toxic + shares.get(0, 0), 1), 0.001), 0.999)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("label", pa.int32())]))
+        model = fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy(), prior=prior)
+        yield pa.record_batch([pa.array([model.margins.tobytes()], pa.binary()), pa.array([model.bias])], ["margins", "bias"])
+
+    found = rows.mapInArrow(run, "margins binary, bias double").first()
+    if found is None:
+        return fit(pa.array([], pa.string()), np.zeros(0))
+    return Toxicity(np.frombuffer(found["margins"], np.float32), found["bias"])
 
 
 def with_score(docs: DataFrame, model: Toxicity, text: str = "text", into: str = "score") -> DataFrame:
