@@ -37,7 +37,7 @@ SKETCH_BITS = 512
 MARGIN = 0.14
 
 #: Shingles of classes that are held against others in one task.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 250_000
 
 #: Rounds in which each class outside its buckets' largest components is held against one of their leaders.
 STARS = 2
