@@ -36,13 +36,21 @@ LONG = 48
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """The places of a text sorted by the ``depth`` codes from there on; rank doubling."""
-    rank, done = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-    while done < depth:
+    key, done = codes.astype(np.int64), 1
+    while True:
+        top = int(key.max()) + 1 if len(key) else 1
+        if done >= depth:
+            return np.argsort(key, kind="stable")
+        if top <= 4 * len(key) + (1 << 21):  # few possible keys: ranks by counting
+            seen = np.zeros(top, bool)
+            seen[key] = True
+            rank = np.cumsum(seen, dtype=np.int64)[key]
+        else:
+            rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         after = np.zeros(len(rank), np.int64)
-        after[: max(len(rank) - done, 0)] = rank[done:] + 1
-        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64)
+        after[: max(len(rank) - done, 0)] = rank[done:]
+        key = rank * (int(rank.max()) + 1 if len(rank) else 1) + after
         done *= 2
-    return np.argsort(rank, kind="stable")
 
 
 class Pieces:
@@ -64,9 +72,11 @@ class Pieces:
         self.longer = np.array(sorted((i for i in plain if len(self.text[i]) > 1), key=lambda i: self.text[i]))
         self.width = max((len(self.text[i]) for i in self.longer), default=1)
         self.length = np.array([len(self.text[i]) for i in self.longer], np.int64)
-        self.codes = np.zeros((len(self.longer), self.width), np.int64)
+        self.codes = np.zeros((len(self.longer), self.width), np.int32)
         for row, i in enumerate(self.longer):
             self.codes[row, : self.length[row]] = [ord(c) for c in self.text[i]]
+        self.single_codes = np.array(sorted(ord(c) for c in self.single), np.int64)
+        self.single_ids = np.array([self.single[chr(c)] for c in self.single_codes.tolist()], np.int64)
         self.price = np.array([-model.get_score(i) for i in range(size)])
         self.known: dict[str, bytes] = {}
         raw = [bytes([int(t[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
@@ -77,21 +87,23 @@ class Pieces:
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``longer`` and the places where they occur, by place."""
         order = suffix_array(codes, self.width)
-        padded = np.concatenate([codes, np.full(self.width, -1)])
+        padded = np.concatenate([codes, np.full(self.width, -1)]).astype(np.int32)
         step = np.arange(self.width)
+        first_code = codes[order]
+        edges = [np.searchsorted(first_code, self.codes[:, 0], side) for side in ("left", "right")]
         inside = step < self.length[:, None]
         ranges = []
         for upper in (False, True):
-            low, high = np.zeros(len(self.longer), np.int64), np.full(len(self.longer), len(order), np.int64)
+            low, high = edges[0].copy(), edges[1].copy()
             while (low < high).any():
                 mid = (low + high) // 2
-                apart = np.where(inside, padded[order[np.minimum(mid, len(order) - 1)][:, None] + step] - self.codes, 0)
-                first = (apart != 0).argmax(1)
-                sign = apart[np.arange(len(apart)), first]
+                go = np.flatnonzero(low < high)
+                mid = mid[go]
+                apart = (padded[order[mid][:, None] + step] - self.codes[go]) * inside[go]
+                sign = apart[np.arange(len(go)), (apart != 0).argmax(1)]
                 before = (sign <= 0) if upper else (sign < 0)
-                go = low < high
-                low = np.where(go & before, mid + 1, low)
-                high = np.where(go & ~before, mid, high)
+                low[go[before]] = mid[before] + 1
+                high[go[~before]] = mid[~before]
             ranges.append(low)
         count = ranges[1] - ranges[0]
         place, row = order[ragged(ranges[0], count)], np.repeat(np.arange(len(count)), count)
@@ -102,26 +114,37 @@ class Pieces:
         """Encode chunks that are not known yet."""
         codes = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         row, place = self.occurrences(codes)
-        edge = np.full((len(codes), self.width + 1), -1, np.int32)
+        edge = np.full((len(codes), self.width + 1), -1, np.int16 if len(self.text) < 1 << 15 else np.int32)
         edge[place, self.length[row]] = self.longer[row]
         size = np.array([len(c) for c in chunks], np.int64)
         start = np.cumsum(size + 1) - size - 1
-        cut = np.ones(len(codes), bool)  # whether a segment starts at a place
+        cut = np.ones(len(codes) + 1, bool)  # whether a segment starts at a place
         for k in np.flatnonzero(size > LONG).tolist():
             self._relax_one(edge, cut, int(start[k]), int(size[k]))
         short = np.flatnonzero((size > 1) & (size <= LONG))
         self._relax(edge, cut, ragged(start[short], size[short]), np.repeat(np.arange(len(short)), size[short]), len(short))
-        for chunk, a, n in zip(chunks, start.tolist(), size.tolist(), strict=True):
-            begins = np.flatnonzero(cut[a : a + n]) if n > 1 else np.zeros(1, np.int64)
-            ids: list[int] = []
-            for b, e in zip(begins.tolist(), [*begins[1:].tolist(), n], strict=True):
-                if e - b > 1:
-                    ids.append(int(edge[a + b, e - b]))
-                elif chunk[b] in self.single:
-                    ids.append(self.single[chunk[b]])
-                else:
-                    ids += [self.byte[x] for x in chunk[b].encode("utf-8", "replace")]
-            self.known[chunk] = np.array(ids, "<u4").tobytes()
+        cut[start + size] = False  # what parts the chunks
+        cut = cut[: len(codes)]
+        begin = np.flatnonzero(cut)
+        owner = np.searchsorted(start, begin, "right") - 1
+        length = np.minimum(np.append(begin[1:], len(codes)), (start + size)[owner]) - begin
+        piece = edge[begin, length].astype(np.int64)
+        alone = np.flatnonzero(length == 1)
+        at = np.minimum(np.searchsorted(self.single_codes, codes[begin[alone]]), len(self.single_codes) - 1)
+        piece[alone] = np.where(self.single_codes[at] == codes[begin[alone]], self.single_ids[at], -1)
+        strange = np.flatnonzero(piece < 0)
+        other = [[self.byte[x] for x in chr(codes[begin[i]]).encode("utf-8", "replace")] for i in strange.tolist()]
+        count = np.ones(len(piece), np.int64)
+        count[strange] = [len(o) for o in other]
+        ids = np.repeat(piece, count)
+        if len(strange):
+            ids[ragged((np.cumsum(count) - count)[strange], count[strange])] = np.concatenate(other)
+        flat = ids.astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(owner, count, len(chunks))).astype(np.int64) * 4).tolist()
+        last = 0
+        for chunk, end in zip(chunks, ends, strict=True):
+            self.known[chunk] = flat[last:end]
+            last = end
 
     def _relax(self, edge: np.ndarray, cut: np.ndarray, at: np.ndarray, owner: np.ndarray, chunks: int) -> None:
         """Take edges in all chunks at once, one per chunk and round, until none is left anywhere."""
