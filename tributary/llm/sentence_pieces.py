@@ -28,8 +28,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 #: Chunks of which a worker remembers the ids, and text bytes taken at a time.
-REMEMBERED = 400_000
-TEXT_BYTES = 8 << 20
+REMEMBERED = 250_000
+TEXT_BYTES = 5 << 20
 #: Longer chunks are relaxed one by one with a queue, the others all together.
 LONG = 48
 
