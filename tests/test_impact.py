@@ -1,3 +1,4 @@
+import os
 import random
 from collections import deque
 
@@ -114,3 +115,13 @@ def test_edge_impact(spark):
     hit = spark.createDataFrame([("r", "c", "a", "critical"), ("r", "c", "b", "low"), ("r", "c", "s", "source")], NODE + ", severity string")
     got = {(r.source, r.target): r.impact for r in impact.edge_impact(edges, hit).collect()}
     assert got == {("a", "b"): "critical", ("s", "b"): "medium", ("b", "z"): "dim", ("y", "z"): "hidden"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_every_supplier_has_a_prompt(spark):
+    from tributary.plans.queries import QUERIES, forget_staged, table
+
+    forget_staged()
+    parts = QUERIES["impact_prompt_parts_by_supplier"](spark, "/root/testdata/sf0.01").filter("part = 1").select("seed").collect()
+    assert sorted(r.seed for r in parts) == sorted(f"S{r.s_suppkey}" for r in table(spark, "/root/testdata/sf0.01", "supplier").collect())
+    forget_staged()

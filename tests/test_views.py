@@ -103,6 +103,13 @@ def test_hulls(spark):
     assert out == [(-1, -1), (3, -1), (3, 3), (-1, 3)]
 
 
+def test_hulls_return_points_that_are_not_finite(spark):
+    points = [("g", 0.0, 0.0), ("g", float("nan"), 1.0), ("g", 1.0, float("inf")), ("g", None, 2.0), (None, -float("inf"), 0.0)]
+    df = spark.createDataFrame(points, "k string, px double, py double")
+    got = [(r.k, str(r.x), str(r.y)) for r in hull.rejected(df, ["k"], "px", "py").collect()]
+    assert sorted(got, key=str) == sorted([("g", "nan", "1.0"), ("g", "1.0", "inf"), ("g", "None", "2.0"), (None, "-inf", "0.0")], key=str)
+
+
 def test_summaries(spark, nodes):
     items = summaries.first_items(summaries.symbols_by_file(nodes), limit=2)
     assert [r.id for r in items.filter("file = 'a.py'").orderBy("rank").collect()] == ["a.py::K", "a.py::f"]

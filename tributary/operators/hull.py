@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Groups a task keeps open before it hands on their partial hulls.
@@ -32,18 +32,31 @@ def ring(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return chain(points) + chain(points[::-1])
 
 
+def _coordinates(points: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
+    return points.select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+
+def _finite() -> Column:
+    ok = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & ~F.isnan("x") & ~F.isnan("y")
+    return F.coalesce(ok, F.lit(False))
+
+
+def rejected(points: DataFrame, group: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """``(group, x, y)``: the points that ``hulls`` leaves out, since a coordinate is null, NaN or infinite."""
+    return _coordinates(points, group, x, y).filter(~_finite())
+
+
 def hulls(points: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", buckets: int = 64) -> DataFrame:
     """``(group, seq, x, y)``: hull vertices of every group.
 
     Hulls compose: the hull of hulls is the hull of all points.  Each task
     first reduces its own rows, batch by batch, without a shuffle; the vertices
     of many tasks then merge per bucket of tasks and at last per group.  Two
-    points are returned as they are; fewer give nothing.
+    points are returned as they are; fewer give nothing.  Points that are not
+    finite take no part; ``rejected`` returns them.
     """
     group = list(group)
-    finite = points.select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
-        (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & ~F.isnan("x") & ~F.isnan("y")
-    )
+    finite = _coordinates(points, group, x, y).filter(_finite())
     counted = finite.groupBy(*group).agg(F.count(F.lit(1)).alias("_points")).filter("_points > 1")
     keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in finite.schema if f.name in group)
     fields = f"{keys}, seq int, x double, y double"

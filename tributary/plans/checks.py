@@ -624,6 +624,10 @@ UNION ALL SELECT seed, 4, '', concat_ws(chr(10), concat('Called by: ', {_show('c
 UNION ALL SELECT seed, 5, '', 'What breaks, and what needs testing? End with RISK_LEVEL: [{"|".join(S.RISK_LEVELS)}]' FROM pf)""",
     True,
 )
+#: The same with every supplier as a change of its own.
+PROMPT_PARTS_EACH = PROMPT_PARTS.replace(
+    "min(concat('S', s_suppkey)) AS id FROM supplier GROUP BY s_nationkey", "concat('S', s_suppkey) AS id FROM supplier"
+).replace("concat('N', s_nationkey) AS seed", "concat('S', s_suppkey) AS seed")
 RISK_LEVELS = f"""
 SELECT doc_id, coalesce(nullif(upper(regexp_extract(concat(text, chr(10), ['Risk_level: safe', 'RISK_LEVEL:RISKY', 'risk_level:  dangerous.', 'no verdict'][doc_id % 4 + 1]),
  '(?i)RISK_LEVEL:\\s*({"|".join(S.RISK_LEVELS)})', 1)), ''), '{S.DEFAULT_RISK}') AS risk_level FROM documents"""
@@ -691,6 +695,7 @@ MERGED = _with(
     _GRAPH,
     f"SELECT {_K}, id, CASE WHEN type = 'function' AND start_line > 30 THEN concat('Runs ', label) ELSE '' END AS summary FROM nd",
 )
+MERGED_ALL = _with(_GRAPH, f"SELECT {_K}, id, CASE WHEN type = 'function' THEN concat('Runs ', label) ELSE '' END AS summary FROM nd")
 
 # --- Conversations -----------------------------------------------------------
 

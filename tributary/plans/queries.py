@@ -666,6 +666,17 @@ def impact_prompt_parts(spark, sf):
     )
 
 
+@query(sql.PROMPT_PARTS_EACH)
+def impact_prompt_parts_by_supplier(spark, sf):
+    """A prompt for every supplier, each a change of its own."""
+    nodes, edges = trade_nodes(spark, sf).withColumn("summary", F.lit("")), trade_edges(spark, sf)
+    proposed = _proposed(spark, sf).withColumn("seed", F.col("id"))
+    affected = stage(impact.blast_radius(edges, proposed.select(*KEYS, "seed", "id"), paths=True), "supplier-affected")
+    entries = graph.entry_points(nodes, edges)
+    at_risk = stage(impact.entry_points_at_risk(entries, edges, affected, trade_severity(spark, sf)), "supplier-at-risk")
+    return impact.impact_prompt_parts(proposed, nodes, impact.neighbourhood(nodes, edges), affected, at_risk)
+
+
 @query(sql.PAYLOAD)
 def impact_payload(spark, sf):
     return impact.impact_payload(trade_affected(spark, sf), trade_at_risk(spark, sf))
@@ -742,6 +753,15 @@ def merged_summaries(spark, sf):
     return summaries.merge_summaries(nodes, made).select(*KEYS, "id", "summary")
 
 
+@query(sql.MERGED_ALL)
+def merged_summaries_of_all(spark, sf):
+    nodes = code_graph(spark, sf).nodes
+    made = nodes.filter("type = 'function'").select(
+        *KEYS, "file", F.col("label").alias("name"), F.concat(F.lit("Runs "), "label").alias("summary")
+    )
+    return summaries.merge_summaries(nodes, made).select(*KEYS, "id", "summary")
+
+
 # --- Conversations -----------------------------------------------------------
 
 
