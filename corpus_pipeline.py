@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import secret_scan, toxicity
 from tributary.llm.common import staged, table
-from tributary.llm.near_duplicates import near_duplicates
+from tributary.llm.near_duplicates import near_duplicates, text_key
 from tributary.llm.packing import pack
 from tributary.llm.queries import fold, vocabulary
 from tributary.llm.substrings import drop_repeats
@@ -33,12 +33,23 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked over five-word shingles at 0.8 or more, the one with the smallest id stays.
+    """Of rows linked over five-word shingles at 0.8 or more, the one with the smallest id stays.
 
-    Rows that share an id are one document; rows without an id stay.
+    Rows that share an id are told apart by their text: of a group's rows of the smallest
+    id one text stays, and of equal rows one.  Rows without an id or any word stay.
     """
-    gone = near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, k=5, percent=80, keyed=True).filter("group is not null")
+    texts = staged(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")), "texts").frame
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("group", "first.*")
+    gone = texts.join(first, ["group", "doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.lit(0).alias("copies"))
+    repeated = texts.filter("copies > 1").join(first, ["group", "doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
+    if repeated.isEmpty():
+        return rows.join(gone, ["doc_id", "text_key"], "left_anti").select("row.*")
+    marked = rows.join(gone.unionByName(repeated), ["doc_id", "text_key"], "left")
+    once = marked.filter("copies > 0").groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    return marked.filter("copies is null").select("row.*").unionByName(once.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

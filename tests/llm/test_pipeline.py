@@ -71,3 +71,24 @@ def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     # Without labels nothing is known to be toxic.
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.count("*")).first()[0] == 2
+
+
+def test_near_copies_of_repeated_ids(spark, tmp_path):
+    x, y, clean = prose(40, 1), prose(40, 2), prose(40, 3)
+    texts = [
+        (3, y), (5, x), (5, y), (8, x),  # each of the sets of 5 keeps its smallest row
+        (8, clean),  # not linked, though its id goes elsewhere
+        (20, prose(40, 4)), (20, prose(40, 4)), (21, prose(40, 4)),  # equal rows
+        (30, prose(90, 5)), (30, prose(90, 5) + " more"),  # a near copy under the same id
+        (40, prose(40, 6)), (40, prose(40, 7)),  # one id, nothing in common
+        (50, None), (50, ""), (None, x), (None, x),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
+    out = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
+    assert out.schema.names == docs.schema.names
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    either = [(30, prose(90, 5)), (30, prose(90, 5) + " more")]
+    assert sum(got.pop(e, 0) for e in either) == 1
+    assert got == Counter([(3, y), (5, x), (8, clean), (20, prose(40, 4)), (40, prose(40, 6)), (40, prose(40, 7)), (50, None), (50, ""), (None, x), (None, x)])
+    unique = docs.filter("doc_id in (3, 8) and text <> ''").dropDuplicates(["doc_id"])
+    assert corpus_pipeline.near_copies(spark, unique, str(tmp_path)).count() == 2

@@ -223,7 +223,14 @@ def _id_of(node: str) -> Column:
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: the digest of their text, where null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, keyed: bool = False
+) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles are linked by a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are split at ASCII white space after A-Z are lower-cased; a text of fewer
@@ -234,10 +241,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     Null and empty texts have no shingles, are linked with nothing and kept.  Rows
     without an id take no part: their component is null and they are kept.  Equal
     rows are one class and get equal answers; rows that share an id are told apart by
-    their text.  Other columns are ignored.  An empty table gives no rows.
+    their text.  Other columns are ignored.  An empty table gives no rows.  With
+    ``keyed``, each row also has its ``text_key`` and its ``group``, which differs for
+    different groups whose smallest ids are equal; it is null where the row takes no part.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("text_key", F.unhex(F.md5("text")))
+    source = source.withColumn("text_key", text_key(F.col("text")))
     schema = "doc_id long, text_key binary, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
     signed = staged(source.mapInArrow(_sign(k, bands, rows), schema), "signatures").frame
     with_id = signed.filter("doc_id is not null and node is not null")
@@ -328,10 +337,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
 
     answer = classes.select(F.col("set_key").alias("node"), F.col("node").alias("own")).join(
         groups.withColumnRenamed("node", "own"), "own", "left"
-    ).select("node", _id_of("component").alias("component_id"), _id_of("own").alias("first_id"))
+    ).select("node", _id_of("component").alias("component_id"), _id_of("own").alias("first_id"), F.coalesce("component", "own").alias("group"))
+    more_columns = ["text_key", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")] if keyed else []
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
-        .select("doc_id", "n_shingles", own.alias("component_id"))
+        signed.select("doc_id", "text_key", "n_shingles", "node").join(answer, "node", "left")
+        .select("doc_id", "n_shingles", own.alias("component_id"), *more_columns)
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
