@@ -47,6 +47,22 @@ def test_models_find_keys_without_a_rule(spark):
     assert all(got[20 + i] == "" for i in range(len(words)) if i != 2) and got[24] == "assign:0:39"
 
 
+def test_keys_inside_longer_runs(spark):
+    train = documents(spark, [f"{prose(80, i)} {prose(40, i + 700).replace(' ', '/')} token={key(40, i)} {prose(9, i + 500)}" for i in range(150)])
+    table = ratios(transitions(samples_of(train)))
+    path, access, long_hex = "abcde/" * 40, "AKIA" + key(16, 2, string.ascii_uppercase + string.digits), key(32, 3, "0123456789abcdef")
+    texts, wanted = [], []
+    for i in range(10):
+        one, two = key(40, 950 + i), key(40, 990 + i)
+        texts += [f"é {path}{one} x", f"{path}{one}/{path}{two}/{path}", f"{access}={one}", f"{long_hex}/{one}", path]
+        wanted += [[one], [one, two], [one], [one], []]
+    rows = with_spans(documents(spark, texts, clash=("_rest",)), table).select("doc_id", "text", "_rest", of_kind(F.col("spans"), "markov").alias("s")).collect()
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["s"]] for r in rows}
+    assert all(r["_rest"] == "other" for r in rows)
+    # A span may take in the path segments beside its key.
+    assert all(len(got[i]) == len(w) and all(k in g and len(g) <= len(k) + 14 for k, g in zip(w, got[i])) for i, w in enumerate(wanted)), got
+
+
 def test_redaction(spark):
     docs = with_spans(documents(spark, TEXTS), [0.0] * 67 * 67)
     got = {r["doc_id"]: r["text"] for r in redacted(docs, F.lit("[S]")).collect()}

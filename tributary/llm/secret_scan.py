@@ -1,9 +1,9 @@
 """Secret scans: rules, and character Markov models compared by log-likelihood ratio.
 
 Two models of first order are trained from labelled samples, one of random strings and
-one of ordinary identifiers.  A long run of key characters is reported if the first
-explains its transitions so much better than the second that the ratio's logarithm
-passes a threshold.  Everything runs on built-in functions; a text is only taken apart
+one of ordinary identifiers.  A stretch of a long run of key characters is reported if
+the first explains its transitions so much better than the second that the ratio's
+logarithm passes a threshold.  Everything runs on built-in functions; a text is only taken apart
 if a cheap test says that it may hold something.
 """
 
@@ -113,33 +113,90 @@ def samples_of(docs: DataFrame, text: str = "text", most: int = 4000) -> DataFra
     return secrets.unionByName(others)
 
 
-def _score(value: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a run of key characters."""
+def _stretches(value: Column, table: list[float], threshold: float) -> Column:
+    """The stretches of a run of key characters that score ``threshold`` or more: places from 0, the end exclusive.
+
+    A sum of log-likelihood ratios runs along; a stretch goes from where the sum left 0
+    to its peak, and is over once the sum is back at 0 or ``threshold`` below the peak.
+    """
     n = len(ALPHABET)
     ratio = F.array(*[F.lit(x) for x in table])
     places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    none = F.array().cast("array<struct<from:int,to:int>>")
+
+    def found(held: Column) -> Column:
+        return F.when(held["best"] >= threshold, F.concat(held["out"], F.array(F.struct(held["from"].alias("from"), held["to"].alias("to"))))).otherwise(held["out"])
+
+    def step(held: Column, at: Column) -> Column:
+        total = held["sum"] + F.element_at(ratio, ((held["last"] - 1) * n + at).cast("int"))
+        over = (total <= 0) | (held["best"] - total >= threshold)
+        peak = ~over & (total > held["best"])
+        return F.struct(
+            at.alias("last"), (held["place"] + 1).alias("place"), F.when(over, 0.0).otherwise(total).alias("sum"),
+            F.when(over, 0.0).when(peak, total).otherwise(held["best"]).alias("best"),
+            F.when(over, held["place"] + 1).otherwise(held["from"]).alias("from"),
+            F.when(peak, held["place"] + 2).otherwise(held["to"]).alias("to"),
+            F.when(over, found(held)).otherwise(held["out"]).alias("out"),
+        )
+
     return F.aggregate(
         F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))),
-        F.struct(F.element_at(places, 1).alias("last"), F.lit(0.0).alias("sum")),
-        lambda held, at: F.struct(at.alias("last"), (held["sum"] + F.element_at(ratio, ((held["last"] - 1) * n + at).cast("int"))).alias("sum")),
-        lambda held: held["sum"],
+        F.struct(
+            F.element_at(places, 1).alias("last"), F.lit(0).alias("place"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"),
+            F.lit(0).alias("from"), F.lit(0).alias("to"), none.alias("out"),
+        ),
+        step, found,
+    )
+
+
+def _markov_spans(text: Column, run: Column, table: list[float], shortest: int, threshold: float) -> Column:
+    """The stretches inside a run, out to the separators around them, if they are long enough then."""
+    value = F.substring(text, run["start"] + 1, run["end"] - run["start"])
+
+    def span(s: Column) -> Column:
+        before = F.char_length(F.regexp_extract(F.substring(value, F.lit(1), s["from"]), "[^/=_-]*$", 0))
+        after = F.char_length(F.regexp_extract(F.substring(value, s["to"] + 1, F.char_length(value)), "^[^/=_-]*=*", 0))
+        return F.struct(
+            (run["start"] + s["from"] - before).alias("start"), run["rank"].alias("rank"), (run["start"] + s["to"] + after).alias("end"), run["kind"].alias("kind")
+        )
+
+    spans = F.array_distinct(F.transform(_stretches(value, table, threshold), span))
+    return F.filter(spans, lambda s: s["end"] - s["start"] >= shortest).cast(SPANS)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces where the spans are, as long as before."""
+
+    def step(held: Column, s: Column) -> Column:
+        gap = F.substring(text, held["at"] + 1, F.greatest(s["start"] - held["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(held["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], gap, blank).alias("out"))
+
+    cut = F.aggregate(
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+        lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.char_length(text))),
     )
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
 def with_spans(docs: DataFrame, table: list[float], text: str = "text", into: str = "spans", shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns, and an array of the secrets' spans, by start and then by kind.
 
     Spans are code points, the end exclusive.  Base spans always stay; the models add
-    ``markov`` spans for whole runs that no base span overlaps.  A null or empty text
-    has none.  Equal rows get equal spans.  A column named ``into`` is replaced.
+    ``markov`` spans for the stretches of what the base spans leave of a run of key
+    characters.  A null or empty text has none.  Equal rows get equal spans.  A column
+    named ``into`` is replaced.
     """
+    rest = "_rest"
+    while rest in (*docs.columns, into):
+        rest = f"_{rest}"
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     whole = f"(?<!{RUN}){RUN}{{{shortest},}}"
-    runs = F.when(body.rlike(f"{RUN}{{{shortest}}}"), _spans(body, whole, "markov", 3, lambda v: _score(v, table) >= threshold)).otherwise(_none())
     out = docs.withColumn(into, base_spans(body))
-    base = F.col(into)
-    apart = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return out.withColumn(into, F.array_sort(F.concat(base, apart)))
+    out = out.withColumn(rest, F.when(body.rlike(f"{RUN}{{{shortest}}}"), _blanked(body, F.col(into))).otherwise(""))
+    runs = F.when(F.col(rest) != "", _spans(F.col(rest), whole, "markov", 3, lambda v: F.lit(True))).otherwise(_none())
+    added = F.flatten(F.transform(runs, lambda r: _markov_spans(F.col(rest), r, table, shortest, threshold)))
+    return out.withColumn(into, F.array_sort(F.concat(F.col(into), added))).drop(rest)
 
 
 def redacted(docs: DataFrame, mark: Column, text: str = "text", spans: str = "spans") -> DataFrame:
