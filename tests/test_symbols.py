@@ -171,3 +171,27 @@ def test_calls_in_formatted_strings(spark):
     text = 'def h(x):\n    a = f"v={g(x)} {{no(1)}} {k(\'q(2)\')!r:>9}" + "w={plain(x)}"\n    return rf\'{m.n(a)}\' + F"{x}"\n'
     rows = symbols.parse_files(spark.createDataFrame([("r", "c", "f.py", text)], "repo string, commit_sha string, path string, content string"))
     assert {(r.caller_function, r.callee, r.line) for r in symbols.call_sites(rows).collect()} == {("h", "g", 2), ("h", "k", 2), ("h", "m.n", 3)}
+
+
+def test_formatted_fields_of_any_depth(spark):
+    lines = [
+        'f"{compute(x):>{width(y)}}"', 'f"{a(x):{w}} b {b(1)}"', 'f"{g({1: {2: h(3)}})}"', "f'{p(d[\"}\"]):}}>{n}} {q(1)}'",
+        "f\"{r(x):'>9} {s(y)}\"", 'f"{{no(1)}} {{{yes(2)}}} {open(3"',
+    ]
+    text = "def top(x):\n" + "".join(f"    v = {line}\n" for line in lines) + "    return last(1)\n"
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "f.py", text)], "repo string, commit_sha string, path string, content string"))
+    found = {(r.callee, r.line) for r in symbols.call_sites(rows).collect()}
+    assert found == {
+        ("compute", 2), ("width", 2), ("a", 3), ("b", 3), ("g", 4), ("h", 4), ("p", 5), ("q", 5), ("r", 6), ("s", 6), ("yes", 7), ("last", 8),
+    }
+
+
+def test_type_parameters_of_any_depth(spark):
+    text = (
+        "def f[T: dict[str, list[tuple[int]]]](x):\n    return g(x)\n\nclass B[T: a[b[c[d[e]]]]](Base):\n    pass\n\n"
+        "async def h[\n    T: a[b[c[d]]],\n](y, z):\n    pass\n\nclass C[T: a[b[c[d]]]]:\n    pass\n"
+    )
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "t.py", text)], "repo string, commit_sha string, path string, content string"))
+    assert {r.name: r.parameters for r in symbols.functions(rows).collect()} == {"f": ["x"], "h": ["y", "z"]}
+    assert {r.name: r.base_classes for r in symbols.classes(rows).collect()} == {"B": ["Base"], "C": []}
+    assert {(r.caller_function, r.callee) for r in symbols.call_sites(rows).collect()} == {("f", "g")}

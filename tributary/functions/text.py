@@ -31,6 +31,59 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
+def _no_field() -> Column:
+    return F.struct(F.lit("").alias("open"), F.lit("").alias("quote"), F.lit("").alias("last"), F.lit("").alias("out"), F.lit("").alias("done"))
+
+
+def _in_field(held: Column, char: Column) -> Column:
+    """One character of a formatted string.
+
+    ``open`` holds what is open, the innermost last: ``f`` for a field's
+    expression, ``b`` for a bracket in it, ``s`` for a format, which may hold
+    fields again.  ``done`` is ``out`` up to the last field that was closed.
+    """
+    start = " % ("
+    opened, out = held["open"], held["out"]
+    top = F.substring(opened, -1, 1)
+    less = F.substring(opened, F.lit(1), F.length(opened) - 1)
+    inside = (top == "f") | (top == "b")
+    quoted = held["quote"] != ""
+    escape = (opened == "f") & (held["last"] == "{") & (char == "{") & F.endswith(out, F.lit(start))
+    begins = ~inside & (char == "{")
+    quote = inside & char.isin('"', "'")
+    nested, closes = inside & char.isin("(", "[", "{"), char.isin(")", "]", "}")
+    ends = (top == "f") & (char == "}")
+    now_open = (
+        F.when(quoted, opened).when(escape, "").when(begins, F.concat(opened, F.lit("f"))).when(nested, F.concat(opened, F.lit("b")))
+        .when(ends | ((top == "b") & closes) | ((top == "s") & (char == "}")), less)
+        .when((top == "f") & (char == ":"), F.concat(less, F.lit("s"))).otherwise(opened)
+    )
+    now_out = (
+        F.when(quoted, out).when(escape, F.substring(out, F.lit(1), F.length(out) - len(start))).when(begins, F.concat(out, F.lit(start)))
+        .when(quote, F.concat(out, F.lit('""'))).when(ends | ((top == "f") & (char == ":")), F.concat(out, F.lit(")")))
+        .when(inside, F.concat(out, char)).otherwise(out)
+    )
+    now_quote = F.when(quoted & (char == held["quote"]), "").when(quoted, held["quote"]).when(quote & ~escape, char).otherwise("")
+    # A doubled brace outside a field is text; the second one opens nothing with a third.
+    last = F.when(escape, "").otherwise(char)
+    return let(F.struct(now_open.alias("open"), now_quote.alias("quote"), last.alias("last"), now_out.alias("out")), lambda n: F.struct(
+        n["open"].alias("open"), n["quote"].alias("quote"), n["last"].alias("last"), n["out"].alias("out"),
+        F.when(n["open"] == "", n["out"]).otherwise(held["done"]).alias("done"),
+    ))
+
+
+def drop_group(col: Column) -> Column:
+    """What follows the bracket group that a text starts with, of any depth; all of it if the group isn't closed."""
+
+    def step(held: Column, char: Column) -> Column:
+        at = held["at"] + 1
+        depth = held["open"] + F.when(char.isin("(", "[", "{"), 1).when(char.isin(")", "]", "}"), -1).otherwise(0)
+        return F.struct(depth.alias("open"), at.alias("at"), F.when((held["end"] == 0) & (depth == 0), at).otherwise(held["end"]).alias("end"))
+
+    end = F.aggregate(F.split(col, ""), F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(0).alias("end")), step, lambda held: held["end"])
+    return F.substring(col, end + 1, F.length(col))
+
+
 def mask_literals(content: Column) -> Column:
     """Blank strings and comments, keeping the line structure.
 
@@ -42,9 +95,7 @@ def mask_literals(content: Column) -> Column:
     tokens = F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0))
 
     def fields(token: Column) -> Column:
-        plain = F.regexp_replace(token, r"\{\{|\}\}", "")
-        found = F.regexp_extract_all(plain, F.lit(r"\{([^{}]+)\}"), F.lit(1))
-        return F.array_join(F.transform(found, lambda f: F.concat(F.lit(" % ("), F.regexp_replace(f, r"'[^']*'|\"[^\"]*\"", '""'), F.lit(")"))), "")
+        return F.aggregate(F.split(token, ""), _no_field(), _in_field, lambda held: held["done"])
 
     def blank(token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)

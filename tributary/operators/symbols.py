@@ -7,7 +7,7 @@ holds a third of all files spreads over as many tasks as its bytes need.  Only
 the resolution of names across files (``operators.graph``) shuffles.
 
 The scan is relational over lines, not a grammar.  Known limits: calls inside
-f-strings are not seen, the object of a chained call is written ``(...)``, and
+f-strings over several lines are not seen, the object of a chained call is written ``(...)``, and
 a docstring on the header's own line is not read.  Broken code gives the
 symbols of its readable lines.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.text import drop_brackets, let, mask_literals, strip
+from tributary.functions.text import drop_brackets, drop_group, let, mask_literals, strip
 from tributary.schemas import PYTHON_KEYWORDS
 from tributary.session import KEYS, require
 
@@ -70,6 +70,13 @@ def _no_rows(element: str) -> list[Column]:
     ]
 
 
+def _without_types(text: Column) -> Column:
+    """A header without its type parameters, if they nest deeper than the patterns read."""
+    name = r"(?s)^(\s*(?:(?:async\s+)?def|class)\s+\w+\s*)(\[.*)$"
+    deep = text.rlike(name) & ~text.rlike(_DEF + "|" + _CLASS)
+    return F.when(deep, F.concat(F.regexp_extract(text, name, 1), drop_group(F.regexp_extract(text, name, 2)))).otherwise(text)
+
+
 def _calls(text: Column, line: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(text, _HEADER, ""), _PATTERN, "")
     names = F.transform(
@@ -102,7 +109,7 @@ def _lines(masked: Column) -> Column:
                 _calls(t, index + 1).alias("calls"),
             )
 
-        return let(F.regexp_replace(text, r"\s+$", ""), build)
+        return let(let(F.regexp_replace(text, r"\s+$", ""), _without_types), build)
 
     return F.transform(F.split(masked, "\n"), row)
 
@@ -138,7 +145,7 @@ def _statement(code: Column, starts: Column, first: Column, index: Column) -> Co
         F.element_at(code, first)["line"].alias("start"),
         F.element_at(code, following - 1)["line"].alias("end"),
         F.element_at(code, first)["indent"].alias("indent"),
-        F.array_join(pieces, " ").alias("text"),
+        let(F.array_join(pieces, " "), _without_types).alias("text"),
         F.flatten(F.transform(part, lambda line: line["calls"])).alias("calls"),
     )
 
