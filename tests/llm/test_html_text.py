@@ -50,3 +50,21 @@ def test_odd_rows(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in main_text(docs).collect())
     assert got == [("1", "", 0), ("2", "x", 1), ("2", "x", 1), ("3", "ééé", 3), ("None", "", 0)]
     assert main_text(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ("<div class='content has-sidebar'><article><h1>Head</h1><p>Text</p></article></div><div class=sidebar>Side</div>", "Head Text"),
+    ("<article><div class='comments-open'><p>A long story</p></div><div class=share>Share</div><p>End</p></article>", "A long story End"),
+    ("<article><p>Intro</p><p class='social-policy'>A long text of a social policy</p></article>", "Intro A long text of a social policy"),
+    ("<div id=nav-wrapper><main><p>Main text</p></main></div>", "Main text"),
+    ("<div class='page menu-left'><p>Only text here</p></div><div class=menu>Home</div>", "Only text here"),
+    ("<article><p>The story is longer</p></article><div class=related><article><p>Teaser</p></article></div>", "The story is longer"),
+])
+def test_names_do_not_remove_the_main_text(body, text):
+    assert Page.of(PAGE.replace("BODY", body)).text() == text
+
+
+def test_template_of_a_section_of_a_large_host(spark):
+    rows = [(i, "http://h/", f"<div><ul><li>{'Section menu' if i < 60 else f'menu {i}'}</li></ul><p>story {i}</p></div>") for i in range(1200)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i}" if i < 60 else f"menu {i} story {i}" for i in range(1200)}

@@ -29,6 +29,9 @@ from tributary.llm.common import slices, staged
 #: A subtree is template if it is on so many pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
+#: Subtrees on so many pages of a host are template whatever share of it they are; the share is for small hosts.
+MANY_PAGES = 50
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
@@ -50,6 +53,8 @@ FURNITURE_NAMES = re.compile(
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
+#: Elements that no role, class, id or mark makes furniture.
+ROOTS = frozenset("html body article main".split())
 SCOPES = frozenset("ul ol dl table article main section div body html aside nav form td th".split())
 
 TOKEN = re.compile(
@@ -116,18 +121,56 @@ def parse(page: str) -> list[Node]:
 
 
 def _is_furniture(node: Node, in_article: bool) -> bool:
+    """Whether tag, role or a hidden mark make an element furniture."""
     if node.tag in FURNITURE or (node.tag == "header" and not in_article):
         return True
-    if not node.attributes:
+    if not node.attributes or node.tag in ROOTS:
+        return False
+    if re.search(r"(?:^|\s)(?:hidden|aria-hidden\s*=\s*[\"']?true)", node.attributes, re.I):
+        return True
+    return any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in FURNITURE_ROLES for m in NAMED.finditer(node.attributes))
+
+
+def _is_named(node: Node) -> bool:
+    """Whether a class or an id names an element as furniture."""
+    if not node.attributes or node.tag in ROOTS:
         return False
-    if node.tag not in ("html", "body", "article", "main"):
-        if re.search(r"(?:^|\s)(?:hidden|aria-hidden\s*=\s*[\"']?true)", node.attributes, re.I):
-            return True
-        for m in NAMED.finditer(node.attributes):
-            value = m[2] or m[3] or m[4] or ""
-            if value.lower() in FURNITURE_ROLES if m[1].lower() == "role" else FURNITURE_NAMES.search(value):
-                return True
-    return False
+    return any(m[1].lower() != "role" and FURNITURE_NAMES.search(m[2] or m[3] or m[4] or "") for m in NAMED.finditer(node.attributes))
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag == "main" or "role" in node.attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", node.attributes, re.I))
+
+
+def _kept_names(nodes: list[Node], sure: list[bool], inside: list[bool]) -> list[bool]:
+    """The elements that stay whatever their class or id says.
+
+    They hold the page's largest article, its first main part if it has no article, or
+    more than half of the text of the article, main part or page that they are in.
+    An article inside another is no part of the other's text.
+    """
+    n = len(nodes)
+    size, scope = [0] * n, [0] * n
+    for i in range(1, n):
+        up = nodes[i].parent
+        scope[i] = up if nodes[up].tag == "article" or _is_main(nodes[up]) else scope[up]
+    articles, mains = [], []
+    for i in range(n - 1, -1, -1):
+        node = nodes[i]
+        size[i] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if i and not sure[i]:
+            if node.tag == "article" and not inside[node.parent]:
+                articles.append(i)
+            elif _is_main(node):
+                mains.append(i)
+            if not (node.tag == "article" and inside[node.parent]):
+                size[node.parent] += size[i]
+    kept = [2 * size[i] > size[scope[i]] for i in range(n)]
+    at = max(articles, key=lambda i: (size[i], -i)) if articles else min(mains, default=0)
+    while at > 0:
+        kept[at] = True
+        at = nodes[at].parent
+    return kept
 
 
 @dataclass
@@ -144,18 +187,25 @@ class Page:
     def of(cls, source: str) -> Page:
         nodes = parse(source)
         n = len(nodes)
-        gone, inside, prose = [False] * n, [False] * n, [False] * n
+        gone, inside, prose, sure = [False] * n, [False] * n, [False] * n, [False] * n
         articles, mains = [], []
+        named = [False] * n
+        for i in range(1, n):
+            up = nodes[i].parent
+            inside[i] = inside[up] or nodes[i].tag == "article"
+            sure[i] = sure[up] or _is_furniture(nodes[i], inside[up])
+            named[i] = not sure[i] and _is_named(nodes[i])
+        if any(named):
+            named = [name and not kept for name, kept in zip(named, _kept_names(nodes, sure, inside), strict=True)]
         for i in range(1, n):
             node = nodes[i]
             up = node.parent
-            inside[i] = inside[up] or node.tag == "article"
             prose[i] = node.tag != "article" and (prose[up] or nodes[up].tag in PROSE)
-            gone[i] = gone[up] or _is_furniture(node, inside[up])
+            gone[i] = gone[up] or sure[i] or named[i]
             if not gone[i]:
                 if node.tag == "article" and not inside[up]:
                     articles.append(i)
-                elif node.tag == "main" or "role" in node.attributes and re.search(r"role\s*=\s*[\"']?main\b", node.attributes, re.I):
+                elif _is_main(node):
                     mains.append(i)
         roots = articles or mains[:1] or [0]
         has_prose, has_text, digest = [False] * n, [False] * n, [0] * n
@@ -254,7 +304,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = source.mapInArrow(_count, "host string, digest long, pages long").groupBy("host", "digest").agg(F.sum("pages").alias("pages"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     sizes = source.groupBy(host.alias("host")).agg(F.count("*").alias("all_pages"))
-    return counts.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= F.col("all_pages") * min_share).select("host", "digest", "pages")
+    return counts.filter(F.col("pages") >= min_pages).join(sizes, "host").filter(F.col("pages") >= F.least(F.col("all_pages") * min_share, F.lit(MANY_PAGES))).select("host", "digest", "pages")
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
