@@ -73,9 +73,51 @@ with words as (
 select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(text) as kept_sha256 from kept
 """
 
+#: CRC-32 of short ASCII texts: its table, and the sum of a text ``x`` by it.
+_CRC_TABLE = """crc as (
+    select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+)"""
+
+
+def _crc(x: str) -> str:
+    codes = f"list_transform(string_split({x}, ''), lambda ch: cast(ascii(ch) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+with {_CRC_TABLE}, given as (
+    select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+    from conversations where conv_id is not null group by conv_id
+), taken as (
+    select conv_id, own, {_crc("cast(conv_id as varchar)")} % 4 as h from given, crc
+), built as (
+    select c.conv_id, list_concat(coalesce(s.own, [])[1:c.h], c.own[c.h + 1:]) as turns
+    from taken c left join given s on s.conv_id = c.conv_id - c.conv_id % 20
+), paths as (
+    select conv_id, len(turns) as n, d, turns[1:d] as path from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from built)
+), nodes as (
+    select d, path, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d), '')) as ends_sha256
+    from paths group by d, path
+), kids as (
+    select path[1:d - 1] as path, d - 1 as d, count(*) as n_children from nodes where d > 0 group by all
+), held as (
+    select nodes.*, coalesce(n_children, 0) as n_children,
+        case when nodes.d = 0 then 0 else (n_convs - 1) * len(list_filter(string_split_regex(nodes.path[nodes.d].t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) end as saved
+    from nodes left join kids on kids.d = nodes.d and kids.path = nodes.path
+), up as (
+    select path[1:e] as path, e, n_children, saved from (select path, n_children, saved, unnest(range(0, d + 1)) as e from held)
+), sums as (
+    select path, e as d, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from up group by path, e
+)
+select x.conv_id, cast(x.d as bigint) as depth, p.conv_id as parent_conv_id, cast(x.n_convs as bigint) as n_convs, cast(x.n_children as bigint) as n_children,
+    cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, x.ends_sha256
+from held x join sums on sums.d = x.d and sums.path = x.path left join nodes p on p.d = x.d - 1 and p.path = x.path[1:x.d - 1]
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op6_html_text": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }

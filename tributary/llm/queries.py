@@ -13,11 +13,13 @@ from tributary.llm.html_text import main_text
 from tributary.llm.near_duplicates import near_duplicates
 from tributary.llm.oracles import ORACLES
 from tributary.llm.packing import pack
+from tributary.llm.prefix_trie import prefix_trie
 from tributary.llm.secret_scan import listed, of_kind, ratios, samples_of, transitions, with_spans
 from tributary.llm.sentence_pieces import with_ids, with_text
 from tributary.llm.sharding import shards
 from tributary.llm.substrings import drop_repeats
 from tributary.llm.toxicity import fitted, with_score
+from tributary.llm.turns import n_words, numbered, part_of, parts, turn_key
 from tributary.llm.vectors import nearest
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -101,6 +103,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(conversations: DataFrame, every: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Conversations that share beginnings: the turns ``conv_id, depth, key, words``, and each ``conv_id``.
+
+    Conversation c begins with the first h turns of conversation c - c % ``every`` and goes on with its own
+    turns after its first h, where h is crc32(c) % ``most``.  Turns go by turn, null first, then role and text.
+    """
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    given = conversations.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
+    keep = ["conv_id", turn_key(F.col("role"), F.col("text")).alias("key"), n_words(F.col("text")).alias("words")]
+    turns = numbered(given, ["conv_id", "turn", "role", "text"], keep, "turns").frame
+    spans = parts(turns, "conv_id")
+    heads = turns.filter(F.col("conv_id") % every == 0).withColumn("part", part_of()).join(spans, ["conv_id", "part"])
+    heads = heads.select(F.col("conv_id").alias("source"), "key", "words", (F.col("at") - F.col("first") + F.col("before")).alias("place")).filter(F.col("place") < most - 1)
+    taken = F.crc32(F.col("conv_id").cast("string")) % most
+    convs = spans.groupBy("conv_id").agg(F.any_value("total").alias("total")).withColumn("source", F.col("conv_id") - F.col("conv_id") % every).withColumn("taken", taken)
+    begin = convs.join(heads, "source").filter("place < taken").select("conv_id", (F.col("place") + 1).alias("depth"), "key", "words")
+    held = convs.select("conv_id", "source", "taken").join(convs.select(F.col("conv_id").alias("source"), F.col("total").alias("held")), "source", "left")
+    held = held.select("conv_id", "taken", F.least("taken", F.coalesce("held", F.lit(0))).alias("headed"))
+    own = turns.withColumn("part", part_of()).join(spans.join(held, "conv_id"), ["conv_id", "part"]).withColumn("place", F.col("at") - F.col("first") + F.col("before"))
+    own = own.filter("place >= taken").select("conv_id", (F.col("place") - F.col("taken") + F.col("headed") + 1).alias("depth"), "key", "words")
+    return begin.unionByName(own), convs.select("conv_id")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_quality_rules": op2_quality_rules,
@@ -112,4 +141,5 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
