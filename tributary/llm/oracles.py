@@ -114,10 +114,80 @@ select x.conv_id, cast(x.d as bigint) as depth, p.conv_id as parent_conv_id, cas
 from held x join sums on sums.d = x.d and sums.path = x.path left join nodes p on p.d = x.d - 1 and p.path = x.path[1:x.d - 1]
 """
 
+def _then(state: str, cost: str, mark: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{mark}'}}"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+_FAR = "{'c': cast(1000000000 as bigint), 'a': ''}"
+_USER = _least("su", *(_then(s, "2", "I") for s in ("s0", "ss", "sa")))
+_ASSISTANT = _least("sa", _then("u", "2", "I"))
+_BEFORE_USER = _least("s0", "ss", "a")
+_MOVES = {
+    "s0": _then("s0", "3", "D"),
+    "ss": _least(_then("ss", "3", "D"), f"case when r = 's' and not gone then {_then('s0', 'cut', 'K')} else {_FAR} end"),
+    "su": _least(
+        _then("u", "3", "D"), f"case when gone then {_FAR} when r = 'u' then {_then(_BEFORE_USER, 'cut', 'K')} else {_then(_BEFORE_USER, '2 + cut', 'R')} end"
+    ),
+    "sa": _least(_then("a", "3", "D"), f"case when gone then {_FAR} when r = 'a' then {_then('u', 'cut', 'K')} else {_then('u', '2 + cut', 'R')} end"),
+}
+
+OP12_SQL = rf"""
+with recursive {_CRC_TABLE}, drawn as (
+    select conv_id, coalesce(cast(conv_id as varchar), ' ') as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {_crc("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as lot
+    from conversations, crc
+), damaged as (
+    select conv, turn, case when lot = 4 then 'user' else role end as role,
+        case when lot = 1 then '' when lot = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case lot when 0 then 0 when 3 then 2 else 1 end)) as copy
+    from drawn
+), numbered as (
+    select *, row_number() over (partition by conv order by turn nulls first, role, text, copy) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ink from damaged
+), faults as (
+    select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as r,
+        case when ink = '' then 'blank' when row_number() over (partition by conv, role, text order by i) > 1 then 'duplicate'
+            when right(ink, 1) not in ('.', '!', '?') then 'truncated' else 'none' end as fault
+    from numbered
+), chosen as (
+    select conv, i, r, fault in ('blank', 'duplicate') as gone, cast(fault = 'truncated' as int) as cut from faults
+), steps as (
+    select distinct conv, cast(0 as bigint) as i, {{'c': cast(0 as bigint), 'a': ''}} as s0, {_FAR} as ss, {_FAR} as su, {_FAR} as sa from chosen
+    union all
+    select conv, i, {", ".join(_MOVES.values())}
+    from (
+        select *, {_ASSISTANT} as a
+        from (select c.conv, c.i, c.r, c.gone, c.cut, s0, ss, su, sa, {_USER} as u from steps p join chosen c on c.conv = p.conv and c.i = p.i + 1)
+    )
+), best as (
+    select conv, {_least("s0", "a")} as best
+    from (select conv, s0, {_ASSISTANT} as a from (select *, {_USER} as u from steps join (select conv, max(i) as i from chosen group by conv) using (conv, i)))
+), marks as (
+    select conv, length(replace(best.a, 'D', '')) % 2 as odd, unnest(string_split(best.a, '')) as mark, generate_subscripts(string_split(best.a, ''), 1) as k from best
+), placed as (
+    select *, count(*) filter (mark <> 'I') over w as i, count(*) filter (mark <> 'D') over w - odd as o from marks window w as (partition by conv order by k rows unbounded preceding)
+), repaired as (
+    select p.conv, sha256(string_agg(case when mark = 'K' then role when o % 2 = 1 then 'user' else 'assistant' end || ':' || case when mark = 'I' then '' else text end, chr(10) order by k)) as sha
+    from placed p left join numbered n on n.conv = p.conv and n.i = p.i and p.mark <> 'I' where mark <> 'D' group by p.conv
+), pairs as (
+    select *, lag(left(role, 1)) over (partition by conv order by i) || left(role, 1) as pair from faults
+), counts as (
+    select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from pairs group by conv
+)
+select d.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id, conv from drawn) d left join counts using (conv) left join best using (conv) left join repaired using (conv)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op6_html_text": OP6_SQL,
     "op7_sharding": OP7_SQL,
     "op9_substring_dedup": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_structure_repair": OP12_SQL,
 }

@@ -18,6 +18,7 @@ from tributary.llm.secret_scan import listed, of_kind, ratios, samples_of, trans
 from tributary.llm.sentence_pieces import with_ids, with_text
 from tributary.llm.sharding import shards
 from tributary.llm.substrings import drop_repeats
+from tributary.llm.structure_repair import repairs
 from tributary.llm.toxicity import fitted, with_score
 from tributary.llm.turns import n_words, numbered, part_of, parts, turn_key
 from tributary.llm.vectors import nearest
@@ -130,6 +131,25 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations of which some rows are lost, emptied, cut, doubled or given to the user; a null counts as one space."""
+    held = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = F.crc32(F.concat(held("conv_id"), F.lit(":"), held("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", lot.alias("lot"), held("role").alias("role"), held("text").alias("text")).filter("lot <> 0")
+    text = F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.array_repeat(F.lit(0), F.when(F.col("lot") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    done = repairs(damaged(conversations))
+    everyone = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")).alias("conv"), F.col("conv_id").alias("of")).distinct()
+    found = everyone.join(done.summary, "conv", "left").join(done.sha256(), "conv", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("of").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_quality_rules": op2_quality_rules,
@@ -142,4 +162,5 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
 }
