@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import quality
+from tributary.llm import language_model, quality
 from tributary.llm.common import table
 from tributary.llm.html_text import main_text
 from tributary.llm.near_duplicates import near_duplicates
@@ -150,6 +150,12 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("of").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold 0 of ten is held out of all learning."""
+    tenth = F.crc32(F.col("doc_id").cast("string")) % 10
+    return language_model.scored(table(spark, sf_dir, "documents"), learn=tenth != 0, held_out=tenth == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_quality_rules": op2_quality_rules,
@@ -163,4 +169,5 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_structure_repair": op12_structure_repair,
+    "op13_language_model": op13_language_model,
 }
