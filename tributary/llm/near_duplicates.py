@@ -7,11 +7,13 @@ that share a bucket and whose sketches don't rule them out are confirmed by thei
 full sets.
 
 Documents with equal sets are one class from the start.  Buckets never yield all
-their pairs.  First each class is held against one leader of its buckets, and
+their pairs.  First each class is held against the leaders of its buckets, and
 confirmed links are joined into components.  A bucket whose classes are all in
-one component is done, since more of its links cannot change a component.  Only in
-the others, the classes outside the bucket's largest component are held against
-those of the other components there.
+one component is done, since more of its links cannot change a component.  In the
+others, the classes outside the bucket's largest component are held against all its
+classes, sketch against sketch, in blocks of a bucket; a block puts out no pairs, but
+which class has to ask which component, and who of that component may answer.  Last, those who ask
+and those who may answer meet once per component, with their full sets and in blocks again.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Staged, ragged, slices, staged, words
@@ -36,11 +38,8 @@ SKETCH_BITS = 512
 #: Pairs whose estimate is so far below the threshold are ruled out: four standard deviations of samples and sketch.
 MARGIN = 0.14
 
-#: Shingles of classes that are held against others in one task.
-BLOCK_SHINGLES = 250_000
-
-#: Rounds in which each class outside its buckets' largest components is held against one of their leaders.
-STARS = 2
+#: Classes of a bucket whose sketches are compared in one task, and shingles of classes whose sets are.
+BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 250_000
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
@@ -179,41 +178,97 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(percent: int, samples: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """One confirmed link of each class on the left to each other component on the right, where there is any."""
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)
+
+
+def _runs(names: list[object]) -> Iterator[tuple[object, np.ndarray]]:
+    """The rows of each name."""
+    at: dict[object, list[int]] = {}
+    for i, name in enumerate(names):
+        at.setdefault(name, []).append(i)
+    return ((name, np.array(rows)) for name, rows in at.items())
+
+
+_ASKED = "node binary, own binary, component binary, asks boolean"
+
+
+def _asked(percent: int, samples: int) -> Callable[[pa.Table], pa.Table]:
+    """Which classes that ask are near a class of another component, by their sketches and sizes; and those others."""
+    most = far_bits(percent / 100 - MARGIN, samples)
+
+    def run(table: pa.Table) -> pa.Table:
+        sketch, n = _sketches(table), table.column("n").to_numpy()
+        node, part, asks = (table.column(c).to_pylist() for c in ("node", "component", "asks"))
+        parts = {c: i for i, c in enumerate(dict.fromkeys(part))}
+        code, asks = np.array([parts[c] for c in part], np.int64), np.array(asks, bool)
+        out: set[tuple[bytes, bytes, bytes, bool]] = set()
+        names, answers = list(parts), np.zeros(len(node), bool)
+        for _, rows in _runs(table.column("key").to_pylist()):
+            held = rows[~asks[rows]]
+            for i in rows[asks[rows]].tolist():
+                other = held[code[held] != code[i]]
+                near = np.bitwise_count(sketch[i] ^ sketch[other]).sum(1) <= most
+                near &= np.minimum(n[i], n[other]) * 100 >= np.maximum(n[i], n[other]) * percent
+                answers[other[near]] = True
+                out.update((node[i], part[i], names[c], True) for c in np.unique(code[other[near]]).tolist())
+        out.update((node[j], part[j], part[j], False) for j in np.flatnonzero(answers).tolist())
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, kind) for c, v, kind in zip(("node", "own", "component", "asks"), columns, (pa.binary(),) * 3 + (pa.bool_(),), strict=True)})
+
+    return run
+
+
+def _linked(percent: int, samples: int) -> Callable[[pa.Table], pa.Table]:
+    """The components that a class of another one is linked to: whoever asks a component against those who may answer for it."""
     most = far_bits(percent / 100 - MARGIN, samples)
 
-    def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def run(table: pa.Table) -> pa.Table:
         lists = table.column("shingles").combine_chunks()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-        sketch = np.stack([table.column(s).to_numpy() for s in _SKETCH], axis=1).view(np.uint64)
-        return lists.flatten().to_numpy(zero_copy_only=False), starts, sketch, np.array(table.column("component").to_pylist(), object)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a: list[bytes] = []
-        b: list[bytes] = []
-        if left.num_rows and right.num_rows:
-            (x, x_at, x_sketch, x_part), (y, y_at, y_sketch, y_part) = columns(left), columns(right)
-            x_name, y_name = left.column("node").to_pylist(), right.column("node").to_pylist()
-            order = np.argsort(y, kind="stable")
-            values, owner = y[order], np.repeat(np.arange(len(y_name)), np.diff(y_at))[order]
-            sizes = np.diff(y_at)
-            for i in range(len(x_name)):
-                near = (np.bitwise_count(x_sketch[i] ^ y_sketch).sum(1) <= most) & (y_part != x_part[i])
-                if not near.any():
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(starts)
+        sketch, own, asks = _sketches(table), table.column("own").to_pylist(), np.array(table.column("asks").to_pylist(), bool)
+        links: set[tuple[bytes, bytes]] = set()
+        for component, rows in _runs(table.column("component").to_pylist()):
+            held = rows[~asks[rows]]
+            values = flat[ragged(starts[held], sizes[held])]
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(held)), sizes[held])[order]
+            for i in rows[asks[rows]].tolist():
+                near = np.bitwise_count(sketch[i] ^ sketch[held]).sum(1) <= most
+                if (own[i], component) in links or not near.any():
                     continue
-                mine = x[x_at[i] : x_at[i + 1]]
+                mine = flat[starts[i] : starts[i + 1]]
                 low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-                common = np.bincount(owner[ragged(low, high - low)], minlength=len(sizes))
-                hits = np.flatnonzero(near & (common * 100 >= (len(mine) + sizes - common) * percent))
-                for j in {y_part[j]: j for j in hits.tolist()}.values():
-                    a.append(x_name[i])
-                    b.append(y_name[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                common = np.bincount(owner[ragged(low, high - low)], minlength=len(held))
+                if (near & (common * 100 >= (len(mine) + sizes[held] - common) * percent)).any():
+                    links.add((own[i], component))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return run
 
 
+def _cells(rows: DataFrame, by: str, weight: Column, most: int, label: str) -> DataFrame:
+    """Deal rows with ``asks`` into cells, so that in each group ``by`` every row that asks meets every other row in one cell.
+
+    A group of more than ``most`` of ``weight`` on a side is cut into blocks, and each pair of blocks is a cell; small groups
+    share cells by hash.
+    """
+    asks = F.col("asks")
+    sums = [F.coalesce(F.sum(F.when(side, weight)), F.lit(0)).alias(name) for side, name in ((asks, "asked"), (~asks, "held"))]
+    sizes = staged(rows.groupBy(by).agg(*sums).filter("asked > 0 and held > 0"), label).frame
+    total = sizes.agg(F.coalesce(F.sum(F.col("asked") + F.col("held")), F.lit(0))).first()[0]
+    blocks = sizes.select(by, *(F.ceil(F.col(c) / most).cast("long").alias(f"{c}_blocks") for c in ("asked", "held")))
+    dealt = rows.join(blocks, by)
+    spread, last = F.xxhash64("node"), lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    mine = lambda c: F.array(F.pmod(spread, F.col(c)))
+    dealt = dealt.withColumn("i", F.explode(F.when(asks, mine("asked_blocks")).otherwise(last("asked_blocks"))))
+    dealt = dealt.withColumn("j", F.explode(F.when(asks, last("held_blocks")).otherwise(mine("held_blocks"))))
+    small = (F.col("asked_blocks") == 1) & (F.col("held_blocks") == 1)
+    cell = F.when(small, F.pmod(F.xxhash64(by), F.lit(total // most + 1))).otherwise(F.xxhash64(by, "i", "j"))
+    return dealt.withColumn("cell", F.struct(small.alias("small"), cell.alias("at"))).drop("i", "j", "asked_blocks", "held_blocks")
+
+
 def _ordered(doc_id: str, node: str) -> Column:
     """A class by its smallest document id and its set: bytes that sort by that id."""
     return F.concat(F.unhex(F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.col(node))
@@ -260,7 +315,8 @@ def near_duplicates(
     ).frame
     thin = classes.select("node", "n", *_SKETCH)
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # What is joined on a bucket is written first: such a join may be split where a bucket is large.
+    sizes = staged(buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes").frame
     shared = staged(buckets.join(sizes, "key"), "shared").frame
     # The class that meets most others is likeliest the text that the others were made from.
     meets = shared.groupBy("node").agg(F.sum("size").alias("meets"))
@@ -274,72 +330,30 @@ def near_duplicates(
         "sets",
     ).frame
 
-    def near(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(thin.alias("x").withColumnRenamed("node", "a"), "a").join(thin.alias("y").withColumnRenamed("node", "b"), "b")
-            .filter(_near("x", "y", percent, bands * rows))
-        )
-
-    def members(groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Bucket rows with their components, and of each bucket with several the largest and its leader."""
-        if groups is None:
-            member = shared.withColumn("component", F.col("node"))
-        else:
-            member = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = member.groupBy("key", "component").agg(F.count("*").alias("rows"), F.max(F.struct("meets", "node")).alias("lead"))
-        tops = parts.groupBy("key").agg(F.max(F.struct("rows", "lead", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        return member, tops.select("key", F.col("top.component").alias("largest"), F.col("top.lead.node").alias("leader"))
-
-    links: DataFrame | None = None
-    seen: DataFrame | None = None
-    groups: DataFrame | None = None
-    best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")  # a class has at most one leader per band
-    for _ in range(STARS):
-        member, tops = members(groups)
-        pairs = (
-            member.join(tops, "key").filter("component <> largest and node <> leader")
-            .groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("agree"))
-        )
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        star = staged(near(pairs.withColumn("at", F.row_number().over(best)).filter("at = 1")).select("a", "b"), "stars").frame
-        found = staged(_confirmed(star, sets, percent), "links").frame
-        seen = star if seen is None else seen.unionByName(star)
-        links = found if links is None else links.unionByName(found)
-        groups = components(links).frame
-
-    member, tops = members(groups)
-    open_rows = member.join(tops, "key")
-    outside = staged(open_rows.filter("component <> largest").select("largest", "node", "component").distinct(), "outside").frame
-    inside = staged(open_rows.select("largest", "node", "component").distinct(), "inside").frame
-    full = thin.join(sets, "node")
-    volume = inside.join(thin.select("node", "n"), "node").groupBy("largest").agg(F.sum("n").alias("held"), F.sum(F.when(F.col("component") != F.col("largest"), F.col("n"))).alias("asked"))
-    blocks = volume.select("largest", F.ceil(F.col("held") / BLOCK_SHINGLES).alias("held"), F.ceil(F.col("asked") / (BLOCK_SHINGLES // 4)).alias("asked"))
-    spread = F.xxhash64("node")
-
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        last = F.col(other) - 1
-        out = (
-            rows.join(blocks, "largest").withColumn(f"{own}_block", F.pmod(spread, own))
-            .withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("asked", "held").join(full, "node")
-        )
-        return out.select(*(F.col(c).alias(c) for c in out.columns))  # both sides hold the same tables
-
-    key = ["largest", "asked_block", "held_block"]
-    more = staged(
-        dealt(outside, "asked", "held").groupBy(*key).cogroup(dealt(inside, "held", "asked").groupBy(*key)).applyInArrow(
-            _linked(percent, bands * rows), "a binary, b binary"
-        ),
-        "links",
-    ).frame
-    # Only links between components are left to add; inside a component they change nothing.
-    groups = components(links.unionByName(more)).frame
-
-    answer = classes.select(F.col("set_key").alias("node"), F.col("node").alias("own")).join(
-        groups.withColumnRenamed("node", "own"), "own", "left"
-    ).select("node", _id_of("component").alias("component_id"), _id_of("own").alias("first_id"), F.coalesce("component", "own").alias("group"))
+    # Each class against the leaders of its buckets.
+    leaders = staged(shared.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("lead")).select("key", F.col("lead.node").alias("leader")), "leaders").frame
+    pairs = shared.join(leaders, "key").filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = pairs.join(thin.alias("x").withColumnRenamed("node", "a"), "a").join(thin.alias("y").withColumnRenamed("node", "b"), "b")
+    star = staged(pairs.filter(_near("x", "y", percent, bands * rows)).select("a", "b"), "stars").frame
+    groups = components(_confirmed(star, sets, percent)).frame
+
+    # Buckets that still hold several components.
+    member = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = member.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    tops = staged(parts.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("top.component").alias("largest")), "open").frame
+    rows_open = member.join(tops, "key").withColumn("asks", F.explode(F.when(F.col("component") != F.col("largest"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    rows_open = staged(rows_open.drop("largest").join(thin, "node"), "open-rows").frame
+    asked = _cells(rows_open, "key", F.lit(1), BLOCK_CLASSES, "open-sizes").groupBy("cell").applyInArrow(_asked(percent, bands * rows), _ASKED)
+    asked = staged(asked.distinct().join(thin, "node"), "asked").frame
+    meet = _cells(asked, "component", F.col("n"), BLOCK_SHINGLES, "asked-sizes").join(sets, "node")
+    between = components(meet.groupBy("cell").applyInArrow(_linked(percent, bands * rows), "a binary, b binary")).frame
+    answer = (
+        classes.select("set_key", "node").join(groups, "node", "left").withColumn("inner", F.coalesce("component", "node"))
+        .join(between.select(F.col("node").alias("inner"), F.col("component").alias("outer")), "inner", "left")
+        .select(F.col("set_key").alias("node"), F.coalesce("outer", "inner").alias("group")).withColumn("component_id", _id_of("group"))
+    )
     more_columns = ["text_key", F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group")] if keyed else []
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
         signed.select("doc_id", "text_key", "n_shingles", "node").join(answer, "node", "left")
         .select("doc_id", "n_shingles", own.alias("component_id"), *more_columns)
