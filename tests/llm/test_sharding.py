@@ -47,4 +47,10 @@ def test_files(spark, tmp_path):
     docs = documents(spark, [prose(20, i) for i in range(60)])
     table = write_shards(docs, str(tmp_path / "out"), 1500)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 60 and back.select("_shard").distinct().count() == table.count()
+    names = {f"b{r['shard']}": r["rows"] for r in table.collect()}
+    assert len(names) == table.count() > 4
+    assert {r["_shard"]: r["count"] for r in back.groupBy("_shard").count().collect()} == names
+    for name, rows in names.items():  # each folder by itself
+        assert spark.read.parquet(str(tmp_path / "out" / f"_shard={name}")).count() == rows
+    one = write_shards(docs.limit(2), str(tmp_path / "one"), 10**6)
+    assert [r["shard"] for r in one.collect()] == [""] and spark.read.parquet(str(tmp_path / "one")).first()["_shard"] == "b"

@@ -21,6 +21,9 @@ from tributary.llm.common import staged
 
 #: Bits of the key's hash, and of the number of a row among rows with equal keys.
 BITS = 60
+#: The column by which shards are written to folders.
+FOLDER = "_shard"
+
 #: Bits beyond those that equal buckets would need, in the first round; bits per later round.
 SPARE, STEP = 4, 8
 
@@ -35,14 +38,22 @@ def _prefix(h: Column | str, depth: Column) -> Column:
 
 
 def _depths(rows: DataFrame, first: int, last: int, limit: int) -> DataFrame:
-    """Of each cell ``root, cell`` of ``last`` bits, the least depth from ``first`` on at which its bucket fits; null if none does."""
+    """The cells ``root, cell`` of ``last`` bits whose bucket fits at a depth from ``first`` on, with the least such ``depth``.
+
+    A bucket is one of the directory if it fits and the one it was split from did not; each parent has two
+    children at most, so no join here has a hot key.  Its cells are counted out from its prefix.
+    """
     cells = rows.groupBy("root", _prefix("h", F.lit(last)).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
     levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn(
         "prefix", F.call_function("shiftright", F.col("cell"), F.lit(last) - F.col("depth"))
     )
-    fits = levels.groupBy("root", "depth", "prefix").agg(F.sum("n_bytes").alias("held")).filter(F.col("held") <= limit)
-    least = levels.join(fits, ["root", "depth", "prefix"], "left_semi").groupBy("root", "cell").agg(F.min("depth").alias("depth"))
-    return cells.select("root", "cell").join(least, ["root", "cell"], "left")
+    sums = staged(levels.groupBy("root", "depth", "prefix").agg(F.sum("n_bytes").alias("held")), "levels").frame
+    split = sums.filter(F.col("held") > limit).select("root", (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    fits = sums.filter(F.col("held") <= limit).withColumn("parent", F.shiftright("prefix", 1))
+    top = fits.filter(F.col("depth") == first)
+    found = top.unionByName(fits.filter(F.col("depth") > first).join(split, ["root", "depth", "parent"], "left_semi").select(*top.columns))
+    below = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(last) - F.col("depth"))
+    return found.select("root", "depth", F.explode(F.sequence(F.col("prefix") * below, (F.col("prefix") + 1) * below - 1)).alias("cell"))
 
 
 def _grown(rows: DataFrame, limit: int, bits: int, columns: list[str]) -> tuple[list[DataFrame], DataFrame | None]:
@@ -51,7 +62,7 @@ def _grown(rows: DataFrame, limit: int, bits: int, columns: list[str]) -> tuple[
     first, last = 0, min(BITS, bits)
     while True:
         cell = _prefix("h", F.lit(last))
-        placed = staged(rows.withColumn("cell", cell).join(_depths(rows, first, last, limit), ["root", "cell"]).select(*columns, "depth"), "shards").frame
+        placed = staged(rows.withColumn("cell", cell).join(_depths(rows, first, last, limit), ["root", "cell"], "left").select(*columns, "depth"), "shards").frame
         done.append(placed.filter("depth is not null").withColumn("prefix", _prefix("h", F.col("depth"))))
         rows = placed.filter("depth is null").select(*columns)
         if rows.isEmpty():
@@ -108,7 +119,15 @@ def directory(placed: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write a file per shard below ``path`` and return the directory; keys must be unique and not null."""
+    """Write a folder per shard below ``path`` and return the directory; keys must be unique and not null.
+
+    A folder is named by ``FOLDER`` and the shard's bits after a letter, so that readers that look for numbers
+    in folder names keep ``001`` and ``01`` apart; a slash in a shard's name becomes ``-``.  The column ``FOLDER`` of the
+    files read back spells that name; a column of this name in ``docs`` is replaced.  An empty table
+    writes no folder.
+    """
     placed = staged(shards(docs, limit, key, text), "placed").frame
-    docs.join(placed.select(key, F.col("shard").alias("_shard")), key).repartition("_shard").sortWithinPartitions("_shard").write.partitionBy("_shard").parquet(path)
+    name = F.concat(F.lit("b"), F.translate("shard", "/", "-"))
+    rows = docs.drop(FOLDER).join(placed.select(F.col(f"`{key}`"), name.alias(FOLDER)), key)
+    rows.repartition(FOLDER).sortWithinPartitions(FOLDER).write.partitionBy(FOLDER).parquet(path)
     return directory(placed)
