@@ -27,7 +27,7 @@ from tributary.llm.common import ragged, slices
 SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-#: Chunks of which a worker remembers the ids, and text bytes taken at a time.
+#: Chunks of which a worker remembers the ids, twice at most, and text bytes taken at a time.
 REMEMBERED = 250_000
 TEXT_BYTES = 5 << 20
 #: Longer chunks are relaxed one by one with a queue, the others all together.
@@ -78,7 +78,8 @@ class Pieces:
         self.single_codes = np.array(sorted(ord(c) for c in self.single), np.int64)
         self.single_ids = np.array([self.single[chr(c)] for c in self.single_codes.tolist()], np.int64)
         self.price = np.array([-model.get_score(i) for i in range(size)])
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # what was met of late
+        self.older: dict[str, bytes] = {}  # what was met before that: what comes again moves up, the rest goes
         raw = [bytes([int(t[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_length = np.array([len(r) for r in raw], np.int64)
@@ -218,11 +219,17 @@ class Pieces:
         coded = flat.dictionary_encode()
         chunks = [SPACE + c for c in coded.dictionary.to_pylist()]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+            self.known, self.older = {}, self.known
+        new, known, older = [], self.known, self.older
+        for c in chunks:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    new.append(c)
         if new:
             self._learn(new)
-        blobs = [self.known[c] for c in chunks]
+        blobs = [known[c] for c in chunks]
         each = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), "<u4")
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
