@@ -66,6 +66,25 @@ def test_stages(spark, tmp_path):
     assert Counter(kept).most_common()[-1][1] > 150
 
 
+def test_clashing_names(spark, tmp_path):
+    """Columns named as those that the operators make come back as they were."""
+    names = ["score", "_score", "spans", "_toxic", "_spans", "n_words", "n_removed", "removed", "own_n_words", "kept", "group", "component_id", "text_key", "row", "copies", "slice"]
+    passage = prose(60, 1)
+    texts = [f"{prose(20, 2)} {passage}", f"{passage} {prose(50, 3)}", f"{prose(9, 4)} token = \"{'0123456789abcdef' * 3}\"", None, ""]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{c}{i}" for c in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in names))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    changed = {}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert all(r[c] == f"{c}{i}" for i, r in got.items() for c in names) and len(got) == 5, name
+        changed[name] = {i for i, r in got.items() if r["text"] != texts[i]}
+        assert step(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert changed == {"toxicity": set(), "near_duplicates": set(), "substring_dedup": {0, 1}, "secret_scan": {2}}
+
+
 def test_run_gives_the_last_stage(spark, tmp_path):
     spark.createDataFrame([(1, "a b", "en", "s", 3), (None, None, None, None, None)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -46,6 +46,14 @@ def staged(df: DataFrame, label: str) -> Staged:
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it a name that no column has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

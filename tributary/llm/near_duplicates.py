@@ -300,7 +300,7 @@ def near_duplicates(
     ``keyed``, each row also has its ``text_key`` and its ``group``, which differs for
     different groups whose smallest ids are equal; it is null where the row takes no part.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("text_key", text_key(F.col("text")))
     schema = "doc_id long, text_key binary, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
     signed = staged(source.mapInArrow(_sign(k, bands, rows), schema), "signatures").frame
@@ -359,3 +359,24 @@ def near_duplicates(
         .select("doc_id", "n_shingles", own.alias("component_id"), *more_columns)
         .withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs``, and of each group of ``near_duplicates`` one row: that of the smallest id.
+
+    Rows that share an id are told apart by their text: of a group's rows of the smallest
+    id one text stays, and of equal rows one.  Rows without an id or any word stay.  Columns of
+    any name come back as they are; an empty table gives no rows.
+    """
+    found = near_duplicates(docs, k, percent, doc_id, text, keyed=True).filter("group is not null")
+    texts = staged(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")), "texts").frame
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("group", "first.*")
+    gone = texts.join(first, ["group", "doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.lit(0).alias("copies"))
+    repeated = texts.filter("copies > 1").join(first, ["group", "doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("text_key"))
+    if repeated.isEmpty():
+        return rows.join(gone, ["doc_id", "text_key"], "left_anti").select("row.*")
+    marked = rows.join(gone.unionByName(repeated), ["doc_id", "text_key"], "left")
+    once = marked.filter("copies > 0").groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    return marked.filter("copies is null").select("row.*").unionByName(once.select("row.*"))
