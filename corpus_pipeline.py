@@ -2,6 +2,10 @@
 
 Each stage works on what the one before has kept.  All but the last return the columns
 of ``documents``; their decisions are in the rows and texts that they return.
+
+In every stage a null text counts as empty and stays null, equal rows are rows of their own until near
+duplicates keeps one of them, texts of any length are taken whole, columns of other names, also of names
+that operators use, come back as they are, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import secret_scan, toxicity
-from tributary.llm.common import staged, table
-from tributary.llm.near_duplicates import near_duplicates, text_key
+from tributary.llm.common import free_name, staged, table
+from tributary.llm.near_duplicates import one_of_each
 from tributary.llm.packing import pack
 from tributary.llm.queries import fold, vocabulary
 from tributary.llm.substrings import drop_repeats
@@ -29,38 +33,30 @@ def _same_columns(changed: DataFrame, docs: DataFrame, new: Column) -> DataFrame
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the classifier learns from the labelled folds only."""
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
-    return toxicity.with_score(docs, model, into="_toxic").filter("_toxic < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs, "score")
+    return toxicity.with_score(docs, model, into=score).filter(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked over five-word shingles at 0.8 or more, the one with the smallest id stays.
-
-    Rows that share an id are told apart by their text: of a group's rows of the smallest
-    id one text stays, and of equal rows one.  Rows without an id or any word stay.
-    """
-    found = near_duplicates(docs, k=5, percent=80, keyed=True).filter("group is not null")
-    texts = staged(found.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies")), "texts").frame
-    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("group", "first.*")
-    gone = texts.join(first, ["group", "doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.lit(0).alias("copies"))
-    repeated = texts.filter("copies > 1").join(first, ["group", "doc_id", "text_key"], "left_semi").select("doc_id", "text_key", "copies")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
-    if repeated.isEmpty():
-        return rows.join(gone, ["doc_id", "text_key"], "left_anti").select("row.*")
-    marked = rows.join(gone.unionByName(repeated), ["doc_id", "text_key"], "left")
-    once = marked.filter("copies > 0").groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
-    return marked.filter("copies is null").select("row.*").unionByName(once.select("row.*"))
+    """Of documents linked over five-word shingles at 0.8 or more, the one with the smallest id stays; those without an id or a word stay."""
+    return one_of_each(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 35 words that start at two places or more are cut out; other texts stay as they are."""
-    return _same_columns(drop_repeats(docs, window=35), docs, F.col("n_removed") > 0)
+    # The operator adds two columns; those of the input that have their names stand aside meanwhile.
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("n_words", "n_removed")}
+    changed = drop_repeats(docs.withColumnsRenamed(aside), window=35)
+    removed = free_name(docs, "removed")
+    changed = changed.withColumnRenamed("n_removed", removed).drop("n_words").withColumnsRenamed({new: old for old, new in aside.items()})
+    return _same_columns(changed, docs, F.col(removed) > 0)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by a mark."""
-    found = secret_scan.with_spans(docs, secret_scan.ratios(secret_scan.transitions(secret_scan.samples_of(docs))), into="_spans")
-    return _same_columns(secret_scan.redacted(found, F.lit(SECRET), spans="_spans"), docs, F.size("_spans") > 0)
+    spans = free_name(docs, "spans")
+    found = secret_scan.with_spans(docs, secret_scan.ratios(secret_scan.transitions(secret_scan.samples_of(docs))), into=spans)
+    return _same_columns(secret_scan.redacted(found, F.lit(SECRET), spans=spans), docs, F.size(spans) > 0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
