@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import slices, staged, words
+from tributary.llm.common import slices, staged, tidy, words
 
 #: Classes, and members of each; the outcomes of the first ``OWN`` belong to one word each.
 CLASSES, MEMBERS = 32, 32
@@ -338,7 +338,7 @@ def trained(coded: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Weight
     for share in range(rounds):
         shared = sc.broadcast(weights)
         docs = coded.filter("learn").filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == share).select("outcomes")
-        changes = docs.mapInArrow(_learn(shared), "block int, change binary, met binary")
+        changes = docs.mapInArrow(tidy(_learn(shared)), "block int, change binary, met binary")
         sums = changes.repartition("block").sortWithinPartitions("block").mapInArrow(_sum, "block int, change binary, met binary")
         weights = _moved(weights, sums.toArrow())
         shared.destroy()
@@ -372,10 +372,10 @@ def scored(docs: DataFrame, learn: Column, held_out: Column, doc_id: str = "doc_
         F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"),
     )
-    counted = source.filter("learn").select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = source.filter("learn").select("text").mapInArrow(tidy(_count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = staged(counted, "word-counts").frame
     vocab = vocabulary(counts)
-    coded = staged(source.mapInArrow(_encode(sc.broadcast(vocab)), _CODED), "coded").frame
+    coded = staged(source.mapInArrow(tidy(_encode(sc.broadcast(vocab))), _CODED), "coded").frame
     weights = sc.broadcast(trained(coded, vocab))
     # Words whose counts no task holds are rare, so none is a hot key here.
     rest = coded.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times")).join(counts, "word", "left")
@@ -383,7 +383,7 @@ def scored(docs: DataFrame, learn: Column, held_out: Column, doc_id: str = "doc_
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + UNSEEN)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known")
     )
     columns = "row long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, share double, lm double"
-    found = coded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "outcomes").mapInArrow(_score(weights), columns).join(more, "row", "left")
+    found = coded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "outcomes").mapInArrow(tidy(_score(weights)), columns).join(more, "row", "left")
     extra = F.coalesce("more", F.lit(0.0))
     return found.select(
         F.col("doc_id").cast(kind).alias(doc_id), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),

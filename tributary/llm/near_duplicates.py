@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Staged, ragged, slices, staged, words
+from tributary.llm.common import Staged, ragged, slices, staged, tidy, words
 from tributary.llm.substrings import _joined, _mixed, rolling
 
 #: At a similarity of 0.8, no band of 40 agrees for one pair in ten million.
@@ -303,7 +303,7 @@ def near_duplicates(
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("text_key", text_key(F.col("text")))
     schema = "doc_id long, text_key binary, n_shingles long, node binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
-    signed = staged(source.mapInArrow(_sign(k, bands, rows), schema), "signatures").frame
+    signed = staged(source.mapInArrow(tidy(_sign(k, bands, rows)), schema), "signatures").frame
     with_id = signed.filter("doc_id is not null and node is not null")
     classes = staged(
         with_id.groupBy("node").agg(
@@ -325,7 +325,7 @@ def near_duplicates(
     # A class is read from the one document that stands for it; other texts go no further than this join.
     wanted = classes.join(meets, "node", "left_semi").select("node", "doc_id", "text_key")
     sets = staged(
-        source.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(k), "node binary, shingles array<long>")
+        source.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(tidy(_sets(k)), "node binary, shingles array<long>")
         .groupBy("node").agg(F.any_value("shingles").alias("shingles")),
         "sets",
     ).frame

@@ -23,8 +23,9 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tributary.llm.common import ragged, slices, staged, words
+from tributary.llm.common import ragged, slices, staged, tidy, words
 
 #: Text bytes tokenized at a time: the more there are, the fewer words come again in the next step.
 TEXT_BYTES = 12 << 20
@@ -52,14 +53,12 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.split = _splitter(json.loads(self.tokenizer.to_str()))
+        self.split = _splitter(self.tokenizer)
 
     def _learn(self, names: list[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -98,14 +97,18 @@ class WordIds:
         return ids, np.concatenate([[0], np.cumsum(counts)])[found.starts]
 
 
-def _splitter(settings: dict) -> Callable[[str], list[str]] | None:
-    """The split into parts that the model encodes one by one, if the settings are of the known kind."""
-    steps = [x["type"] for x in (settings.get("normalizer") or {}).get("normalizers", [])]
-    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+def _splitter(tokenizer: Tokenizer) -> Callable[[str], list[str]] | None:
+    """The split into parts that the model encodes one by one, if the settings are of the known kind.
+
+    Only the parts with settings are read: the whole file as text is many times their size.
+    """
+    of = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+    steps = [x["type"] for x in of(tokenizer.normalizer).get("normalizers", [])]
+    splits = of(tokenizer.pre_tokenizer).get("pretokenizers", [])
     known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
     if not known or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["use_regex"] or splits[1]["add_prefix_space"]:
         return None
-    if any(not x["content"].startswith("<|") for x in settings["added_tokens"]):
+    if any(not x.content.startswith("<|") for x in tokenizer.get_added_tokens_decoder().values()):
         return None
     return regex.compile(splits[0]["pattern"]["Regex"]).findall
 
@@ -172,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
     width = "<u2" if _vocabulary(tokenizer) <= 1 << 16 else "<u4"
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tokens = staged(
-        source.mapInArrow(_tokenize(tokenizer, end_id), "doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens"
+        source.mapInArrow(tidy(_tokenize(tokenizer, end_id)), "doc_id long, part int, before long, doc_tokens long, ids binary"), "tokens"
     ).frame
     # One row per partition: what is sorted and broadcast here is bounded by their number.
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("tokens"))
@@ -184,6 +187,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, d
 
 
 def _vocabulary(path: str) -> int:
-    from tokenizers import Tokenizer
-
     return Tokenizer.from_file(path).get_vocab_size()

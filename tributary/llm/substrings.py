@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import Words, slices, staged, words
+from tributary.llm.common import Words, slices, staged, tidy, words
 
 #: Words of the input per shard of the index.
 SHARD_WORDS = 2_000_000
@@ -292,10 +292,10 @@ def drop_repeats(docs: DataFrame, window: int = 35, text: str = "text", rejoin:
     block = (window + 1) // 2
     own = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     source = docs.select(*[F.col(f"`{c}`") for c in own])
-    held = staged(source.mapInArrow(_sliced(text), "slice long, n_words long, rows binary"), "slices").frame
+    held = staged(source.mapInArrow(tidy(_sliced(text)), "slice long, n_words long, rows binary"), "slices").frame
     total = held.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    probes = held.select("slice", "rows").mapInArrow(_probe(text, block, shards), ENTRIES)
+    probes = held.select("slice", "rows").mapInArrow(tidy(_probe(text, block, shards)), ENTRIES)
     hits = staged(probes.groupBy("shard").applyInArrow(_index, ANSWERS), "hits").frame
     by_slice = held.select("slice", "rows").groupBy("slice")
     windows = by_slice.cogroup(hits.groupBy("slice")).applyInArrow(_extend(text, window, block, shards), ENTRIES)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Words, slices, words
+from tributary.llm.common import Words, slices, tidy, words
 from tributary.llm.substrings import _mixed
 
 GRAMS = (3, 4, 5, 6)
@@ -208,7 +208,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         model = fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy(), prior=prior)
         yield pa.record_batch([pa.array([model.margins.tobytes()], pa.binary()), pa.array([model.bias])], ["margins", "bias"])
 
-    found = rows.mapInArrow(run, "margins binary, bias double").first()
+    found = rows.mapInArrow(tidy(run), "margins binary, bias double").first()
     if found is None:
         return fit(pa.array([], pa.string()), np.zeros(0))
     return Toxicity(np.frombuffer(found["margins"], np.float32), found["bias"])
