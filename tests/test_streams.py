@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.streaming import jobs, limits
+from tributary.streaming import jobs, limits, speculation
 
 START = datetime(2024, 1, 1)
 EVENT = "event_id long, key string, ts timestamp"
@@ -40,6 +40,36 @@ def test_rate_limit_batch(spark, limit):
     assert got == plain_limits(rows, limit)
 
 
+@pytest.mark.parametrize("limit", [1, 2, 7])
+def test_one_busy_key_spreads_over_tasks(spark, limit):
+    """All requests in one run of one key: many scans, few of them repeated, and the decisions of one ordered pass."""
+    rnd = random.Random(limit)
+    at, rows = 0, []
+    for i in range(3000):
+        at += rnd.choice([0, 1, 60, 400, 900])
+        rows.append((i, "k", START + timedelta(seconds=at)))
+    df = spark.createDataFrame(rows, EVENT).repartition(5)
+    seen, plain = [], speculation.stage
+    try:
+        speculation.stage = lambda frame, label: seen.append((label, plain(frame, label))) or seen[-1][1]
+        out = limits.rate_limited(df, "key", limit, rows_per_scan=64)
+    finally:
+        speculation.stage = plain
+    assert {r.event_id: r.accepted for r in out.collect()} == plain_limits(rows, limit)
+    chunks = {r["_chunk"]: r["count"] for r in next(f for label, f in seen if label == "requests").groupBy("_chunk").count().collect()}
+    assert len(chunks) >= 3000 // 64 and max(chunks.values()) <= 64
+    assert sum(label == "rescans" for label, _ in seen) < len(chunks) / 2
+
+
+def test_chains_of_wrong_starts(spark):
+    """A rhythm that carries its phase on for ever: each chunk's end depends on its beginning."""
+    rows = [(i, f"k{i % 2}", START + timedelta(seconds=1200 * (i // 2))) for i in range(400)]
+    df = spark.createDataFrame(rows, EVENT)
+    got = {r.event_id: r.accepted for r in limits.rate_limited(df, "key", 2, rows_per_scan=10).collect()}
+    assert got == plain_limits(rows, 2)
+    assert limits.rate_limited(df.limit(0), "key", 2).count() == 0
+
+
 def test_rate_limit_boundary(spark):
     rows = [(0, "k", START), (1, "k", START + timedelta(seconds=3599)), (2, "k", START + timedelta(seconds=3600)), (3, "k", START + timedelta(seconds=3601))]
     df = spark.createDataFrame(rows, EVENT)

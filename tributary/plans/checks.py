@@ -930,3 +930,9 @@ a AS (SELECT event_type, CAST(NULL AS BIGINT) AS p, min(o) AS o FROM v GROUP BY
  UNION ALL SELECT a.event_type, a.o AS p, (SELECT min(v.o) FROM v WHERE v.event_type = a.event_type AND v.o > a.o
    AND (a.p IS NULL OR v.at >= a.p // 100000 + {_HOUR})) AS o FROM a WHERE a.o IS NOT NULL)
 SELECT event_id, event_type, o IN (SELECT o FROM a WHERE o IS NOT NULL) AS accepted FROM v"""
+RATE_LIMITED_CLIENTS = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT event_id, concat('chat_', user_id) AS client, (epoch_us(ts) - {_START}) * 100000 + event_id AS o, epoch_us(ts) - {_START} AS at FROM events),
+a AS (SELECT client, CAST(NULL AS BIGINT) AS p, min(o) AS o FROM v GROUP BY client
+ UNION ALL SELECT a.client, a.o AS p, (SELECT min(v.o) FROM v WHERE v.client = a.client AND v.o > a.o
+   AND (a.p IS NULL OR v.at >= a.p // 100000 + {24 * _HOUR})) AS o FROM a WHERE a.o IS NOT NULL)
+SELECT event_id, client, o IN (SELECT o FROM a WHERE o IS NOT NULL) AS accepted FROM v"""

@@ -979,6 +979,13 @@ def rate_limited_impact_requests(spark, sf):
     return limits.rate_limited(e, "client", limit=1, window=6 * limits.HOUR).select("event_id", "client", "accepted")
 
 
+@query(sql.RATE_LIMITED_CLIENTS)
+def rate_limited_chat_requests(spark, sf):
+    """By client and day: a busy client's requests depend on each other."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.concat_ws("_", F.lit("chat"), "user_id").alias("client"))
+    return limits.rate_limited(e, "client", limit=2, window=24 * limits.HOUR, rows_per_scan=4096).select("event_id", "client", "accepted")
+
+
 @query(sql.TRAILING)
 def trailing_load(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "event_type")

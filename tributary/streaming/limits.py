@@ -10,21 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tributary.streaming.speculation import ROWS_PER_SCAN, admit, decided
+
 HOUR = 3_600_000_000
 CHAT_LIMIT = 20
 IMPACT_LIMIT = 10
 
 
-def admit(accepted: deque, at: int, limit: int, window: int) -> bool:
-    """Decide one request; ``accepted`` holds the stamps that still count."""
-    while accepted and accepted[0] <= at - window:
-        accepted.popleft()
-    if len(accepted) >= limit:
-        return False
-    accepted.append(at)
-    return True
-
-
 def rate_limited(
     events: DataFrame,
     key: str,
@@ -32,6 +24,7 @@ def rate_limited(
     window: int = HOUR,
     ts: str = "ts",
     tie: str = "event_id",
+    rows_per_scan: int = ROWS_PER_SCAN,
 ) -> DataFrame:
     """All events with ``accepted``: at most ``limit`` accepted per window.
 
@@ -40,9 +33,9 @@ def rate_limited(
     of one window length whose events, with those of the slot before, stay
     within the limit accepts everything whatever came earlier, and whoever
     follows needs only that slot's events.  Slots are counted first (partial
-    sums), then only runs of busy slots go through the ordered scan, each run
-    a unit of its own.  The scan streams sorted batches and holds at most
-    ``limit`` stamps, so a busy key never has to fit memory.
+    sums), then only runs of busy slots are scanned in order, each run a unit of its own.
+    A run of any length spreads over tasks: its chunks are scanned from assumed beginnings, and
+    scanned again where those were wrong (``streaming.speculation``).
     """
     rows = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "_slot", F.floor(F.col("_at") / window)
@@ -61,24 +54,8 @@ def rate_limited(
     joined = rows.join(slots, [key, "_slot"])
     names = events.columns
     quiet = joined.filter(~F.col("_scan")).select(*names, F.lit(True).alias("accepted"))
-    ordered = (
-        joined.filter("_scan")
-        .repartition(key, "_run")
-        .sortWithinPartitions(key, "_run", "_at", tie)
-    )
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, stamps = None, deque()
-        for pdf in batches:
-            verdicts = []
-            for unit, at in zip(zip(pdf[key], pdf["_run"]), pdf["_at"]):
-                if unit != current:
-                    current, stamps = unit, deque()
-                verdicts.append(admit(stamps, at, limit, window))
-            yield pdf[names].assign(accepted=verdicts)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    return quiet.unionByName(ordered.mapInPandas(scan, f"{schema}, accepted boolean"))
+    ordered = decided(joined.filter("_scan").select(*names, "_run", "_at"), [key, "_run"], tie, names, limit, window, rows_per_scan)
+    return quiet.unionByName(ordered)
 
 
 class _Limiter(StatefulProcessor):
