@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import last_segment
+from tributary.operators.tiling import TILE, tiled_join
 from tributary.schemas import EDGE_TYPES
-from tributary.session import KEYS, ROWS_PER_CHUNK, KeyedChunks, require
+from tributary.session import KEYS, require
 
 
 def nodes(files: DataFrame, classes: DataFrame, functions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -73,19 +74,20 @@ def call_edges(
     index: DataFrame,
     nodes: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int = TILE,
 ) -> DataFrame:
     """Caller to every candidate of the called name.
 
-    A name called very often is cut into chunks of callers, so its candidates
-    meet it in several tasks.  ``nodes`` restricts callers to known nodes;
+    A name called by many and defined by many is a rectangle of pairs; it is cut
+    into tiles of ``rows_per_chunk`` callers by as many candidates, each a task's
+    work of its own.  ``nodes`` restricts callers to known nodes;
     callers read from the same files are nodes by construction.
     """
     wanted = callers_and_names(calls, keys)
     if nodes is not None:
         wanted = wanted.join(nodes.select(*keys, F.col("id").alias("source")), [*keys, "source"], "left_semi")
-    chunks = KeyedChunks(wanted, [*keys, "name"], ["source"], rows_per_chunk, "calls")
-    return chunks.probe(index).select(*keys, "source", F.col("id").alias("target"), F.lit("calls").alias("type"))
+    pairs = tiled_join(wanted, index, [*keys, "name"], ["source"], ["id"], rows_per_chunk, "calls")
+    return pairs.select(*keys, "source", F.col("id").alias("target"), F.lit("calls").alias("type"))
 
 
 def unresolved_calls(calls: DataFrame, index: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.extremes import outer_points
+
 #: Groups a task keeps open before it hands on their partial hulls.
 _HELD_GROUPS = 50_000
 
@@ -49,8 +51,9 @@ def rejected(points: DataFrame, group: Sequence[str], x: str = "x", y: str = "y"
 def hulls(points: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", buckets: int = 64) -> DataFrame:
     """``(group, seq, x, y)``: hull vertices of every group.
 
-    Hulls compose: the hull of hulls is the hull of all points.  Each task
-    first reduces its own rows, batch by batch, without a shuffle; the vertices
+    What lies inside the polygon of a group's farthest points goes first, by built-in
+    functions (``operators.extremes``).  Hulls compose: the hull of hulls is the hull of all points.  Each task
+    reduces its own rows that are left, batch by batch, without a shuffle; the vertices
     of many tasks then merge per bucket of tasks and at last per group.  Two
     points are returned as they are; fewer give nothing.  Points that are not
     finite take no part; ``rejected`` returns them.
@@ -78,7 +81,7 @@ def hulls(points: DataFrame, group: Sequence[str], x: str = "x", y: str = "y", b
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return frame({key[: len(group)]: ring(list(zip(pdf["x"], pdf["y"])))})
 
-    local = finite.mapInPandas(within_task, fields)
+    local = outer_points(finite, group).mapInPandas(within_task, fields)
     bucketed = local.withColumn("_b", F.pmod(F.spark_partition_id(), F.lit(buckets)))
     partial = bucketed.groupBy(*group, "_b").applyInPandas(merge, fields)
     merged = partial.groupBy(*group).applyInPandas(merge, fields)
