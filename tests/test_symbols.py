@@ -195,3 +195,39 @@ def test_type_parameters_of_any_depth(spark):
     assert {r.name: r.parameters for r in symbols.functions(rows).collect()} == {"f": ["x"], "h": ["y", "z"]}
     assert {r.name: r.base_classes for r in symbols.classes(rows).collect()} == {"B": ["Base"], "C": []}
     assert {(r.caller_function, r.callee) for r in symbols.call_sites(rows).collect()} == {("f", "g")}
+
+
+def test_calls_in_formatted_strings_over_several_lines(spark):
+    text = (
+        'def h(x):\n    a = f"""v={g(x)}\n  {{no(1)}} {k(\n    "q(2)", inner(3),\n  )!r}\n\n{s.t(x):>{width(y)}} end"""\n    return last(a)\n\n'
+        "def two(x):\n    return rf'''\n{m.n(x)}{\nopen_one(4)'''\n\nafter(5)\n"
+    )
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "f.py", text)], "repo string, commit_sha string, path string, content string"))
+    assert {(r.caller_function, r.callee, r.line) for r in symbols.call_sites(rows).collect()} == {
+        ("h", "g", 2), ("h", "k", 3), ("h", "inner", 4), ("h", "s.t", 7), ("h", "width", 7), ("h", "last", 8), ("two", "m.n", 12), ("__module__", "after", 15),
+    }
+    assert {(r.name, r.start_line, r.end_line) for r in symbols.functions(rows).collect()} == {("h", 1, 8), ("two", 10, 13)}
+
+
+def test_docstrings_on_the_header_line(spark):
+    text = '''
+class A: "Short."
+class B(Base, meta={"k": ""}): r"Raw."; x = ""
+def f(a="x", b: "T" = {1: ""}): "Says f."
+def g(a: "x" = ""): return "no"
+def h() -> "R": """Over
+    two lines."""
+def i(): f"{x}"
+def j(): ["no"]
+async def k(a=("",)): 'Single' ; return ""
+def l(): b"bytes"
+def m(x):
+    "Below."
+    return lambda: ""
+def n(): ""
+'''
+    rows = symbols.parse_files(spark.createDataFrame([("r", "c", "d.py", text)], "repo string, commit_sha string, path string, content string"))
+    got = {r.name: r.docstring for df in (symbols.functions(rows), symbols.classes(rows)) for r in df.collect()}
+    assert got == {
+        "A": "Short.", "B": 'r"Raw."', "f": "Says f.", "g": None, "h": "Over\n    two lines.", "i": None, "j": None, "k": "Single", "l": None, "m": "Below.", "n": None,
+    }

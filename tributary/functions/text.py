@@ -59,7 +59,7 @@ def _in_field(held: Column, char: Column) -> Column:
         .when((top == "f") & (char == ":"), F.concat(less, F.lit("s"))).otherwise(opened)
     )
     now_out = (
-        F.when(quoted, out).when(escape, F.substring(out, F.lit(1), F.length(out) - len(start))).when(begins, F.concat(out, F.lit(start)))
+        F.when(char == "\n", F.concat(out, char)).when(quoted, out).when(escape, F.substring(out, F.lit(1), F.length(out) - len(start))).when(begins, F.concat(out, F.lit(start)))
         .when(quote, F.concat(out, F.lit('""'))).when(ends | ((top == "f") & (char == ":")), F.concat(out, F.lit(")")))
         .when(inside, F.concat(out, char)).otherwise(out)
     )
@@ -90,12 +90,16 @@ def mask_literals(content: Column) -> Column:
     One-line strings become ``""``, formatted ones with the expressions that
     they hold behind it, each in parentheses.  A string over several lines
     becomes a bracketed pair over the same lines, so its lines count as
-    continuation lines whatever they hold.
+    continuation lines whatever they hold; the expressions of a formatted one stay on
+    the lines where they are.
     """
     tokens = F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0))
 
     def fields(token: Column) -> Column:
-        return F.aggregate(F.split(token, ""), _no_field(), _in_field, lambda held: held["done"])
+        breaks = lambda text: F.length(F.regexp_replace(text, r"[^\n]+", ""))
+        held = F.aggregate(F.split(token, ""), _no_field(), _in_field, lambda held: held["done"])
+        # A field that is not closed is left out; its lines are not.
+        return let(held, lambda out: F.concat(out, F.repeat(F.lit("\n"), breaks(token) - breaks(out))))
 
     def blank(token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)
@@ -106,7 +110,11 @@ def mask_literals(content: Column) -> Column:
                 first.isin('"', "'"),
                 F.when(
                     F.contains(token, F.lit("\n")),
-                    F.concat(F.lit('["'), F.regexp_replace(token, r"[^\n]+", ""), F.lit('"]')),
+                    F.concat(
+                        F.lit('["'),
+                        F.when(formatted & F.contains(token, F.lit("{")), fields(token)).otherwise(F.regexp_replace(token, r"[^\n]+", "")),
+                        F.lit('"]'),
+                    ),
                 ).when(formatted & F.contains(token, F.lit("{")), F.concat(F.lit('""'), fields(token))).otherwise(F.lit('""')),
             )
             .otherwise(token)
@@ -115,6 +123,12 @@ def mask_literals(content: Column) -> Column:
     return F.array_join(F.transform(tokens, blank), "")
 
 
+def string_literals(source: Column) -> Column:
+    """The string literals of a piece of source in order, with their quotes; a quote that is not closed is none."""
+    tokens = F.regexp_extract_all(source, F.lit(_TOKEN), F.lit(0))
+    return F.filter(tokens, lambda t: F.substring(t, 1, 1).isin('"', "'") & (F.length(t) > 1))
+
+
 def drop_brackets(col: Column, mark: str = "", depth: int = 6) -> Column:
     """Replace balanced bracket groups by ``mark``.
 

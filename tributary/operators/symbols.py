@@ -6,10 +6,9 @@ over a corpus is one narrow stage without a shuffle, and a repository that
 holds a third of all files spreads over as many tasks as its bytes need.  Only
 the resolution of names across files (``operators.graph``) shuffles.
 
-The scan is relational over lines, not a grammar.  Known limits: calls inside
-f-strings over several lines are not seen, the object of a chained call is written ``(...)``, and
-a docstring on the header's own line is not read.  Broken code gives the
-symbols of its readable lines.
+The scan is relational over lines, not a grammar.  Known limit: the object of a
+chained call is written ``(...)``.  Broken code gives the symbols of its readable
+lines.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.text import drop_brackets, drop_group, let, mask_literals, strip
+from tributary.functions.text import drop_brackets, drop_group, let, mask_literals, string_literals, strip
 from tributary.schemas import PYTHON_KEYWORDS
 from tributary.session import KEYS, require
 
@@ -33,6 +32,11 @@ _DOC = r'^[A-Za-z]{0,2}(?:""|\["[\s"]*\])$'
 _DOC_TEXT = (
     r'(?s)^\s*([A-Za-z]{0,2}(?:""".*?(?<!\\)(?:\\\\)*"""|' r"'''.*?(?<!\\)(?:\\\\)*'''|" r'"[^\n]*?(?<!\\)(?:\\\\)*"|' r"'[^\n]*?(?<!\\)(?:\\\\)*'))"
 )
+# A masked string: on one line, and over several.
+_LINES = r'\["\s+"\]'
+_STRING = rf'""|{_LINES}'
+_HEADLINE = rf"^(.*?:\s*[rRuU]?(?:{_STRING}))\s*(?:;.*)?$"
+_BARE_HEADLINE = r'^\s*(?:(?:async\s+)?def|class)\s+\w+\s*(?:->[^:]*)?:\s*[rRuU]?""\s*(?:;.*)?$'
 
 _FRAME = "indent:int,kind:string,caller:string,start:int"
 _SCOPE = (
@@ -243,16 +247,33 @@ def _docstring(raw_lines: Column, following: Column) -> Column:
         1,
     )
 
-    def unquote(raw: Column) -> Column:
-        out = raw
-        for quote in ("'", '"', "'''", '"""'):
-            n = len(quote)
-            quoted = F.startswith(raw, F.lit(quote)) & F.endswith(raw, F.lit(quote)) & (F.length(raw) >= 2 * n)
-            inner = F.substr(raw, F.lit(n + 1), F.length(raw) - 2 * n)
-            out = F.when(quoted, inner).otherwise(out)
-        return F.nullif(strip(out), F.lit(""))
+    return let(text, _unquoted)
 
-    return let(text, unquote)
+
+def _unquoted(raw: Column) -> Column:
+    out = raw
+    for quote in ("'", '"', "'''", '"""'):
+        n = len(quote)
+        quoted = F.startswith(raw, F.lit(quote)) & F.endswith(raw, F.lit(quote)) & (F.length(raw) >= 2 * n)
+        inner = F.substr(raw, F.lit(n + 1), F.length(raw) - 2 * n)
+        out = F.when(quoted, inner).otherwise(out)
+    return F.nullif(strip(out), F.lit(""))
+
+
+def _headline(raw_lines: Column, header: Column) -> Column:
+    """The docstring that follows a header on its own line; null where there is none.
+
+    In the masked text it is the first string behind a colon with nothing or a semicolon after it; the string
+    literals before it tell which one of the raw text it is.  Dropping the brackets shows that
+    the colon is the header's own.
+    """
+    text = header["text"]
+    ahead = F.regexp_extract(text, _HEADLINE, 1)
+    bare = drop_brackets(F.regexp_replace(text, _LINES, '""'))
+    raw = F.array_join(F.slice(raw_lines, header["start"], header["end"] - header["start"] + 1), "\n")
+    literal = F.try_element_at(string_literals(raw), F.regexp_count(ahead, F.lit(_STRING)))
+    found = F.concat(F.regexp_extract(ahead, rf"([rRuU]?)(?:{_STRING})$", 1), literal)
+    return F.when(text.rlike(_HEADLINE), F.when(bare.rlike(_BARE_HEADLINE), let(found, _unquoted)))
 
 
 def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -286,7 +307,7 @@ def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
             *[s[f].alias(f) for f in ("start", "end", "kind", "name", "text", "calls")],
             *[scope[f].alias(f) for f in ("decorators", "caller", "scope_kind", "scope_start")],
             F.when(header, F.element_at("_ends", s["start"])).alias("block_end"),
-            F.when(header & documented, _docstring(c("_raw"), following)).alias("docstring"),
+            F.when(header & documented, _docstring(c("_raw"), following)).when(header, _headline(c("_raw"), s)).alias("docstring"),
         )
 
     return rows.select(*keys, "path", F.transform("_st", row).alias("statements"))
