@@ -28,25 +28,37 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 #: Chunks of which a worker remembers the ids, twice at most, and text bytes taken at a time.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 TEXT_BYTES = 5 << 20
 #: Longer chunks are relaxed one by one with a queue, the others all together.
 LONG = 48
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; 16 bits at a time, which numpy sorts by counting."""
+    order, shift, top = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable"), 16, int(key.max()) if len(key) else 0
+    while top >> shift:
+        order = order[np.argsort(((key >> shift) & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+        shift += 16
+    return order
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """The places of a text sorted by the ``depth`` codes from there on; rank doubling."""
     key, done = codes.astype(np.int64), 1
     while True:
         top = int(key.max()) + 1 if len(key) else 1
         if done >= depth:
-            return np.argsort(key, kind="stable")
+            return order_of(key)
         if top <= 4 * len(key) + (1 << 21):  # few possible keys: ranks by counting
             seen = np.zeros(top, bool)
             seen[key] = True
             rank = np.cumsum(seen, dtype=np.int64)[key]
         else:
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+            order = order_of(key)
+            held = key[order]
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.cumsum(np.concatenate([[True], held[1:] != held[:-1]]))
         after = np.zeros(len(rank), np.int64)
         after[: max(len(rank) - done, 0)] = rank[done:]
         key = rank * (int(rank.max()) + 1 if len(rank) else 1) + after
@@ -108,11 +120,11 @@ class Pieces:
             ranges.append(low)
         count = ranges[1] - ranges[0]
         place, row = order[ragged(ranges[0], count)], np.repeat(np.arange(len(count)), count)
-        by_place = np.argsort(place, kind="stable")
+        by_place = order_of(place)
         return row[by_place], place[by_place]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks that are not known yet."""
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that are not known yet."""
         codes = np.frombuffer("\0".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         row, place = self.occurrences(codes)
         edge = np.full((len(codes), self.width + 1), -1, np.int16 if len(self.text) < 1 << 15 else np.int32)
@@ -142,10 +154,7 @@ class Pieces:
             ids[ragged((np.cumsum(count) - count)[strange], count[strange])] = np.concatenate(other)
         flat = ids.astype("<u4").tobytes()
         ends = (np.cumsum(np.bincount(owner, count, len(chunks))).astype(np.int64) * 4).tolist()
-        last = 0
-        for chunk, end in zip(chunks, ends, strict=True):
-            self.known[chunk] = flat[last:end]
-            last = end
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _relax(self, edge: np.ndarray, cut: np.ndarray, at: np.ndarray, owner: np.ndarray, chunks: int) -> None:
         """Take edges in all chunks at once, one per chunk and round, until none is left anywhere."""
@@ -217,19 +226,20 @@ class Pieces:
             counts[odd] = runs
             starts = np.concatenate([[0], np.cumsum(counts)])
         coded = flat.dictionary_encode()
-        chunks = [SPACE + c for c in coded.dictionary.to_pylist()]
+        chunks = coded.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        new, known, older = [], self.known, self.older
-        for c in chunks:
-            if c not in known:
-                if c in older:
-                    known[c] = older[c]
-                else:
-                    new.append(c)
+        known, older = self.known, self.older
+        blobs = list(map(known.get, chunks))
+        missing = [i for i, b in enumerate(blobs) if b is None]
+        for i in missing:
+            again = older.get(chunks[i])
+            if again is not None:
+                known[chunks[i]] = blobs[i] = again
+        new = [i for i in missing if blobs[i] is None]
         if new:
-            self._learn(new)
-        blobs = [known[c] for c in chunks]
+            for i, b in zip(new, self._learn([SPACE + chunks[i] for i in new]), strict=True):
+                known[chunks[i]] = blobs[i] = b
         each = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), "<u4")
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
