@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import last_segment, strip
-from tributary.schemas import HISTORY_MESSAGES, OUTLINE_CALLS, OUTLINE_ENTRIES, OUTLINE_FILES
+from tributary.schemas import HISTORY_MESSAGES, OUTLINE_CALLS, OUTLINE_ENTRIES, OUTLINE_FILES, SUGGESTED_QUESTIONS
 from tributary.session import KEYS, first_k
 
 
@@ -78,15 +78,12 @@ def suggestions(nodes: DataFrame, keys: Sequence[str] = KEYS, limit: int = 4) ->
             F.max(F.when(F.col("rank") == 2, F.col("id"))).alias("f2"),
         )
     )
-    tick = F.lit("`")
+    overall, connections, purpose, relation = SUGGESTED_QUESTIONS
     questions = F.array(
-        F.lit("Explain the overall architecture of this project"),
-        F.lit("What are the entry points and how do they connect?"),
-        F.when(F.col("entry").isNotNull(), F.concat(F.lit("What does "), tick, "entry", tick, F.lit(" do and what calls it?"))),
-        F.when(
-            F.col("files") > 3,
-            F.concat(F.lit("How does "), tick, last_segment(F.col("f1"), "/"), tick, F.lit(" relate to "), tick, last_segment(F.col("f2"), "/"), tick, F.lit("?")),
-        ),
+        F.lit(overall),
+        F.lit(connections),
+        F.when(F.col("entry").isNotNull(), F.format_string(purpose, "entry")),
+        F.when(F.col("files") > 3, F.format_string(relation, last_segment(F.col("f1"), "/"), last_segment(F.col("f2"), "/"))),
     )
     repos = nodes.select(*keys).distinct()
     rows = repos.join(entry, keys, "left").join(first, keys, "left")

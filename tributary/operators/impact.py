@@ -436,7 +436,8 @@ def impact_prompt_parts(
         F.lit("\nCalls: "), listed("callees"),
         F.lit("\nImported by: "), listed("importers"),
     )
-    closing = "What breaks, and what needs testing? End with RISK_LEVEL: [" + "|".join(RISK_LEVELS) + "]"
+    levels = "|".join(RISK_LEVELS)
+    closing = f"First the dependents that fail once this change lands, then the tests that would show it. The last line reads RISK_LEVEL: [{levels}]"
     parts = F.array(
         F.struct(F.lit(1).alias("part"), head.alias("text")),
         F.struct(F.lit(4).alias("part"), around.alias("text")),

@@ -190,6 +190,11 @@ SELECT page_id, nullif(regexp_replace(regexp_extract(url, '{_HOSTS}/([^/]+/[^/?#
 _KEEP = "path LIKE '%.py' AND string_split(path, '/')[-1] <> '__init__.py' AND size <= 100000"
 _NO_TERM = " AND ".join(f"NOT contains(path, {_q(t)})" for t in S.EXCLUDED_PATH_TERMS)
 _NO_PART = f"NOT list_has_any(string_split(path, '/'), [{', '.join(_q(t) for t in S.EXCLUDED_PATH_TERMS)}])"
+DECODED = """SELECT source AS repo, 'c0' AS commit_sha, concat('doc/', doc_id) AS path, CASE WHEN doc_id % 10 = 3 THEN text || chr(65533) ELSE text END AS content
+FROM documents WHERE doc_id % 10 <> 4 AND text IS NOT NULL"""
+STORED_DOCUMENTS = """SELECT source AS repo, 2 * count(*) AS nodes, count(DISTINCT doc_id) AS ids, CAST(2 * sum(length(text)) AS BIGINT) AS summary_chars, count(*) AS edges
+FROM documents WHERE doc_id % 7 NOT IN (1, 2, 3, 4) GROUP BY source
+UNION ALL SELECT 'rejects', count(*), NULL, NULL, NULL FROM documents WHERE doc_id % 7 IN (1, 2, 3, 4)"""
 LISTING = _with(_VC, f"SELECT {_K}, path, size FROM vc WHERE {_KEEP} AND {_NO_TERM}")
 LISTING_SEGMENT = _with(_VC, f"SELECT {_K}, path, size FROM vc WHERE {_KEEP} AND {_NO_PART}")
 _LISTED = _VC + [("li", f"SELECT {_K}, path, size FROM vc WHERE {_KEEP} AND {_NO_TERM}")]
@@ -621,7 +626,7 @@ SELECT seed, 1 AS part, '' AS item, concat_ws(chr(10), concat('Repository: ', re
 UNION ALL SELECT seed, 2, id, concat('Direct dependent: ', id) FROM af WHERE severity = 'critical'
 UNION ALL SELECT seed, 3, entry, concat('Pipeline at risk: ', entry, ' (', risk, ')') FROM ri
 UNION ALL SELECT seed, 4, '', concat_ws(chr(10), concat('Called by: ', {_show('callers')}), concat('Calls: ', {_show('callees')}), concat('Imported by: ', {_show('importers')})) FROM pf
-UNION ALL SELECT seed, 5, '', 'What breaks, and what needs testing? End with RISK_LEVEL: [{"|".join(S.RISK_LEVELS)}]' FROM pf)""",
+UNION ALL SELECT seed, 5, '', 'First the dependents that fail once this change lands, then the tests that would show it. The last line reads RISK_LEVEL: [{"|".join(S.RISK_LEVELS)}]' FROM pf)""",
     True,
 )
 #: The same with every supplier as a change of its own.
@@ -663,9 +668,9 @@ SYMBOLS_BY_FILE = _with(_ORDERED, "SELECT * FROM so")
 FIRST_ITEMS = _with(_ORDERED, f"SELECT {_K}, file, rank, id FROM sr WHERE rank <= 10")
 PROMPTS = _with(
     _ORDERED,
-    f"""SELECT {_K}, file, CAST(count(*) AS INTEGER) AS items, md5(concat('File: ', file, chr(10), chr(10), 'Functions and classes to explain:', chr(10), '[',
+    f"""SELECT {_K}, file, CAST(count(*) AS INTEGER) AS items, md5(concat('File: ', file, chr(10), chr(10), 'Symbols of the file, in order:', chr(10), '[',
  string_agg(concat('{{"name":"', label, '","type":"', type, '","start_line":', start_line, '}}'), ',' ORDER BY rank), ']', chr(10), chr(10),
- 'Answer with one JSON object: each exact name as key, one plain sentence of at most 20 words as value.')) AS digest
+ 'Give back a single JSON object. Keys: the names as written. Values: what each one does, in 20 words or fewer.')) AS digest
 FROM sr WHERE rank <= {S.ITEMS_PER_PROMPT} GROUP BY {_K}, file""",
 )
 #: Raw answers made from whole documents.  ``$BODY`` is the text reduced to
@@ -910,6 +915,7 @@ ACTIVE = _with(
     """SELECT client, count(*) FILTER (status IN ('queued', 'running')) AS active, count(*) FILTER (status IN ('queued', 'running')) >= 5 AS limited
 FROM js GROUP BY client""",
 )
+ACTIVE_TOTAL = _with(_JOBS, "SELECT count(*) FILTER (status IN ('queued', 'running')) AS active_jobs FROM js")
 REMAINING = _with(
     _JOBS,
     """SELECT job_id, status, progress, CASE WHEN status IN ('running', 'queued') AND progress > 5 AND job_id % 90 > 0

@@ -189,6 +189,41 @@ def repo_paths(spark, sf):
     return corpus.repo_path(table(spark, sf, "pages").select("page_id", "url"), host=_HOST).select("page_id", "repo_path")
 
 
+@query(sql.DECODED)
+def decoded_sources(spark, sf):
+    """Files as bytes: some end in a byte that is no text, some cannot be read."""
+    n, body = F.col("doc_id"), F.col("text").cast("binary")
+    held = F.when(n % 10 == 3, F.concat(body, F.lit(b"\xff"))).when(n % 10 == 4, F.lit(None)).otherwise(body)
+    tree = table(spark, sf, "documents").select(
+        F.col("source").alias("repo"), F.lit("c0").alias("commit_sha"), F.concat(F.lit("doc/"), n).alias("path"), held.alias("bytes")
+    )
+    return corpus.load_contents(tree).select(*KEYS, "path", "content")
+
+
+@query(sql.STORED_DOCUMENTS)
+def stored_documents(spark, sf):
+    """Stored JSON documents, one for each document of the tables: whole ones, empty ones, broken ones, and ones that lack a part."""
+    n = F.col("doc_id")
+    node = F.struct(F.concat(F.lit("n"), n).alias("id"), F.col("lang").alias("label"), F.lit("file").alias("type"), F.col("source").alias("file"), F.col("text").alias("summary"))
+    edge = F.struct(F.concat(F.lit("n"), n).alias("source"), F.concat(F.lit("n"), n + 1).alias("target"), F.lit("calls").alias("type"))
+    whole = [F.col("source").alias("repo"), F.lit("c0").alias("commit_sha")]
+    nodes, edges = F.array(node, node).alias("nodes"), F.array(edge).alias("edges")
+    value = (
+        F.when(n % 7 == 1, "").when(n % 7 == 2, F.concat(F.lit('{"repo": "'), F.substring("text", 1, 9)))
+        .when(n % 7 == 3, F.to_json(F.struct(*whole, edges))).when(n % 7 == 4, F.to_json(F.struct(*whole, nodes)))
+        .otherwise(F.to_json(F.struct(*whole, nodes, edges)))
+    )
+    raw = table(spark, sf, "documents").select(F.concat(F.lit("f"), n, F.lit(".json")).alias("file"), value.alias("value"))
+    found = snapshots.checked_documents(raw)
+    summaries = F.sum(F.length(F.col("summary"))).cast("long").alias("summary_chars")
+    per_file = snapshots.document_nodes(found).groupBy("repo").agg(F.count("*").alias("nodes"), F.count_distinct("id").alias("ids"), summaries)
+    calls = snapshots.document_edges(found).groupBy("repo").agg(F.count("*").alias("edges"))
+    rejects = found.filter("not valid").agg(F.count("*").alias("rejects"))
+    return per_file.join(calls, "repo").select("repo", "nodes", "ids", "summary_chars", "edges").unionByName(
+        rejects.select(F.lit("rejects").alias("repo"), F.col("rejects").alias("nodes"), *(F.lit(None).cast("long").alias(c) for c in ("ids", "summary_chars", "edges")))
+    )
+
+
 @query(sql.LISTING)
 def source_listing(spark, sf):
     return corpus.list_sources(corpus_files(spark, sf), max_bytes=MAX_FILE_BYTES).select(*KEYS, "path", "size")
@@ -997,6 +1032,11 @@ def active_jobs_by_client(spark, sf):
     return jobs.active_by_client(job_events(spark, sf), tie=["event_id"])
 
 
+@query(sql.ACTIVE_TOTAL)
+def active_jobs_total(spark, sf):
+    return jobs.active_total(jobs.latest_state(job_events(spark, sf), tie=["event_id"]))
+
+
 @query(sql.REMAINING)
 def remaining_time(spark, sf):
     states = jobs.latest_state(job_events(spark, sf), tie=["event_id"])

@@ -124,3 +124,13 @@ PATTERNS = T.StructType(_KEY + [
     T.StructField("description", T.StringType()),
     T.StructField("rule", T.IntegerType()),
 ])
+
+# The questions that a chat offers, the fences that answers come in, and what an address looks like.
+SUGGESTED_QUESTIONS = (
+    "Explain the overall architecture of this project",
+    "What are the entry points and how do they connect?",
+    "What does `%s` do and what calls it?",
+    "How does `%s` relate to `%s`?",
+)
+FENCE_START, FENCE_END = r"^```(?:json)?\s*", r"\s*```\s*$"
+ADDRESS = r"^(?:https?://)?(?:www\.)?{host}/([^/]+)/([^/]+)$"

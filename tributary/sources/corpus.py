@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.schemas import EXCLUDED_PATH_TERMS, FILES
+from tributary.schemas import ADDRESS, EXCLUDED_PATH_TERMS, FILES
 from tributary.session import KEYS, salted_join
 
 
@@ -19,7 +19,7 @@ def parse_repo_urls(urls: DataFrame, column: str = "url", host: str = r"github\.
     rejected rows on ``valid``.
     """
     clean = F.regexp_replace(F.regexp_replace(column, r"^\s+|\s+$", ""), r"/+$", "")
-    pattern = rf"^(?:https?://)?(?:www\.)?{host}/([^/]+)/([^/]+)$"
+    pattern = ADDRESS.format(host=host)
     valid = F.coalesce(clean.rlike(pattern), F.lit(False))
     name = F.regexp_replace(F.regexp_extract(clean, pattern, 2), r"\.git$", "")
     return urls.withColumns(

@@ -211,7 +211,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     Empty or unreadable files and documents without nodes or edges are not
     valid; split them off as rejects.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return checked_documents(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def checked_documents(raw: DataFrame) -> DataFrame:
+    """The same for documents held as rows ``file, value``."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     doc = raw.select("file", F.from_json("value", _DOCUMENT, options).alias("d"))
     valid = F.col("d._corrupt_record").isNull() & F.col("d.nodes").isNotNull() & F.col("d.edges").isNotNull()
