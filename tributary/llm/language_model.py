@@ -141,7 +141,7 @@ def _encode(vocab: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 share = np.where((outcome < OWN) & (n >= 0), 0, held - log_mass[outcome])
                 docs = part.num_rows
                 owner = np.repeat(np.arange(docs), np.diff(starts))
-                of = lambda per_word: np.bincount(owner, weights=per_word[codes], minlength=docs)
+                of = lambda per_word: np.bincount(owner, weights=per_word[codes], minlength=docs).astype(float)
                 counts = np.diff(starts) + 1
                 base = of(held) + np.log10(end_count + UNSEEN) - counts * log_total
                 all_outcomes = np.full(len(codes) + docs, end_outcome, np.uint16)
