@@ -1,11 +1,12 @@
 import random
 import re
 import string
+import time
 
 from llm_fixtures import ODD, documents, prose
 from pyspark.sql import functions as F
 
-from tributary.llm.secret_scan import listed, of_kind, ratios, redacted, samples_of, transitions, with_spans
+from tributary.llm.secret_scan import ALPHABET, SHORTEST, THRESHOLD, listed, of_kind, ratios, redacted, samples_of, transitions, with_spans
 
 RULE = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 
@@ -63,6 +64,63 @@ def test_keys_inside_longer_runs(spark):
     assert all(len(got[i]) == len(w) and all(k in g and len(g) <= len(k) + 14 for k, g in zip(w, got[i])) for i, w in enumerate(wanted)), got
 
 
+def plain_stretches(text, table):
+    """The models' spans by plain loops: runs of key characters, a running sum, and the separators around a stretch."""
+    n, out = len(ALPHABET), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{%d,}" % SHORTEST, text):
+        run, found = m[0], []
+        total = best = 0.0
+        start = stop = 0
+        for i in range(1, len(run) + 1):
+            after = total + table[ALPHABET.index(run[i - 1]) * n + ALPHABET.index(run[i])] if i < len(run) else None
+            if after is None or after <= 0 or best - after >= THRESHOLD:
+                if best >= THRESHOLD:
+                    found.append((start, stop))
+                total, best, start = 0.0, 0.0, i
+            else:
+                total = after
+                if total > best:
+                    best, stop = total, i + 1
+        spans = set()
+        for a, b in found:
+            while a > 0 and run[a - 1] not in "/=_-":
+                a -= 1
+            while b < len(run) and run[b] not in "/=_-":
+                b += 1
+            while b < len(run) and run[b] == "=":
+                b += 1
+            if b - a >= SHORTEST:
+                spans.add((m.start() + a, m.start() + b))
+        out += sorted(spans)
+    return ",".join(f"markov:{a}:{b}" for a, b in out)
+
+
+def test_models_against_plain_scorer(spark):
+    train = documents(spark, [f"{prose(80, i)} {prose(40, i + 700).replace(' ', '/')} token={key(40, i)} {prose(9, i + 500)}" for i in range(150)])
+    table = ratios(transitions(samples_of(train)))
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        parts = [rng.choice([key(rng.randrange(10, 60), rng.random()), prose(4, i).replace(" ", rng.choice("/_-=")), "==", "é ", "🙂", " "]) for _ in range(12)]
+        texts.append(rng.choice(["", "/", "_"]).join(parts))
+    texts = [t for t in texts if not brute(t)]
+    rows = with_spans(documents(spark, texts), table).select("doc_id", listed(F.col("spans")).alias("s")).collect()
+    assert len(texts) > 30 and sum(bool(r["s"]) for r in rows) > 20
+    assert {r["doc_id"]: r["s"] for r in rows} == {i: plain_stretches(t, table) for i, t in enumerate(texts)}
+
+
+def test_many_matches_in_one_text(spark):
+    """20,000 assignments in one text: places, blanks and redaction grow with them, not with their square."""
+    text = "é".join(f"token={i:09d} abcde" for i in range(20000))
+    docs = documents(spark, [text])
+    with_spans(docs.limit(0), [0.0] * 67 * 67).collect()
+    begun = time.monotonic()
+    row = redacted(with_spans(docs, [0.0] * 67 * 67), F.lit("[S]")).select("text", listed(F.col("spans")).alias("s")).first()
+    spent = time.monotonic() - begun
+    assert row["s"] == brute(text) and row["text"] == "é".join(["[S] abcde"] * 20000)
+    assert spent < 15, spent
+
+
 def test_redaction(spark):
     docs = with_spans(documents(spark, TEXTS), [0.0] * 67 * 67)
     got = {r["doc_id"]: r["text"] for r in redacted(docs, F.lit("[S]")).collect()}

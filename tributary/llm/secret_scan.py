@@ -20,6 +20,7 @@ from tributary.llm.common import staged
 #: Characters of keys; transitions outside them don't occur in a run.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]"
+SEPARATORS = "/=_-"
 
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
@@ -37,20 +38,58 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
-def _spans(text: Column, pattern: str, kind: str, rank: int, good: Callable[[Column], Column], group: int = 0) -> Column:
-    """The spans of all leftmost matches of a pattern whose ``group`` is good, in code points."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What ``add`` makes of all earlier values, from 0 on, for each of an array of integers.
+
+    The array is cut into as many parts as each has values.  Totals of parts are added up
+    first and then the values of each part, so no list grows longer than a part.
+    """
+
+    def running(part: Column, start: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda held, v: F.struct(add(held["at"], v).alias("at"), F.concat(held["out"], F.array(held["at"])).alias("out")),
+            lambda held: held["out"],
+        )
+
+    def of(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), F.size(v), size), lambda i: F.slice(v, i, size))
+        return _let(parts, lambda ps: F.flatten(F.zip_with(
+            ps, running(F.transform(ps, lambda p: F.aggregate(p, F.lit(0), add)), F.lit(0)), running
+        )))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """All leftmost matches of a pattern: their places in code points, and the text of ``group``."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    rows = F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+
+    def placed(hit: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hit)), lambda gap: F.char_length(gap))
+        sizes = F.transform(hit, lambda h: F.char_length(h))
+        rows = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), (values if group else hit).alias("value"))
+        return _let(rows, lambda rs: F.zip_with(
+            rs, _before(F.transform(rs, lambda r: r["gap"] + r["size"]), lambda x, y: x + y),
+            lambda r, at: F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["size"]).alias("end"), r["value"].alias("value")),
+        ))
+
+    return _let(hits, placed)
 
-    def step(held: Column, row: Column) -> Column:
-        start = held["at"] + F.char_length(row["gap"])
-        end = start + F.char_length(row["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.concat(held["out"], F.when(good(row["value"]), F.array(span)).otherwise(_none()).cast(SPANS)).alias("out"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), _none().alias("out")), step, lambda held: held["out"])
+def _spans(text: Column, pattern: str, kind: str, rank: int, good: Callable[[Column], Column], group: int = 0) -> Column:
+    """The spans of all leftmost matches of a pattern whose ``group`` is good, in code points."""
+    return F.transform(
+        F.filter(_matches(text, pattern, group), lambda m: good(m["value"])),
+        lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")),
+    ).cast(SPANS)
 
 
 def _at_least(n: int) -> Callable[[Column], Column]:
@@ -116,12 +155,14 @@ def samples_of(docs: DataFrame, text: str = "text", most: int = 4000) -> DataFra
 def _stretches(value: Column, table: list[float], threshold: float) -> Column:
     """The stretches of a run of key characters that score ``threshold`` or more: places from 0, the end exclusive.
 
-    A sum of log-likelihood ratios runs along; a stretch goes from where the sum left 0
-    to its peak, and is over once the sum is back at 0 or ``threshold`` below the peak.
+    A sum of log-likelihood ratios runs along; a stretch goes from the separator before
+    the place where the sum left 0 to the sum's peak, and is over once the sum is back at 0 or ``threshold`` below the peak.
     """
     n = len(ALPHABET)
-    ratio = F.array(*[F.lit(x) for x in table])
+    # One literal, folded once, instead of thousands of expressions.
+    ratio = F.split(F.lit(",".join(repr(float(x)) for x in table)), ",").cast("array<double>")
     places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    parted = [F.lit(ALPHABET.index(c) + 1) for c in SEPARATORS]
     none = F.array().cast("array<struct<from:int,to:int>>")
 
     def found(held: Column) -> Column:
@@ -131,10 +172,11 @@ def _stretches(value: Column, table: list[float], threshold: float) -> Column:
         total = held["sum"] + F.element_at(ratio, ((held["last"] - 1) * n + at).cast("int"))
         over = (total <= 0) | (held["best"] - total >= threshold)
         peak = ~over & (total > held["best"])
+        segment = F.when(at.isin(*parted), held["place"] + 2).otherwise(held["segment"])
         return F.struct(
             at.alias("last"), (held["place"] + 1).alias("place"), F.when(over, 0.0).otherwise(total).alias("sum"),
             F.when(over, 0.0).when(peak, total).otherwise(held["best"]).alias("best"),
-            F.when(over, held["place"] + 1).otherwise(held["from"]).alias("from"),
+            F.when(over, held["segment"]).otherwise(held["from"]).alias("from"), segment.alias("segment"),
             F.when(peak, held["place"] + 2).otherwise(held["to"]).alias("to"),
             F.when(over, found(held)).otherwise(held["out"]).alias("out"),
         )
@@ -143,42 +185,57 @@ def _stretches(value: Column, table: list[float], threshold: float) -> Column:
         F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))),
         F.struct(
             F.element_at(places, 1).alias("last"), F.lit(0).alias("place"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"),
-            F.lit(0).alias("from"), F.lit(0).alias("to"), none.alias("out"),
+            F.lit(0).alias("from"), F.element_at(places, 1).isin(*parted).cast("int").alias("segment"), F.lit(0).alias("to"), none.alias("out"),
         ),
         step, found,
     )
 
 
-def _markov_spans(text: Column, run: Column, table: list[float], shortest: int, threshold: float) -> Column:
+def _markov_spans(run: Column, table: list[float], shortest: int, threshold: float) -> Column:
     """The stretches inside a run, out to the separators around them, if they are long enough then."""
-    value = F.substring(text, run["start"] + 1, run["end"] - run["start"])
+    value = run["value"]
 
     def span(s: Column) -> Column:
-        before = F.char_length(F.regexp_extract(F.substring(value, F.lit(1), s["from"]), "[^/=_-]*$", 0))
         after = F.char_length(F.regexp_extract(F.substring(value, s["to"] + 1, F.char_length(value)), "^[^/=_-]*=*", 0))
         return F.struct(
-            (run["start"] + s["from"] - before).alias("start"), run["rank"].alias("rank"), (run["start"] + s["to"] + after).alias("end"), run["kind"].alias("kind")
+            (run["start"] + s["from"]).alias("start"), F.lit(3).alias("rank"), (run["start"] + s["to"] + after).alias("end"), F.lit("markov").alias("kind")
         )
 
     spans = F.array_distinct(F.transform(_stretches(value, table, threshold), span))
     return F.filter(spans, lambda s: s["end"] - s["start"] >= shortest).cast(SPANS)
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces where the spans are, as long as before."""
+def _rewritten(text: Column, spans: Column, instead: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``instead`` of each span and what ends of earlier spans leave of it.
 
-    def step(held: Column, s: Column) -> Column:
-        gap = F.substring(text, held["at"] + 1, F.greatest(s["start"] - held["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(held["at"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.concat(held["out"], gap, blank).alias("out"))
+    ``instead`` is told the span and the furthest end before it.  The text is read in blocks,
+    so a slice costs its own length and a block, wherever it is.
+    """
+    bits = 12
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.shiftright(start, bits)
+        own = F.slice(blocks, first + 1, F.shiftright(end - 1, bits) - first + 1)
+        return F.when(end > start, F.substring(F.array_join(own, ""), start - F.shiftleft(first, bits) + 1, end - start)).otherwise("")
+
+    def of(blocks: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        length = F.char_length(text)
+        parts = F.zip_with(
+            spans, _before(ends, lambda x, y: F.greatest(x, y)),
+            lambda s, at: F.concat(piece(blocks, at, s["start"]), instead(s, at)),
+        )
+        return F.array_join(F.concat(parts, F.array(piece(blocks, F.array_max(ends), length))), "")
 
-    cut = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda held: F.concat(held["out"], F.substring(text, held["at"] + 1, F.char_length(text))),
-    )
+    cut = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << bits}}}"), F.lit(0)), of)
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces where the spans are, as long as before."""
+    return _rewritten(text, spans, lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
+
+
 def with_spans(docs: DataFrame, table: list[float], text: str = "text", into: str = "spans", shortest: int = SHORTEST, threshold: float = THRESHOLD) -> DataFrame:
     """All rows and columns, and an array of the secrets' spans, by start and then by kind.
 
@@ -194,25 +251,16 @@ def with_spans(docs: DataFrame, table: list[float], text: str = "text", into: st
     whole = f"(?<!{RUN}){RUN}{{{shortest},}}"
     out = docs.withColumn(into, base_spans(body))
     out = out.withColumn(rest, F.when(body.rlike(f"{RUN}{{{shortest}}}"), _blanked(body, F.col(into))).otherwise(""))
-    runs = F.when(F.col(rest) != "", _spans(F.col(rest), whole, "markov", 3, lambda v: F.lit(True))).otherwise(_none())
-    added = F.flatten(F.transform(runs, lambda r: _markov_spans(F.col(rest), r, table, shortest, threshold)))
+    runs = _matches(F.col(rest), whole)
+    added = F.flatten(F.transform(runs, lambda r: _markov_spans(r, table, shortest, threshold)))
+    added = F.when(F.col(rest) != "", added).otherwise(_none())
     return out.withColumn(into, F.array_sort(F.concat(F.col(into), added))).drop(rest)
 
 
 def redacted(docs: DataFrame, mark: Column, text: str = "text", spans: str = "spans") -> DataFrame:
     """Replace every run of overlapping spans of a text by ``mark``; texts without spans stay as they are."""
-    body = F.col(f"`{text}`")
-
-    def step(held: Column, s: Column) -> Column:
-        gap = F.substring(body, held["at"] + 1, s["start"] - held["at"])
-        fresh = s["start"] >= held["at"]
-        return F.struct(F.greatest(held["at"], s["end"]).alias("at"), F.when(fresh, F.concat(held["out"], gap, mark)).otherwise(held["out"]).alias("out"))
-
-    cut = F.aggregate(
-        F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda held: F.concat(held["out"], F.substring(body, held["at"] + 1, F.char_length(body))),
-    )
-    return docs.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(body))
+    cut = _rewritten(F.col(f"`{text}`"), F.col(spans), lambda s, at: F.when(s["start"] >= at, mark).otherwise(""))
+    return docs.withColumn(text, cut)
 
 
 def listed(spans: Column) -> Column:
