@@ -1,4 +1,5 @@
 import random
+from bisect import bisect_right
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
 
@@ -77,17 +78,37 @@ def test_rate_limit_boundary(spark):
     assert got == {0: True, 1: False, 2: True, 3: False}
 
 
-@pytest.mark.parametrize("slots", [1, 12])
-def test_trailing_load(spark, slots):
+@pytest.mark.parametrize("parts", [1, 12])
+def test_trailing_load(spark, parts):
     rows = trace(seed=9)
     df = spark.createDataFrame(rows, EVENT)
     want = {
         i: sum(1 for _, k, t in rows if k == key and ts - timedelta(hours=1) < t <= ts) for i, key, ts in rows
     }
-    got = {r.event_id: r.load for r in limits.trailing_load(df, ["key"], slots=slots).collect()}
+    got = {r.event_id: r.load for r in limits.trailing_load(df, ["key"], parts=parts).collect()}
     assert got == want
 
 
+def test_one_hour_of_one_key_spreads_over_ranges(spark):
+    rnd = random.Random(3)
+    rows = [(i, "k", START + timedelta(microseconds=rnd.randrange(4_000_000_000))) for i in range(4000)]
+    rows += [(4000 + i, "k", START + timedelta(seconds=5)) for i in range(500)]  # many events of one stamp
+    df, plain, seen = spark.createDataFrame(rows, EVENT).repartition(5), limits.stage, []
+    try:
+        limits.stage = lambda frame, label: seen.append(plain(frame, label)) or seen[-1]
+        out = limits.trailing_load(df, ["key"], parts=16)
+    finally:
+        limits.stage = plain
+    stamps = sorted(t for _, _, t in rows)
+    want = {i: bisect_right(stamps, t) - bisect_right(stamps, t - timedelta(hours=1)) for i, _, t in rows}
+    assert {r.event_id: r.load for r in out.collect()} == want
+    sizes = [r["count"] for r in seen[0].groupBy("_part").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 2 * 8000 / 12
+    assert limits.trailing_load(df.limit(0), ["key"]).count() == 0
+    odd = spark.createDataFrame([(1, None, START), (2, None, START), (3, "k", None), (4, "k", START)], EVENT)
+    assert {r.event_id: r.load for r in limits.trailing_load(odd, ["key"]).collect()} == {1: 2, 2: 2, 3: None, 4: 1}
+
+
 def stream_of(spark, folder, rows, files=3):
     df = spark.createDataFrame(rows, EVENT)
     cut = (len(rows) + files - 1) // files
@@ -123,6 +144,44 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path, rocks):
     assert {r.event_id: r.accepted for r in out.collect()} == plain_limits(rows, 2)
 
 
+def state_rows(spark, df, folder, name):
+    """The stream's output, and the rows of state it is left with."""
+    q = (
+        df.writeStream.outputMode("append").format("memory").queryName(name)
+        .option("checkpointLocation", folder).trigger(availableNow=True).start()
+    )
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return spark.table(name).collect(), [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+
+def test_idle_keys_and_late_requests(spark, tmp_path, rocks):
+    rows = [(i, f"k{i}", START + timedelta(seconds=i)) for i in range(20)]
+    rows += [(20 + i, "last", START + timedelta(hours=5, seconds=i)) for i in range(20)]
+    rows += [(40, "k1", START + timedelta(minutes=1))] + [(41 + i, "last", START + timedelta(hours=9)) for i in range(19)]
+    events = stream_of(spark, str(tmp_path / "in"), rows, files=3)
+    out, kept = state_rows(spark, limits.rate_limit_stream(events, "key", 2), str(tmp_path / "state"), "idle")
+    assert {r.event_id for r in out} == set(range(60)) and {r.event_id for r in out if r.late} == {40}
+    assert not any(r.accepted for r in out if r.late)
+    wanted = plain_limits([r for r in rows if r[0] != 40], 2)
+    assert {r.event_id: r.accepted for r in out if not r.late} == wanted
+    assert max(kept) >= 20 and kept[-1] <= max(kept) / 5, kept
+
+
+def test_closed_jobs_leave_the_state(spark, tmp_path, rocks):
+    rows = [(i, f"j{i % 10}", START + timedelta(seconds=i)) for i in range(20)]
+    rows += [(20 + i, "open", START + timedelta(minutes=40)) for i in range(20)]
+    rows += [(40, "j1", START + timedelta(seconds=2))] + [(41 + i, "next", START + timedelta(hours=9)) for i in range(19)]
+    events = stream_of(spark, str(tmp_path / "in"), rows, files=3).select(
+        F.col("key").alias("job_id"), "ts", F.when(F.col("event_id").between(10, 19), "done").otherwise("running").alias("status")
+    )
+    out, kept = state_rows(spark, jobs.state_stream(events), str(tmp_path / "state"), "closed")
+    assert {(r.job_id, r.status) for r in out if not r.late} == {*((f"j{i}", "done") for i in range(10)), ("open", "running"), ("next", "running")}
+    assert [(r.job_id, r.status) for r in out if r.late] == [("j1", "running")]
+    assert all(r.terminal == (r.status == "done") for r in out)
+    assert max(kept) >= 10 and kept[-1] <= max(kept) / 5, kept
+
+
 def test_expiry_stream(spark, tmp_path, rocks):
     rows = [(0, "a", START), (1, "a", START + timedelta(minutes=50)), (2, "b", START + timedelta(minutes=30)), (3, "c", START + timedelta(hours=3)), (4, "d", START + timedelta(hours=6))]
     events = stream_of(spark, str(tmp_path / "in"), rows, files=5).withColumnRenamed("key", "job_id")

@@ -17,6 +17,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tributary.functions.text import client_of
 
 _STATE = ("status", "progress", "stage", "message", "error")
+_TERMINAL = ("done", "error")
+_LATEST = ("job_id", "at", "status", "terminal", "late")
 
 
 def latest_state(events: DataFrame, job: Sequence[str] = ("job_id",), ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
@@ -30,7 +32,7 @@ def latest_state(events: DataFrame, job: Sequence[str] = ("job_id",), ts: str =
         events.groupBy(*job)
         .agg(F.max_by(F.struct(ts, *carried), F.struct(ts, *tie) if tie else F.col(ts)).alias("s"))
         .select(*job, "s.*")
-        .withColumn("terminal", F.col("status").isin("done", "error"))
+        .withColumn("terminal", F.col("status").isin(*_TERMINAL))
     )
 
 
@@ -117,3 +119,62 @@ def expiry_stream(events: DataFrame, ttl_seconds: int = 3600, lateness: str = "1
         outputMode="Append",
         timeMode="EventTime",
     )
+
+
+class _Latest(StatefulProcessor):
+    """Keeps the newest state of a job until it is closed: terminal and behind the watermark, or out of its lifetime."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, created bigint, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs()
+        events = pd.concat(list(rows)).sort_values(["at", "status"], na_position="first")
+        late = events["at"] < closed
+        if late.any():
+            yield events[late].assign(job_id=key[0], terminal=False, late=True)[list(_LATEST)]
+        events = events[~late]
+        if not len(events):
+            return
+        last, first = events.iloc[-1], int(events["at"].min())
+        held = self.newest.get() if self.newest.exists() else None
+        created = first if held is None else min(first, int(held[1]))
+        at, status = int(last["at"]), last["status"]
+        if held is not None and (int(held[0]), held[2] or "") >= (at, status or ""):
+            at, status = int(held[0]), held[2]
+        self.newest.update((at, created, status))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else int(timer[0]))
+        terminal = status in _TERMINAL
+        self.handle.registerTimer(at + 1 if terminal else max(created + self.ttl_ms, at + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "at": [at], "status": [status], "terminal": [terminal], "late": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def state_stream(events: DataFrame, ttl_seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
+    """Stream of ``(job_id, at, status, terminal, late)``: a job's newest state whenever a batch has events of it.
+
+    Unlike :func:`latest_state` in update mode it lets go of jobs: of a terminal one once the
+    watermark has passed its end, of any other one when its lifetime is over.  An event
+    behind the watermark comes back as ``late``, since its job may be forgotten.
+    """
+    # A plain number for the time, so Spark hands late rows over instead of dropping them.
+    rows = events.withWatermark("ts", lateness).select(
+        F.col("job_id").cast("string"), F.unix_millis("ts").alias("at"), F.col("status").cast("string")
+    )
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=_Latest(ttl_seconds * 1000),
+        outputStructType="job_id string, at bigint, status string, terminal boolean, late boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+    )

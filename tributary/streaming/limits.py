@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tributary.session import stage
 from tributary.streaming.speculation import ROWS_PER_SCAN, admit, decided
 
 HOUR = 3_600_000_000
@@ -59,37 +60,58 @@ def rate_limited(
 
 
 class _Limiter(StatefulProcessor):
+    """Decides requests in time order; a key's state goes once its last accepted stamp is a window old."""
+
     def __init__(self, limit: int, window: int) -> None:
         self.limit = limit
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.accepted = handle.getListState("accepted", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() * 1000
         stamps = deque(int(v[0]) for v in self.accepted.get())
         requests = pd.concat([pdf[["event_id", "at"]] for pdf in rows]).sort_values(["at", "event_id"])
-        verdicts = [admit(stamps, int(at), self.limit, self.window) for at in requests["at"]]
-        self.accepted.put([(at,) for at in stamps])
-        out = requests.assign(key=key[0], accepted=verdicts)
-        yield out[["key", "event_id", "at", "accepted"]]
+        late = requests["at"] < closed
+        verdicts = [not behind and admit(stamps, int(at), self.limit, self.window) for at, behind in zip(requests["at"], late)]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer if isinstance(timer, int) else int(timer[0]))
+        if stamps:
+            self.accepted.put([(at,) for at in stamps])
+            # Timers are milliseconds: the first one at which the last stamp no longer counts.
+            self.handle.registerTimer(-(-(stamps[-1] + self.window) // 1000))
+        out = requests.assign(key=key[0], accepted=verdicts, late=late)
+        yield out[["key", "event_id", "at", "accepted", "late"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(events: DataFrame, key: str, limit: int = CHAT_LIMIT, window: int = HOUR) -> DataFrame:
-    """Decisions on a stream of requests: ``(key, event_id, at, accepted)``.
+def rate_limit_stream(
+    events: DataFrame, key: str, limit: int = CHAT_LIMIT, window: int = HOUR, lateness: str = "10 minutes"
+) -> DataFrame:
+    """Decisions on a stream of requests: ``(key, event_id, at, accepted, late)``.
 
-    State per key is the list of accepted stamps, at most ``limit`` of them.
-    Requests are decided in time order within a micro-batch.
+    State per key is the list of accepted stamps, at most ``limit`` of them, and is dropped
+    by an event-time timer when none of them counts any more.  Requests are decided in time
+    order within a micro-batch.  A request behind the watermark is returned as ``late`` and
+    not accepted: the stamps it depends on may be gone.
     """
-    rows = events.select(F.col(key).cast("string").alias("key"), "event_id", F.unix_micros("ts").alias("at"))
+    # The decision's time is a plain number, so Spark hands late rows over instead of dropping them.
+    rows = events.withWatermark("ts", lateness).select(
+        F.col(key).cast("string").alias("key"), "event_id", F.unix_micros("ts").alias("at")
+    )
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Limiter(limit, window),
-        outputStructType="key string, event_id bigint, at bigint, accepted boolean",
+        outputStructType="key string, event_id bigint, at bigint, accepted boolean, late boolean",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 
@@ -97,36 +119,40 @@ def trailing_load(
     events: DataFrame,
     key: Sequence[str],
     window: int = HOUR,
-    slots: int = 12,
+    parts: int | None = None,
     ts: str = "ts",
 ) -> DataFrame:
     """All events with ``load``: events of the key in the trailing window.
 
-    A stamp exactly one window old is outside.  Instead of one ordered scan
-    per key, time is cut into slots: an event counts at its own time and
-    expires one window later, so inside a slot a running sum of arrivals and
-    expiries is added to the total of the slots fully covered.  A key that
-    holds a third of all events is thus spread over its slots.
+    A stamp exactly one window old is outside; events without a time have no load.  An event adds one at its time and takes one
+    away a window later; the load is the sum so far.  Sums are taken in two levels: the
+    changes per key and time are dealt into ``parts`` ranges (by default as many as Spark
+    shuffles into), summed inside each, and added to the totals of the earlier ranges of
+    the key.  A key, or one hour of it, with any share of the events spreads over ranges.
     """
-    key = list(key)
-    width = window // slots
-    rows = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_slot", F.floor(F.col("_at") / width)
+    spark = events.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Inside a struct nulls are equal, so events without a key are one group.
+    rows = events.withColumn("_key", F.struct(*key)).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    steps = F.array(
+        F.struct(F.col("_at").alias("at"), F.lit(1).alias("by")), F.struct((F.col("_at") + window).alias("at"), F.lit(-1).alias("by"))
+    )
+    changes = (
+        rows.filter("_at IS NOT NULL").select("_key", F.explode(steps).alias("s"))
+        .groupBy("_key", F.col("s.at").alias("_at")).agg(F.sum("s.by").alias("_by"))
+        .repartitionByRange(parts, "_key", "_at").withColumn("_part", F.spark_partition_id())
     )
-    per_slot = rows.groupBy(*key, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-    covered = (
-        per_slot.select(*key, "_n", F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + slots)).alias("_slot"))
-        .groupBy(*key, "_slot")
-        .agg(F.sum("_n").alias("_base"))
+    # Written, since the borders of ranges are drawn from samples: all readers must see the same.
+    changes = stage(changes, "load")
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = changes.groupBy("_key", "_part").agg(F.sum("_by").alias("_sum")).select(
+        "_key", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_head")
     )
-    expiring = rows.select(*key, (F.col("_at") + window).alias("_at"), (F.col("_slot") + slots).alias("_slot"))
-    own = rows.withColumn("_step", F.lit(1))
-    marks = own.unionByName(expiring.withColumn("_step", F.lit(-1)), allowMissingColumns=True)
-    order = Window.partitionBy(*key, "_slot").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    running = marks.withColumn("_run", F.sum("_step").over(order)).filter("_step = 1")
-    return running.join(covered, [*key, "_slot"], "left").select(
-        *events.columns, (F.col("_run") + F.coalesce("_base", F.lit(0))).alias("load")
+    inside = Window.partitionBy("_part", "_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    loads = changes.withColumn("_run", F.sum("_by").over(inside)).join(heads, ["_part", "_key"]).select(
+        "_key", "_at", (F.col("_head") + F.col("_run")).alias("load")
     )
+    return rows.join(loads, ["_key", "_at"], "left").select(*events.columns, "load")
 
 
 def load_stream(events: DataFrame, key: str, window: str = "1 hour", slide: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
