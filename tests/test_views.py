@@ -85,6 +85,35 @@ def test_annotations(spark, nodes):
     assert (totals.lines, totals.functions, totals.classes) == (12, 2, 1)
 
 
+def test_annotation_sweeps_files_without_their_text(spark, tmp_path):
+    node = "repo string, commit_sha string, id string, file string, type string, start_line int, end_line int"
+    line = "repo string, commit_sha string, path string, line int, text string"
+    rnd = random.Random(6)
+    nodes, texts = [], []
+    for f in ("a", "b"):
+        for i in range(40):
+            start = rnd.randrange(1, 190)
+            nodes.append(("r", "c", f"{f}{i}", f, rnd.choice(["class", "function"]), start, rnd.choice([start, start + 5, start + 40])))
+        texts += [("r", "c", f, n, rnd.choice(["import x", "  from y", "x = 1", "imported", ""])) for n in range(1, 201)]
+    texts += [("r", "c", "none", 1, "import z"), ("r", "c", "none", 2, None), ("r", "c", "a", None, "x")]
+    nodes += [("r", "c", "open", "a", "function", 199, None), ("r", "c", "file", "a", "file", None, None)]
+    spark.createDataFrame(texts, line).write.parquet(str(tmp_path / "lines"))
+    frame, chosen = spark.createDataFrame(nodes, node), {n[2] for n in nodes[::3]}
+    picked = frame.filter(F.col("id").isin(*chosen))
+    out = explore.annotate_lines(spark.read.parquet(str(tmp_path / "lines")), frame, picked)
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        mine = [n for n in nodes if n[3] == r.path and n[5] is not None and r.line is not None]
+        starts = [n for n in mine if n[5] == r.line]
+        inside = [n for n in mine if n[2] in chosen and n[5] <= r.line and (n[6] is None or r.line <= n[6])]
+        assert (r.is_def, r.is_class) == (bool(starts), any(n[4] == "class" for n in starts)), r
+        assert r.is_highlighted == bool(starts or inside), r
+    plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [part for part in plan.split("\n\n") if " Exchange" in part.split("\n")[0]]
+    assert moved and not any("text#" in part for part in moved)
+
+
 def test_hulls(spark):
     rnd = random.Random(3)
     points = [("g", rnd.random(), rnd.random()) for _ in range(500)] + [("two", 0.0, 0.0), ("two", 1.0, 1.0), ("one", 5.0, 5.0)]

@@ -170,47 +170,54 @@ def annotate_lines(
     """Flags of every line: import, definition, class, highlighted.
 
     ``selected(id)`` marks nodes whose whole body is highlighted; of other
-    nodes only the definition line is.  A body becomes one start and one end
-    mark, and a running sum over the file's lines tells what lies inside, so
-    lines and bodies are never paired.
+    nodes only the definition line is.  A sweep over each file: a body is a
+    mark where it starts and one behind its end, marks and lines are merged by
+    line number, and a running sum tells what lies inside.  Lines and marks
+    meet in one exchange, which carries no text.
     """
     from pyspark.sql import Window
 
     keys = list(keys)
+    file = [*keys, "path"]
     spans = nodes.filter(F.col("start_line").isNotNull()).select(
         *keys, "id", F.col("file").alias("path"), "type", "start_line", "end_line"
     )
-    starts = spans.groupBy(*keys, "path", F.col("start_line").alias("line")).agg(
-        F.lit(True).alias("is_def"), F.bool_or(F.col("type") == "class").alias("is_class")
-    )
-    marks = lines.join(starts, [*keys, "path", "line"], "left")
     if selected is None:
-        inside = F.lit(False)
+        spans = spans.withColumn("_chosen", F.lit(0))
     else:
-        chosen = spans.join(selected.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
-        steps = chosen.select(
-            *keys,
-            "path",
-            F.explode(
-                F.array(
-                    F.struct(F.col("start_line").alias("line"), F.lit(1).alias("step")),
-                    F.struct((F.col("end_line") + 1).alias("line"), F.lit(-1).alias("step")),
-                )
-            ).alias("s"),
-        ).groupBy(*keys, "path", "s.line").agg(F.sum("s.step").alias("step"))
-        marks = marks.join(steps, [*keys, "path", "line"], "left").withColumn(
-            "_open", F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(*keys, "path").orderBy("line"))
-        )
-        inside = F.col("_open") > 0
-    text = F.col("text")
-    return marks.select(
-        *keys,
-        "path",
+        chosen = selected.select(*keys, "id").distinct().withColumn("_chosen", F.lit(1))
+        spans = spans.join(chosen, [*keys, "id"], "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(0)))
+
+    def mark(line, step, is_def, is_class):
+        return F.struct(line.alias("line"), step.alias("step"), is_def.alias("is_def"), is_class.alias("is_class"))
+
+    ends = [
+        mark(F.col("start_line"), F.col("_chosen"), F.lit(True), F.col("type") == "class"),
+        mark(F.col("end_line") + 1, -F.col("_chosen"), F.lit(False), F.lit(False)),
+    ]
+    marks = (
+        spans.select(*file, F.explode(F.array(*ends)).alias("m"))
+        .filter(F.col("m.line").isNotNull())
+        .groupBy(*file, F.col("m.line").alias("line"))
+        .agg(F.sum("m.step").alias("_step"), F.bool_or("m.is_def").alias("_def"), F.bool_or("m.is_class").alias("_class"))
+    )
+    flags = lines.select(*file, "line", F.col("text").rlike(r"^\s*(?:import|from)\b").alias("is_import"), F.lit(1).alias("_own"))
+    swept = Window.partitionBy(*file).orderBy("line", "_own").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_own") == 0, F.struct("line", "_def", "_class")), ignorenulls=True)
+    merged = (
+        flags.unionByName(marks.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+        .withColumns({"_open": F.sum(F.coalesce("_step", F.lit(0))).over(swept), "_last": last.over(swept)})
+        .filter("_own = 1")
+    )
+    here = F.coalesce(F.col("_last.line") == F.col("line"), F.lit(False))
+    is_def = here & F.coalesce("_last._def", F.lit(False))
+    return merged.select(
+        *file,
         "line",
-        text.rlike(r"^\s*(?:import|from)\b").alias("is_import"),
-        F.coalesce("is_def", F.lit(False)).alias("is_def"),
-        F.coalesce("is_class", F.lit(False)).alias("is_class"),
-        (F.coalesce("is_def", F.lit(False)) | inside).alias("is_highlighted"),
+        "is_import",
+        is_def.alias("is_def"),
+        (here & F.coalesce("_last._class", F.lit(False))).alias("is_class"),
+        (is_def | (F.col("_open") > 0)).alias("is_highlighted"),
     )
 
 
