@@ -10,6 +10,26 @@ NODE = "repo string, commit_sha string, id string"
 EDGE = "repo string, commit_sha string, source string, target string, type string"
 
 
+def staged_tables(spark):
+    from tributary.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:") + "/staged"
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_rounds_leave_one_table_each(spark):
+    chain = edges_of(spark, {"r": {(f"n{i + 1:02d}", f"n{i:02d}", "calls") for i in range(8)}})
+    seeds = spark.createDataFrame([("r", "c", "s", "n00")], "repo string, commit_sha string, seed string, id string")
+    before = staged_tables(spark)
+    found = impact.blast_radius(chain, seeds, max_depth=20)
+    made = staged_tables(spark) - before
+    assert len(made) == 1 and found.count() == 9
+    marks = spark.createDataFrame([("r", "c", "n00", "high")], NODE + ", issue_severity string")
+    entries = spark.createDataFrame([("r", "c", "n08")], NODE)
+    risk = impact.entry_points_at_risk(entries, chain, found, marks)
+    assert len(staged_tables(spark) - before - made) == 1 and [(r.entry_point, r.risk) for r in risk.collect()] == [("n08", "high")]
+
+
 def random_graph(seed, n=14, m=26):
     rnd = random.Random(seed)
     return {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}", rnd.choice(["calls", "imports", "defines"])) for _ in range(m)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tributary.functions.text import blast_severity
 from tributary.operators.graph import CallHubs
 from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_LEVELS
-from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage
+from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage, unstage
 
 
 def reverse_dependencies(
@@ -30,6 +30,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _settled(result: DataFrame, rounds: list[DataFrame], label: str) -> DataFrame:
+    """The result as one staged table; the rounds it was made from are deleted."""
+    out = stage(result, label)
+    for part in rounds:
+        unstage(part)
+    return out
+
+
 @dataclass
 class Steps:
     """One step of a walk: plain edges, and callers behind called names.
@@ -64,7 +72,8 @@ def reach(
     """Breadth-first reach of every seed group at once: ``(seed, id, depth)``.
 
     One round joins the frontier to the steps, keeps one row per new
-    ``(seed, id)`` and stages it; the loop ends with an empty frontier.  With
+    ``(seed, id)`` and stages it; the loop ends with an empty frontier, and the
+    rounds become one table.  With
     ``paths`` each row carries its first path: the smallest one, by ids, among
     the shortest.
     """
@@ -73,7 +82,7 @@ def reach(
     if paths:
         start = start.withColumn("path", F.array("id"))
     frontier = stage(start, f"{label}-0")
-    parts = [frontier]
+    parts, between = [frontier], []
     depth = 0
     node, name = [*keys, "seed", "id"], [*keys, "seed", "name"]
     extra = ["path"] if paths else []
@@ -97,12 +106,13 @@ def reach(
                 if passed.parts:
                     called = called.join(passed.rows(), name, "left_anti")
                 called = stage(called, f"{label}-names-{depth}")
+                between.append(called)
                 passed.add(called.select(*name))
                 arrived = arrived.unionByName(moved(steps.callers.probe(called), "source"))
             fresh = smallest(arrived, node).join(seen.rows(), node, "left_anti")
             frontier = stage(fresh.select(*node, F.lit(depth).alias("depth"), *extra), f"{label}-{depth}")
             parts.append(frontier)
-    return _union(parts)
+    return _settled(_union(parts), parts + between, label)
 
 
 def _backwards(
@@ -245,12 +255,14 @@ def entry_points_at_risk(
             )
             frontier = stage(fresh, f"risk-{step}")
             parts.append(frontier)
-    hit = (
+    hit = _settled(
         entries.select(*keys, F.col("id"))
         .join(_union(parts), [*keys, "id"])
         .filter(F.col("witness") != F.col("id"))
         .groupBy(*keys, "seed", "id")
-        .agg(F.bool_or("high").alias("high"))
+        .agg(F.bool_or("high").alias("high")),
+        parts,
+        "at-risk",
     )
     return hit.select(
         *keys, "seed", F.col("id").alias("entry_point"), F.when(F.col("high"), "high").otherwise("medium").alias("risk")

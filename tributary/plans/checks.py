@@ -609,11 +609,12 @@ def _show(name: str) -> str:
     return f"concat('[', replace({name}, ',', ', '), ']')"
 
 
-PROMPT_PARTS = _with(
+#: Every supplier is a change of its own.
+PROMPT_PARTS_EACH = _with(
     _RISK
     + _AROUND
     + [
-        ("pr", "SELECT concat('N', s_nationkey) AS seed, min(concat('S', s_suppkey)) AS id FROM supplier GROUP BY s_nationkey"),
+        ("pr", "SELECT concat('N', s_nationkey) AS seed, concat('S', s_suppkey) AS id FROM supplier"),
         (
             "pf",
             """SELECT pr.seed, gn.*, nb.callers, nb.callees, nb.importers, (SELECT count(*) FROM af WHERE af.seed = pr.seed AND depth > 0) AS total
@@ -628,10 +629,6 @@ UNION ALL SELECT seed, 3, entry, concat('Pipeline at risk: ', entry, ' (', risk,
 UNION ALL SELECT seed, 4, '', concat_ws(chr(10), concat('Called by: ', {_show('callers')}), concat('Calls: ', {_show('callees')}), concat('Imported by: ', {_show('importers')})) FROM pf
 UNION ALL SELECT seed, 5, '', 'First the dependents that fail once this change lands, then the tests that would show it. The last line reads RISK_LEVEL: [{"|".join(S.RISK_LEVELS)}]' FROM pf)""",
     True,
-)
-#: The same with every supplier as a change of its own.
-PROMPT_PARTS_EACH = PROMPT_PARTS.replace(
-    "min(concat('S', s_suppkey)) AS id FROM supplier GROUP BY s_nationkey", "concat('S', s_suppkey) AS id FROM supplier"
 ).replace("concat('N', s_nationkey) AS seed", "concat('S', s_suppkey) AS seed")
 RISK_LEVELS = f"""
 SELECT doc_id, coalesce(nullif(upper(regexp_extract(concat(text, chr(10), ['Risk_level: safe', 'RISK_LEVEL:RISKY', 'risk_level:  dangerous.', 'no verdict'][doc_id % 4 + 1]),
@@ -696,10 +693,6 @@ FALLBACK = _with(
     [("a", ANSWERS.replace("$BODY", _BODY))],
     "SELECT doc_id, md5(CASE WHEN lang <> 'en' THEN response ELSE concat('second ', lang) END) AS digest FROM a",
 )
-MERGED = _with(
-    _GRAPH,
-    f"SELECT {_K}, id, CASE WHEN type = 'function' AND start_line > 30 THEN concat('Runs ', label) ELSE '' END AS summary FROM nd",
-)
 MERGED_ALL = _with(_GRAPH, f"SELECT {_K}, id, CASE WHEN type = 'function' THEN concat('Runs ', label) ELSE '' END AS summary FROM nd")
 
 # --- Conversations -----------------------------------------------------------

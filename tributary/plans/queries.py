@@ -692,15 +692,6 @@ def _proposed(spark: SparkSession, sf: str) -> DataFrame:
     return trade_changes(spark, sf).withColumn("change", F.concat(F.lit("Replace "), "id"))
 
 
-@query(sql.PROMPT_PARTS)
-def impact_prompt_parts(spark, sf):
-    nodes, edges = trade_nodes(spark, sf).withColumn("summary", F.lit("")), trade_edges(spark, sf)
-    proposed = _proposed(spark, sf).groupBy(*KEYS, "seed").agg(F.min("id").alias("id"), F.min("change").alias("change"))
-    return impact.impact_prompt_parts(
-        proposed, nodes, impact.neighbourhood(nodes, edges), trade_affected(spark, sf), trade_at_risk(spark, sf)
-    )
-
-
 @query(sql.PROMPT_PARTS_EACH)
 def impact_prompt_parts_by_supplier(spark, sf):
     """A prompt for every supplier, each a change of its own."""
@@ -779,15 +770,6 @@ def summary_fallback(spark, sf):
     return rows.select("doc_id", F.md5("response").alias("digest"))
 
 
-@query(sql.MERGED)
-def merged_summaries(spark, sf):
-    nodes = code_graph(spark, sf).nodes
-    made = nodes.filter("type = 'function' AND start_line > 30").select(
-        *KEYS, "file", F.col("label").alias("name"), F.concat(F.lit("Runs "), "label").alias("summary")
-    )
-    return summaries.merge_summaries(nodes, made).select(*KEYS, "id", "summary")
-
-
 @query(sql.MERGED_ALL)
 def merged_summaries_of_all(spark, sf):
     nodes = code_graph(spark, sf).nodes

@@ -67,7 +67,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no pending result reads any more."""
+    """Delete a staged table that no pending result reads any more; other tables stay."""
+    if not hasattr(df, "_staged_at"):
+        return
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -108,7 +110,7 @@ class KeyedChunks:
     serves the rounds of a loop: if it is large it is partitioned and sorted by
     its key and kept on the executors, so a round moves only its frontier.  A
     lost executor's part is rebuilt from the staged copy.  Use it as a context
-    manager to let go of it after the loop.
+    manager to let go of it after the loop: then the copy it made is deleted too.
     """
 
     def __init__(
@@ -123,7 +125,8 @@ class KeyedChunks:
     ) -> None:
         self.on = list(on)
         self.rows_per_chunk = rows_per_chunk
-        table = table if staged else stage(table, label)
+        self.copies = [] if staged else [stage(table, label)]
+        table = table if staged else self.copies[0]
         large = table.count() > rows_per_chunk  # read from the footers of the staged files
         self.has_hot = False
         if large:
@@ -134,6 +137,7 @@ class KeyedChunks:
                 .select(*self.on, F.ceil(F.col("_n") / rows_per_chunk).cast("int").alias("_chunks"))
             )
             self.hot = stage(hot, f"{label}-hot")
+            self.copies.append(self.hot)
             self.has_hot = not self.hot.isEmpty()
         if self.has_hot:
             table = (
@@ -152,6 +156,8 @@ class KeyedChunks:
     def __exit__(self, *_) -> None:
         if self.resident:
             self.table.unpersist()
+        for copy in self.copies:
+            unstage(copy)
 
     def probe(self, rows: DataFrame) -> DataFrame:
         """Inner join of ``rows`` to the table on the key columns."""
