@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tributary.llm.html_text import Page, host_of, main_text, parse, templates
@@ -68,3 +70,50 @@ def test_template_of_a_section_of_a_large_host(spark):
     rows = [(i, "http://h/", f"<div><ul><li>{'Section menu' if i < 60 else f'menu {i}'}</li></ul><p>story {i}</p></div>") for i in range(1200)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"story {i}" if i < 60 else f"menu {i} story {i}" for i in range(1200)}
+
+
+def test_prose_of_the_site_inside_articles(spark):
+    """No name tells these apart: only that they stand under many titles of the host."""
+    rng = random.Random(4)
+
+    def words(n):
+        return " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(999)) for _ in range(n))
+
+    rows, wanted = [], {}
+    for host in ("a.x", "b.x"):
+        for i in range(200):
+            title, one, two = words(4), words(40), words(30)
+            licence = "<p>Quoted under a free licence of 1999</p>" if i % 70 == 0 else ""
+            advert = "<p class=k7>Try our reader for a month</p>" if i % 2 else ""
+            reply = "<div><p>Log in to say what you think</p><div><p>Great piece!</p></div></div>"
+            body = f"<p>From our desk in the harbour</p><h1>{title}</h1><p>{one}</p>{advert}<p>{two}</p>{licence}{reply}"
+            rows.append((len(rows), f"http://{host}/{i}", f"<html><body><article>{body}</article></body></html>"))
+            wanted[rows[-1][0]] = " ".join([title, one, two, "Quoted under a free licence of 1999"][: 4 if licence else 3])
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(docs).collect()} == wanted
+
+
+def test_copied_stories_stay(spark):
+    """Copies on one host, some with words changed, are no template of it."""
+    story = "<article><h1>{t}</h1><p>Short first words</p><p>{b}</p><p>The long rest of a story that many pages of the host hold again and again.</p></article>"
+    rows = [(i, "http://h/", story.format(t="Same title" if i % 3 else f"Same title {i}", b=f"Body {i % 40}")) for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Short first words" in t and "long rest" in t for t in got.values()) and len(got) == 300
+
+
+@pytest.mark.parametrize(("body", "text"), [
+    ("<article><p>A long story</p><article class=r1><p>so so</p></article></article>", "A long story"),
+    ("<article><p>A long story</p><section class='responses'><p>first!</p></section></article>", "A long story"),
+    ("<main><article><p>A long story of the day</p></article></main><article class=k><p>Teaser</p></article>", "A long story of the day"),
+    ("<article><p>One of two</p></article><article><p>Two of two</p></article>", "One of two Two of two"),
+    ("<article><article><p>Wrapped twice</p></article></article>", "Wrapped twice"),
+])
+def test_articles_beside_and_inside(body, text):
+    assert Page.of(PAGE.replace("BODY", body)).text() == text
+
+
+def test_many_marks_are_linear():
+    deep = Page.of("<div>x" * 5000 + "</div>" * 5000)
+    pieces, marks = deep.parts()
+    assert len(marks) == 5000 and len(pieces) <= 10001
+    assert deep.text(frozenset(d for d, first, _ in marks if first)) == "x"
