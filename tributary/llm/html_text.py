@@ -416,6 +416,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     each = waiting.select("key", "host", F.explode(F.array_distinct("marks.digest")).alias("digest"))
     # A template on many pages is a hot key; a page's own subtrees are all that one group holds.
     drops = salted_join(each, template, ["host", "digest"], spread=["key"]).groupBy("key").agg(F.collect_set("digest").alias("template"))
+    # As a table its size is known before the join, so texts move only if many pages hold template.
+    drops = staged(drops, "page-templates").frame
     late = waiting.select("page_id", "url", "key", "pieces", "marks").join(drops, "key", "left").select("page_id", "url", "pieces", "marks", "template")
     out = known.filter("key is null").select("page_id", "url", "text").unionByName(late.mapInArrow(tidy(_settle), "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
