@@ -1,11 +1,14 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm_fixtures import ODD, documents, prose
 
+from tributary.llm import toxicity
 from tributary.llm.queries import fold, op4_toxicity
-from tributary.llm.toxicity import fit, fitted, with_score
+from tributary.llm.toxicity import BUCKETS, Setting, Toxicity, fit, fitted, subwords, with_score
 
 INSULTS = ["blockhead", "nitwit", "scoundrel", "dimwit"]
 
@@ -58,3 +61,48 @@ def test_held_out_accuracy(spark):
     table = {(r["toxic"], r["predicted"]): r["count"] for r in got}
     assert table[0, 0] / (table[0, 0] + table.get((0, 1), 0)) >= 0.99
     assert table[1, 1] / (table[1, 1] + table.get((1, 0), 0)) >= 0.8
+
+
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_scores_equal_plain_loops(window):
+    """Mean over n-grams, mean over a window's words, the worst window, the logistic function."""
+    margins = np.random.default_rng(window).normal(0, 2, BUCKETS).astype(np.float32)
+    model = Toxicity(margins, -0.3, window)
+
+    def plain(text):
+        each = []
+        for word in (text or "").split():
+            grams, _ = subwords(pa.array([word]))
+            each.append(sum(float(margins[g]) for g in grams) / len(grams))
+        if not each:
+            return 1 / (1 + math.exp(0.3))
+        ends = range(window, len(each) + 1) if len(each) >= window else [len(each)]
+        worst = max(sum(each[max(e - window, 0) : e]) / min(window, len(each)) for e in ends)
+        return 1 / (1 + math.exp(-(worst - 0.3)))
+
+    texts = [prose(n, n) for n in (1, 2, 3, 7, 60)] + ["ünï cödé Wörter!", "... --", "", None]
+    assert np.allclose(model(pa.array(texts)), [plain(t) for t in texts], rtol=1e-5)
+
+
+def test_n_grams_by_plain_slices():
+    grams, starts = subwords(pa.array(["Ab-c", "nitwit"]))
+    assert np.diff(starts).tolist() == [1 + 3 + 2 + 1, 1 + 6 + 5 + 4 + 3]
+    again, _ = subwords(pa.array(["abc"]))
+    assert grams[: starts[1]].tolist() == again.tolist()
+
+
+def test_the_setting_is_chosen_on_rows_held_back():
+    """A lone word is found by windows of one word, whatever else is offered and in which order."""
+    texts, labels = corpus(600, 5)
+    model = fit(pa.array(texts), labels, prior=0.25, settings=(Setting(30, 20), Setting(1, 20)))
+    assert model.window == 1
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    texts, labels = corpus(300, 6)
+    texts[4] += " x" * 300_000
+    docs = documents(spark, texts)
+    marks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(labels)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 40_000)
+    got = with_score(docs, fitted(docs, marks)).collect()
+    assert len(got) == 300 and all(0 <= r["score"] <= 1 for r in got)

@@ -7,18 +7,22 @@ numpy, so an unseen misspelling is scored by the n-grams it shares with known wo
 A document scores as its worst window: one insult in a long text counts as much as in
 a short one.  In training, the loss at a document's worst window is spread over its
 windows by their softmax, so the words behind a label are found without marks on them.
+
+How many words a window averages and how far rare n-grams are shrunk is chosen in every
+fit, on a fifth of the rows to learn from that the candidates don't see.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Words, slices, tidy, words
@@ -26,13 +30,24 @@ from tributary.llm.substrings import _mixed
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-#: Words averaged together; one word at a time finds single insults best on held-out rows.
-WINDOW = 1
 DIMENSIONS = 8
 
 #: Labelled toxic rows that the classifier is fitted on, at most; of the other class, three times as many.
 TOXIC_ROWS = 1200
 
+#: Text bytes that the classifier is fitted on, at most; a text of more than a sixteenth of them is not fitted on.
+FIT_BYTES = 32 << 20
+
+
+class Setting(NamedTuple):
+    """What a fit may choose: words to a window, and the documents at which an n-gram counts half."""
+
+    window: int
+    half: float
+
+
+SETTINGS = (Setting(1, 5), Setting(1, 20), Setting(1, 80), Setting(2, 20))
+
 
 def subwords(distinct: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all words and their n-grams, one word after another, and where each word's start.
@@ -70,12 +85,12 @@ def _means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (upto[starts[1:]] - upto[starts[:-1]]) / (count if values.ndim == 1 else count[:, None])
 
 
-def _windows(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(found: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the windows, and the first window of each document; a short document is one window."""
-    per = np.maximum(found.counts - WINDOW + 1, 1)
+    per = np.maximum(found.counts - window + 1, 1)
     first = np.concatenate([[0], np.cumsum(per)])
     start = np.arange(first[-1]) - np.repeat(first[:-1] - found.starts[:-1], per)
-    return start, np.minimum(start + WINDOW, np.repeat(found.starts[1:], per)), first
+    return start, np.minimum(start + window, np.repeat(found.starts[1:], per)), first
 
 
 @dataclass
@@ -84,6 +99,7 @@ class Toxicity:
 
     margins: np.ndarray
     bias: float
+    window: int = 1
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         found = words(texts)
@@ -91,49 +107,48 @@ class Toxicity:
             return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
         grams, starts = subwords(found.distinct)
         each = _means(self.margins[grams], starts)
-        start, end, first = _windows(found)
+        start, end, first = _windows(found, self.window)
         upto = np.concatenate([[0], np.cumsum(each[found.codes])])
         margin = (upto[end] - upto[start]) / np.maximum(end - start, 1)
         return 1 / (1 + np.exp(-(np.maximum.reduceat(margin, first[:-1]) + self.bias)))
 
 
-def _common(grams: np.ndarray, size: np.ndarray, found: Words, fewest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of each word that occur in enough documents."""
+def _in_docs(grams: np.ndarray, size: np.ndarray, found: Words) -> np.ndarray:
+    """For each bucket, how many documents hold it; counted once per word, so an upper bound."""
     pair = np.unique(found.owner() * len(size) + found.codes)
-    in_docs = np.bincount(pair % len(size), minlength=len(size))
-    # Documents are counted once per word, so a bucket's count is an upper bound; single words in single documents fall out.
-    keep = np.bincount(grams, np.repeat(in_docs.astype(np.float32), size), BUCKETS)[grams] >= fewest
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    ends = np.cumsum(size)
-    return upto[ends] - upto[ends - size], grams[keep]
-
-
-def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 80, rate: float = 0.2, decay: float = 0.02, seed: int = 7) -> Toxicity:
-    """Train vectors and softmax together, all documents at a time; both classes weigh the same.
-
-    A fifth of the rows is held back to set the bias, so that the fewest errors are
-    made at a probability of one half where ``prior`` of the documents are toxic.
-    N-grams of fewer than one in 300 documents (three at least) are left out, since
-    they only tell single rows apart.  Without rows of both classes, every text scores
-    by the one class there is; without any, nothing is known to be toxic.
+    return np.bincount(grams, np.repeat(np.bincount(pair % len(size), minlength=len(size)).astype(np.float32), size), BUCKETS)
+
+
+@dataclass
+class _Rows:
+    """The labelled rows as words and n-grams, and which of them are held back from the vectors.
+
+    ``grams`` holds those of two documents or more, ``size`` how many each word has of them and ``count`` of all.
     """
-    labels = np.asarray(labels, float)
-    if not len(labels) or labels.min() == labels.max():
-        return Toxicity(np.zeros(BUCKETS, np.float32), 20.0 if len(labels) and labels[0] else -20.0)
+
+    found: Words
+    grams: np.ndarray
+    size: np.ndarray
+    count: np.ndarray
+    in_docs: np.ndarray
+    labels: np.ndarray
+    back: np.ndarray
+
+
+def _train(rows: _Rows, setting: Setting, epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Vectors and softmax, trained together, all documents at a time; both classes weigh the same.
+
+    Gives the margin that each n-gram adds, each document's highest margin and the bias.
+    """
+    found, labels, size, count, back = rows.found, rows.labels, rows.size, rows.count, rows.back
     rng = np.random.default_rng(seed)
-    found = words(texts)
-    grams, starts = subwords(found.distinct)
-    size = np.diff(starts)
-    count = np.maximum(size, 1)
-    start, end, first = _windows(found)
+    trust = (rows.in_docs / (rows.in_docs + setting.half)).astype(np.float32)
+    trust[rows.in_docs < 2] = 0
+    start, end, first = _windows(found, setting.window)
     length = np.maximum(end - start, 1)
     doc = np.repeat(np.arange(len(labels)), np.diff(first))
-    size, grams = _common(grams, size, found, max(3, len(labels) // 300))
-    some = np.flatnonzero(size)  # words that have any n-gram left
+    some = np.flatnonzero(size)
     first_gram = (np.cumsum(size) - size)[some]
-    back = rng.random(len(labels)) < 0.2
-    if any(labels[~back].sum() in (0, (~back).sum()) or not (labels[back] == c).any() for c in (0, 1)):
-        back[:] = False
     weight = np.where(labels == 1, 0.5 / labels[~back].sum(), 0.5 / (1 - labels[~back]).sum()) * ~back
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     softmax = rng.normal(0, 0.5, (2, DIMENSIONS))
@@ -141,10 +156,10 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, softmax, bias)]
     for step in range(1, epochs + 1):
         # A mean of vectors into a linear softmax is the mean of what each vector adds to it.
-        of_gram = vectors @ (softmax[1] - softmax[0])
+        of_gram = (vectors @ (softmax[1] - softmax[0])).astype(np.float32) * trust
         of_word = np.zeros(len(size))
         if len(some):
-            of_word[some] = np.add.reduceat(of_gram.astype(np.float32)[grams], first_gram) / count[some]
+            of_word[some] = np.add.reduceat(of_gram[rows.grams], first_gram) / count[some]
         upto = np.concatenate([[0], np.cumsum(of_word[found.codes])])
         margin = (upto[end] - upto[start]) / length
         top = np.maximum.reduceat(margin, first[:-1])
@@ -159,8 +174,9 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
         by_gram = np.zeros(BUCKETS)
         for a in range(0, len(some), 100_000):
             mine = some[a : a + 100_000]
-            run = grams[first_gram[a] : first_gram[a] + int(size[mine].sum())]
+            run = rows.grams[first_gram[a] : first_gram[a] + int(size[mine].sum())]
             by_gram += np.bincount(run, np.repeat(by_word[mine] / count[mine], size[mine]), BUCKETS)
+        by_gram *= trust
         d_margin = by_gram @ vectors
         d_vectors = by_gram[:, None] * (softmax[1] - softmax[0])
         for x, d, (m, v) in zip((vectors, softmax, bias), (d_vectors, np.stack([-d_margin, d_margin]), np.array([-error.sum(), error.sum()])), state, strict=True):
@@ -169,23 +185,71 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 8
             if x is vectors:
                 x *= 1 - rate * decay
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    shift = float(bias[1] - bias[0])
-    if back.any():
-        order = np.argsort(top[back])
-        toxic = labels[back][order]
-        missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum() * prior
-        wrong = (1 - np.concatenate([[0], np.cumsum(1 - toxic)]) / (1 - toxic).sum()) * (1 - prior)
-        cost = missed + wrong
-        best = np.flatnonzero(cost <= cost.min() + 1e-12)
-        cut = int(best[len(best) // 2])
-        edges = np.concatenate([[top[back][order][0] - 1], top[back][order], [top[back][order][-1] + 1]])
-        shift = -float((edges[cut] + edges[cut + 1]) / 2)
-    return Toxicity(of_gram.astype(np.float32), shift)
+    return of_gram, top, float(bias[1] - bias[0])
+
+
+def _cut(top: np.ndarray, toxic: np.ndarray, prior: float) -> tuple[float, float]:
+    """The margin at which held-back documents are told apart with the least expected error, and that error.
+
+    The error is that of the best cut, averaged with its two neighbours of half and
+    double the share of toxic rows, so that one lucky cut does not decide.
+    """
+    order = np.argsort(top, kind="stable")
+    top, toxic = top[order], toxic[order]
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
+    wrong = 1 - np.concatenate([[0], np.cumsum(1 - toxic)]) / (1 - toxic).sum()
+    best = []
+    for p in (prior, prior / 2, min(2 * prior, 0.999)):
+        cost = missed * p + wrong * (1 - p)
+        best.append((float(cost.min()) / min(p, 1 - p), np.flatnonzero(cost <= cost.min() + 1e-12)))
+    cut = int(best[0][1][len(best[0][1]) // 2])
+    edges = np.concatenate([[top[0] - 1], top, [top[-1] + 1]])
+    return float((edges[cut] + edges[cut + 1]) / 2), sum(b[0] for b in best) / len(best)
+
+
+def fit(
+    texts: pa.Array, labels: np.ndarray, prior: float = 0.1, epochs: int = 80, rate: float = 0.2, decay: float = 0.02, seed: int = 7,
+    settings: tuple[Setting, ...] = SETTINGS,
+) -> Toxicity:
+    """Train with every setting, and keep the one that tells held-back rows apart best.
+
+    A fifth of the rows is held back from the vectors to choose the setting and to set
+    the bias, so that the fewest errors are made at a probability of one half where
+    ``prior`` of the documents are toxic.  If there are too few rows to hold some of
+    both classes back, the first setting is used and the trained bias.  Without rows of
+    both classes, every text scores by the one class there is; without any, nothing is
+    known to be toxic.
+    """
+    labels = np.asarray(labels, float)
+    if not len(labels) or labels.min() == labels.max():
+        return Toxicity(np.zeros(BUCKETS, np.float32), 20.0 if len(labels) and labels[0] else -20.0)
+    rng = np.random.default_rng(seed)
+    found = words(texts)
+    grams, starts = subwords(found.distinct)
+    size = np.diff(starts)
+    back = rng.random(len(labels)) < 0.2
+    if any(labels[~back].sum() in (0, (~back).sum()) or not (labels[back] == c).any() for c in (0, 1)):
+        back[:] = False
+    in_docs = _in_docs(grams, size, found)
+    kept = np.concatenate([[0], np.cumsum(in_docs[grams] >= 2)])  # an n-gram of one document only tells that row apart
+    rows = _Rows(found, grams[in_docs[grams] >= 2], kept[starts[1:]] - kept[starts[:-1]], np.maximum(size, 1), in_docs, labels, back)
+    best: tuple[float, Toxicity] | None = None
+    for setting in settings if back.any() else settings[:1]:
+        of_gram, top, shift = _train(rows, setting, epochs, rate, decay, seed)
+        error = 0.0
+        if back.any():
+            cut, error = _cut(top[back], labels[back], prior)
+            shift = -cut
+        if best is None or error < best[0]:
+            best = error, Toxicity(of_gram, shift, setting.window)
+    return best[1]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TOXIC_ROWS) -> Toxicity:
     """Fit on at most ``most`` toxic and ``3 * most`` other labelled documents, picked by a hash of their ids.
 
+    Of these, texts of up to a sixteenth of ``FIT_BYTES`` take part, in the order of the
+    hash, as far as ``FIT_BYTES`` go; all others are scored all the same.
     Labels other than 0 and 1, or without an id or a document, are left out; an id
     that is labelled twice counts as toxic if any of its labels says so.  ``labels``
     holds the rows that may be learned from.
@@ -199,19 +263,22 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     picked = by_hash.filter("label = 1").limit(most).unionByName(by_hash.filter("label = 0").limit(3 * most))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
     # At most 4 * most ids are broadcast, and as many texts go to the one task that fits.
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * most).select("text", "label")
+    size, by = F.octet_length("text"), [F.xxhash64("doc_id"), "doc_id", "text"]
+    short = texts.filter(size <= FIT_BYTES // 16).join(F.broadcast(picked), "doc_id").orderBy(*by).limit(4 * most)
+    upto = F.sum(size).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = short.withColumn("_upto", upto).filter(F.col("_upto") <= FIT_BYTES).select("text", "label")
     toxic = shares.get(1, 0)
     prior = min(max(toxic / max(toxic + shares.get(0, 0), 1), 0.001), 0.999)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("label", pa.int32())]))
         model = fit(sample.column("text").combine_chunks(), sample.column("label").to_numpy(), prior=prior)
-        yield pa.record_batch([pa.array([model.margins.tobytes()], pa.binary()), pa.array([model.bias])], ["margins", "bias"])
+        yield pa.record_batch([pa.array([model.margins.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.window])], ["margins", "bias", "window"])
 
-    found = rows.mapInArrow(tidy(run), "margins binary, bias double").first()
+    found = rows.mapInArrow(tidy(run), "margins binary, bias double, window long").first()
     if found is None:
         return fit(pa.array([], pa.string()), np.zeros(0))
-    return Toxicity(np.frombuffer(found["margins"], np.float32), found["bias"])
+    return Toxicity(np.frombuffer(found["margins"], np.float32), found["bias"], found["window"])
 
 
 def with_score(docs: DataFrame, model: Toxicity, text: str = "text", into: str = "score") -> DataFrame:
