@@ -30,6 +30,17 @@ def test_rounds_leave_one_table_each(spark):
     assert len(staged_tables(spark) - before - made) == 1 and [(r.entry_point, r.risk) for r in risk.collect()] == [("n08", "high")]
 
 
+def test_at_risk_walk_ends_at_affected_nodes(spark, monkeypatch):
+    labels, real = [], impact.stage
+    monkeypatch.setattr(impact, "stage", lambda df, label: labels.append(label) or real(df, label))
+    chain = edges_of(spark, {"r": {(f"n{i + 1:02d}", f"n{i:02d}", "calls") for i in range(8)}})
+    hit = spark.createDataFrame([("r", "c", "s", f"n{i:02d}") for i in range(9)], "repo string, commit_sha string, seed string, id string")
+    entries = spark.createDataFrame([("r", "c", "n08")], NODE)
+    none = spark.createDataFrame([], NODE + ", issue_severity string")
+    assert [(r.entry_point, r.risk) for r in impact.entry_points_at_risk(entries, chain, hit, none).collect()] == [("n08", "medium")]
+    assert "risk-1" in labels and not any(label in labels for label in ("risk-2", "risk-3"))
+
+
 def random_graph(seed, n=14, m=26):
     rnd = random.Random(seed)
     return {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}", rnd.choice(["calls", "imports", "defines"])) for _ in range(m)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tributary.functions.text import blast_severity
 from tributary.operators.graph import CallHubs
 from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_LEVELS
-from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage, unstage
+from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage, telling_first, unstage
 
 
 def reverse_dependencies(
@@ -84,7 +84,7 @@ def reach(
     frontier = stage(start, f"{label}-0")
     parts, between = [frontier], []
     depth = 0
-    node, name = [*keys, "seed", "id"], [*keys, "seed", "name"]
+    node, name = telling_first([*keys, "seed", "id"]), telling_first([*keys, "seed", "name"])
     extra = ["path"] if paths else []
 
     def smallest(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def reach(
         return rows.select(*keys, "seed", F.col(to).alias("id"), *path)
 
     limit = steps.plain.rows_per_chunk
-    with Collected(node, limit) as seen, Collected(name, limit) as passed:
+    with Collected(node[::-1], limit) as seen, Collected(name[::-1], limit) as passed:
         while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
             seen.add(frontier.select(*node))
             depth += 1
@@ -213,58 +213,85 @@ def entry_points_at_risk(
     """``(seed, entry_point, risk)``: entries whose forward reach is hit.
 
     Walks backwards from the affected nodes instead of forwards from every
-    entry.  Each node keeps at most two distinct affected nodes it reaches
-    (two are enough to know one that is not the node itself), once for all
-    affected nodes and once for those in files with a high issue, so state
-    stays linear in the graph and no entry-by-node pairs arise.
+    entry.  A way to an affected node may be cut at the first one it meets, so
+    the walk goes on only through nodes that are not affected (for high issues:
+    that are not affected ones with a high issue).  Those keep at most two distinct
+    affected nodes they reach: two are enough to know one that is not the node
+    itself.  State stays linear in the graph and no entry-by-node pairs arise.
+    Edges into nodes that are no entries and that nothing depends on are left out.
     ``severities(id, issue_severity)`` tells which nodes carry high issues.
     """
     keys = list(keys)
-    back = reverse_dependencies(edges, types, keys)
-    marked = affected.select(*keys, "seed", "id").distinct().join(
-        severities.select(*keys, "id", "issue_severity").dropDuplicates([*keys, "id"]), [*keys, "id"], "left"
+    node, at = telling_first([*keys, "seed", "id"]), telling_first([*keys, "id"])
+    back = stage(reverse_dependencies(edges, types, keys), "risk-edges")
+    roles = (
+        entries.select(*keys, F.col("id").alias("dependent"), F.lit(True).alias("entry"))
+        .unionByName(back.select(*keys, F.col("id").alias("dependent"), F.lit(False).alias("entry")))
+        .groupBy(*telling_first([*keys, "dependent"]))
+        .agg(F.max("entry").alias("entry"))
+    )
+    walk = back.join(roles, telling_first([*keys, "dependent"])).select(*keys, "id", "dependent", "entry")
+    high = (
+        severities.select(*keys, "id", "issue_severity")
+        .dropDuplicates(at)
+        .filter(F.col("issue_severity") == "high")
+        .select(*keys, "id", F.col("id").alias("high"))
     )
-    group = [*keys, "seed", "high", "id"]
-    levels = F.when(F.col("issue_severity") == "high", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    frontier = stage(
-        marked.select(*keys, "seed", F.explode(levels).alias("high"), "id", F.col("id").alias("witness")), "risk-0"
+    marked = stage(
+        affected.select(*keys, "seed", "id").join(high, at, "left").select(*keys, "seed", "id", F.col("id").alias("any"), "high"), "risk-0"
     )
-    parts = [frontier]
-    step = 0
+    frontier, hits, rounds = marked, [], [marked, back]
+    kinds = ("any", "high")
     with (
-        KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
-        Collected(group, rows_per_chunk) as known,
+        KeyedChunks(walk, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
+        Collected(node[::-1], rows_per_chunk) as known,
+        Collected(node[::-1], rows_per_chunk) as stops,
     ):
-        while not frontier.isEmpty():
-            known.add(frontier)
-            step += 1
+        onward = stage(steps.table.select(*at).distinct(), "risk-onward")
+        rounds.append(onward)
+        while True:
             arrived = (
                 steps.probe(frontier)
-                .select(*keys, "seed", "high", F.col("dependent").alias("id"), "witness")
-                .groupBy(*group)
+                .select(*keys, "seed", F.col("dependent").alias("id"), "entry", *[F.nullif(k, "dependent").alias(k) for k in kinds])
+                .filter(F.coalesce(*kinds).isNotNull())
+                .groupBy(*node)
                 # of the arrivals, two distinct ones always hold one that is not known yet, if any is
-                .agg(F.min("witness").alias("a"), F.max("witness").alias("b"))
-            )
-            held = known.rows().groupBy(*group).agg(F.array_sort(F.collect_set("witness")).alias("held"))
-            fresh = (
-                arrived.join(held, group, "left")
-                .withColumn("held", F.coalesce("held", F.expr("CAST(array() AS array<string>)")))
-                .withColumn("new", F.array_except(F.array_distinct(F.array("a", "b")), F.col("held")))
-                .withColumn("new", F.slice("new", 1, F.greatest(F.lit(0), F.lit(2) - F.size("held"))))
-                .select(*group, F.explode("new").alias("witness"))
+                .agg(F.max("entry").alias("entry"), *[f(k).alias(f"{k}_{end}") for k in kinds for f, end in ((F.min, "a"), (F.max, "b"))])
             )
-            frontier = stage(fresh, f"risk-{step}")
-            parts.append(frontier)
-    hit = _settled(
-        entries.select(*keys, F.col("id"))
-        .join(_union(parts), [*keys, "id"])
-        .filter(F.col("witness") != F.col("id"))
-        .groupBy(*keys, "seed", "id")
-        .agg(F.bool_or("high").alias("high")),
-        parts,
-        "at-risk",
-    )
-    return hit.select(
+            arrived = stage(arrived, f"risk-{len(hits) + 1}")
+            hits.append(arrived)
+            rounds.append(arrived)
+            moving = arrived.join(onward, at, "left_semi")
+            if moving.isEmpty():
+                break
+            if not stops.parts:
+                stops.add(marked)
+            ends = stops.rows().groupBy(*node).agg(*[F.max(F.col(k).isNotNull()).alias(f"{k}_end") for k in kinds])
+            moving = moving.join(ends, node, "left")
+            if known.parts:
+                held = known.rows().groupBy(*node).agg(*[F.collect_set(k).alias(f"{k}_held") for k in kinds])
+                moving = moving.join(held, node, "left")
+            else:
+                moving = moving.withColumns({f"{k}_held": F.lit(None).cast("array<string>") for k in kinds})
+
+            def news(k: str):
+                none = F.expr("CAST(array() AS array<string>)")
+                held = F.coalesce(f"{k}_held", none)
+                new = F.array_except(F.array_distinct(F.array_compact(F.array(f"{k}_a", f"{k}_b"))), held)
+                stopped = F.coalesce(f"{k}_end", F.lit(False))
+                return F.when(~stopped, F.slice(new, 1, F.greatest(F.lit(0), F.lit(2) - F.size(held)))).otherwise(none).alias(k)
+
+            fresh = moving.select(*node, F.explode(F.arrays_zip(*[news(k) for k in kinds])).alias("w"))
+            frontier = stage(fresh.select(*keys, "seed", "id", *[F.col("w")[k].alias(k) for k in kinds]), f"risk-moving-{len(hits)}")
+            rounds.append(frontier)
+            if frontier.isEmpty():
+                break
+            known.add(frontier)
+    found = _union(hits).filter("entry").select(*node, F.col("high_a").isNotNull().alias("high"))
+    if len(hits) > 1:
+        found = found.groupBy(*node).agg(F.max("high").alias("high"))
+    found = _settled(found, rounds, "at-risk")
+    return found.select(
         *keys, "seed", F.col("id").alias("entry_point"), F.when(F.col("high"), "high").otherwise("medium").alias("risk")
     )
 

@@ -132,7 +132,14 @@ def trade_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def trade_affected(spark: SparkSession, sf: str) -> DataFrame:
     return _once(
-        spark, sf, "trade-affected",
+        spark, sf, "trade-affected", lambda: impact.blast_radius(trade_edges(spark, sf), trade_changes(spark, sf))
+    )
+
+
+def trade_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """The affected nodes with their first paths, for the query that lists routes."""
+    return _once(
+        spark, sf, "trade-routed",
         lambda: impact.blast_radius(trade_edges(spark, sf), trade_changes(spark, sf), paths=True),
     )
 
@@ -162,9 +169,7 @@ def trade_at_risk(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
         nodes, edges = trade_nodes(spark, sf), trade_edges(spark, sf)
         entries = graph.entry_points(nodes, edges)
-        return stage(
-            impact.entry_points_at_risk(entries, edges, trade_affected(spark, sf), trade_severity(spark, sf)), "at-risk"
-        )
+        return impact.entry_points_at_risk(entries, edges, trade_affected(spark, sf), trade_severity(spark, sf))
 
     return _once(spark, sf, "at-risk", build)
 
@@ -632,8 +637,7 @@ def reverse_dependencies(spark, sf):
 
 @query(sql.BLAST)
 def blast_radius(spark, sf):
-    found = impact.blast_radius(trade_edges(spark, sf), trade_changes(spark, sf))
-    return found.select(*KEYS, "seed", "id", "depth", "severity")
+    return trade_affected(spark, sf).select(*KEYS, "seed", "id", "depth", "severity")
 
 
 @query(sql.BLAST_CODE)
@@ -651,7 +655,7 @@ def blast_radius_by_names(spark, sf):
 
 @query(sql.PATHS)
 def witness_paths(spark, sf):
-    found = impact.witness_paths(trade_edges(spark, sf), trade_affected(spark, sf))
+    found = impact.witness_paths(trade_edges(spark, sf), trade_routed(spark, sf))
     return found.select(*KEYS, "seed", "id", "rank", F.array_join("path", ">").alias("path"))
 
 
@@ -697,9 +701,9 @@ def impact_prompt_parts_by_supplier(spark, sf):
     """A prompt for every supplier, each a change of its own."""
     nodes, edges = trade_nodes(spark, sf).withColumn("summary", F.lit("")), trade_edges(spark, sf)
     proposed = _proposed(spark, sf).withColumn("seed", F.col("id"))
-    affected = stage(impact.blast_radius(edges, proposed.select(*KEYS, "seed", "id"), paths=True), "supplier-affected")
+    affected = impact.blast_radius(edges, proposed.select(*KEYS, "seed", "id"))
     entries = graph.entry_points(nodes, edges)
-    at_risk = stage(impact.entry_points_at_risk(entries, edges, affected, trade_severity(spark, sf)), "supplier-at-risk")
+    at_risk = impact.entry_points_at_risk(entries, edges, affected, trade_severity(spark, sf))
     return impact.impact_prompt_parts(proposed, nodes, impact.neighbourhood(nodes, edges), affected, at_risk)
 
 
