@@ -231,3 +231,13 @@ def n(): ""
     assert got == {
         "A": "Short.", "B": 'r"Raw."', "f": "Says f.", "g": None, "h": "Over\n    two lines.", "i": None, "j": None, "k": "Single", "l": None, "m": "Below.", "n": None,
     }
+
+
+def test_content_is_cut_into_tokens_once(spark):
+    from pyspark.sql import functions as F
+
+    from tributary.functions.text import mask_literals
+
+    masked = spark.createDataFrame([("x = f\"{g(1)}\" + 'a'",)], "content string").select(mask_literals(F.col("content")).alias("m"))
+    assert masked._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(content") == 1
+    assert masked.collect()[0].m == 'x = f"" % (g(1)) + ""'

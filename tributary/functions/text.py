@@ -93,7 +93,6 @@ def mask_literals(content: Column) -> Column:
     continuation lines whatever they hold; the expressions of a formatted one stay on
     the lines where they are.
     """
-    tokens = F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0))
 
     def fields(token: Column) -> Column:
         breaks = lambda text: F.length(F.regexp_replace(text, r"[^\n]+", ""))
@@ -101,7 +100,7 @@ def mask_literals(content: Column) -> Column:
         # A field that is not closed is left out; its lines are not.
         return let(held, lambda out: F.concat(out, F.repeat(F.lit("\n"), breaks(token) - breaks(out))))
 
-    def blank(token: Column, at: Column) -> Column:
+    def blank(tokens: Column, token: Column, at: Column) -> Column:
         first = F.substring(token, 1, 1)
         formatted = (at > 0) & F.get(tokens, at - 1).rlike(r"(?i)(?<!\w)(?:f|rf|fr)$")
         return (
@@ -120,7 +119,11 @@ def mask_literals(content: Column) -> Column:
             .otherwise(token)
         )
 
-    return F.array_join(F.transform(tokens, blank), "")
+    # Each literal looks at the token before it, so the content is cut into tokens once, not once per literal.
+    return let(
+        F.regexp_extract_all(content, F.lit(_TOKEN), F.lit(0)),
+        lambda tokens: F.array_join(F.transform(tokens, lambda token, at: blank(tokens, token, at)), ""),
+    )
 
 
 def string_literals(source: Column) -> Column:

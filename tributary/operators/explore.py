@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import last_segment, top_directory
-from tributary.session import KEYS, first_k
+from tributary.session import KEYS, first_k, telling_first
 
 
 def search_nodes(nodes: DataFrame, term: str, limit: int = 10, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -29,12 +29,12 @@ def call_neighbours(nodes: DataFrame, edges: DataFrame, limit: int = 8, keys: Se
         calls.select(*keys, F.col("source").alias("id"), F.lit("callee").alias("direction"), F.col("target").alias("other"))
     )
     ids = nodes.select(*keys, F.col("id").alias("other"), "label")
-    known = rows.join(ids, [*keys, "other"])
-    known = known.join(nodes.select(*keys, "id"), [*keys, "id"], "left_semi")
+    known = rows.join(ids, telling_first([*keys, "other"]))
+    known = known.join(nodes.select(*keys, "id"), telling_first([*keys, "id"]), "left_semi")
     group = [*keys, "id", "direction"]
     top = first_k(known, group, ["other"], limit)
     counts = known.groupBy(*group).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("hidden"))
-    return top.join(counts, group).select(*group, "rank", "other", "label", "hidden")
+    return top.join(counts, telling_first(group)).select(*group, "rank", "other", "label", "hidden")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

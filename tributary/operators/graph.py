@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tributary.functions.text import last_segment
 from tributary.operators.tiling import TILE, tiled_join
 from tributary.schemas import EDGE_TYPES
-from tributary.session import KEYS, require
+from tributary.session import KEYS, require, telling_first
 
 
 def nodes(files: DataFrame, classes: DataFrame, functions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -37,7 +37,7 @@ def nodes(files: DataFrame, classes: DataFrame, functions: DataFrame, keys: Sequ
     every = rows(files, "file", 0).unionByName(rows(classes, "class", 1)).unionByName(rows(functions, "function", 2))
     attributes = ["label", "type", "file", "summary", "start_line", "end_line"]
     return (
-        every.groupBy(*keys, "id")
+        every.groupBy(*telling_first([*keys, "id"]))
         .agg(F.max_by(F.struct(*attributes), F.struct("_order", "start_line", "end_line")).alias("n"))
         .select(*keys, "id", "n.*")
     )
@@ -109,7 +109,7 @@ def import_edges(
         target = F.when(F.col("is_relative"), F.concat(folder, target)).otherwise(target)
     wanted = imports.select(*keys, F.col("path").alias("source"), target.alias("target")).distinct()
     files = nodes.filter(F.col("type") == "file").select(*keys, F.col("id").alias("target"))
-    return wanted.join(files, [*keys, "target"], "left_semi").select(
+    return wanted.join(files, telling_first([*keys, "target"]), "left_semi").select(
         *keys, "source", "target", F.lit("imports").alias("type")
     )
 
@@ -124,7 +124,7 @@ def collapse_edges(edges: DataFrame, keys: Sequence[str] = KEYS, multi: bool = F
         return edges.select(*keys, "source", "target", "type").distinct()
     ranked = F.array_position(F.array(*[F.lit(t) for t in EDGE_TYPES]), F.col("type"))
     return (
-        edges.groupBy(*keys, "source", "target")
+        edges.groupBy(*telling_first([*keys, "source", "target"]))
         .agg(F.max_by("type", ranked).alias("type"))
         .select(*keys, "source", "target", "type")
     )
@@ -153,9 +153,9 @@ def call_hubs(
     """Factor the graph; ``imported`` are the edges of :func:`import_edges`."""
     index = name_index(classes, functions, keys)
     names = index.select(*keys, "name").distinct()
-    wanted = callers_and_names(calls, keys).join(names, [*keys, "name"], "left_semi").select(*keys, "source", "name")
+    wanted = callers_and_names(calls, keys).join(names, telling_first([*keys, "name"]), "left_semi").select(*keys, "source", "name")
     own = defines_edges(classes, functions, keys).distinct().withColumn("name", last_segment(F.col("target"), "::"))
-    defined = own.join(wanted, [*keys, "source", "name"], "left_anti").select(*keys, "source", "target", "type")
+    defined = own.join(wanted, telling_first([*keys, "source", "name"]), "left_anti").select(*keys, "source", "target", "type")
     return CallHubs(defined.unionByName(imported), wanted, index)
 
 
@@ -181,7 +181,7 @@ def with_entry_flag(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KE
 def flag_uncalled(nodes: DataFrame, hubs: CallHubs, keys: Sequence[str] = KEYS) -> DataFrame:
     """Like :func:`with_entry_flag`, from called names instead of call edges."""
     called = hubs.wanted.select(*keys, F.col("name").alias("label")).distinct().withColumn("_called", F.lit(True))
-    return nodes.join(called, [*keys, "label"], "left").select(
+    return nodes.join(called, telling_first([*keys, "label"]), "left").select(
         *nodes.columns, ((F.col("type") == "function") & F.col("_called").isNull()).alias("is_entry_point")
     )
 

@@ -296,9 +296,9 @@ def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         .select(*kept, "_st", _scopes(c("_st")).alias("_sc"))
     )
     ends = F.concat(F.flatten(F.transform("_sc.out", lambda e: e["ended"])), c("_sc.tail"))
-    rows = rows.select(*kept, "_st", c("_sc.out").alias("_out"), F.map_from_entries(ends).alias("_ends"))
+    rows = rows.select(*kept, "_st", c("_sc.out").alias("_out"), ends.alias("_ended"))
 
-    def row(s: Column, index: Column) -> Column:
+    def row(block_ends: Column, s: Column, index: Column) -> Column:
         following = F.get("_st", index + 1)
         scope = F.get("_out", index)
         documented = (following["kind"] == "doc") & (F.get("_out", index + 1)["scope_start"] == s["start"])
@@ -306,11 +306,13 @@ def parse_files(files: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         return F.struct(
             *[s[f].alias(f) for f in ("start", "end", "kind", "name", "text", "calls")],
             *[scope[f].alias(f) for f in ("decorators", "caller", "scope_kind", "scope_start")],
-            F.when(header, F.element_at("_ends", s["start"])).alias("block_end"),
+            F.when(header, F.element_at(block_ends, s["start"])).alias("block_end"),
             F.when(header & documented, _docstring(c("_raw"), following)).when(header, _headline(c("_raw"), s)).alias("docstring"),
         )
 
-    return rows.select(*keys, "path", F.transform("_st", row).alias("statements"))
+    # Read once per file: a map named in a column of its own would be built anew for every header.
+    statements = let(F.map_from_entries("_ended"), lambda block_ends: F.transform("_st", lambda s, index: row(block_ends, s, index)))
+    return rows.select(*keys, "path", statements.alias("statements"))
 
 
 def _exploded(parsed: DataFrame, keys: tuple[str, ...]) -> DataFrame:
