@@ -41,6 +41,16 @@ def test_at_risk_walk_ends_at_affected_nodes(spark, monkeypatch):
     assert "risk-1" in labels and not any(label in labels for label in ("risk-2", "risk-3"))
 
 
+def test_pairs_of_two_types_count_once(spark):
+    rows = [("r", "c", "b", "a", t) for t in ("calls", "imports")] + [("r", "c", "c", "b", t) for t in ("calls", "imports", "calls")]
+    edges = spark.createDataFrame(rows, EDGE)
+    seeds = spark.createDataFrame([("r", "c", "s", "a")], "repo string, commit_sha string, seed string, id string")
+    found = impact.blast_radius(edges, seeds)
+    assert sorted((r.id, r.depth) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    risk = impact.entry_points_at_risk(spark.createDataFrame([("r", "c", "c")] * 2, NODE), edges, found, spark.createDataFrame([("r", "c", "a", "high")], NODE + ", issue_severity string"))
+    assert [(r.entry_point, r.risk) for r in risk.collect()] == [("c", "high")]
+
+
 def random_graph(seed, n=14, m=26):
     rnd = random.Random(seed)
     return {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}", rnd.choice(["calls", "imports", "defines"])) for _ in range(m)}

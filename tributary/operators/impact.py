@@ -19,11 +19,12 @@ def reverse_dependencies(
     edges: DataFrame, types: Sequence[str] = EDGE_TYPES, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """``(id, dependent)``: who is affected when ``id`` changes."""
-    return (
-        edges.filter(F.col("type").isin(*types))
-        .select(*keys, F.col("target").alias("id"), F.col("source").alias("dependent"))
-        .distinct()
-    )
+    return _reversed(edges, types, keys).distinct()
+
+
+def _reversed(edges: DataFrame, types: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Reverse dependencies for walks, which group what arrives: a pair that two types join may come twice."""
+    return edges.filter(F.col("type").isin(*types)).select(*keys, F.col("target").alias("id"), F.col("source").alias("dependent"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -118,7 +119,7 @@ def reach(
 def _backwards(
     edges: DataFrame, types: Sequence[str], keys: Sequence[str], rows_per_chunk: int, label: str, hubs: CallHubs | None = None
 ) -> Steps:
-    back = reverse_dependencies(edges, types, keys)
+    back = _reversed(edges, types, keys)
     plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True)
     if hubs is None:
         return Steps(plain, "dependent")
@@ -223,7 +224,7 @@ def entry_points_at_risk(
     """
     keys = list(keys)
     node, at = telling_first([*keys, "seed", "id"]), telling_first([*keys, "id"])
-    back = stage(reverse_dependencies(edges, types, keys), "risk-edges")
+    back = _reversed(edges, types, keys)
     roles = (
         entries.select(*keys, F.col("id").alias("dependent"), F.lit(True).alias("entry"))
         .unionByName(back.select(*keys, F.col("id").alias("dependent"), F.lit(False).alias("entry")))
@@ -240,7 +241,7 @@ def entry_points_at_risk(
     marked = stage(
         affected.select(*keys, "seed", "id").join(high, at, "left").select(*keys, "seed", "id", F.col("id").alias("any"), "high"), "risk-0"
     )
-    frontier, hits, rounds = marked, [], [marked, back]
+    frontier, hits, rounds = marked, [], [marked]
     kinds = ("any", "high")
     with (
         KeyedChunks(walk, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
