@@ -126,3 +126,19 @@ def test_pagerank_per_repository(spark, chunk):
     if chunk > 2:
         stuck = rank.pagerank(nodes, edges, max_iter=2, tol=1e-12).filter("repo = 'one'")
         assert rows(stuck, "centrality") == {(0.0,)}
+
+
+def test_rounds_of_pagerank_hold_numbers_only(spark, monkeypatch):
+    held, stage = {}, rank.stage
+    monkeypatch.setattr(rank, "stage", lambda df, label: held.update({label: dict(df.dtypes)}) or stage(df, label))
+    nodes = spark.createDataFrame([("r", "c", i) for i in ("a", "b", "b", None)], "repo string, commit_sha string, id string")
+    edges = spark.createDataFrame(
+        [("r", "c", s, t) for s, t in [("a", "b"), ("a", "b"), ("a", "gone"), ("a", None), ("x", "a"), (None, "b")]],
+        "repo string, commit_sha string, source string, target string",
+    )
+    got = {r.id: r.centrality for r in rank.pagerank(nodes, edges, iterations=1, digits=None).collect()}
+    rounds = [types for label, types in held.items() if label in ("rank-0", "rank-1")]
+    assert len(rounds) == 2 and not any("string" in types.values() for types in rounds)
+    # Three targets of a, one of them no node; b counts twice among four, and two rows of it and null have no way out.
+    base = 0.85 * 0.75 / 4 + 0.15 / 4
+    assert np.allclose([got["a"], got["b"], got[None]], [base, base + 0.85 / 12, base + 0.85 / 12])
