@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import ODD, documents, prose
 
@@ -84,3 +85,22 @@ def test_sketches_estimate_high_similarities():
     alike = [len(have[0] & h) / len(have[0] | h) for h in have[1:]]
     assert alike[0] >= 0.8 and apart[0] <= far_bits(0.8 - nd.MARGIN, nd.BANDS * nd.ROWS) and (keys[0] == keys[1]).any()
     assert alike[1] < 0.3 and apart[1] > far_bits(0.8 - nd.MARGIN, nd.BANDS * nd.ROWS)
+
+
+def test_blocks_put_out_no_more_rows_than_they_take():
+    """A bucket of classes that are all near each other, each a component of its own."""
+    n, shared = 60, list(range(70))
+    names = [b"%03d" % i for i in range(n)]
+    both = [(name, asks) for name in names for asks in (True, False)]
+    columns = {"key": [7] * len(both), "node": [a for a, _ in both], "n": [100] * len(both), "asks": [asks for _, asks in both]}
+    sketch = {f"s{i}": pa.array([0] * len(both), pa.int64()) for i in range(8)}
+    out = nd._asked(80, 200)(pa.table({**columns, "component": columns["node"], **sketch}))
+    assert out.num_rows == len(both)
+    for percent, want in ((80, 0), (50, n - 1)):  # 70 of 130 shingles are common to each two
+        lists = pa.array([shared + [1000 * int(a) + i for i in range(100, 130)] for a, _ in both], pa.list_(pa.int64()))
+        links = nd._linked(percent, 200)(pa.table({**columns, "own": columns["node"], "shingles": lists, **sketch})).to_pylist()
+        assert len(links) == want
+        reached = {names[0]}
+        for _ in links:
+            reached |= {x for r in links if r["a"] in reached or r["b"] in reached for x in r.values()}
+        assert len(reached) == (n if want else 1)

@@ -11,9 +11,9 @@ their pairs.  First each class is held against the leaders of its buckets, and
 confirmed links are joined into components.  A bucket whose classes are all in
 one component is done, since more of its links cannot change a component.  In the
 others, the classes outside the bucket's largest component are held against all its
-classes, sketch against sketch, in blocks of a bucket; a block puts out no pairs, but
-which class has to ask which component, and who of that component may answer.  Last, those who ask
-and those who may answer meet once per component, with their full sets and in blocks again.
+classes, sketch against sketch, in blocks of a bucket; a block puts out no pairs, but those of
+its rows that are near a class of another component.  Last, what is left of a bucket meets with full sets
+and in blocks again, once for buckets of which the same classes are left; a block puts out fewer links than it has components.
 """
 
 from __future__ import annotations
@@ -190,64 +190,81 @@ def _runs(names: list[object]) -> Iterator[tuple[object, np.ndarray]]:
     return ((name, np.array(rows)) for name, rows in at.items())
 
 
-_ASKED = "node binary, own binary, component binary, asks boolean"
+_ASKED = "key long, node binary, own binary, asks boolean"
 
 
 def _asked(percent: int, samples: int) -> Callable[[pa.Table], pa.Table]:
-    """Which classes that ask are near a class of another component, by their sketches and sizes; and those others."""
+    """The rows, of those given, of classes that ask and are near a class of another component by sketch and size, and of those others."""
     most = far_bits(percent / 100 - MARGIN, samples)
 
     def run(table: pa.Table) -> pa.Table:
         sketch, n = _sketches(table), table.column("n").to_numpy()
-        node, part, asks = (table.column(c).to_pylist() for c in ("node", "component", "asks"))
-        parts = {c: i for i, c in enumerate(dict.fromkeys(part))}
-        code, asks = np.array([parts[c] for c in part], np.int64), np.array(asks, bool)
-        out: set[tuple[bytes, bytes, bytes, bool]] = set()
-        names, answers = list(parts), np.zeros(len(node), bool)
+        code, asks = _codes(table.column("component"))[0], np.array(table.column("asks").to_pylist(), bool)
+        near_any = np.zeros(table.num_rows, bool)
         for _, rows in _runs(table.column("key").to_pylist()):
             held = rows[~asks[rows]]
             for i in rows[asks[rows]].tolist():
                 other = held[code[held] != code[i]]
                 near = np.bitwise_count(sketch[i] ^ sketch[other]).sum(1) <= most
                 near &= np.minimum(n[i], n[other]) * 100 >= np.maximum(n[i], n[other]) * percent
-                answers[other[near]] = True
-                out.update((node[i], part[i], names[c], True) for c in np.unique(code[other[near]]).tolist())
-        out.update((node[j], part[j], part[j], False) for j in np.flatnonzero(answers).tolist())
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.table({c: pa.array(v, kind) for c, v, kind in zip(("node", "own", "component", "asks"), columns, (pa.binary(),) * 3 + (pa.bool_(),), strict=True)})
+                near_any[other[near]] = True
+                near_any[i] |= near.any()
+        return table.filter(pa.array(near_any)).select(["key", "node", "component", "asks"]).rename_columns(["key", "node", "own", "asks"])
 
     return run
 
 
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each distinct value, row by row, and the values by number."""
+    values = column.to_pylist()
+    at = {c: i for i, c in enumerate(dict.fromkeys(values))}
+    return np.array([at[c] for c in values], np.int64), list(at)
+
+
 def _linked(percent: int, samples: int) -> Callable[[pa.Table], pa.Table]:
-    """The components that a class of another one is linked to: whoever asks a component against those who may answer for it."""
+    """Links that join the components as all links of a cell do: whoever asks in a bucket against its other classes.
+
+    A class of a component that the cell's links already reach is not looked at again, so there are fewer links than components.
+    """
     most = far_bits(percent / 100 - MARGIN, samples)
 
     def run(table: pa.Table) -> pa.Table:
         lists = table.column("shingles").combine_chunks()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
         flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(starts)
-        sketch, own, asks = _sketches(table), table.column("own").to_pylist(), np.array(table.column("asks").to_pylist(), bool)
-        links: set[tuple[bytes, bytes]] = set()
-        for component, rows in _runs(table.column("component").to_pylist()):
+        sketch, asks = _sketches(table), np.array(table.column("asks").to_pylist(), bool)
+        code, names = _codes(table.column("own"))
+        joined = np.arange(len(names))
+        links: list[tuple[bytes, bytes]] = []
+        for _, rows in _runs(table.column("key").to_pylist()):
             held = rows[~asks[rows]]
             values = flat[ragged(starts[held], sizes[held])]
             order = np.argsort(values, kind="stable")
             values, owner = values[order], np.repeat(np.arange(len(held)), sizes[held])[order]
             for i in rows[asks[rows]].tolist():
-                near = np.bitwise_count(sketch[i] ^ sketch[held]).sum(1) <= most
-                if (own[i], component) in links or not near.any():
+                near = joined[code[held]] != joined[code[i]]
+                near &= np.bitwise_count(sketch[i] ^ sketch[held]).sum(1) <= most
+                if not near.any():
                     continue
                 mine = flat[starts[i] : starts[i + 1]]
                 low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
                 common = np.bincount(owner[ragged(low, high - low)], minlength=len(held))
-                if (near & (common * 100 >= (len(mine) + sizes[held] - common) * percent)).any():
-                    links.add((own[i], component))
+                similar = near & (common * 100 >= (len(mine) + sizes[held] - common) * percent)
+                for other in np.unique(code[held[similar]]).tolist():
+                    if joined[other] != joined[code[i]]:
+                        links.append((names[code[i]], names[other]))
+                        joined[joined == joined[other]] = joined[code[i]]
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return run
 
 
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """Of buckets with the same rows (node, asks) those of one, told by two 64-bit hashes and the count."""
+    sets = rows.groupBy("key").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node", "asks")).alias("x"), F.bit_xor(F.xxhash64("asks", "node")).alias("y"))
+    return rows.join(sets.groupBy("rows", "x", "y").agg(F.min("key").alias("key")), "key", "left_semi")
+
+
 def _cells(rows: DataFrame, by: str, weight: Column, most: int, label: str) -> DataFrame:
     """Deal rows with ``asks`` into cells, so that in each group ``by`` every row that asks meets every other row in one cell.
 
@@ -344,8 +361,9 @@ def near_duplicates(
     rows_open = member.join(tops, "key").withColumn("asks", F.explode(F.when(F.col("component") != F.col("largest"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     rows_open = staged(rows_open.drop("largest").join(thin, "node"), "open-rows").frame
     asked = _cells(rows_open, "key", F.lit(1), BLOCK_CLASSES, "open-sizes").groupBy("cell").applyInArrow(_asked(percent, bands * rows), _ASKED)
-    asked = staged(asked.distinct().join(thin, "node"), "asked").frame
-    meet = _cells(asked, "component", F.col("n"), BLOCK_SHINGLES, "asked-sizes").join(sets, "node")
+    asked = staged(asked.distinct(), "asked-rows").frame
+    asked = staged(_one_of_equal(asked).join(thin, "node"), "asked").frame
+    meet = _cells(asked, "key", F.col("n"), BLOCK_SHINGLES, "asked-sizes").join(sets, "node")
     between = components(meet.groupBy("cell").applyInArrow(_linked(percent, bands * rows), "a binary, b binary")).frame
     answer = (
         classes.select("set_key", "node").join(groups, "node", "left").withColumn("inner", F.coalesce("component", "node"))
