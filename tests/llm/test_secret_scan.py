@@ -132,3 +132,11 @@ def test_no_samples_and_empty_table(spark):
     docs = documents(spark, [None, ""])
     table = ratios(transitions(samples_of(docs)))
     assert set(table) == {0.0} and with_spans(docs.limit(0), table).count() == 0
+
+
+def test_plan_names_the_table_of_ratios_once(spark):
+    """The driver keeps the text of plans; the table has thousands of numbers."""
+    table = [i / 7 for i in range(len(ALPHABET) ** 2)]
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = with_spans(docs, table)._jdf.queryExecution().analyzed().toString()
+    assert plan.count(f"{table[0]!r},{table[1]!r},{table[2]!r},") == 1

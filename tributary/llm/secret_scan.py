@@ -168,8 +168,7 @@ def _stretches(value: Column, table: list[float], threshold: float) -> Column:
     def found(held: Column) -> Column:
         return F.when(held["best"] >= threshold, F.concat(held["out"], F.array(F.struct(held["from"].alias("from"), held["to"].alias("to"))))).otherwise(held["out"])
 
-    def step(held: Column, at: Column) -> Column:
-        total = held["sum"] + F.element_at(ratio, ((held["last"] - 1) * n + at).cast("int"))
+    def moved(held: Column, at: Column, total: Column) -> Column:
         over = (total <= 0) | (held["best"] - total >= threshold)
         peak = ~over & (total > held["best"])
         segment = F.when(at.isin(*parted), held["place"] + 2).otherwise(held["segment"])
@@ -181,6 +180,11 @@ def _stretches(value: Column, table: list[float], threshold: float) -> Column:
             F.when(over, found(held)).otherwise(held["out"]).alias("out"),
         )
 
+    def step(held: Column, at: Column) -> Column:
+        # Named once: every mention would be a copy of the literal in the plan, which the driver keeps as text too.
+        total = held["sum"] + F.element_at(ratio, ((held["last"] - 1) * n + at).cast("int"))
+        return _let(total, lambda t: moved(held, at, t))
+
     return F.aggregate(
         F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))),
         F.struct(
