@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from llm_fixtures import ODD, documents, prose
 
+from tributary.llm import packing
 from tributary.llm.packing import WordIds, pack
 from tributary.llm.queries import vocabulary
 
@@ -62,6 +63,30 @@ def test_split_words_give_the_tokenizers_ids():
     assert [[*ids[a:b].tolist(), 1] for a, b in zip(starts[:-1], starts[1:], strict=True)] == expected(texts)
 
 
+def test_every_letter_alone_among_others_and_before_a_sign():
+    letters = [chr(c) for c in range(0x21, 0x180)]
+    texts = [x.join(ends) for x in letters for ends in (("", ""), ("A", "."), ("", "b,"), ("Z", "!"), ("q", ".,"), (".", ""), ("", "."))] + [None, " \t ", ",", "A.B"]
+    ids, starts = WordIds(PATH)(pa.array(texts))
+    assert [[*ids[a:b].tolist(), 1] for a, b in zip(starts[:-1], starts[1:], strict=True)] == expected(texts)
+
+
+def test_words_of_letters_are_told_apart_by_their_parts_alone():
+    """A sign behind a word or a capital makes no new word to remember: what is left is encoded once."""
+    encode = WordIds(PATH)
+    encode(pa.array(["Tree tree, TREE. treE! tree", "trees Über über."]))
+    assert set(encode.parts) == {"tree", "trees", "über", ".", ",", "!"} and not encode.known
+
+
+def test_parts_are_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing, "AT_ONCE", 7)
+    encode = WordIds(PATH)
+    for seed in range(6):
+        texts = [prose(80, seed), f"a1-{seed} it's {seed}x"]
+        ids, starts = encode(pa.array(texts))
+        assert [[*ids[a:b].tolist(), 1] for a, b in zip(starts[:-1], starts[1:], strict=True)] == expected(texts)
+
+
 def test_query_digest(spark):
     from tributary.llm.queries import op10_packing
 

@@ -14,11 +14,11 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -33,12 +33,19 @@ TEXT_BYTES = 8 << 20
 #: Words, and parts of words, of which a worker remembers the ids.
 REMEMBERED = 300_000
 
+#: New parts of words that are encoded at a time.
+AT_ONCE = 20_000
+
 #: Words that Unicode normalization leaves alone and whose letters are lower-cased one by one.
 PLAIN = re.compile("[!-~\u00a1-\u017f]+")
 
+#: Those of letters and at most one sign after them; without U+0130, of which lower case is two characters.
+SIGNS = ".,!"
+LETTERS = f"^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+[{SIGNS}]?$"
+
 #: Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+BYTES = [chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256)]
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_to int"
 
@@ -48,7 +55,8 @@ class WordIds:
 
     If the tokenizer's file says that it lower-cases and then splits words by one
     pattern, words of plain Latin letters and signs are split here first and
-    remembered by their parts, of which there are far fewer.
+    remembered by their parts, of which there are far fewer.  Words of letters with
+    at most one sign behind them are split and lower-cased all at once.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,36 +68,48 @@ class WordIds:
         self.model = self.tokenizer.model
         self.split = _splitter(self.tokenizer)
 
+    def _learn_parts(self, names: Iterable[str]) -> None:
+        new = list({p for p in names if p not in self.parts})
+        for a in range(0, len(new), AT_ONCE):
+            some, ids, ends = new[a : a + AT_ONCE], [], []
+            for p in some:
+                ids += [t.id for t in self.model.tokenize(p if p.isascii() else "".join([BYTES[b] for b in p.encode()]))]
+                ends.append(len(ids) * self.dtype.itemsize)
+            flat = np.array(ids, self.dtype).tobytes()
+            self.parts.update((p, flat[x:y]) for p, x, y in zip(some, [0, *ends], ends, strict=False))
+
     def _learn(self, names: list[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        pack, known, parts, other = self.packed, self.known, self.parts, []
-        for w in names:
-            if w in known:
-                continue
-            if self.split is None or not PLAIN.fullmatch(w) or "<|" in w:
-                other.append(w)
-                continue
-            low = w.lower()
-            mine = (low,) if low.isalpha() else (low[:-1], low[-1]) if low[-1] in ".,!" and low[:-1].isalpha() else self.split(low)
-            for p in mine:
-                if p not in parts:
-                    parts[p] = pack(*(t.id for t in self.model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(BYTES))))
-            known[w] = parts[mine[0]] if len(mine) == 1 else b"".join([parts[p] for p in mine])
+        new = [w for w in names if w not in self.known]
+        split = {w: self.split(w.lower()) for w in new if PLAIN.fullmatch(w) and "<|" not in w} if self.split else {}
+        self._learn_parts(p for mine in split.values() for p in mine)
+        self.known.update((w, b"".join([self.parts[p] for p in mine])) for w, mine in split.items())
+        other = [w for w in new if w not in split]
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = pack(*e.ids)
-
-    def packed(self, *ids: int) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def _lettered(self, names: pa.Array) -> list[bytes]:
+        """The ids of words that ``LETTERS`` describes."""
+        stems = pc.utf8_lower(pc.utf8_rtrim(names, characters=SIGNS)).dictionary_encode()
+        distinct = _strings(stems.dictionary)
+        self._learn_parts([*distinct, *SIGNS])
+        of_stem, tail = [self.parts[p] for p in distinct], [b"", *(self.parts[s] for s in SIGNS)]
+        sign = np.zeros(len(names), np.int64)
+        for i, s in enumerate(SIGNS):
+            sign[np.asarray(pc.ends_with(names, s))] = i + 1
+        return [of_stem[c] + tail[t] for c, t in zip(stems.indices.to_numpy().tolist(), sign.tolist(), strict=True)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where those of each text start."""
         found = words(texts)
-        names = found.distinct.to_pylist()
-        self._learn(names)
-        parts = [self.known[w] for w in names]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        easy = np.asarray(pc.match_substring_regex(found.distinct, LETTERS)) if self.split else np.zeros(len(found.distinct), bool)
+        other = _strings(found.distinct.filter(pa.array(~easy)))
+        self._learn(other)
+        lettered, rest = iter(self._lettered(found.distinct.filter(pa.array(easy)))), (self.known[w] for w in other)
+        parts = [next(lettered if e else rest) for e in easy.tolist()]
         each = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
         pool = np.frombuffer(b"".join(parts), self.dtype)
         counts = each[found.codes]
@@ -97,6 +117,10 @@ class WordIds:
         return ids, np.concatenate([[0], np.cumsum(counts)])[found.starts]
 
 
+def _strings(names: pa.Array) -> list[str]:
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
 def _splitter(tokenizer: Tokenizer) -> Callable[[str], list[str]] | None:
     """The split into parts that the model encodes one by one, if the settings are of the known kind.
 
@@ -120,8 +144,7 @@ def _tokenize(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
             for rows in slices(batch, "text", TEXT_BYTES):
                 ids, starts = encode(rows.column("text"))
                 counts = np.diff(starts) + 1
-                all_ids = np.full(len(ids) + rows.num_rows, end_id, encode.dtype)
-                all_ids[np.arange(len(ids)) + np.repeat(np.arange(rows.num_rows), counts - 1)] = ids
+                all_ids = np.insert(ids, starts[1:], end_id)
                 ends = np.cumsum(counts)
                 edges = (np.concatenate([[0], ends]) * encode.dtype.itemsize).astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), rows.num_rows, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(all_ids.tobytes())])
