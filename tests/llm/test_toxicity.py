@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,28 @@ def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_BYTES", 40_000)
     got = with_score(docs, fitted(docs, marks)).collect()
     assert len(got) == 300 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_a_fit_holds_few_bytes_for_an_n_gram():
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(4, 9))) for _ in range(200)) for _ in range(600)])
+    labels = np.arange(600) % 4 == 0
+    n_grams = len(subwords(toxicity.words(texts).distinct)[0])
+    tracemalloc.start()
+    try:
+        fit(texts, labels, epochs=6)
+        assert tracemalloc.get_traced_memory()[1] < 46 * n_grams
+    finally:
+        tracemalloc.stop()
+
+
+def test_documents_that_hold_an_n_gram_are_counted_in_runs_of_words(monkeypatch):
+    texts = pa.array([prose(30, seed) for seed in range(20)] + [None, "", "tree tree trees"])
+    found = toxicity.words(texts)
+    grams, starts = subwords(found.distinct)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    want = np.zeros(BUCKETS)
+    for a, b in zip(found.starts[:-1], found.starts[1:], strict=True):
+        for word in set(found.codes[a:b].tolist()):
+            np.add.at(want, grams[starts[word] : starts[word + 1]], 1)
+    assert np.array_equal(toxicity._in_docs(grams, np.diff(starts), found), want)

@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 
 from tributary.llm.common import ragged, slices, staged, tidy, words
 
-#: Text bytes tokenized at a time: the more there are, the fewer words come again in the next step.
-TEXT_BYTES = 8 << 20
+#: Text bytes tokenized at a time: the more there are, the fewer words come again in the next step, and the more memory it takes.
+TEXT_BYTES = 4 << 20
 
 #: Words, and parts of words, of which a worker remembers the ids.
 REMEMBERED = 300_000

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Words, slices, tidy, words
+from tributary.llm.common import Words, give_back, slices, tidy, words
 from tributary.llm.substrings import _mixed
 
 GRAMS = (3, 4, 5, 6)
@@ -48,6 +48,9 @@ class Setting(NamedTuple):
 
 SETTINGS = (Setting(1, 5), Setting(1, 20), Setting(2, 20))
 
+#: Words whose n-grams are gone through at a time.
+AT_ONCE = 100_000
+
 #: An n-gram takes part if so many fitted documents hold it; fewer are enough, down to three, where few rows are fitted.
 FEWEST = 8
 
@@ -57,10 +60,9 @@ def subwords(distinct: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.
 
     Words are lower-cased and only their letters and digits count.
     """
-    names = pc.replace_substring_regex(pc.utf8_lower(distinct), r"[^\p{L}\p{N}]+", "").to_pylist()
     flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for a in range(0, len(names), at_once):
-        some = names[a : a + at_once]
+    for a in range(0, len(distinct), at_once):
+        some = pc.replace_substring_regex(pc.utf8_lower(distinct.slice(a, at_once)), r"[^\p{L}\p{N}]+", "").to_pylist()
         whole = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in some), np.uint64, len(some))
         value, whose = [whole % np.uint64(BUCKETS)], [np.arange(len(some))]
         code = np.frombuffer("".join([f"<{w}>" for w in some]).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -118,8 +120,16 @@ class Toxicity:
 
 def _in_docs(grams: np.ndarray, size: np.ndarray, found: Words) -> np.ndarray:
     """For each bucket, how many documents hold it; counted once per word, so an upper bound."""
-    pair = np.unique(found.owner() * len(size) + found.codes)
-    return np.bincount(grams, np.repeat(np.bincount(pair % len(size), minlength=len(size)).astype(np.float32), size), BUCKETS)
+    pair = found.owner()
+    pair *= len(size)
+    pair += found.codes
+    pair.sort()
+    docs = np.bincount(pair[np.diff(pair, prepend=-1) > 0] % len(size), minlength=len(size)).astype(np.float32)
+    ends, held = np.concatenate([[0], np.cumsum(size)]), np.zeros(BUCKETS)
+    for a in range(0, len(size), AT_ONCE):
+        b = min(a + AT_ONCE, len(size))
+        held += np.bincount(grams[ends[a] : ends[b]], np.repeat(docs[a:b], size[a:b]), BUCKETS)
+    return held
 
 
 @dataclass
@@ -165,22 +175,33 @@ def _train(rows: _Rows, setting: Setting, epochs: int, rate: float, decay: float
         # A mean of vectors into a linear softmax is the mean of what each vector adds to it.
         of_gram = (vectors @ (softmax[1] - softmax[0])) * trust
         of_word = np.zeros(len(size))
-        if len(some):
-            of_word[some] = np.add.reduceat(of_gram[grams], first_gram) / count[some]
+        for a in range(0, len(some), AT_ONCE):
+            mine = some[a : a + AT_ONCE]
+            run = grams[first_gram[a] : first_gram[a] + int(size[mine].sum())]
+            of_word[mine] = np.add.reduceat(of_gram[run], first_gram[a : a + AT_ONCE] - first_gram[a]) / count[mine]
+        # From here on there are numbers for every window: what is done with is written over.
         upto = np.concatenate([[0], np.cumsum(of_word[found.codes])])
-        margin = (upto[end] - upto[start]) / length
+        margin = upto[end]
+        margin -= upto[start]
+        margin /= length
         top = np.maximum.reduceat(margin, first[:-1])
         chance = 1 / (1 + np.exp(-(top + bias[1] - bias[0])))
         if step == epochs:
             break
-        share = np.exp(np.minimum((margin - top[doc]) * 4, 0))
+        share = margin
+        share -= top[doc]
+        share *= 4
+        np.exp(np.minimum(share, 0, out=share), out=share)
         error = (chance - labels) * weight
-        pull = share * (error / np.add.reduceat(share, first[:-1]))[doc] / length
-        edge = np.bincount(start, pull, len(upto)) - np.bincount(end, pull, len(upto))
-        by_word = np.bincount(found.codes, np.cumsum(edge)[:-1], len(size))
+        pull = share * (error / np.add.reduceat(share, first[:-1]))[doc]
+        pull /= length
+        edge = np.bincount(start, pull, len(upto))
+        edge -= np.bincount(end, pull, len(upto))
+        by_word = np.bincount(found.codes, np.cumsum(edge, out=edge)[:-1], len(size))
+        del upto, margin, share, pull, edge
         by_gram = np.zeros(len(live))
-        for a in range(0, len(some), 100_000):
-            mine = some[a : a + 100_000]
+        for a in range(0, len(some), AT_ONCE):
+            mine = some[a : a + AT_ONCE]
             run = grams[first_gram[a] : first_gram[a] + int(size[mine].sum())]
             by_gram += np.bincount(run, np.repeat(by_word[mine] / count[mine], size[mine]), len(live))
         by_gram = (by_gram * trust).astype(np.float32)
@@ -241,9 +262,9 @@ def fit(
         back[:] = False
     in_docs = _in_docs(grams, size, found)
     fewest = min(FEWEST, max(3, len(labels) // 150))  # rarer ones only tell single rows apart
-    common = in_docs[grams] >= fewest
-    kept = np.concatenate([[0], np.cumsum(common)])
-    rows = _Rows(found, grams[common], kept[starts[1:]] - kept[starts[:-1]], np.maximum(size, 1), in_docs, labels, back, fewest)
+    common = (in_docs >= fewest)[grams]
+    rows = _Rows(found, grams[common], np.add.reduceat(common, starts[:-1], dtype=np.int64), np.maximum(size, 1), in_docs, labels, back, fewest)
+    del grams, common
     best = settings[0]
     if back.any() and len(settings) > 1:
         errors = [_cut(_train(rows, s, max(epochs // 3, 1), rate, decay, seed)[1][back], labels[back], prior)[1] for s in settings]
@@ -298,6 +319,7 @@ def with_score(docs: DataFrame, model: Toxicity, text: str = "text", into: str =
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         parts = [model(part.column(0)) for part in slices(pa.record_batch([texts], ["text"]), "text")]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return docs.withColumn(into, score(F.col(f"`{text}`").cast("string")))
