@@ -3,6 +3,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.operators import impact
 
@@ -145,6 +146,69 @@ def test_entry_points_at_risk(spark, chunk):
     assert {(x.repo, x.entry_point, x.id) for x in pairs} == listed
 
 
+def rows_of(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("chunk", [2, 2_000_000])
+def test_walk_keeps_the_first_routes(spark, monkeypatch, chunk):
+    labels, real = [], impact.stage
+    monkeypatch.setattr(impact, "stage", lambda df, label: labels.append(label) or real(df, label))
+    graphs = {"a": random_graph(3), "b": random_graph(4), "loop": {("x", "s", "calls"), ("s", "x", "calls"), ("s", "s", "calls"), ("t", "t", "calls")}}
+    # many nodes at once, then few: the known rows are searched for what arrives
+    graphs["fan"] = {(f"f{i:02d}", "s", "calls") for i in range(40)} | {("z1", "f07", "calls"), ("z2", "z1", "calls"), ("f03", "z2", "calls"), ("z3", "f03", "calls")}
+    # "x" is reached at once, over two more ways in the next round and over others two rounds later
+    graphs["late"] = {("x", "s", "calls"), *((m, "s", "calls") for m in "ab"), ("x", "a", "calls"), ("x", "b", "imports"), ("c", "a", "calls"), ("x", "c", "calls")}
+    edges = spark.createDataFrame([(r, "c", *e) for r, es in graphs.items() for e in [*es, *sorted(es)[:3]]], EDGE).cache()
+    seeds = spark.createDataFrame(
+        [(r, "c", k, i) for r in graphs for k, ids in (("k1", ["n0", "s"]), ("k2", ["n3", "n5", "s", "t"])) for i in ids] + [("a", "c", "k1", "n0")],
+        "repo string, commit_sha string, seed string, id string",
+    )
+    plain = impact.blast_radius(edges, seeds, paths=True, rows_per_chunk=chunk)
+    kept = impact.blast_radius(edges, seeds, paths=True, rows_per_chunk=chunk, routes=3)
+    assert any("arrived" in label for label in labels) == (chunk == 2)
+    first = kept.filter("rank = 1").drop("rank")
+    assert rows_of(first.select(plain.columns)) == rows_of(plain)
+    wanted = impact.witness_paths(edges, plain, rows_per_chunk=chunk)
+    got = impact.witness_paths(edges, kept, rows_per_chunk=chunk)
+    assert got.columns == wanted.columns and rows_of(got) == rows_of(wanted)
+    late = got.filter("repo = 'late' AND seed = 'k1' AND id = 'x'").orderBy("rank").collect()
+    assert [r.path for r in late] == [["s", "x"], ["s", "a", "x"], ["s", "b", "x"]]
+    shorter = impact.witness_paths(edges, kept, limit=2)
+    assert rows_of(shorter) == rows_of(impact.witness_paths(edges, plain, limit=2, rows_per_chunk=chunk))
+
+
+def test_routes_need_plain_steps(spark):
+    from tributary.operators.graph import CallHubs
+
+    edges = edges_of(spark, {"r": {("b", "a", "imports")}})
+    named = spark.createDataFrame([("r", "c", "b", "f")], "repo string, commit_sha string, source string, name string")
+    index = spark.createDataFrame([("r", "c", "f", "a")], "repo string, commit_sha string, name string, id string")
+    seeds = spark.createDataFrame([("r", "c", "s", "a")], "repo string, commit_sha string, seed string, id string")
+    with pytest.raises(ValueError, match="plain steps"):
+        impact.blast_radius(edges, seeds, hubs=CallHubs(edges, named, index), routes=3)
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    import time
+
+    from tributary.session import stage
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def held():
+        return {n for n in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(conf, None), held()
+    out = stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "sums")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert spark.conf.get(conf, None) == was and out.count() == 100
+
+
 def test_risk_level(spark):
     rows = [("RISK_LEVEL: risky",), ("text\nrisk_level:DANGEROUS and more",), ("none",), ("RISK_LEVEL: maybe",), (None,)]
     got = impact.risk_level(spark.createDataFrame(rows, "response string")).collect()

@@ -6,13 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.text import blast_severity
 from tributary.operators.graph import CallHubs
 from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_LEVELS
-from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, first_k, stage, telling_first, unstage
+from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, StagedRounds, first_k, stage, telling_first, unstage
 
 
 def reverse_dependencies(
@@ -69,58 +69,102 @@ def reach(
     max_depth: int | None = None,
     paths: bool = False,
     label: str = "reach",
+    routes: int = 0,
 ) -> DataFrame:
     """Breadth-first reach of every seed group at once: ``(seed, id, depth)``.
 
     One round joins the frontier to the steps, keeps one row per new
     ``(seed, id)`` and stages it; the loop ends with an empty frontier, and the
-    rounds become one table.  With
+    rounds are the parts of one table.  With
     ``paths`` each row carries its first path: the smallest one, by ids, among
-    the shortest.
+    the shortest.  With ``routes`` it carries ``rank`` and ``path`` instead: up to so
+    many rows per ``(seed, id)``, by the round they arrive in, then by path; the first of them
+    is the node's first path.  Names of ``steps`` pass one path each, so routes take plain steps only.
     """
     keys = list(keys)
+    if routes and steps.names is not None:
+        raise ValueError("routes need plain steps")
     start = seeds.select(*keys, "seed", "id").distinct().withColumn("depth", F.lit(0))
-    if paths:
+    if routes:
+        # a row holds its predecessor's path; its own ends with its id
+        start = start.withColumns({"rank": F.lit(1), "via": F.expr("CAST(array() AS array<string>)")})
+    elif paths:
         start = start.withColumn("path", F.array("id"))
-    frontier = stage(start, f"{label}-0")
-    parts, between = [frontier], []
+    seen = StagedRounds(seeds.sparkSession, label)
+    frontier = seen.add(start)
+    between = []
     depth = 0
     node, name = telling_first([*keys, "seed", "id"]), telling_first([*keys, "seed", "name"])
-    extra = ["path"] if paths else []
+    extra = ["path"] if paths and not routes else []
 
     def smallest(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.groupBy(*by).agg(F.min("path").alias("path")) if paths else rows.select(*by).distinct()
+        return rows.groupBy(*by).agg(F.min("path").alias("path")) if extra else rows.select(*by).distinct()
 
     def moved(rows: DataFrame, to: str) -> DataFrame:
-        path = [F.concat("path", F.array(to)).alias("path")] if paths else []
+        path = [F.concat("path", F.array(to)).alias("path")] if extra else []
         return rows.select(*keys, "seed", F.col(to).alias("id"), *path)
 
     limit = steps.plain.rows_per_chunk
-    with Collected(node[::-1], limit) as seen, Collected(name[::-1], limit) as passed:
+    with Collected(name[::-1], limit) as passed:
         while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-            seen.add(frontier.select(*node))
+            # few rows arrive from a small frontier: then a large table of known rows is searched for them, not shuffled
+            moving = frontier.count()
+            few = seen.total > limit and moving * 10 < seen.total
             depth += 1
+            if routes:
+                here = steps.plain.probe(frontier.select(*keys, "seed", "id", "via"), moving)
+                arrived = here.select(*keys, "seed", F.col(steps.to).alias("id"), F.concat("via", F.array("id")).alias("via"))
+                known = seen.rows().select(*node, "rank")
+                if few:
+                    arrived = stage(_first_routes(arrived, None, node, routes).select(*node, "via"), f"{label}-arrived-{depth}")
+                    between.append(arrived)
+                    at = arrived.select(*[F.col(c).alias(f"_{c}") for c in node])
+                    known = known.join(at, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in node]), "left_semi")
+                kept = _first_routes(arrived, known, node, routes)
+                frontier = seen.add(kept.select(*keys, "seed", "id", F.lit(depth).alias("depth"), "rank", "via")).filter("rank = 1")
+                continue
             here = frontier.drop("depth")
-            arrived = moved(steps.plain.probe(here), steps.to)
+            arrived = moved(steps.plain.probe(here, moving), steps.to)
             if steps.names is not None:
-                called = smallest(steps.names.probe(here).select(*name, *extra), name)
+                called = smallest(steps.names.probe(here, moving).select(*name, *extra), name)
                 if passed.parts:
                     called = called.join(passed.rows(), name, "left_anti")
                 called = stage(called, f"{label}-names-{depth}")
                 between.append(called)
                 passed.add(called.select(*name))
-                arrived = arrived.unionByName(moved(steps.callers.probe(called), "source"))
-            fresh = smallest(arrived, node).join(seen.rows(), node, "left_anti")
-            frontier = stage(fresh.select(*node, F.lit(depth).alias("depth"), *extra), f"{label}-{depth}")
-            parts.append(frontier)
-    return _settled(_union(parts), parts + between, label)
+                arrived = arrived.unionByName(moved(steps.callers.probe(called, called.count()), "source"))
+            arrived, known = smallest(arrived, node), seen.rows().select(*node)
+            if few:
+                arrived = stage(arrived, f"{label}-arrived-{depth}")
+                between.append(arrived)
+                known = known.join(arrived.select(*node), node, "left_semi")
+            fresh = arrived.join(known, node, "left_anti")
+            frontier = seen.add(fresh.select(*keys, "seed", "id", F.lit(depth).alias("depth"), *extra))
+    for table in between:
+        unstage(table)
+    return seen.rows()
+
+
+def _first_routes(arrived: DataFrame, known: DataFrame | None, node: list[str], limit: int) -> DataFrame:
+    """Of the routes that arrive, those that are among their node's first ``limit``: ``(node, rank, via)``.
+
+    Routes that are ``known`` come before them.  Equal routes count once.
+    """
+    order = [F.col("rank").asc_nulls_last(), "via"]
+    rows = arrived.select(*node, F.lit(None).cast("int").alias("rank"), "via")
+    if known is not None:
+        rows = rows.unionByName(known.select(*node, "rank", F.lit(None).cast("array<string>").alias("via")))
+    w = Window.partitionBy(*node).orderBy(*order)
+    new = rows.withColumn("_rank", F.dense_rank().over(w)).filter((F.col("_rank") <= limit) & F.col("rank").isNull())
+    new = new.withColumn("_before", F.lag("via").over(w)).filter(~F.col("via").eqNullSafe(F.col("_before")))
+    return new.select(*node, F.col("_rank").alias("rank"), "via")
 
 
 def _backwards(
     edges: DataFrame, types: Sequence[str], keys: Sequence[str], rows_per_chunk: int, label: str, hubs: CallHubs | None = None
 ) -> Steps:
     back = _reversed(edges, types, keys)
-    plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True)
+    plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True, staged=hasattr(edges, "_staged_at"))
     if hubs is None:
         return Steps(plain, "dependent")
     names = KeyedChunks(hubs.index, [*keys, "id"], ["name"], rows_per_chunk, f"{label}-index", True, hubs.staged)
@@ -137,17 +181,22 @@ def blast_radius(
     paths: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
     hubs: CallHubs | None = None,
+    routes: int = 0,
 ) -> DataFrame:
     """``(seed, id, depth, severity[, path])`` of all nodes a change reaches.
 
     ``seeds(seed, id)`` may hold many changes at once, each with any number of
     source nodes.  Sources have depth 0.  With ``hubs`` the calls come in
-    factored form and ``edges`` are its direct ones.
+    factored form and ``edges`` are its direct ones.  With ``routes`` there are up to so many
+    rows per node, told apart by ``rank``, for :func:`witness_paths`: its first path, which has rank 1,
+    and those after it, with the depth of the round that brought them.
     """
     if hubs is not None and "calls" not in types:
         hubs = None
     with _backwards(edges, types, keys, rows_per_chunk, "blast", hubs) as steps:
-        found = reach(seeds, steps, keys, max_depth, paths, "blast")
+        found = reach(seeds, steps, keys, max_depth, paths, "blast", routes)
+    if routes:
+        found = found.select(*keys, "seed", "id", "depth", "rank", F.concat("via", F.array("id")).alias("path"))
     return found.withColumn("severity", blast_severity(F.col("depth")))
 
 
@@ -164,8 +213,12 @@ def witness_paths(
 
     The first is the node's own shortest path; the others extend the first
     path of another predecessor.  The order is by depth, then by path, so the
-    choice does not depend on the order of rows.
+    choice does not depend on the order of rows.  Every round of a walk brings just
+    the routes over the nodes it starts from, so a walk can keep them (``routes`` of :func:`blast_radius`);
+    if ``affected`` holds them, they are not joined up a second time.
     """
+    if "rank" in affected.columns:
+        return affected.filter(F.col("rank") <= limit).select(*keys, "seed", "id", "path", "rank")
     steps = KeyedChunks(reverse_dependencies(edges, types, keys), [*keys, "id"], ["dependent"], rows_per_chunk, "routes")
     own = affected.filter("depth = 0").select(*keys, "seed", "id", F.lit(-1).alias("_depth"), "path")
     routes = steps.probe(affected.filter(F.col("depth") < max_depth).select(*keys, "seed", "id", "depth", "path")).select(

@@ -137,10 +137,10 @@ def trade_affected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trade_routed(spark: SparkSession, sf: str) -> DataFrame:
-    """The affected nodes with their first paths, for the query that lists routes."""
+    """The affected nodes with the first three routes to each, for the query that lists them."""
     return _once(
         spark, sf, "trade-routed",
-        lambda: impact.blast_radius(trade_edges(spark, sf), trade_changes(spark, sf), paths=True),
+        lambda: impact.blast_radius(trade_edges(spark, sf), trade_changes(spark, sf), paths=True, routes=3),
     )
 
 
