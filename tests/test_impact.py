@@ -209,6 +209,37 @@ def test_staging_leaves_no_shuffle_files(spark):
     assert spark.conf.get(conf, None) == was and out.count() == 100
 
 
+def test_at_risk_marks_only_nodes_that_steps_lead_back_from(spark, monkeypatch):
+    sizes, real = {}, impact.stage
+
+    def staged(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(impact, "stage", staged)
+    edges = edges_of(spark, {"r": {("e", "a", "calls"), ("p", "e", "calls")} | {("p", f"d{i}", "defines") for i in range(30)}})
+    hit = spark.createDataFrame([("r", "c", "s", i) for i in ["a", "e", "p", *[f"d{i}" for i in range(30)]]], "repo string, commit_sha string, seed string, id string")
+    entries = spark.createDataFrame([("r", "c", "p")], NODE)
+    high = spark.createDataFrame([("r", "c", "a", "high")], NODE + ", issue_severity string")
+    risk = impact.entry_points_at_risk(entries, edges, hit, high)
+    assert [(r.entry_point, r.risk) for r in risk.collect()] == [("p", "high")]
+    assert sizes["risk-0"] == 2
+
+
+def test_neighbourhood_of_some_nodes(spark):
+    nodes = spark.createDataFrame([("r", "c", i, f"{i[0]}.py") for i in ("a", "b", "x", "y")] + [("r", "c", "f.py", "f.py")], NODE + ", file string")
+    calls = [("r", "c", f"k{i:02d}", t, "calls") for i in range(9) for t in ("a", "b")] + [("r", "c", "a", t, "calls") for t in ("x", "y", None)]
+    imports = [("r", "c", f"m{i}", t, "imports") for i in range(7) for t in ("a.py", "x.py", "f.py")]
+    edges = spark.createDataFrame(calls + calls + imports, EDGE)
+    every = impact.neighbourhood(nodes, edges)
+    by_id = {r.id: r for r in every.collect()}
+    assert by_id["a"].callers == [f"k{i:02d}" for i in range(5)] and by_id["a"].callees == ["x", "y"]
+    assert by_id["x"].importers == [f"m{i}" for i in range(5)]
+    some = impact.neighbourhood(nodes, edges, of=spark.createDataFrame([("r", "c", "a"), ("r", "c", "x"), ("r", "c", "a"), ("r", "c", "none")], NODE))
+    assert rows_of(some) == rows_of(every.filter("id IN ('a', 'x')"))
+
+
 def test_risk_level(spark):
     rows = [("RISK_LEVEL: risky",), ("text\nrisk_level:DANGEROUS and more",), ("none",), ("RISK_LEVEL: maybe",), (None,)]
     got = impact.risk_level(spark.createDataFrame(rows, "response string")).collect()

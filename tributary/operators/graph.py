@@ -161,7 +161,7 @@ def call_hubs(
 
 def entry_points(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Functions no call edge leads to; a self call counts as incoming."""
-    called = edges.filter(F.col("type") == "calls").select(*keys, F.col("target").alias("id"))
+    called = edges.filter(F.col("type") == "calls").select(*keys, F.col("target").alias("id")).distinct()
     return nodes.filter(F.col("type") == "function").join(called, [*keys, "id"], "left_anti")
 
 

@@ -291,10 +291,6 @@ def entry_points_at_risk(
         .filter(F.col("issue_severity") == "high")
         .select(*keys, "id", F.col("id").alias("high"))
     )
-    marked = stage(
-        affected.select(*keys, "seed", "id").join(high, at, "left").select(*keys, "seed", "id", F.col("id").alias("any"), "high"), "risk-0"
-    )
-    frontier, hits, rounds = marked, [], [marked]
     kinds = ("any", "high")
     with (
         KeyedChunks(walk, [*keys, "id"], ["dependent"], rows_per_chunk, "risk", resident=True) as steps,
@@ -302,10 +298,18 @@ def entry_points_at_risk(
         Collected(node[::-1], rows_per_chunk) as stops,
     ):
         onward = stage(steps.table.select(*at).distinct(), "risk-onward")
-        rounds.append(onward)
+        # affected nodes that no step leads back from neither start a way nor end one
+        marked = stage(
+            affected.select(*keys, "seed", "id")
+            .join(onward, at, "left_semi")
+            .join(high, at, "left")
+            .select(*keys, "seed", "id", F.col("id").alias("any"), "high"),
+            "risk-0",
+        )
+        frontier, hits, rounds = marked, [], [onward, marked]
         while True:
             arrived = (
-                steps.probe(frontier)
+                steps.probe(frontier, frontier.count())
                 .select(*keys, "seed", F.col("dependent").alias("id"), "entry", *[F.nullif(k, "dependent").alias(k) for k in kinds])
                 .filter(F.coalesce(*kinds).isNotNull())
                 .groupBy(*node)
@@ -387,21 +391,32 @@ def affected_by_entry(
 
 
 def neighbourhood(
-    nodes: DataFrame, edges: DataFrame, limit: int = 5, keys: Sequence[str] = KEYS
+    nodes: DataFrame, edges: DataFrame, limit: int = 5, keys: Sequence[str] = KEYS, of: DataFrame | None = None
 ) -> DataFrame:
-    """First callers, callees and importers of every node, as sorted arrays."""
-    keys = list(keys)
+    """First callers, callees and importers of every node, as sorted arrays.
 
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        top = first_k(rows.distinct(), [*keys, "id"], ["other"], limit)
-        return top.groupBy(*keys, "id").agg(F.sort_array(F.collect_list("other")).alias(name))
+    With ``of(id)`` the rows of these nodes only: for a join with them, which would drop the others.
+    """
+    keys = list(keys)
+    if of is not None:
+        of = of.select(*keys, "id").distinct()
+        nodes = nodes.join(of, telling_first([*keys, "id"]), "left_semi")
+
+    def listed(rows: DataFrame, name: str, at: DataFrame | None) -> DataFrame:
+        if at is not None:
+            rows = rows.join(at, telling_first([*keys, "id"]), "left_semi")
+        # equal rows share a rank, so groups are cut before the shuffle without a shuffle to find them
+        w = Window.partitionBy(*telling_first([*keys, "id"])).orderBy("other")
+        top = rows.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= limit)
+        return top.groupBy(*keys, "id").agg(F.sort_array(F.collect_set("other")).alias(name))
 
     calls = edges.filter(F.col("type") == "calls")
-    callers = listed(calls.select(*keys, F.col("target").alias("id"), F.col("source").alias("other")), "callers")
-    callees = listed(calls.select(*keys, F.col("source").alias("id"), F.col("target").alias("other")), "callees")
+    callers = listed(calls.select(*keys, F.col("target").alias("id"), F.col("source").alias("other")), "callers", of)
+    callees = listed(calls.select(*keys, F.col("source").alias("id"), F.col("target").alias("other")), "callees", of)
     importers = listed(
         edges.filter(F.col("type") == "imports").select(*keys, F.col("target").alias("id"), F.col("source").alias("other")),
         "importers",
+        None if of is None else nodes.select(*keys, F.col("file").alias("id")).distinct(),
     ).withColumnRenamed("id", "file")
     none = F.expr("CAST(array() AS array<string>)")
     base = nodes.select(*keys, "id", "file").join(callers, [*keys, "id"], "left").join(callees, [*keys, "id"], "left")

@@ -704,7 +704,7 @@ def impact_prompt_parts_by_supplier(spark, sf):
     affected = impact.blast_radius(edges, proposed.select(*KEYS, "seed", "id"))
     entries = graph.entry_points(nodes, edges)
     at_risk = impact.entry_points_at_risk(entries, edges, affected, trade_severity(spark, sf))
-    return impact.impact_prompt_parts(proposed, nodes, impact.neighbourhood(nodes, edges), affected, at_risk)
+    return impact.impact_prompt_parts(proposed, nodes, impact.neighbourhood(nodes, edges, of=proposed), affected, at_risk)
 
 
 @query(sql.PAYLOAD)
