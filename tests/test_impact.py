@@ -240,6 +240,23 @@ def test_neighbourhood_of_some_nodes(spark):
     assert rows_of(some) == rows_of(every.filter("id IN ('a', 'x')"))
 
 
+def test_listed_pairs_take_only_affected_nodes_that_are_met(spark, monkeypatch):
+    sizes, real = {}, impact.stage
+
+    def staged(df, label):
+        out = real(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(impact, "stage", staged)
+    edges = edges_of(spark, {"r": {("e", "a", "calls"), ("p", "e", "calls")} | {("p", f"d{i}", "defines") for i in range(30)}})
+    rows = [("r", "c", s, i) for s in ("s", "t") for i in ["a", "p", *[f"d{i}" for i in range(30)]]]
+    hit = spark.createDataFrame(rows + rows[:2], "repo string, commit_sha string, seed string, id string")
+    pairs = impact.affected_by_entry(spark.createDataFrame([("r", "c", "p")], NODE), edges.unionByName(edges), hit)
+    assert sorted((r.seed, r.entry_point, r.id) for r in pairs.collect()) == [("s", "p", "a"), ("t", "p", "a")]
+    assert sizes["met-affected"] == 2
+
+
 def test_risk_level(spark):
     rows = [("RISK_LEVEL: risky",), ("text\nrisk_level:DANGEROUS and more",), ("none",), ("RISK_LEVEL: maybe",), (None,)]
     got = impact.risk_level(spark.createDataFrame(rows, "response string")).collect()

@@ -369,25 +369,23 @@ def affected_by_entry(
     first, then all entries walk forwards together.
     """
     keys = list(keys)
+    at = telling_first([*keys, "id"])
     hits = affected.select(*keys, F.lit(0).alias("seed"), "id").distinct()
     with _backwards(edges, types, keys, rows_per_chunk, "prune") as steps:
-        useful = reach(hits, steps, keys, None, label="prune").select(*keys, "id")
-    forward = (
-        edges.filter(F.col("type").isin(*types))
-        .select(*keys, F.col("source").alias("id"), F.col("target").alias("next"))
-        .distinct()
+        pruned = reach(hits, steps, keys, None, label="prune")
+        useful = pruned.select(*keys, "id")
         # a target that reaches an affected node makes its source one that does
-        .join(useful.withColumnRenamed("id", "next"), [*keys, "next"], "left_semi")
-        .select(*keys, "id", "next")
-    )
-    start = entries.select(*keys, "id").distinct().join(useful, [*keys, "id"], "left_semi")
-    walks = KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True)
+        forward = steps.plain.table.join(useful, at, "left_semi").select(*keys, F.col("dependent").alias("id"), F.col("id").alias("next"))
+        walks = KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True)
+    start = entries.select(*keys, "id").distinct().join(useful, at, "left_semi")
     with Steps(walks, "next") as steps:
         walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, keys, None, label="forward")
+    unstage(pruned)
     pairs = walked.filter(F.col("id") != F.col("seed")).select(*keys, F.col("seed").alias("entry_point"), "id")
-    return pairs.join(affected.select(*keys, "seed", "id").distinct(), [*keys, "id"]).select(
-        *keys, "seed", "entry_point", "id"
-    )
+    met = stage(pairs.select(*at).distinct(), "met")
+    hit = stage(affected.select(*keys, "seed", "id").join(met, at, "left_semi").distinct(), "met-affected")
+    unstage(met)
+    return pairs.join(hit, at).select(*keys, "seed", "entry_point", "id")
 
 
 def neighbourhood(
