@@ -15,6 +15,10 @@ from tributary.schemas import BLAST_SEVERITIES, DEFAULT_RISK, EDGE_TYPES, RISK_L
 from tributary.session import KEYS, ROWS_PER_CHUNK, Collected, KeyedChunks, StagedRounds, first_k, stage, telling_first, unstage
 
 
+#: Lots of seed groups in a walk over many edges that keeps routes: its rows are long.
+ROUTE_TURNS = 3
+
+
 def reverse_dependencies(
     edges: DataFrame, types: Sequence[str] = EDGE_TYPES, keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -70,6 +74,7 @@ def reach(
     paths: bool = False,
     label: str = "reach",
     routes: int = 0,
+    turns: int = 1,
 ) -> DataFrame:
     """Breadth-first reach of every seed group at once: ``(seed, id, depth)``.
 
@@ -80,6 +85,8 @@ def reach(
     the shortest.  With ``routes`` it carries ``rank`` and ``path`` instead: up to so
     many rows per ``(seed, id)``, by the round they arrive in, then by path; the first of them
     is the node's first path.  Names of ``steps`` pass one path each, so routes take plain steps only.
+    Seed groups know nothing of each other; with ``turns`` they walk in so many lots, one after the
+    other, and the disk between rounds holds one lot.
     """
     keys = list(keys)
     if routes and steps.names is not None:
@@ -91,9 +98,7 @@ def reach(
     elif paths:
         start = start.withColumn("path", F.array("id"))
     seen = StagedRounds(seeds.sparkSession, label)
-    frontier = seen.add(start)
     between = []
-    depth = 0
     node, name = telling_first([*keys, "seed", "id"]), telling_first([*keys, "seed", "name"])
     extra = ["path"] if paths and not routes else []
 
@@ -105,41 +110,57 @@ def reach(
         return rows.select(*keys, "seed", F.col(to).alias("id"), *path)
 
     limit = steps.plain.rows_per_chunk
-    with Collected(name[::-1], limit) as passed:
-        while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-            # few rows arrive from a small frontier: then a large table of known rows is searched for them, not shuffled
-            moving = frontier.count()
-            few = seen.total > limit and moving * 10 < seen.total
-            depth += 1
-            if routes:
-                here = steps.plain.probe(frontier.select(*keys, "seed", "id", "via"), moving)
-                arrived = here.select(*keys, "seed", F.col(steps.to).alias("id"), F.concat("via", F.array("id")).alias("via"))
-                known = seen.rows().select(*node, "rank")
+
+    def walk(start: DataFrame) -> None:
+        since, before, depth = len(seen.paths), seen.total, 0
+        frontier = seen.add(start)
+        with Collected(name[::-1], limit) as passed:
+            while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+                # few rows arrive from a small frontier: then large tables of known rows and of steps are searched for them, not shuffled
+                moving, plain = frontier.count(), steps.plain
+                found = seen.total - before
+                few = found > limit and moving * 10 < found
+                depth += 1
+                if few and not plain.placed:
+                    ids = stage(frontier.select(*keys, "id").distinct(), f"{label}-ids-{depth}")
+                    between.append(ids)
+                    plain = plain.at(ids)
+                if routes:
+                    here = plain.probe(frontier.select(*keys, "seed", "id", "via"), moving)
+                    arrived = here.select(*keys, "seed", F.col(steps.to).alias("id"), F.concat("via", F.array("id")).alias("via"))
+                    known = seen.rows(since).select(*node, "rank")
+                    if few:
+                        arrived = stage(_first_routes(arrived, None, node, routes).select(*node, "via"), f"{label}-arrived-{depth}")
+                        between.append(arrived)
+                        at = arrived.select(*[F.col(c).alias(f"_{c}") for c in node])
+                        known = known.join(at, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in node]), "left_semi")
+                    kept = _first_routes(arrived, known, node, routes)
+                    frontier = seen.add(kept.select(*keys, "seed", "id", F.lit(depth).alias("depth"), "rank", "via")).filter("rank = 1")
+                    continue
+                here = frontier.drop("depth")
+                arrived = moved(plain.probe(here, moving), steps.to)
+                if steps.names is not None:
+                    called = smallest(steps.names.probe(here, moving).select(*name, *extra), name)
+                    if passed.parts:
+                        called = called.join(passed.rows(), name, "left_anti")
+                    called = stage(called, f"{label}-names-{depth}")
+                    between.append(called)
+                    passed.add(called.select(*name))
+                    arrived = arrived.unionByName(moved(steps.callers.probe(called, called.count()), "source"))
+                arrived, known = smallest(arrived, node), seen.rows(since).select(*node)
                 if few:
-                    arrived = stage(_first_routes(arrived, None, node, routes).select(*node, "via"), f"{label}-arrived-{depth}")
+                    arrived = stage(arrived, f"{label}-arrived-{depth}")
                     between.append(arrived)
-                    at = arrived.select(*[F.col(c).alias(f"_{c}") for c in node])
-                    known = known.join(at, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in node]), "left_semi")
-                kept = _first_routes(arrived, known, node, routes)
-                frontier = seen.add(kept.select(*keys, "seed", "id", F.lit(depth).alias("depth"), "rank", "via")).filter("rank = 1")
-                continue
-            here = frontier.drop("depth")
-            arrived = moved(steps.plain.probe(here, moving), steps.to)
-            if steps.names is not None:
-                called = smallest(steps.names.probe(here, moving).select(*name, *extra), name)
-                if passed.parts:
-                    called = called.join(passed.rows(), name, "left_anti")
-                called = stage(called, f"{label}-names-{depth}")
-                between.append(called)
-                passed.add(called.select(*name))
-                arrived = arrived.unionByName(moved(steps.callers.probe(called, called.count()), "source"))
-            arrived, known = smallest(arrived, node), seen.rows().select(*node)
-            if few:
-                arrived = stage(arrived, f"{label}-arrived-{depth}")
-                between.append(arrived)
-                known = known.join(arrived.select(*node), node, "left_semi")
-            fresh = arrived.join(known, node, "left_anti")
-            frontier = seen.add(fresh.select(*keys, "seed", "id", F.lit(depth).alias("depth"), *extra))
+                    known = known.join(arrived.select(*node), node, "left_semi")
+                fresh = arrived.join(known, node, "left_anti")
+                frontier = seen.add(fresh.select(*keys, "seed", "id", F.lit(depth).alias("depth"), *extra))
+
+    if turns > 1:
+        turn = F.pmod(F.xxhash64("seed"), F.lit(turns))
+        for i in range(turns):
+            walk(start.filter(turn == i))
+    else:
+        walk(start)
     for table in between:
         unstage(table)
     return seen.rows()
@@ -161,10 +182,10 @@ def _first_routes(arrived: DataFrame, known: DataFrame | None, node: list[str],
 
 
 def _backwards(
-    edges: DataFrame, types: Sequence[str], keys: Sequence[str], rows_per_chunk: int, label: str, hubs: CallHubs | None = None
+    edges: DataFrame, types: Sequence[str], keys: Sequence[str], rows_per_chunk: int, label: str, hubs: CallHubs | None = None, resident: bool = True
 ) -> Steps:
     back = _reversed(edges, types, keys)
-    plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident=True, staged=hasattr(edges, "_staged_at"))
+    plain = KeyedChunks(back, [*keys, "id"], ["dependent"], rows_per_chunk, label, resident, hasattr(edges, "_staged_at"))
     if hubs is None:
         return Steps(plain, "dependent")
     names = KeyedChunks(hubs.index, [*keys, "id"], ["name"], rows_per_chunk, f"{label}-index", True, hubs.staged)
@@ -193,8 +214,9 @@ def blast_radius(
     """
     if hubs is not None and "calls" not in types:
         hubs = None
-    with _backwards(edges, types, keys, rows_per_chunk, "blast", hubs) as steps:
-        found = reach(seeds, steps, keys, max_depth, paths, "blast", routes)
+    with _backwards(edges, types, keys, rows_per_chunk, "blast", hubs, resident=not routes) as steps:
+        turns = ROUTE_TURNS if routes and steps.plain.large else 1
+        found = reach(seeds, steps, keys, max_depth, paths, "blast", routes, turns)
     if routes:
         found = found.select(*keys, "seed", "id", "depth", "rank", F.concat("via", F.array("id")).alias("path"))
     return found.withColumn("severity", blast_severity(F.col("depth")))
@@ -347,8 +369,11 @@ def entry_points_at_risk(
             known.add(frontier)
     found = _union(hits).filter("entry").select(*node, F.col("high_a").isNotNull().alias("high"))
     if len(hits) > 1:
-        found = found.groupBy(*node).agg(F.max("high").alias("high"))
-    found = _settled(found, rounds, "at-risk")
+        found = _settled(found.groupBy(*node).agg(F.max("high").alias("high")), rounds, "at-risk")
+    else:
+        for part in rounds:
+            if part is not hits[0]:
+                unstage(part)
     return found.select(
         *keys, "seed", F.col("id").alias("entry_point"), F.when(F.col("high"), "high").otherwise("medium").alias("risk")
     )
