@@ -116,15 +116,17 @@ def reach(
         frontier = seen.add(start)
         with Collected(name[::-1], limit) as passed:
             while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-                # few rows arrive from a small frontier: then large tables of known rows and of steps are searched for them, not shuffled
                 moving, plain = frontier.count(), steps.plain
                 found = seen.total - before
+                # few rows arrive from a small frontier: then a large table of known rows is searched for them, not shuffled
                 few = found > limit and moving * 10 < found
                 depth += 1
-                if few and not plain.placed:
+                if plain.large and not plain.placed and (few or _few_ids(frontier, moving, limit)):
                     ids = stage(frontier.select(*keys, "id").distinct(), f"{label}-ids-{depth}")
-                    between.append(ids)
-                    plain = plain.at(ids)
+                    plain = plain.at(ids, f"{label}-steps-{depth}")
+                    between.extend([ids, plain.table])
+                    if steps.names is None and plain.table.isEmpty():
+                        break
                 if routes:
                     here = plain.probe(frontier.select(*keys, "seed", "id", "via"), moving)
                     arrived = here.select(*keys, "seed", F.col(steps.to).alias("id"), F.concat("via", F.array("id")).alias("via"))
@@ -166,6 +168,11 @@ def reach(
     return seen.rows()
 
 
+def _few_ids(frontier: DataFrame, count: int, limit: int) -> bool:
+    """Whether the rows of a large frontier stand at far fewer nodes, so that the steps of these are worth picking out."""
+    return count * 4 > limit and frontier.agg(F.approx_count_distinct("id")).first()[0] * 8 < count
+
+
 def _first_routes(arrived: DataFrame, known: DataFrame | None, node: list[str], limit: int) -> DataFrame:
     """Of the routes that arrive, those that are among their node's first ``limit``: ``(node, rank, via)``.
 
@@ -391,21 +398,26 @@ def affected_by_entry(
 
     The full listing behind :func:`entry_points_at_risk`; its size is the
     number of such pairs.  Edges that lead to no affected node are dropped
-    first, then all entries walk forwards together.
+    first, by a walk backwards that keeps the edges it takes, then all entries walk forwards together.
     """
     keys = list(keys)
     at = telling_first([*keys, "id"])
-    hits = affected.select(*keys, F.lit(0).alias("seed"), "id").distinct()
+    useful, forward = StagedRounds(edges.sparkSession, "useful"), StagedRounds(edges.sparkSession, "forward")
     with _backwards(edges, types, keys, rows_per_chunk, "prune") as steps:
-        pruned = reach(hits, steps, keys, None, label="prune")
-        useful = pruned.select(*keys, "id")
-        # a target that reaches an affected node makes its source one that does
-        forward = steps.plain.table.join(useful, at, "left_semi").select(*keys, F.col("dependent").alias("id"), F.col("id").alias("next"))
-        walks = KeyedChunks(forward, [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True)
-    start = entries.select(*keys, "id").distinct().join(useful, at, "left_semi")
+        frontier = useful.add(affected.select(*keys, "id").distinct())
+        while True:
+            # a target that reaches an affected node makes its source one that does
+            leading = steps.plain.probe(frontier, frontier.count()).select(*keys, F.col("dependent").alias("id"), F.col("id").alias("next"))
+            fresh = forward.add(leading).select(*at).distinct().join(useful.rows(), at, "left_anti")
+            frontier = useful.add(fresh.select(*keys, "id"))
+            if frontier.isEmpty():
+                break
+    start = entries.select(*keys, "id").distinct().join(useful.rows(), at, "left_semi")
+    walks = KeyedChunks(forward.rows(), [*keys, "id"], ["next"], rows_per_chunk, "forward", resident=True, staged=True)
     with Steps(walks, "next") as steps:
         walked = reach(start.select(*keys, F.col("id").alias("seed"), "id"), steps, keys, None, label="forward")
-    unstage(pruned)
+    for rounds in (useful, forward):
+        unstage(rounds.rows())
     pairs = walked.filter(F.col("id") != F.col("seed")).select(*keys, F.col("seed").alias("entry_point"), "id")
     met = stage(pairs.select(*at).distinct(), "met")
     hit = stage(affected.select(*keys, "seed", "id").join(met, at, "left_semi").distinct(), "met-affected")
